@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lines import dedup_lines
+from .packing import pack_documents
 from .simhash import near_duplicates
 from .substrings import dedup_substrings
 
@@ -26,6 +28,10 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", F.col("n_removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs, width=13).select(
@@ -33,7 +39,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_lines, op7_substrings)}
+    return {f.__name__: f for f in (op1_simhash, op4_lines, op6_packing, op7_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:

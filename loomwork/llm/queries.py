@@ -12,6 +12,7 @@ from .lines import dedup_lines
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .substrings import dedup_substrings
+from .tokenfile import encoded_checksums
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +39,12 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_checksums(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_lines, op6_packing, op7_substrings)}
+    return {f.__name__: f for f in (op1_simhash, op4_lines, op6_packing, op7_substrings, op8_tokenfile)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_and_decode
 from .lines import dedup_lines
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -43,8 +44,15 @@ def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_checksums(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    decimals = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals, 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_lines, op6_packing, op7_substrings, op8_tokenfile)}
+    return {f.__name__: f for f in (op1_simhash, op4_lines, op6_packing, op7_substrings, op8_tokenfile, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_and_decode
 from .lines import dedup_lines
+from .lzprint import edit_likeness
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .substrings import dedup_substrings
@@ -51,8 +52,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_lines, op6_packing, op7_substrings, op8_tokenfile, op9_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op4_lines, op6_packing, op7_substrings, op8_tokenfile, op9_bpe, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

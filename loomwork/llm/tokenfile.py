@@ -7,7 +7,7 @@ of the vocabulary) or delta-encoded, row groups have a set size, and the
 writer's page indexes let a reader skip to the pages it needs; metadata alone
 is read without touching the token pages.
 
-The range bounds come from the doc_id column only. Documents are then encoded
+The ranges come from the doc_id column only. Documents are then encoded
 where they are read, and compressed blocks of ids travel once, to their shard.
 """
 
@@ -25,29 +25,12 @@ from pyspark.sql import functions as F
 
 from .blocks import blob_rows, pack, unpack, with_sub
 from .encoder import encoder
+from .ranges import LOWEST, range_of, range_tops
 from .shared import columns, new_path, parts_for, slices
 
-LOWEST = -(1 << 63)
 FILE = "doc_id long, shard int, offset long, n_tokens long, tokens array<int>"
 
 
-def range_bounds(keyed: DataFrame, shards: int) -> list[tuple[int, int]]:
-    """First (doc_id, _sub) of each shard but the first, from the key columns alone; null ids come first."""
-    keys = keyed.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("k"), F.col("_sub").alias("s"))
-    ranged = keys.repartitionByRange(shards, "k", "s").groupBy(F.spark_partition_id().alias("p"))
-    found = ranged.agg(F.min(F.struct("k", "s")).alias("low")).collect()
-    return sorted((r["low"]["k"], r["low"]["s"]) for r in found)[1:]
-
-
-def shard_of(doc: np.ndarray, sub: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """How many bounds are at or below each (doc, sub)."""
-    at = np.searchsorted(bounds[:, 0], doc, side="left")
-    for i in np.flatnonzero((at < len(bounds)) & (bounds[np.minimum(at, len(bounds) - 1), 0] == doc)).tolist() if len(bounds) else []:
-        while at[i] < len(bounds) and (bounds[at[i], 0], bounds[at[i], 1]) <= (doc[i], sub[i]):
-            at[i] += 1
-    return at.astype(np.int64)
-
-
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, encoding: str = "dictionary",
                  row_group_mb: int = 16, page_kb: int = 256, codec: str = "zstd") -> None:
     """Encode ``text`` and write the token table to ``path``.
@@ -61,7 +44,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, en
         raise ValueError(f"unknown encoding {encoding!r}")
     keyed = with_sub(columns(docs, "doc_id", "text"))
     shards = parts_for(columns(docs, "doc_id", "text"), 8)
-    bounds = np.array(range_bounds(keyed, shards), np.int64).reshape(-1, 2)
+    tops = range_tops(keyed, shards)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, end = encoder(vocabulary), np.uint32(end_id).tobytes()
@@ -70,7 +53,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, en
             has = np.array(batch.column(0).is_valid(), np.int64)
             doc = np.asarray(batch.column(0).fill_null(LOWEST), np.int64)
             sub, size = np.asarray(batch.column(2), np.int64), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            to = shard_of(doc, sub, bounds)
+            to = range_of(doc, sub, tops)
             names, blobs = np.unique(to).tolist(), []
             for name in names:
                 own = np.flatnonzero(to == name)

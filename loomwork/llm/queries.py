@@ -12,6 +12,7 @@ from .bpe import encode_and_decode
 from .lines import dedup_lines
 from .lzprint import edit_likeness
 from .packing import pack_documents
+from .quality import quality_scores
 from .simhash import near_duplicates
 from .substrings import dedup_substrings
 from .tokenfile import encoded_checksums
@@ -31,6 +32,10 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", F.col("n_removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
@@ -58,7 +63,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_lines, op6_packing, op7_substrings, op8_tokenfile, op9_bpe, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash, op4_lines, op5_quality, op6_packing, op7_substrings, op8_tokenfile, op9_bpe, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

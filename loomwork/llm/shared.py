@@ -63,8 +63,17 @@ def release(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; no job runs for it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate of ``df``; no job runs for it.
+
+    Local rows and RDDs have no estimate (Catalyst takes 8 EB); then only the leaves that have one count.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(plan.stats().sizeInBytes())
+    if size < 1 << 55:
+        return size
+    leaves = plan.collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 55)
 
 
 def parts_for(df: DataFrame, mb: int = 10) -> int:

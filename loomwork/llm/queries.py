@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_and_decode
 from .chat import read_back, write_formatted
+from .hnsw import search
 from .lines import dedup_lines
 from .lzprint import edit_likeness
 from .packing import pack_documents
@@ -34,6 +35,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(write_formatted(turns))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
@@ -71,7 +77,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_chat, op4_lines, op5_quality, op6_packing, op7_substrings, op8_tokenfile, op9_bpe, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_lines, op5_quality, op6_packing, op7_substrings, op8_tokenfile, op9_bpe, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

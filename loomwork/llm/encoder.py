@@ -3,87 +3,145 @@
 A unit is what lies between two spaces that are each followed by a character
 that is not white space, with its leading space. No pre-token of the two JSON
 vocabularies crosses such a place, so encoding units apart gives the ids of the
-whole text. Units not seen before are encoded together by the library: joined
-into long strings and split again at the offsets it returns.
+whole text. Arrow splits and numbers the units of a batch; only its distinct
+ones are looked up, and those not seen before are encoded together by the
+library: joined into long strings and split again at the offsets it returns.
+A text where a space precedes white space goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A space before more white space, or at the end: no unit begins there.
-LOOSE = re.compile(r" (?=\s|\Z)")
+LOOSE = r" ([\t\n\x0b\x0c\r\x{85}\p{Z}]|\z)"
 JOIN = 128
+BATCH_BYTES = 8 << 20
+
+
+def plain_letter(char: str) -> bool:
+    """A Latin letter that neither normalisation nor lower case turns into several characters."""
+    return char.isalpha() and char < "\u0250" and char != "\u0130"
 
 
 class UnitEncoder:
-    """Encode texts to little-endian uint32 ids, keeping a bounded store of units.
+    """Encode texts to uint32 ids, keeping a bounded store of units.
 
     The store has two generations of about ``keep`` units: a full young one
     becomes the old one, and old units that are used again move to the young.
     """
 
-    def __init__(self, path: str, keep: int = 300_000) -> None:
+    def __init__(self, path: str, keep: int = 350_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings inside a text are ordinary text
+        self.lower = "Lowercase" in repr(self.library.normalizer)  # then A-Z may be lowered before
         self.keep = keep
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks = {m: self._bare([m])[0] for m in ".,"}
 
-    def units(self, text: str) -> list[str]:
-        """Units without their leading space (the first unit has none)."""
-        parts = text.split(" ")
-        if not LOOSE.search(text):
-            return parts
-        out = parts[:1]
-        for part in parts[1:]:
-            if part and not part[0].isspace():
-                out.append(part)
-            else:
-                out[-1] += " " + part
-        return out
-
-    def learn(self, units: list[str]) -> None:
-        """Encode each of the distinct ``units``, preceded by a space."""
+    def _bare(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _joined(self, units: list[str]) -> Iterator[bytes]:
+        """Ids of each of the units, preceded by a space."""
         groups = [units[i: i + JOIN] for i in range(0, len(units), JOIN)]
         for group, enc in zip(groups, self.library.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(enc.ids, np.uint32)
+            raw = np.array(enc.ids, np.uint32).tobytes()
             begins = np.array([o[0] for o in enc.offsets], np.int64)
             sizes = np.fromiter(map(len, group), np.int64, len(group)) + 1
-            edges = [*np.searchsorted(begins, sizes.cumsum() - sizes).tolist(), len(ids)]
+            edges = (4 * np.searchsorted(begins, sizes.cumsum() - sizes)).tolist()
             edges[0] = 0
-            raw = ids.tobytes()
-            for unit, i, j in zip(group, edges, edges[1:], strict=False):
-                self.known[unit] = raw[4 * i: 4 * j]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.keep:
-            self.known, self.old = {}, self.known
-        split = [self.units(t) for t in texts]
-        known = self.known
-        fresh = set().union(*(u[1:] for u in split)).difference(known) if split else set()
-        again = fresh.intersection(self.old)
-        known.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        if fresh := fresh - again:
-            self.learn(list(fresh))
-        heads = [enc.ids for enc in self.library.encode_batch([u[0] for u in split], add_special_tokens=False)]
-        return [np.array(h, np.uint32).tobytes() + b"".join([known[x] for x in u[1:]]) for h, u in zip(heads, split, strict=True)]
+            yield from (raw[i:j] for i, j in zip(edges, [*edges[1:], len(raw)], strict=True))
+
+    def _known(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units, preceded by a space.
+
+        A letter and a full stop or comma after it are apart in both vocabularies, so such a unit is its stem and its mark.
+        """
+        if len(self.young) > self.keep:
+            self.young, self.old = {}, self.young
+        young, old, marks = self.young, self.old, self.marks
+        found = list(map(young.get, units))
+        missing = [i for i, raw in enumerate(found) if raw is None]
+        asked = {}
+        for i in missing:
+            unit = units[i]
+            asked[unit[:-1] if unit[-1:] in marks and plain_letter(unit[-2:-1]) else unit] = None
+        young.update((u, old[u]) for u in asked if u in old)
+        fresh = [u for u in asked if u not in young]
+        young.update(zip(fresh, self._joined(fresh), strict=True))
+        for i in missing:
+            unit = units[i]
+            raw = young.get(unit)
+            found[i] = young[unit[:-1]] + marks[unit[-1]] if raw is None else raw
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, each text's followed by ``end_id``, and the bounds of the texts; null counts as empty."""
+        texts = texts.fill_null("")
+        if self.lower:
+            texts = pc.ascii_lower(texts)
+        n = len(texts)
+        loose = pc.match_substring_regex(texts, LOOSE)
+        whole = texts.filter(loose).to_pylist()
+        lists = pc.split_pattern(pc.if_else(loose, "", texts), " ")
+        coded = lists.flatten().dictionary_encode()
+        count = np.asarray(pc.list_value_length(lists), np.int64)
+        first = count.cumsum() - count
+        codes = np.asarray(coded.indices, np.int64)
+        units = coded.dictionary.to_pylist()
+        used = np.zeros(len(units), bool)
+        rest = np.ones(len(codes), bool)
+        rest[first] = False  # a text's first unit has no leading space
+        used[codes[rest]] = True
+        own = np.flatnonzero(used)
+        ids = self._known(units) if len(own) == len(units) else [b""] * len(units)
+        if len(own) < len(units):
+            for i, raw in zip(own.tolist(), self._known([units[i] for i in own.tolist()]), strict=True):
+                ids[i] = raw
+        heads = {units[c] for c in codes[first].tolist()}
+        spelt = dict(zip(heads, self._bare(list(heads)), strict=True))
+        begins = [spelt[units[c]] for c in codes[first].tolist()]
+        for i, raw in zip(np.flatnonzero(np.asarray(loose.to_pylist(), bool)).tolist(), self._bare(whole), strict=True):
+            begins[i] = raw
+        ids += [*begins, np.uint32(end_id).tobytes()]
+        codes[first] = len(units) + np.arange(n)
+        codes = np.insert(codes, first + count, len(ids) - 1)
+        spelt_out = pa.array(ids, pa.binary()).take(pa.array(codes))
+        _, offsets, data = spelt_out.buffers()
+        stop = np.frombuffer(offsets, np.int32, len(codes) + 1) // 4
+        return np.frombuffer(data, np.uint32, int(stop[-1])), stop[np.r_[0, first + count + np.arange(1, n + 1)]].astype(np.int64)
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``BATCH_BYTES`` of text, at least a row each."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        group = (sizes.cumsum() - sizes) // BATCH_BYTES
+        edges = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), batch.num_rows] if batch.num_rows else []
+        for i, j in zip(edges, edges[1:], strict=False):
+            yield batch.slice(i, j - i)
 
 
 _READY: dict[str, UnitEncoder] = {}
 
 
+def forget() -> None:
+    """Drop the worker's encoder, where a stage needs the memory for other things."""
+    _READY.clear()
+
+
 def encoder(path: str) -> UnitEncoder:
     """The worker's encoder for a vocabulary file; tasks of one worker share its store."""
     if path not in _READY:
         _READY.clear()
         _READY[path] = UnitEncoder(path)
     return _READY[path]
-
-

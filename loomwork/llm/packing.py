@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoder import encoder
-from .shared import columns, cut, slices
+from .encoder import encoder, text_batches
+from .shared import columns, cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -33,17 +33,16 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
-        end = np.uint32(end_id).tobytes()
-        for batch in slices(batches, 500):
+        for batch in text_batches(batches, 1):
             rows = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), library.encode(texts), strict=True):
-                ids += end
-                total, view = len(ids) // 4, memoryview(ids)
-                start = 0
+            ids, bounds = library.encode(batch.column(1), end_id)
+            view = memoryview(ids).cast("B")
+            for doc, begin, end in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                total, start = end - begin, 0
                 for k in range(-(-total // capacity)):
                     size = (total - 1) % capacity + 1 if k == 0 else capacity
-                    rows.append((doc, k, start, size, zlib.crc32(view[4 * start: 4 * (start + size)]), part, seen[size]))
+                    at = 4 * (begin + start)
+                    rows.append((doc, k, start, size, zlib.crc32(view[at: at + 4 * size]), part, seen[size]))
                     seen[size] += 1
                     start += size
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]

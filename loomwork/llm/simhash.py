@@ -200,3 +200,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, seed: int
     labels = cut(joined.join(lowest, "root").select("fp", "component_id"), "simhash-labels")
     return prints.join(labels, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose doc_id is the smallest of its group of near-duplicates.
+
+    Groups are those of :func:`near_duplicates`. Rows without doc_id cannot be
+    told apart and all stay; so do all rows that share the smallest doc_id.
+    """
+    gone = near_duplicates(docs, width, radius).filter("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

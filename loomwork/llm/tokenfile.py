@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import blob_rows, pack, unpack, with_sub
-from .encoder import encoder
+from .encoder import encoder, forget, text_batches
 from .ranges import LOWEST, range_of, range_tops
-from .shared import columns, new_path, parts_for, slices
+from .shared import columns, new_path, parts_for
 
 FILE = "doc_id long, shard int, offset long, n_tokens long, tokens array<int>"
 
@@ -47,23 +47,24 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, en
     tops = range_tops(keyed, shards)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, end = encoder(vocabulary), np.uint32(end_id).tobytes()
-        for batch in slices(batches, 1000):
-            ids = [x + end for x in library.encode([t or "" for t in batch.column(1).to_pylist()])]
-            has = np.array(batch.column(0).is_valid(), np.int64)
+        library = encoder(vocabulary)
+        for batch in text_batches(batches, 1):
+            ids, edges = library.encode(batch.column(1), end_id)
+            has = np.asarray(batch.column(0).is_valid().to_pylist(), np.int64)
             doc = np.asarray(batch.column(0).fill_null(LOWEST), np.int64)
-            sub, size = np.asarray(batch.column(2), np.int64), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            sub, size = np.asarray(batch.column(2), np.int64), np.diff(edges)
             to = range_of(doc, sub, tops)
             names, blobs = np.unique(to).tolist(), []
             for name in names:
-                own = np.flatnonzero(to == name)
+                own = to == name
                 head = pack(doc[own], has[own], size[own])
-                flat = np.frombuffer(b"".join([ids[i] for i in own.tolist()]), np.uint32).view(np.uint8).reshape(-1, 4)
+                flat = ids[np.repeat(own, size)].view(np.uint8).reshape(-1, 4)
                 planes = b"".join(np.ascontiguousarray(flat[:, j]).tobytes() for j in range(4))
                 blobs.append(np.uint32(len(head)).tobytes() + head + zstandard.compress(planes, 1))
             yield blob_rows(names, blobs)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -115,6 +116,7 @@ def token_checksums(rows: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` of a table from :func:`read_tokens`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             lists = batch.column(3)
             raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), np.uint32)).cast("B")

@@ -2,7 +2,8 @@
 
 Nodes and edges are built from the registry. Traversals are ``WITH RECURSIVE``
 over edge tables, at most ``DEPTH`` hops, and carry the path so that no trail
-meets a node twice. Edges with an end that is no node are dropped.
+meets a node twice. Each traversal runs once and is written: two recursions in
+one plan have been seen to share results. Edges with an end that is no node are dropped.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.plans.registry import Project
+from loomwork.session import materialized
 
 DEPTH = 15
 NODES = "unique_id string, name string, label string, layer string, materialized string, description string, row_count long, priority string, maturity string, exposure_type string"
@@ -21,7 +23,7 @@ COLUMNS = "column_id string, node_id string, column_name string, data_type strin
 
 def node_rows(project: Project) -> list[tuple]:
     """Source, model and exposure nodes; seeds and snapshots would be models too."""
-    rows = [(project.node_id(s), s, "Source", None, "table", None, None, None, None, None) for s in project.sources]
+    rows = [(project.node_id(s), s, "Source", None, None, None, None, None, None, None) for s in project.sources]
     rows += [(project.node_id(m.name), m.name, "Model", m.layer, m.materialized, m.description, None, None, None, None) for m in project.models.values()]
     rows += [(project.node_id(e.name), e.name, "Exposure", None, None, None, None, e.priority, e.maturity, e.kind) for e in project.exposures.values()]
     return rows
@@ -38,7 +40,8 @@ def edge_rows(project: Project) -> list[tuple[str, str, str]]:
 
 
 def test_rows(project: Project) -> list[tuple[str, str, str, str]]:
-    return [(f"test.{project.name}.{t.name}", project.node_id(t.model), t.column, t.kind) for t in project.tests]
+    """Custom tests belong to their model, the others to a column of it."""
+    return [(f"test.{project.name}.{t.name}", project.node_id(t.model), None if t.kind == "custom" else t.column, t.kind) for t in project.tests]
 
 
 def column_rows(project: Project, frames: dict[str, DataFrame]) -> list[tuple[str, str, str, str]]:
@@ -75,7 +78,7 @@ def traverse(spark: SparkSession, edges: DataFrame, roots: DataFrame, upstream:
     edges.createOrReplaceTempView("_trail_edges")
     roots.select("id").distinct().createOrReplaceTempView("_trail_roots")
     ends = ("target_id", "source_id") if upstream else ("source_id", "target_id")
-    return spark.sql(f"with recursive {reach_sql('_trail_edges', *ends, '_trail_roots')} select * from reach")
+    return materialized(spark.sql(f"with recursive {reach_sql('_trail_edges', *ends, '_trail_roots')} select * from reach"), "trails")
 
 
 def dependent_models(spark: SparkSession, graph: dict[str, DataFrame], roots: DataFrame, upstream: bool = False) -> DataFrame:
@@ -132,9 +135,10 @@ def column_trails(spark: SparkSession, lineage: DataFrame, roots: DataFrame, bac
     edges.createOrReplaceTempView("_column_edges")
     roots.select("id").distinct().createOrReplaceTempView("_column_roots")
     start, goal = ("target_id", "source_id") if backward else ("source_id", "target_id")
-    return spark.sql(f"""with recursive reach(origin, node, depth, path, confidence) as (
+    trails = spark.sql(f"""with recursive reach(origin, node, depth, path, confidence) as (
         select id, {goal}, 1, array(id, {goal}), confidence from _column_roots join _column_edges on {start} = id
         union all
         select origin, {goal}, depth + 1, concat(path, array({goal})), least(reach.confidence, _column_edges.confidence)
         from reach join _column_edges on {start} = node where depth < {DEPTH} and not array_contains(path, {goal}))
         select * from reach""")
+    return materialized(trails, "column-trails")

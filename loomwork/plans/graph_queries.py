@@ -302,7 +302,7 @@ def oracle_sql() -> dict[str, str]:
         "exposure_paths": _reach(edges, f"select '{START}' as id") + f" select exposure, priority, depth, array_to_string(path, '>') as path from reach join {shown} x on x.id = node",
         "exposure_distance": _reach(edges, " union all ".join(f"select '{n[0]}' as id" for n in nodes)) + f" select origin as node, min(depth) as distance from reach join {shown} x on x.id = node group by 1",
         "fan_outs": f"select source_id as node, count(distinct target_id) as fan_out from {_values(inner, 'source_id, target_id, edge_type')} group by 1",
-        "column_tests": f"select target_id as node, count(distinct c) as n_tested, count(*) as n_tests from {_values(tests, 'test_id, target_id, c, k')} group by 1",
+        "column_tests": f"select target_id as node, count(distinct c) as n_tested, count(*) as n_tests from {_values(tests, 'test_id, target_id, c, k')} where c is not null group by 1",
         "node_properties": f"select '{whale[0]}' as unique_id, property, value from {_values(found, 'property, value')}",
         "test_owner": f"select test_id, target_id as model_id from {_values(tests, 'test_id, target_id, c, k')} where test_id = 'test.market.unique_dim_tokens_coin_id'",
         "price_lineage": trail("u", "d").replace("{root}", f"{START}.current_price") + " select node, depth, confidence::double as confidence, path from reach",

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[str] = []
+
 
 def build_session(app: str = "loomwork", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, ANSI casts and UTC; ``conf`` keys use _ for the dots."""
@@ -22,3 +30,17 @@ def build_session(app: str = "loomwork", master: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder (any store that Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once into the folder that spark.checkpoint.dir names (our own only where it is unset) and read it back."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="loomwork-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        folder = Path(_OWN[0]).as_uri()
+    path = f"{folder.rstrip('/')}/loomwork/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -80,5 +80,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_lines, op5_quality, op6_packing, op7_substrings, op8_tokenfile, op9_bpe, op10_fingerprints)}
 
 
+CHAT_SQL = r"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select * from (values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) p(conv_id, turn, role, text)),
+sized as (select *, length(role) + length(text) + 14
+    + length(text) - length(replace(text, '\', '')) + length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, ':', ''))
+    + (length(text) - length(replace(text, '</turn>', ''))) // 7 + (length(role) - length(replace(role, '</turn>', ''))) // 7
+    + coalesce(list_sum(list_transform(regexp_extract_all(text || ' ' || role, '#{3,}'), lambda x: length(x) - 2)), 0) as n from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, sum(n)::bigint as formatted_chars
+from sized group by conv_id"""
+
+SUBSTRINGS_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, md5(array_to_string(list_slice(ws, i, i + 12), ' ')) as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from d)),
+low as (select k, min(doc_id) as first from win group by k),
+gone as (select distinct doc_id, i + unnest(range(0, 13)) as i from win join low using (k) where first < doc_id),
+word as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from d)
+select d.doc_id, len(d.ws)::bigint as n_words, coalesce(x.n, 0)::bigint as n_removed, sha256(coalesce(x.kept, '')) as kept_sha256
+from d left join (select word.doc_id, count(gone.i) as n, string_agg(w, ' ' order by word.i) filter (where gone.i is null) as kept
+    from word left join gone on word.doc_id = gone.doc_id and word.i = gone.i group by word.doc_id) x on d.doc_id = x.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat": CHAT_SQL, "op7_substrings": SUBSTRINGS_SQL}

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 LOOSE = r" ([\t\n\x0b\x0c\r\x{85}\p{Z}]|\z)"
 JOIN = 128
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 5 << 20
 
 
 def plain_letter(char: str) -> bool:
@@ -35,7 +35,7 @@ class UnitEncoder:
     becomes the old one, and old units that are used again move to the young.
     """
 
-    def __init__(self, path: str, keep: int = 350_000) -> None:
+    def __init__(self, path: str, keep: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,10 +50,16 @@ class UnitEncoder:
     def _bare(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _encoded(self, groups: list[list[str]]) -> Iterator[tuple[list[str], object]]:
+        """A few groups at a time: the library's encodings hold far more than the ids."""
+        for i in range(0, len(groups), 32):
+            part = groups[i: i + 32]
+            yield from zip(part, self.library.encode_batch([" " + " ".join(g) for g in part], add_special_tokens=False), strict=True)
+
     def _joined(self, units: list[str]) -> Iterator[bytes]:
         """Ids of each of the units, preceded by a space."""
         groups = [units[i: i + JOIN] for i in range(0, len(units), JOIN)]
-        for group, enc in zip(groups, self.library.encode_batch([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, enc in self._encoded(groups):
             raw = np.array(enc.ids, np.uint32).tobytes()
             begins = np.array([o[0] for o in enc.offsets], np.int64)
             sizes = np.fromiter(map(len, group), np.int64, len(group)) + 1

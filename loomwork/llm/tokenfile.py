@@ -99,17 +99,10 @@ def read_tokens(spark: SparkSession, path: str, tokens: bool = True) -> DataFram
     """The token table with ``start``, the ids of all documents before; ``tokens=False`` reads metadata only."""
     rows = spark.read.schema(FILE).parquet(path)
     sizes = sorted(rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
-    bases = dict(zip([r["shard"] for r in sizes], [0, *accumulate(r["n"] for r in sizes)], strict=False))
-    base = spark.sparkContext.broadcast(bases)  # one number per shard
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.array([base.value[s] for s in batch.column(1).to_pylist()], np.int64) + np.asarray(batch.column(2))
-            yield pa.record_batch([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "start"])
-
-    kept = rows if tokens else rows.drop("tokens")
-    schema = FILE if tokens else FILE.rpartition(", ")[0]
-    return kept.mapInArrow(begin, schema + ", start long")
+    bases = zip([r["shard"] for r in sizes], [0, *accumulate(r["n"] for r in sizes)], strict=False)
+    base = F.broadcast(spark.createDataFrame(list(bases), "shard int, base long"))  # a row per file
+    kept = (rows if tokens else rows.drop("tokens")).join(base, "shard")
+    return kept.select(*[c for c in rows.columns if c in kept.columns], (F.col("base") + F.col("offset")).alias("start"))
 
 
 def token_checksums(rows: DataFrame) -> DataFrame:

@@ -83,21 +83,21 @@ def masks(bits: int, radius: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def collisions(fps: np.ndarray, slack: np.ndarray, low: int, unfold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Stars (smallest, member) of the fingerprints whose variants collide.
+def meetings(keys: np.ndarray, index: np.ndarray, slack: np.ndarray, low: int, unfold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variant, index) of the keys whose variants meet, by ascending variant and index.
 
-    ``slack`` is what is left of each fingerprint's half radius on its ``low`` low bits.
+    ``slack`` is what is left of each key's half radius on its ``low`` low bits.
     """
-    sizes = np.array([len(masks(low, int(r))) if low else 1 for r in range(int(slack.max(initial=0)) + 1)])
-    if len(fps) < 2:
+    if len(keys) < 2:
         return
+    sizes = np.array([len(masks(low, r)) if low else 1 for r in range(int(slack.max()) + 1)])
     if sizes[slack].sum() > unfold and low > 0:
         step = min(4, low)
-        group = ((fps >> np.uint64(low - step)) & np.uint64((1 << step) - 1)).astype(np.int64)
+        group = ((keys >> np.uint64(low - step)) & np.uint64((1 << step) - 1)).astype(np.int64)
         for value in range(1 << step):
             left = slack - np.bitwise_count(group ^ value)
             ours = left >= 0
-            yield from collisions(fps[ours], left[ours], low - step, unfold)
+            yield from meetings(keys[ours], index[ours], left[ours], low - step, unfold)
         return
     keep = np.uint64((1 << low) - 1)
     owners, variants = [], []
@@ -106,7 +106,7 @@ def collisions(fps: np.ndarray, slack: np.ndarray, low: int, unfold: int) -> Ite
         if len(own):
             ball = masks(low, r)
             owners.append(np.repeat(own, len(ball)))
-            variants.append(((fps[own] & keep)[:, None] ^ ball[None, :]).ravel())
+            variants.append(((keys[own] & keep)[:, None] ^ ball[None, :]).ravel())
     owner, variant = np.concatenate(owners), np.concatenate(variants)
     ordered = np.sort(variant)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
@@ -115,15 +115,20 @@ def collisions(fps: np.ndarray, slack: np.ndarray, low: int, unfold: int) -> Ite
     seen = np.zeros(1 << 20, bool)  # most variants stand alone: a bitmap of the repeated ones sheds them
     seen[(mix64(twice) >> np.uint64(44)).astype(np.int64)] = True
     some = np.flatnonzero(seen[(mix64(variant) >> np.uint64(44)).astype(np.int64)])
-    variant, member = variant[some], fps[owner[some]]
+    variant, member = variant[some], index[owner[some]]
     order = np.lexsort((member, variant))
-    variant, member = variant[order], member[order]
-    first = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
-    smallest = np.repeat(member[first], np.diff(np.r_[first, len(variant)]))
-    real = smallest != member
-    if real.any():
-        pairs = np.unique(np.stack([smallest[real], member[real]]), axis=1)
-        yield pairs[0], pairs[1]
+    yield variant[order], member[order]
+
+
+def collisions(fps: np.ndarray, slack: np.ndarray, low: int, unfold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stars (smallest, member) of the fingerprints whose variants meet; ``fps`` ascend."""
+    for variant, member in meetings(fps, np.arange(len(fps)), slack, low, unfold):
+        first = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
+        smallest = np.repeat(member[first], np.diff(np.r_[first, len(variant)]))
+        real = smallest != member
+        if real.any():
+            pairs = np.unique(np.stack([smallest[real], member[real]]), axis=1)
+            yield fps[pairs[0]], fps[pairs[1]]
 
 
 def ball_links(distinct: DataFrame, radius: int, prefix: int = 8, unfold: int = 1 << 21) -> DataFrame:
@@ -203,11 +208,109 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, seed: int
 
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+LANES = 4
+TABLES = 6  # 32-bit tables, the halves of the first three lanes
+
+
+def wide_simhash(text: bytes, width: int) -> bytes:
+    """256 majority bits: each shingle's hash is mixed anew for each 64-bit lane."""
+    one = shingle_hashes(text, width).view(">u8").ravel().astype(np.uint64)
+    lanes = [mix64(one + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) for k in range(LANES)]
+    return b"".join(majority(lane.astype(">u8").view(np.uint8).reshape(-1, 8)) for lane in lanes)
+
+
+def estimated_bits(similarity: float) -> float:
+    """Expected differing bits of 256 for two shingle sets of equal size with this Jaccard similarity."""
+    return 64 * LANES * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
+def similar_links(distinct: DataFrame, most: int, prefix: int = 4, unfold: int = 1 << 21) -> DataFrame:
+    """Links ``a``, ``b`` between ids of ``distinct(id, fp)`` whose 256-bit fingerprints differ in at most ``most`` bits.
+
+    Candidates come from six tables of 32 bits with radius 4, by the same balls
+    of half the radius as :func:`ball_links`. Where many meet at a variant, the
+    first is compared with all, and each with the next; a pair meets at many
+    variants, in many companies. Buckets return spanning stars of what holds.
+    """
+    near = masks(prefix, 2).astype(np.int64)
+    width = max(parts_for(distinct), TABLES << prefix)
+
+    def words(prints: np.ndarray, table: int) -> np.ndarray:
+        return (prints[:, table // 2] >> np.uint64(32 * (1 - table % 2))) & np.uint64(0xFFFFFFFF)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.asarray(batch.column(0), np.int64)
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, LANES)
+            rows = np.concatenate([ids.view(np.uint64)[:, None], prints], axis=1)
+            for table in range(TABLES):
+                home = (words(prints, table) >> np.uint64(32 - prefix)).astype(np.int64)
+                to = (home[:, None] ^ near[None, :]).ravel()
+                order = np.argsort(to, kind="stable")
+                sent, at = np.repeat(np.arange(len(rows)), len(near))[order], to[order]
+                buckets, first = np.unique(at, return_index=True)
+                ends = [*first[1:].tolist(), len(at)]
+                yield pa.record_batch([pa.array((table << prefix) + buckets), binary_column([rows[sent[i:j]].tobytes() for i, j in zip(first.tolist(), ends, strict=True)])],
+                                      ["bucket", "rows"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(blob)
+        for bucket in list(held):
+            rows = np.frombuffer(b"".join(held.pop(bucket)), np.uint64).reshape(-1, LANES + 1)
+            ids, prints = np.ascontiguousarray(rows[:, 0]).view(np.int64), rows[:, 1:]
+            keys = words(prints, bucket >> prefix)
+            slack = 2 - np.bitwise_count((keys >> np.uint64(32 - prefix)).astype(np.int64) ^ (bucket & (1 << prefix) - 1)).astype(np.int64)
+            found = []
+            for variant, member in meetings(keys, np.arange(len(ids)), slack, 32 - prefix, unfold):
+                same = variant[1:] == variant[:-1]
+                first = np.flatnonzero(np.r_[True, ~same])
+                star = np.repeat(member[first], np.diff(np.r_[first, len(variant)]))
+                a = np.concatenate([star, member[:-1][same]])
+                b = np.concatenate([member, member[1:][same]])
+                pair = np.unique(a[a != b] * len(ids) + b[a != b])
+                a, b = pair // len(ids), pair % len(ids)
+                true = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= most
+                if true.any():
+                    found.append((ids[a[true]], ids[b[true]]))
+            if found:
+                vertex, root = local_roots(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                own = vertex != root
+                yield pa.record_batch([pa.array(root[own]), pa.array(vertex[own])], ["a", "b"])
+
+    sent = distinct.select("id", "fp").mapInArrow(send, "bucket long, rows binary")
+    return sent.repartition(width, "bucket").mapInArrow(meet, "a long, b long")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, unchanged, whose doc_id is the smallest of its group of near-duplicates.
 
-    Groups are those of :func:`near_duplicates`. Rows without doc_id cannot be
-    told apart and all stay; so do all rows that share the smallest doc_id.
+    Texts are linked where the share of differing bits of their 256-bit
+    fingerprints on ``width``-word shingles says a Jaccard similarity of
+    ``similarity`` or more; one standard deviation of that estimate is allowed.
+    Groups are connected over links. Texts without words form one group. Null
+    texts count as empty. Rows without doc_id cannot be told apart and all
+    stay; so do all rows that share the smallest doc_id. Other columns are
+    kept; an empty table gives an empty result.
     """
-    gone = near_duplicates(docs, width, radius).filter("component_id < doc_id").select("doc_id").distinct()
+    bits = estimated_bits(similarity)
+    share = bits / (64 * LANES)
+    most = int(bits + np.sqrt(64 * LANES * share * (1 - share)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.record_batch([batch.column(0), binary_column([wide_simhash(t, width) for t in text_bytes(batch.column(1))])], ["doc_id", "fp"])
+
+    named = columns(docs, "doc_id", "text").filter("doc_id is not null")
+    prints = cut(named.mapInArrow(run, "doc_id long, fp binary"), "simhash-wide")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-wide-distinct")
+    links = cut(similar_links(distinct, most), "simhash-similar")
+    roots = connected_components(links)
+    discard(links)
+    labels = cut(distinct.join(roots, distinct["id"] == roots["v"], "left").select("fp", F.coalesce("root", "id").alias("root")), "simhash-groups")
+    gone = prints.join(labels, "fp").filter("root < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

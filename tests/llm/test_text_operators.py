@@ -72,6 +72,27 @@ def test_ball_links_find_all_pairs_within_the_radius(spark):
         assert groups(lambda f, r=roots: r.get(f, f)) == groups(label.get)
 
 
+def test_similar_texts_keep_one_of_each(spark):
+    rnd = random.Random(1)
+    words = [f"w{i}" for i in range(4000)]
+    base = [[rnd.choice(words) for _ in range(300)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base[:20]):  # a few words changed: similarity of about 0.9; others share a third only
+        near = list(w)
+        for at in rnd.sample(range(300), 3):
+            near[at] = "changed"
+        rows.append((100 + i, " ".join(near)))
+        rows.append((200 + i, " ".join(w[:100] + [rnd.choice(words) for _ in range(200)])))
+    rows += [(300, ""), (301, None), (302, " "), (None, rows[0][1]), (0, rows[0][1])]
+    table = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, FP string").repartition(3)
+    kept = simhash.keep_one_of_each(table)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == table.columns and ids.count(0) == 2 and ids.count(None) == 1
+    assert set(range(40)) | {200 + i for i in range(20)} | {300} <= set(ids) and not {301, 302} & set(ids)
+    assert len([d for d in ids if d is not None and 100 <= d < 200]) <= 1
+    assert simhash.keep_one_of_each(table.limit(0)).count() == 0
+
+
 def test_long_chain_is_one_component(spark):
     n = 300
     edges = spark.range(n).select(((F.col("id") * 7919) % n).alias("a"), (((F.col("id") + 1) * 7919) % n).alias("b")).filter("id < 299")

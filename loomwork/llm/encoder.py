@@ -5,7 +5,7 @@ that is not white space, with its leading space. No pre-token of the two JSON
 vocabularies crosses such a place, so encoding units apart gives the ids of the
 whole text. Arrow splits and numbers the units of a batch; only its distinct
 ones are looked up, and those not seen before are encoded together by the
-library: joined into long strings and split again at the offsets it returns.
+library: joined into long strings, a separator of one id between them.
 A text where a space precedes white space goes to the library whole.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ import pyarrow.compute as pc
 
 LOOSE = r" ([\t\n\x0b\x0c\r\x{85}\p{Z}]|\z)"
 JOIN = 128
-BATCH_BYTES = 5 << 20
+SIGNS = "\u2764\u2605\u00a7\u00b1|~="
+BATCH_BYTES = 8 << 20
 
 
 def plain_letter(char: str) -> bool:
@@ -35,7 +37,7 @@ class UnitEncoder:
     becomes the old one, and old units that are used again move to the young.
     """
 
-    def __init__(self, path: str, keep: int = 200_000) -> None:
+    def __init__(self, path: str, keep: int = 150_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,27 +47,39 @@ class UnitEncoder:
         self.keep = keep
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.sign, self.sign_id = self._separator()
         self.marks = {m: self._bare([m])[0] for m in ".,"}
 
+    def _separator(self) -> tuple[str, int]:
+        """A character that makes a single id after a space; it tells joined units apart."""
+        for sign in SIGNS:
+            ids = self.library.encode(" " + sign, add_special_tokens=False).ids
+            if len(ids) == 1:
+                return sign, ids[0]
+        raise ValueError("no separator in this vocabulary")
+
     def _bare(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _encoded(self, groups: list[list[str]]) -> Iterator[tuple[list[str], object]]:
-        """A few groups at a time: the library's encodings hold far more than the ids."""
-        for i in range(0, len(groups), 32):
-            part = groups[i: i + 32]
-            yield from zip(part, self.library.encode_batch([" " + " ".join(g) for g in part], add_special_tokens=False), strict=True)
-
     def _joined(self, units: list[str]) -> Iterator[bytes]:
-        """Ids of each of the units, preceded by a space."""
-        groups = [units[i: i + JOIN] for i in range(0, len(units), JOIN)]
-        for group, enc in self._encoded(groups):
-            raw = np.array(enc.ids, np.uint32).tobytes()
-            begins = np.array([o[0] for o in enc.offsets], np.int64)
-            sizes = np.fromiter(map(len, group), np.int64, len(group)) + 1
-            edges = (4 * np.searchsorted(begins, sizes.cumsum() - sizes)).tolist()
-            edges[0] = 0
-            yield from (raw[i:j] for i, j in zip(edges, [*edges[1:], len(raw)], strict=True))
+        """Ids of each of the units, preceded by a space; some at a time, as the library's encodings hold far more than ids."""
+        sign = self.sign
+        for i in range(0, len(units), JOIN * 32):
+            part = units[i: i + JOIN * 32]
+            clear = [u for u in part if sign not in u]
+            groups = [clear[k: k + JOIN] for k in range(0, len(clear), JOIN)]
+            found = self.library.encode_batch([" " + f" {sign} ".join(g) + f" {sign}" for g in groups], add_special_tokens=False)
+            ids = np.array(list(chain.from_iterable(e.ids for e in found)), np.uint32)
+            ends = np.flatnonzero(ids == self.sign_id)
+            if len(ends) != len(clear):
+                raise RuntimeError("a unit was not encoded apart")
+            raw, begins = ids.tobytes(), np.r_[0, ends[:-1] + 1] if len(ends) else ends
+            apart = [raw[x:y] for x, y in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)]
+            if len(clear) == len(part):
+                yield from apart
+            else:
+                own = dict(zip(clear, apart, strict=True))
+                yield from (own[u] if u in own else self._bare([" " + u])[0] for u in part)
 
     def _known(self, units: list[str]) -> list[bytes]:
         """Ids of distinct units, preceded by a space.

@@ -224,13 +224,114 @@ def estimated_bits(similarity: float) -> float:
     return 64 * LANES * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
+class Groups:
+    """Union-find over 0 to n - 1, a batch of edges at a time; the smallest member names its group."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        root = self.parent[x]
+        while not np.array_equal(up := self.parent[root], root):
+            root = up
+        self.parent[x] = root
+        return root
+
+    def union(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            vertex, root = local_roots(self.find(a), self.find(b))
+            self.parent[vertex] = root
+
+
+def compare(groups: Groups, prints: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, block: int = 1 << 19) -> None:
+    """Unite all members of ``a`` and ``b`` that differ in at most ``most`` bits, without pairs that are united already.
+
+    Of two members in different groups, one is outside the largest group; only these are rows.
+    """
+    name, count = np.unique(groups.find(np.concatenate([a, b])), return_counts=True)
+    largest = name[count.argmax()]
+    for rows, others in ((a[groups.find(a) != largest], b), (b[groups.find(b) != largest], a[groups.find(a) == largest])):
+        step = max(1, block // max(1, len(others)))
+        for at in range(0, len(rows), step):
+            for to in range(0, len(others), block):
+                own, them = rows[at: at + step], others[to: to + block]
+                bits = np.zeros((len(own), len(them)), np.uint16)
+                for lane in range(prints.shape[1]):
+                    bits += np.bitwise_count(prints[own, lane][:, None] ^ prints[them, lane][None, :])
+                x, y = np.nonzero(bits <= most)
+                groups.union(own[x], them[y])
+
+
+def company(keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int, prefix: int, most: int, unfold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, smallest of its group) over the pairs of a bucket with keys within 4 bits and prints within ``most``.
+
+    Distinct keys meet, each for all members that share it. Pairs of keys in one
+    group are passed over; of the others, first members are compared, then all.
+    A pair of keys meets in several buckets; the one of its middle does the
+    last, and a key's own bucket compares the members that share the key.
+    Full comparison is quadratic in what stays unlinked at one key. An exact
+    split by the other words (one of seven differs in at most 6 bits: 5,489
+    variants each) would cost a member more than a million comparisons do.
+    """
+    order = np.argsort(keys, kind="stable")
+    distinct, first, size = np.unique(keys[order], return_index=True, return_counts=True)
+    head = order[first]
+    groups = Groups(len(keys))
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= most
+
+    star = np.repeat(head, size)
+    true = near(star, order)
+    groups.union(star[true], order[true])
+    shift = np.uint64(32 - prefix)
+    pure = np.bitwise_and.reduceat(groups.find(star) == groups.find(order), first)
+    for k in np.flatnonzero(~pure & (distinct >> shift == bucket)).tolist():
+        own = order[first[k]: first[k] + size[k]]
+        compare(groups, prints, own, own, most)
+    done: set[int] = set()
+    for variant, member in meetings(distinct, np.arange(len(distinct)), slack[head], 32 - prefix, unfold):
+        for ahead in range(1, len(member)):
+            at = np.flatnonzero(variant[ahead:] == variant[:-ahead])
+            if not len(at):
+                break
+            if ahead & ahead - 1 == 0:  # groups that are one by now are passed over as a whole
+                begins = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
+                name = groups.find(head[member])
+                same = pure[member] & (name == np.repeat(name[begins], np.diff(np.r_[begins, len(variant)])))
+                stay = np.repeat(~np.bitwise_and.reduceat(same, begins), np.diff(np.r_[begins, len(variant)]))
+                variant, member = variant[stay], member[stay]
+                if len(member) <= ahead:
+                    break
+                at = np.flatnonzero(variant[ahead:] == variant[:-ahead])
+            pair = np.unique(member[at] * len(distinct) + member[at + ahead])
+            a, b = pair // len(distinct), pair % len(distinct)
+            apart = groups.find(head[a]) != groups.find(head[b])
+            pair, a, b = (x[apart | ~pure[a] | ~pure[b]] for x in (pair, a, b))
+            true = near(head[a], head[b])
+            groups.union(head[a[true]], head[b[true]])
+            apart = groups.find(head[a]) != groups.find(head[b])
+            bits = distinct[a] ^ distinct[b]
+            rest = bits & (bits - np.uint64(1))
+            weight = np.bitwise_count(bits)
+            middle = distinct[a] ^ np.where(weight > 1, bits ^ rest, np.uint64(0)) ^ np.where(weight > 3, rest & ~(rest - np.uint64(1)), np.uint64(0))
+            for k in np.flatnonzero((size[a] * size[b] > 1) & (apart | ~pure[a] | ~pure[b]) & (middle >> shift == bucket)).tolist():
+                if int(pair[k]) not in done:
+                    done.add(int(pair[k]))
+                    compare(groups, prints, *(order[first[x]: first[x] + size[x]] for x in (int(a[k]), int(b[k]))), most)
+    everyone = np.arange(len(keys))
+    root = groups.find(everyone)
+    own = root != everyone
+    return everyone[own], root[own]
+
+
 def similar_links(distinct: DataFrame, most: int, prefix: int = 4, unfold: int = 1 << 21) -> DataFrame:
     """Links ``a``, ``b`` between ids of ``distinct(id, fp)`` whose 256-bit fingerprints differ in at most ``most`` bits.
 
     Candidates come from six tables of 32 bits with radius 4, by the same balls
-    of half the radius as :func:`ball_links`. Where many meet at a variant, the
-    first is compared with all, and each with the next; a pair meets at many
-    variants, in many companies. Buckets return spanning stars of what holds.
+    of half the radius as :func:`ball_links`. Every pair that meets in a table
+    is linked by what was found before, or is compared. Buckets return spanning
+    stars of what holds.
     """
     near = masks(prefix, 2).astype(np.int64)
     width = max(parts_for(distinct), TABLES << prefix)
@@ -265,22 +366,9 @@ def similar_links(distinct: DataFrame, most: int, prefix: int = 4, unfold: int =
             ids, prints = np.ascontiguousarray(rows[:, 0]).view(np.int64), rows[:, 1:]
             keys = words(prints, bucket >> prefix)
             slack = 2 - np.bitwise_count((keys >> np.uint64(32 - prefix)).astype(np.int64) ^ (bucket & (1 << prefix) - 1)).astype(np.int64)
-            found = []
-            for variant, member in meetings(keys, np.arange(len(ids)), slack, 32 - prefix, unfold):
-                same = variant[1:] == variant[:-1]
-                first = np.flatnonzero(np.r_[True, ~same])
-                star = np.repeat(member[first], np.diff(np.r_[first, len(variant)]))
-                a = np.concatenate([star, member[:-1][same]])
-                b = np.concatenate([member, member[1:][same]])
-                pair = np.unique(a[a != b] * len(ids) + b[a != b])
-                a, b = pair // len(ids), pair % len(ids)
-                true = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= most
-                if true.any():
-                    found.append((ids[a[true]], ids[b[true]]))
-            if found:
-                vertex, root = local_roots(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                own = vertex != root
-                yield pa.record_batch([pa.array(root[own]), pa.array(vertex[own])], ["a", "b"])
+            vertex, root = company(keys, slack, prints, bucket & (1 << prefix) - 1, prefix, most, unfold)
+            if len(vertex):
+                yield pa.record_batch([pa.array(ids[root]), pa.array(ids[vertex])], ["a", "b"])
 
     sent = distinct.select("id", "fp").mapInArrow(send, "bucket long, rows binary")
     return sent.repartition(width, "bucket").mapInArrow(meet, "a long, b long")

@@ -93,6 +93,31 @@ def test_similar_texts_keep_one_of_each(spark):
     assert simhash.keep_one_of_each(table.limit(0)).count() == 0
 
 
+def test_similar_links_compare_all_that_meet_in_a_crowd(spark):
+    rnd = np.random.default_rng(5)
+    crowd = rnd.integers(0, 1 << 63, (400, 4), dtype=np.uint64) * np.uint64(2) + rnd.integers(0, 2, (400, 4), dtype=np.uint64)
+    crowd[:, 0] &= np.uint64(0xFFFFFFFF)  # one 32-bit word is shared; pairs at distance 42 meet there alone
+    pairs = crowd[:100].copy()
+    for row in pairs:
+        for word in range(1, 8):
+            row[word // 2] ^= np.uint64(sum(1 << int(b) for b in rnd.choice(32, 6, replace=False)) << 32 * (1 - word % 2))
+    pairs[50:, 0] ^= np.uint64(0b111 << 40)  # three bits apart in the word
+    pairs[50:, 3] ^= crowd[50:100, 3] ^ pairs[50:, 3]
+    pairs[50:, 3] ^= np.uint64(0b1111111)
+    prints = np.concatenate([crowd, pairs, crowd[:30] ^ np.uint64(1)])
+    ids = rnd.permutation(len(prints))
+    distance = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    table = spark.createDataFrame([(int(i), p.astype(">u8").tobytes()) for i, p in zip(ids, prints)], "id long, fp binary").repartition(3)
+    label = np.arange(len(prints))
+    for _ in range(6):
+        label = np.array([label[near].min() for near in distance <= 44])
+    assert len(set(label.tolist())) < len(prints) - 100
+    for unfold in (1 << 21, 5000):
+        roots = {r.v: r.root for r in connected_components(simhash.similar_links(table, 44, unfold=unfold)).collect()}
+        groups = lambda of: {frozenset(i for i in range(len(ids)) if of(i) == x) for x in {of(i) for i in range(len(ids))}}
+        assert groups(lambda i, r=roots: r.get(int(ids[i]), int(ids[i]))) == groups(lambda i: int(label[i]))
+
+
 def test_long_chain_is_one_component(spark):
     n = 300
     edges = spark.range(n).select(((F.col("id") * 7919) % n).alias("a"), (((F.col("id") + 1) * 7919) % n).alias("b")).filter("id < 299")

@@ -9,6 +9,10 @@ that occur more than once in the corpus keep their first occurrence.
 Chunks meet by hash but are told apart by their bytes: a block of documents
 keeps one copy of each distinct chunk, and its bytes travel to the bucket of
 the chunk's hash, where equal bytes (not equal hashes) decide.
+
+A repeat rarely begins and ends at boundaries, so with ``pairs`` each two
+consecutive lines are also a unit of their own: a repeat of two lines or more
+then goes whole, whatever surrounds it. Pairs travel as 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -53,6 +57,16 @@ def multi_line_chunks(text: bytes, window: int, mean: int) -> Iterator[tuple[int
                 yield k, chunk
 
 
+def line_pairs(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """(first line, 128-bit hash) of each two consecutive lines that are not both blank."""
+    lines = text.split(b"\n")
+    digest = xxhash.xxh3_128_digest
+    blank = [not line.strip() for line in lines]
+    for i in range(len(lines) - 1):
+        if not (blank[i] and blank[i + 1]):
+            yield i, digest(lines[i] + b"\n" + lines[i + 1])
+
+
 Place = tuple[int, int, int]
 
 
@@ -71,8 +85,11 @@ def _mark_rows(later: list[Place], buckets: int, **kind: int) -> pa.RecordBatch:
     return blob_rows(*by_bucket(doc_bucket(doc, buckets), doc, sub, chunk), **kind)
 
 
-def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int) -> DataFrame:
-    """Marks (doc bucket, packed doc_id, _sub, chunk number) of all but the first of equal chunks."""
+def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, pairs: bool = False) -> DataFrame:
+    """Marks (doc bucket, packed doc_id, _sub, unit) of all but the first of equal units.
+
+    A unit is twice the number of a chunk, or twice the first line of a pair, and one.
+    """
 
     def flush(seen: dict[bytes, Place], later: list[Place]) -> Iterator[pa.RecordBatch]:
         yield _mark_rows(later, buckets, kind=1)
@@ -98,7 +115,10 @@ def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int) -> Da
                 if doc is None or not text:
                     continue
                 for k, chunk in multi_line_chunks(text, window, mean):
-                    _keep_first(seen, chunk, (doc, sub, k), later)
+                    _keep_first(seen, chunk, (doc, sub, 2 * k), later)
+                if pairs:
+                    for i, pair in line_pairs(text):
+                        _keep_first(seen, pair, (doc, sub, 2 * i + 1), later)
                 total += len(text)
                 if total >= BLOCK_BYTES:
                     yield from flush(seen, later)
@@ -124,9 +144,12 @@ def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int) -> Da
     return sent.repartition(buckets, "bucket").mapInArrow(meet, "bucket long, blob binary")
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3, pairs: bool = False) -> DataFrame:
     r"""Remove multi-line chunks that occur earlier, in the order of (doc_id, place).
 
+    With ``pairs``, all lines of a run of two lines or more that occurs earlier
+    go, at any place in a chunk; two blank lines alone are no run.
+
     All columns of ``docs`` come back; ``text`` keeps its other lines, joined by
     ``\n``. Added: ``n_lines`` and ``n_removed_lines``.
 
@@ -138,7 +161,7 @@ def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3) -> DataFrame:
     docs = docs.drop(*[c for c in docs.columns if c.lower() in {"n_lines", "n_removed_lines", "_sub"}])
     keyed = with_sub(docs)
     buckets = parts_for(columns(docs, "doc_id", "text"))
-    marks = cut(repeated_chunks(keyed, window, mean, buckets), "chunk-marks")
+    marks = cut(repeated_chunks(keyed, window, mean, buckets, pairs), "chunk-marks")
     release(docs.sparkSession)
     names = docs.columns
     place = names.index("text")
@@ -155,8 +178,11 @@ def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3) -> DataFrame:
                 texts.append(text)
                 continue
             edges = chunk_edges(lines, window, mean)
-            drop = set(gone.tolist())
-            kept = [line for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if k not in drop for line in lines[i:j]]
+            stay = [True] * len(lines)
+            for unit in gone.tolist():
+                i, j = (unit // 2, unit // 2 + 2) if unit % 2 else edges[unit // 2: unit // 2 + 2]
+                stay[i:j] = [False] * (j - i)
+            kept = [line for line, own in zip(lines, stay, strict=True) if own]
             n_removed.append(len(lines) - len(kept))
             texts.append(b"\n".join(kept))
         fields = [rows.column(c) if c != "text" else pa.array(texts, pa.binary()).cast(pa.string()) for c in names]

@@ -42,7 +42,7 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select(
+    return dedup_lines(docs, pairs=True).select(
         "doc_id", "n_lines", F.col("n_removed_lines").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -155,6 +155,32 @@ def test_line_boundaries_do_not_shift():
     assert len({x + 7 for x in a[1:]} & set(b)) >= len(a) - 2
 
 
+def test_line_runs_go_whole_in_any_surroundings(spark):
+    rnd = random.Random(9)
+    runs = [[f"run {r} line {i}" for i in range(2 + r % 9)] for r in range(40)]
+    rows = []
+    for d in range(160):
+        body = [f"own {d} before {i}" for i in range(rnd.randint(0, 4))]
+        for r in rnd.sample(range(40), 2):
+            body += runs[r] + ["", f"own {d} after {r}"] * rnd.randint(0, 1)
+        rows.append((d, "\n".join(body)))
+    rows += [(160, "a\na\na"), (161, "x\n\n\ny"), (162, "z\n\n\nw"), (163, ""), (164, None)]
+    seen, expected = {}, {}
+    for d, t in rows:
+        parts = [] if t is None else t.split("\n")
+        gone = set()
+        for size in range(2, len(parts) + 1):
+            for i in range(len(parts) - size + 1):
+                run = tuple(parts[i: i + size])
+                if any(x or y for x, y in zip(run, run[1:])) and all(x or y for x, y in zip(run, run[1:])) and seen.setdefault(run, (d, i)) < (d, i):
+                    gone |= set(range(i, i + size))
+        expected[d] = (None if t is None else "\n".join(x for i, x in enumerate(parts) if i not in gone), len(gone))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.text, r.n_removed_lines) for r in lines.dedup_lines(table, pairs=True).collect()}
+    assert found == expected
+    assert sum(n for _, n in found.values()) > sum(r.n_removed_lines for r in lines.dedup_lines(table).collect())
+
+
 def plain_windows(texts, width):
     first = {}
     for d, t in texts:

@@ -249,7 +249,7 @@ select last_risk, count(*) as n_incidents, sum(n)::bigint as n_events, round(avg
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The executor's decision on every kind of action."""
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 400").select(
+    p = table(spark, sf_dir, "part").select(
         "p_partkey", F.element_at(F.array(*map(F.lit, risk.PRIORITY)), (F.col("p_partkey") % 4 + 1).cast("int")).alias("action"), (F.col("p_size") % 5 == 0).alias("duplicate"),
         (F.col("p_size") % 3 == 0).alias("held"), F.when(F.col("p_size") % 2 == 0, "select 1").alias("fix_sql"))
     return risk.execution(p).select("p_partkey", "action", "outcome", "step")

@@ -10,7 +10,7 @@ from .test_queries import rows
 LARGER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize(("name", "subset"), [("keys_and_names", " where p_partkey <= 500")])
+@pytest.mark.parametrize(("name", "subset"), [("keys_and_names", " where p_partkey <= 500"), ("executions", " where p_partkey <= 400")])
 def test_query_covers_all_parts(name, subset, spark):
     con = duckdb.connect()
     con.execute(f"create view part as select * from read_parquet('{LARGER}/part.parquet')")

@@ -271,7 +271,7 @@ def company(keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int
     last, and a key's own bucket compares the members that share the key.
     Full comparison is quadratic in what stays unlinked at one key. An exact
     split by the other words (one of seven differs in at most 6 bits: 5,489
-    variants each) would cost a member more than a million comparisons do.
+    variants each) is thought to pay only in far larger crowds; not measured.
     """
     order = np.argsort(keys, kind="stable")
     distinct, first, size = np.unique(keys[order], return_index=True, return_counts=True)

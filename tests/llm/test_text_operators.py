@@ -118,6 +118,27 @@ def test_similar_links_compare_all_that_meet_in_a_crowd(spark):
         assert groups(lambda i, r=roots: r.get(int(ids[i]), int(ids[i]))) == groups(lambda i: int(label[i]))
 
 
+def test_similar_texts_in_a_crowd_with_a_shared_template(spark):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    template = [rnd.choice(words) for _ in range(200)]
+    texts = [template + [rnd.choice(words) for _ in range(120)] for _ in range(150)]
+    for w in texts[:50]:
+        near = list(w)
+        for at in rnd.sample(range(320), 2):
+            near[at] = "changed"
+        texts.append(near)
+    rnd.shuffle(texts)
+    grams = [{tuple(w[i: i + 5]) for i in range(len(w) - 4)} for w in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(table).collect()) == sorted(set(label))
+
+
 def test_long_chain_is_one_component(spark):
     n = 300
     edges = spark.range(n).select(((F.col("id") * 7919) % n).alias("a"), (((F.col("id") + 1) * 7919) % n).alias("b")).filter("id < 299")

@@ -19,9 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blob_rows, pack, unpack, with_sub
-from .ranges import LOWEST, range_of, range_tops
-from .shared import columns, pack_texts, parts_for, slices, text_bytes, unpack_texts
+from .ranges import LOWEST, flagged, range_count, range_of, range_tops
+from .shared import columns, slices, text_bytes
 
 KEEP = 128
 
@@ -113,7 +112,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-OUT = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n long"
+CHUNK = 1000
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
@@ -122,67 +122,82 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     The next document is the one before in ascending (doc_id, hash of the text
     among rows that share a doc_id); after the lowest comes the highest. Null
     texts count as empty, rows without doc_id as lowest. A single row is its
-    own next. Returns the columns of ``OUT``; other columns are ignored; an
-    empty table gives an empty result.
+    own next, and equal rows follow one another. Returns the columns of ``OUT``
+    without ``n``; other columns are ignored; an empty table gives an empty result.
 
-    Documents go to contiguous ranges of doc_id. The highest document of a
-    range also goes to the range above it, whose lowest document it follows, so
-    ranges need no further exchange.
+    Documents go to contiguous ranges of doc_id, which Spark sorts and the
+    tasks stream. The highest document of a range also goes to the range above
+    it, whose lowest document it follows, so ranges need no further exchange.
+    Rows equal in doc_id and text travel and are parsed once, with their number.
     """
-    keyed = with_sub(columns(docs, "doc_id", "text"))
-    shards = parts_for(columns(docs, "doc_id", "text"), 8)
-    tops = range_tops(keyed, shards)
+    docs = columns(docs, "doc_id", "text")
+    rows, several = flagged(docs)
+    if several is None:
+        keyed = rows.select("doc_id", "text", F.lit(0).cast("long").alias("_s"), F.lit(1).cast("long").alias("_n"))
+    else:
+        texts = rows.withColumn("text", F.coalesce("text", F.lit("")))
+        equal = texts.filter(several).groupBy("doc_id", "text").agg(F.count("*").alias("_n"))
+        keyed = texts.filter(~several).select("doc_id", "text", F.lit(0).cast("long").alias("_s"), F.lit(1).cast("long").alias("_n")).union(
+            equal.select("doc_id", "text", F.xxhash64("text"), "_n"))
+    keyed = keyed.withColumn("_k", F.coalesce("doc_id", F.lit(LOWEST)))
+    tops = range_tops(keyed, range_count(docs))
     count = max(1, len(tops))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches, 1000):
-            texts = text_bytes(batch.column(1))
-            has = np.array(batch.column(0).is_valid(), np.int64)
-            doc = np.asarray(batch.column(0).fill_null(LOWEST), np.int64)
-            sub = np.asarray(batch.column(2), np.int64)
-            to = range_of(doc, sub, tops)
-            edge = np.flatnonzero((doc == tops[to, 0]) & (sub == tops[to, 1]))
-            rows = np.r_[np.arange(len(doc)), edge]
+            if not batch.num_rows:
+                continue
+            texts = pa.array([squeeze(t) for t in text_bytes(batch.column(1))], pa.binary())
+            key, sub = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(2), np.int64)
+            to = range_of(key, sub, tops)
+            edge = np.flatnonzero((key == tops[to, 0]) & (sub == tops[to, 1]))
+            own = pa.array(np.r_[np.arange(len(key)), edge])
             goes = np.r_[to, (to[edge] + 1) % count]
-            halo = np.r_[np.zeros(len(doc), np.int64), np.ones(len(edge), np.int64)]
-            names, blobs = np.unique(goes).tolist(), []
-            for name in names:
-                own = goes == name
-                head = pack(doc[rows[own]], sub[rows[own]], has[rows[own]], halo[own])
-                blobs.append(np.uint32(len(head)).tobytes() + head + zstandard.compress(pack_texts([texts[i] for i in rows[own].tolist()]), 1))
-            yield blob_rows(names, blobs)
+            halo = np.r_[np.zeros(len(key), np.int32), np.ones(len(edge), np.int32)]
+            yield pa.record_batch([pa.array(goes, pa.int32()), pa.array(halo), *(batch.column(i).take(own) for i in (0, 2, 4, 3)), texts.take(own)],
+                                  ["bucket", "halo", "k", "s", "doc_id", "n", "text"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                size = int(np.frombuffer(blob, np.uint32, 1)[0])
-                keys = zip(*(a.tolist() for a in unpack(blob[4: 4 + size], 4)), strict=True)
-                rows += [(-halo, doc, sub, text, has) for (doc, sub, has, halo), text in zip(keys, unpack_texts(zstandard.decompress(blob[4 + size:])), strict=True)]
-        rows.sort(reverse=True)  # descending, what follows the range last
-        out, waiting = [], None
-        for i, (halo, doc, _, raw, has) in enumerate(rows):
-            text = raw.decode()
-            if halo:
-                sign = fingerprint(raw)
-            else:
-                edited, common = edit(text, rows[i + 1][3].decode())
-                sign, edited_sign = fingerprint_both(text, edited, common)
-            if waiting:
-                out.append((*waiting[:-1], likeness(waiting[-1], sign)))
-            if halo:
-                break
-            waiting = (doc if has else None, len(text), edited, spell(sign), spell(edited_sign), likeness(sign, edited_sign), sign)
-            if len(out) >= 500:
-                yield _rows(out)
-                out = []
+        expand = zstandard.ZstdDecompressor().decompress
+        at, last, waiting, closed, out = None, None, None, False, []
+        for batch in slices(batches, 500):
+            for bucket, halo, doc, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at:
+                    at, last, waiting, closed = bucket, None, None, False
+                if closed:
+                    continue
+                raw = expand(blob)
+                text = raw.decode()
+                if last is not None:
+                    edited, common = edit(last[2], text)
+                    sign, edited_sign = fingerprint_both(last[2], edited, common)
+                    if waiting:
+                        out.append((*waiting[:-1], likeness(waiting[-1], sign), 1))
+                    spelt = spell(sign)
+                    if last[1] > 1:
+                        again, common = edit(last[2], last[2])
+                        own = fingerprint_both(last[2], again, common)[1]
+                        out.append((last[0], len(last[2]), again, spelt, spell(own), likeness(sign, own), 1.0, last[1] - 1))
+                    waiting = (last[0], len(last[2]), edited, spelt, spell(edited_sign), likeness(sign, edited_sign), sign)
+                last, closed = (doc, n, text), bool(halo)
+                if closed:
+                    out.append((*waiting[:-1], likeness(waiting[-1], fingerprint(raw)), 1))
+                if len(out) >= 500 or sum(len(row[2]) for row in out[-2:]) > 1 << 20:
+                    yield _rows(out)
+                    out = []
         if out:
             yield _rows(out)
 
-    sent = keyed.select("doc_id", "text", "_sub").mapInArrow(send, "bucket long, blob binary")
-    return sent.repartitionById(count, F.col("bucket").cast("int")).mapInArrow(receive, OUT)
+    sent = keyed.select("_k", "text", "_s", "_n", "doc_id").mapInArrow(send, "bucket int, halo int, k long, s long, doc_id long, n long, text binary")
+    ordered = sent.repartitionById(count, F.col("bucket")).sortWithinPartitions("bucket", "halo", F.desc("k"), F.desc("s"), "text")
+    found = ordered.select("bucket", "halo", "doc_id", "n", "text").mapInArrow(receive, OUT)
+    if several is not None:  # equal rows become rows again, a thousand of them in a place
+        parts = F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div " + str(CHUNK))), lambda c: F.least(F.lit(CHUNK).cast("long"), F.col("n") - c * CHUNK))
+        found = found.withColumn("n", F.explode(parts)).repartition(count).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return found.drop("n")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in OUT.split(", ")])

@@ -8,7 +8,8 @@ writer's page indexes let a reader skip to the pages it needs; metadata alone
 is read without touching the token pages.
 
 The ranges come from the doc_id column only. Documents are then encoded
-where they are read, and compressed blocks of ids travel once, to their shard.
+where they are read, and their compressed ids travel once, to their shard,
+where Spark sorts them and the writer streams them.
 """
 
 from __future__ import annotations
@@ -23,10 +24,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import blob_rows, pack, unpack, with_sub
 from .encoder import encoder, forget, text_batches
-from .ranges import LOWEST, range_of, range_tops
-from .shared import columns, new_path, parts_for
+from .ranges import LOWEST, MOST, flagged, range_count, range_of, range_tops
+from .shared import binary_column, columns, new_path
 
 FILE = "doc_id long, shard int, offset long, n_tokens long, tokens array<int>"
 
@@ -36,71 +36,69 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, en
     """Encode ``text`` and write the token table to ``path``.
 
     ``encoding`` is ``dictionary`` or ``delta``. Null and empty texts hold only
-    ``end_id``. Rows without doc_id come first; rows that share a doc_id are
-    ordered by their ids. Other columns are ignored; an empty table gives an
-    empty file set with the schema.
+    ``end_id``. Rows without doc_id come first; these, and rows that share a
+    doc_id, are ordered by a hash of the text, and equal ones are dealt over
+    all ranges that their key spans. Other columns are ignored; an empty table
+    gives an empty file set with the schema.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
-    keyed = with_sub(columns(docs, "doc_id", "text"))
-    shards = parts_for(columns(docs, "doc_id", "text"), 8)
-    tops = range_tops(keyed, shards)
+    docs = columns(docs, "doc_id", "text")
+    rows, several = flagged(docs)
+    tie = F.lit(0).cast("long")
+    if several is not None:  # where a row goes within its key is free, so the low bits may differ between the two reads
+        mask = (1 << 24) - 1
+        salted = F.xxhash64("text").bitwiseAND(F.lit(~mask)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(mask)))
+        tie = F.when(several, salted).otherwise(tie)
+    keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(LOWEST)).alias("_k"), tie.alias("_s"))
+    tops = range_tops(keyed, range_count(docs))
+    shards = max(1, len(tops))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(vocabulary)
+        library, squeeze = encoder(vocabulary), zstandard.ZstdCompressor(level=1).compress
         for batch in text_batches(batches, 1):
             ids, edges = library.encode(batch.column(1), end_id)
-            has = np.asarray(batch.column(0).is_valid().to_pylist(), np.int64)
-            doc = np.asarray(batch.column(0).fill_null(LOWEST), np.int64)
-            sub, size = np.asarray(batch.column(2), np.int64), np.diff(edges)
-            to = range_of(doc, sub, tops)
-            names, blobs = np.unique(to).tolist(), []
-            for name in names:
-                own = to == name
-                head = pack(doc[own], has[own], size[own])
-                flat = ids[np.repeat(own, size)].view(np.uint8).reshape(-1, 4)
-                planes = b"".join(np.ascontiguousarray(flat[:, j]).tobytes() for j in range(4))
-                blobs.append(np.uint32(len(head)).tobytes() + head + zstandard.compress(planes, 1))
-            yield blob_rows(names, blobs)
+            narrow = not len(ids) or int(ids.max()) < 1 << 16
+            raw, wide = memoryview(ids.astype("<u2") if narrow else ids).cast("B"), 2 if narrow else 4
+            at = (wide * edges).tolist()
+            blobs = [squeeze(raw[i:j]) for i, j in zip(at, at[1:], strict=False)]
+            key, sub = np.asarray(batch.column(2), np.int64), np.asarray(batch.column(3), np.int64)
+            yield pa.record_batch([pa.array(range_of(key, sub, tops), pa.int32()), batch.column(2), batch.column(3), batch.column(0),
+                                   pa.array(np.full(len(blobs), wide, np.int32)), binary_column(blobs)], ["shard", "k", "s", "doc_id", "wide", "ids"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(shard, []).append(blob)
-        for shard in sorted(held):
-            rows = []
-            for blob in held.pop(shard):
-                n = int(np.frombuffer(blob, np.uint32, 1)[0])
-                doc, has, size = unpack(blob[4: 4 + n], 3)
-                planes = np.frombuffer(zstandard.decompress(blob[4 + n:]), np.uint8).reshape(4, -1)
-                flat = np.ascontiguousarray(planes.T).tobytes()
-                ends = 4 * size.cumsum()
-                rows += [(d, h, flat[j - 4 * s: j]) for d, h, s, j in zip(doc.tolist(), has.tolist(), size.tolist(), ends.tolist(), strict=True)]
-            rows.sort()
-            offset = 0
-            for i in range(0, len(rows), 256):
-                part = rows[i: i + 256]
-                size = np.array([len(x) // 4 for *_, x in part], np.int64)
-                before = offset + size.cumsum() - size
-                offset += int(size.sum())
-                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, size.cumsum()].astype(np.int32)), pa.array(np.frombuffer(b"".join([x for *_, x in part]), np.int32)))
-                yield pa.record_batch([pa.array([d if h else None for d, h, _ in part], pa.int64()), pa.array(np.full(len(part), shard, np.int32)),
-                                       pa.array(before), pa.array(size), tokens], [c.split()[0] for c in FILE.split(", ")])
-
-    sent = keyed.select("doc_id", "text", "_sub").mapInArrow(send, "bucket long, blob binary")
-    placed = sent.repartitionById(shards, F.col("bucket").cast("int")).mapInArrow(receive, FILE)
-    (placed.write.option("compression", codec).option("parquet.block.size", row_group_mb << 20).option("parquet.page.size", page_kb << 10)
+        expand = zstandard.ZstdDecompressor().decompress
+        shard, offset = None, 0
+        for batch in text_batches(batches, 3, 4 << 20):
+            to = np.asarray(batch.column(0))
+            for one in np.unique(to).tolist():
+                part = batch.filter(pa.array(to == one))
+                if one != shard:
+                    shard, offset = one, 0
+                ids = [np.frombuffer(expand(b), f"<u{w}") for w, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                size = np.array([len(x) for x in ids], np.int64)
+                ends = size.cumsum()
+                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.record_batch([part.column(1), part.column(0), pa.array(offset + ends - size), pa.array(size), tokens], [c.split()[0] for c in FILE.split(", ")])
+                offset += int(ends[-1])
+
+    sent = keyed.mapInArrow(send, "shard int, k long, s long, doc_id long, wide int, ids binary")
+    placed = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "k", "s").select("shard", "doc_id", "wide", "ids")
+    (placed.mapInArrow(receive, FILE).write.option("compression", codec).option("parquet.block.size", row_group_mb << 20).option("parquet.page.size", page_kb << 10)
      .option("parquet.enable.dictionary", str(encoding == "dictionary").lower()).option("parquet.writer.version", "PARQUET_2_0").parquet(path))
 
 
 def read_tokens(spark: SparkSession, path: str, tokens: bool = True) -> DataFrame:
-    """The token table with ``start``, the ids of all documents before; ``tokens=False`` reads metadata only."""
+    """The token table with ``start``, the ids of all documents before; ``tokens=False`` reads metadata only.
+
+    A number per shard, of which there are at most ``ranges.MOST``, passes through the driver.
+    """
     rows = spark.read.schema(FILE).parquet(path)
     sizes = sorted(rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
     bases = zip([r["shard"] for r in sizes], [0, *accumulate(r["n"] for r in sizes)], strict=False)
-    base = F.broadcast(spark.createDataFrame(list(bases), "shard int, base long"))  # a row per file
+    base = spark.createDataFrame(list(bases), "shard int, base long")
+    base = F.broadcast(base) if len(sizes) <= MOST else base
     kept = (rows if tokens else rows.drop("tokens")).join(base, "shard")
     return kept.select(*[c for c in rows.columns if c in kept.columns], (F.col("base") + F.col("offset")).alias("start"))
 

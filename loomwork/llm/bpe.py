@@ -8,8 +8,13 @@ words of all blocks meet by hash, each is encoded once, and its ids return to
 the blocks that hold it. There they join the sequences, which reassembles every
 document by position; decoding joins the ids with the table of token bytes.
 
-The split runs once for the words and once for the sequences. Both read the
-same blocks of the same scan, and cost less than keeping the sequences on disk.
+The split runs once: its words and sequences are written to the shared folder,
+and both sides of the join read that table. So the numbers of a block are
+fixed, whatever is computed again after a loss.
+
+A document is split at single spaces before a character that is not white
+space, where no pre-token crosses; each distinct piece of a block is matched
+once. A text where a space precedes white space is matched whole.
 """
 
 from __future__ import annotations
@@ -17,19 +22,24 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blob_rows, pack, unpack
-from .shared import columns, pack_texts, parts_for, slices, unpack_texts
+from .blocks import pack, unpack
+from .encoder import LOOSE, regrouped, text_batches
+from .shared import binary_column, columns, new_path, pack_texts, parts_for, unpack_texts
 
-BLOCK_CHARS = 8 << 20
+BLOCK_BYTES = 16 << 20
+GROUP_WORDS = 1 << 17
 
 
 @functools.cache
@@ -49,40 +59,97 @@ def word_encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], list[str]]]:
-    """Blocks of (name, doc ids, texts), named by a hash of their texts.
-
-    Two blocks of one name hold the same texts, and so the same words under the same numbers.
-    """
-    name, ids, texts, size = xxhash.xxh3_64(), [], [], 0
-    for batch in slices(batches, 256):
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(doc)
-            texts.append(text or "")
-            name.update(b"%d:" % len(texts[-1]) + texts[-1].encode())
-            size += len(texts[-1])
-            if size >= BLOCK_CHARS:
-                yield name.intdigest() - (1 << 63), ids, texts
-                name, ids, texts, size = xxhash.xxh3_64(), [], [], 0
-    if ids:
-        yield name.intdigest() - (1 << 63), ids, texts
-
-
-def numbered(texts: list[str], pattern: str) -> tuple[list[str], list[np.ndarray]]:
-    """The distinct words by falling frequency, and each text as word numbers."""
-    find, first = regex.compile(pattern).findall, {}
-    sequences = []
-    for text in texts:
-        words = find(text)
-        sequences.append(np.fromiter([first.setdefault(w, len(first)) for w in words], np.uint32, len(words)))
-    if not first:
-        return [], sequences
-    counts = np.bincount(np.concatenate(sequences), minlength=len(first))
-    order = np.argsort(-counts, kind="stable")
-    place = np.empty(len(order), np.uint32)
-    place[order] = np.arange(len(order), dtype=np.uint32)
-    words = list(first)
-    return [words[i] for i in order.tolist()], [place[s] for s in sequences]
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in blocks of about ``BLOCK_BYTES`` of text, at least a row each."""
+    held, size = [], 0
+    for batch in text_batches(batches, 1, BLOCK_BYTES):
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= BLOCK_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def numbered(texts: pa.Array, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words by falling frequency; all texts' words as these numbers; how many each text has."""
+    texts = texts.fill_null("")
+    loose = pc.match_substring_regex(texts, LOOSE)
+    whole = np.flatnonzero(np.asarray(loose.to_pylist(), bool))
+    lists = pc.split_pattern(pc.if_else(loose, "", texts), " ")
+    count = np.asarray(pc.list_value_length(lists), np.int64)
+    coded = lists.flatten().dictionary_encode()
+    codes, units = np.asarray(coded.indices, np.int64), coded.dictionary
+    first = count.cumsum() - count
+    seen, rest = np.zeros(len(units), bool), np.ones(len(codes), bool)
+    rest[first] = False
+    seen[codes[rest]] = True
+    spaced = np.flatnonzero(seen)  # a text's first unit has no leading space
+    number = np.zeros(len(units), np.int64)
+    number[spaced] = np.arange(len(spaced))
+    heads = codes[first]
+    codes = number[codes]
+    codes[first] = len(spaced) + np.arange(len(first))
+    pieces = [*pc.binary_join_element_wise(" ", units.take(pa.array(spaced)), "").to_pylist(), *units.take(pa.array(heads)).to_pylist()]
+    for i, text in zip(whole.tolist(), texts.take(pa.array(whole)).to_pylist(), strict=True):
+        pieces[len(spaced) + i] = text
+    find, words = regex.compile(pattern).findall, {}
+    split = [find(p) for p in pieces]
+    size = np.fromiter(map(len, split), np.int64, len(split))
+    total = int(size.sum())
+    flat = np.fromiter((words.setdefault(w, len(words)) for w in chain.from_iterable(split)), np.int64, total)
+    long = size[codes]
+    begin = (size.cumsum() - size)[codes] - (long.cumsum() - long)
+    numbers = flat[np.repeat(begin, long) + np.arange(int(long.sum()))]
+    edges = np.r_[0, long.cumsum()][np.r_[0, count.cumsum()]]
+    order = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    spelt = list(words)
+    return [spelt[i] for i in order.tolist()], place[numbers], np.diff(edges)
+
+
+def _framed(head: bytes, body: bytes) -> bytes:
+    return np.uint32(len(head)).tobytes() + head + body
+
+
+def _parts(blob: bytes, columns_: int) -> tuple[list[np.ndarray], bytes]:
+    size = int(np.frombuffer(blob, np.uint32, 1)[0])
+    return unpack(blob[4: 4 + size], columns_), blob[4 + size:]
+
+
+def split_documents(docs: DataFrame, pattern: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Words (bucket, block, blob) and sequences (block, blob) of ``docs(doc_id, text)``, written to the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in blocks(batches):
+            words, numbers, sizes = numbered(batch.column(1), pattern)
+            found = [w.encode() for w in words]
+            where = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), ">u8").astype(np.uint64)
+            bucket = (where % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            names, first = np.unique(bucket[order], return_index=True)
+            blobs = []
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+                own = order[i:j]
+                blobs.append(_framed(pack(own), zstandard.compress(pack_texts([found[x] for x in own.tolist()]), 1)))
+            has = np.asarray(batch.column(0).is_valid().to_pylist(), np.int64)
+            ids, ends = np.asarray(batch.column(0).fill_null(0), np.int64), sizes.cumsum()
+            group = (ends - sizes) // GROUP_WORDS
+            edges = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), len(ids)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                blobs.append(_framed(pack(has[i:j], ids[i:j], sizes[i:j]), pack(numbers[int(ends[i] - sizes[i]): int(ends[j - 1])])))
+            many = len(edges) - 1
+            yield pa.record_batch([pa.array([0] * len(names) + [1] * many, pa.int32()), pa.array([*names.tolist(), *[0] * many], pa.int32()),
+                                   pa.array([block] * len(blobs), pa.int64()), binary_column(blobs)], ["kind", "bucket", "block", "blob"])
+            block += 1
+
+    form, path = "kind int, bucket int, block long, blob binary", new_path(docs.sparkSession, "words")
+    docs.mapInArrow(run, form).write.partitionBy("kind").parquet(path)
+    held = docs.sparkSession.read.schema("bucket int, block long, blob binary, kind int").parquet(path)
+    return held.filter("kind = 0").select("bucket", "block", "blob"), held.filter("kind = 1").select("block", "blob")
 
 
 def encode_and_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -95,49 +162,29 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """
     docs = columns(docs, "doc_id", "text")
     buckets = parts_for(docs, 8)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, texts in blocks(batches):
-            found = [w.encode() for w in numbered(texts, pattern)[0]]
-            where = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), ">u8").astype(np.uint64)
-            bucket = (where % np.uint64(buckets)).astype(np.int64)
-            names, out = np.unique(bucket).tolist(), []
-            for name in names:
-                own = np.flatnonzero(bucket == name)
-                head = pack(own, np.full(len(own), block))
-                out.append(np.uint32(len(head)).tobytes() + head + zstandard.compress(pack_texts([found[i] for i in own.tolist()]), 1))
-            yield blob_rows(names, out)
+    words, sequences = split_documents(docs, pattern, buckets)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
         merge = word_encoder(ranks, pattern)
         for batch in batches:
-            to, out = [], []
-            for blob in batch.column(1).to_pylist():
-                size = int(np.frombuffer(blob, np.uint32, 1)[0])
-                number, block = unpack(blob[4: 4 + size], 2)
+            out = []
+            for blob in batch.column(2).to_pylist():
+                (number,), rest = _parts(blob, 1)
                 ids = []
-                for word in unpack_texts(zstandard.decompress(blob[4 + size:])):
+                for word in unpack_texts(zstandard.decompress(rest)):
                     if word not in known:
                         known[word] = np.array(merge(word.decode()), np.int32)
                     ids.append(known[word])
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                to.append(int(block[0]))
-                head = pack(number, sizes)
-                out.append(np.uint32(len(head)).tobytes() + head + pack(np.concatenate(ids)))
-            yield blob_rows(to, out, kind=0).append_column("doc_id", pa.nulls(len(to), pa.int64()))
-
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in blocks(batches):
-            blobs = [pack(s) for s in numbered(texts, pattern)[1]]
-            yield blob_rows([block] * len(ids), blobs, kind=1).append_column("doc_id", pa.array(ids, pa.int64()))
+                out.append(_framed(pack(number, np.fromiter(map(len, ids), np.int64, len(ids))), pack(np.concatenate(ids))))
+            yield pa.record_batch([batch.column(1), pa.array(np.zeros(len(out), np.int32)), binary_column(out)], ["block", "kind", "blob"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(ranks)
+        table = pa.array(token_bytes(ranks), pa.binary())
         at, held, joined = None, [], None
-        for batch in slices(batches, 128):
-            docs, ids, sizes, texts = [], [], [], []
-            for block, blob, kind, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, kind, blob = (batch.column(c)[i].as_py() for c in range(3))
                 if block != at:
                     at, held, joined = block, [], None
                 if kind == 0:
@@ -145,41 +192,32 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                     continue
                 if joined is None:
                     joined, held = _dictionary(held, table), []
-                flat, begin, size, decoded = joined
-                words = unpack(blob, 1)[0]
-                length = size[words]
-                total = int(length.sum())
-                docs.append(doc)
-                ids.append(flat[np.repeat(begin[words] - (length.cumsum() - length), length) + np.arange(total)])
-                sizes.append(total)
-                texts.append(b"".join([decoded[w] for w in words.tolist()]))
-            if docs:
-                edges = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                yield pa.record_batch([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(edges, pa.array(np.concatenate(ids))), pa.array(texts, pa.binary())],
+                flat, begin, size, spelt = joined
+                (has, docs, count), rest = _parts(blob, 3)
+                numbers = unpack(rest, 1)[0]
+                long = size[numbers]
+                ends = long.cumsum()
+                ids = flat[np.repeat(begin[numbers] - (ends - long), long) + np.arange(int(long.sum()))]
+                edges = np.r_[0, ends][np.r_[0, count.cumsum()]].astype(np.int32)
+                yield pa.record_batch([pa.array(docs, mask=has == 0), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids)), regrouped(spelt.take(pa.array(numbers)), count)],
                                       ["doc_id", "ids", "decoded"])
 
-    form = "bucket long, blob binary, kind int, doc_id long"
-    encoded = docs.mapInArrow(words, "bucket long, blob binary").repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(encode, form)
-    both = encoded.union(docs.mapInArrow(sequences, form))
-    return (both.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    encoded = words.repartitionById(buckets, F.col("bucket")).mapInArrow(encode, "block long, kind int, blob binary")
+    both = encoded.union(sequences.select("block", F.lit(1).alias("kind"), "blob"))
+    return (both.repartition(2 * buckets, "block").sortWithinPartitions("block", "kind")
             .mapInArrow(assemble, "doc_id long, ids array<int>, decoded binary"))
 
 
-def _dictionary(held: list[bytes], table: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _dictionary(held: list[bytes], table: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """A block's ids, and by word number: where they begin, how many they are, and their bytes."""
-    numbers, sizes, flat = [], [], []
+    numbers, sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for blob in held:
-        head = int(np.frombuffer(blob, np.uint32, 1)[0])
-        number, size = unpack(blob[4: 4 + head], 2)
+        (number, size), rest = _parts(blob, 2)
         numbers.append(number)
         sizes.append(size)
-        flat.append(unpack(blob[4 + head:], 1)[0].astype(np.int32))
-    if not held:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        flat.append(unpack(rest, 1)[0].astype(np.int32))
     number, size, ids = np.concatenate(numbers), np.concatenate(sizes), np.concatenate(flat)
-    order = np.empty(len(number), np.int64)
-    order[number] = np.arange(len(number))
-    begin = size.cumsum() - size
-    spelt = [table[i] for i in ids.tolist()]
-    decoded = [b"".join(spelt[i:j]) for i, j in zip(begin[order].tolist(), (begin + size)[order].tolist(), strict=True)]
-    return ids, begin[order], size[order], decoded
+    order = np.argsort(number)
+    begin, size = (size.cumsum() - size)[order], size[order]
+    ids = ids[np.repeat(begin - (size.cumsum() - size), size) + np.arange(len(ids))]
+    return ids, size.cumsum() - size, size, regrouped(table.take(pa.array(ids)), size)

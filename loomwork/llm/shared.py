@@ -83,8 +83,34 @@ def parts_for(df: DataFrame, mb: int = 10) -> int:
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, whatever else ``df`` carries (also names that clash in case)."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    """Only the named columns, under these names, whatever else ``df`` carries (also names that differ in case alone)."""
+    return fixed(df, *names).select(*names)
+
+
+def fixed(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its columns ``names`` where they are, and all others that would be taken for one of them renamed.
+
+    Where no column has exactly the name asked for, one that differs in case is it.
+    """
+    seen, out = set(df.columns), []
+    lower = {n.lower(): n for n in names}
+    taken: set[str] = set()
+    for c in df.columns:
+        asked = lower.get(c.lower())
+        if asked is not None and (c == asked or asked not in seen) and asked not in taken:
+            taken.add(asked)
+            out.append(asked)
+        else:
+            out.append(c if asked is None else fresh(df, c, *out))
+    return df if out == df.columns else df.toDF(*out)
+
+
+def fresh(df: DataFrame, name: str, *more: str) -> str:
+    """``name``, with as many underscores after it as make it unlike all columns of ``df`` and ``more``."""
+    used = {c.lower() for c in (*df.columns, *more)}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:

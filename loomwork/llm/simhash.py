@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import binary_column, columns, cut, discard, local_roots, mix64, parts_for, slices, text_bytes, words_of
+from .shared import binary_column, columns, cut, discard, fixed, fresh, local_roots, mix64, slices, text_bytes, words_of
 
 SEED = 42
 
@@ -131,42 +131,72 @@ def collisions(fps: np.ndarray, slack: np.ndarray, low: int, unfold: int) -> Ite
             yield fps[pairs[0]], fps[pairs[1]]
 
 
-def ball_links(distinct: DataFrame, radius: int, prefix: int = 8, unfold: int = 1 << 21) -> DataFrame:
+BUCKET_BYTES = 32 << 20
+
+
+def prefix_for(total: int, bits: int, half: int, least: int) -> int:
+    """How many leading bits name a bucket, so that the rows sent to one hold about ``BUCKET_BYTES`` of all ``total`` bytes."""
+    prefix = least
+    while prefix < bits - 8 and len(masks(prefix, half)) * total > BUCKET_BYTES << prefix:
+        prefix += 1
+    return prefix
+
+
+def by_prefix(home: np.ndarray, near: np.ndarray, rows: np.ndarray, first_bucket: int = 0) -> pa.RecordBatch:
+    """``rows`` as one blob per bucket within reach of each row's own prefix ``home``."""
+    to = (home[:, None] ^ near[None, :]).ravel()
+    order = np.argsort(to, kind="stable")
+    at = to[order]
+    buckets, first = np.unique(at, return_index=True)
+    sent = order // len(near)
+    blobs = [rows[sent[i:j]].tobytes() for i, j in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True)]
+    return pa.record_batch([pa.array(first_bucket + buckets), binary_column(blobs)], ["bucket", "rows"])
+
+
+def bucketed(sent: DataFrame, buckets: int, total: int) -> DataFrame:
+    """``sent(bucket, rows)`` with a bucket's rows one after the other; a task may have several buckets, one in memory at a time."""
+    width = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(min(buckets, max(width, buckets // 4 if buckets <= 1024 else 256, -(-total // BUCKET_BYTES))), "bucket").sortWithinPartitions("bucket")
+
+
+def each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, all its rows' words) of rows that are sorted by bucket."""
+    at, held = None, []
+    for batch in batches:
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if bucket != at:
+                if held:
+                    yield at, np.frombuffer(b"".join(held), np.uint64)
+                at, held = bucket, []
+            held.append(blob)
+    if held:
+        yield at, np.frombuffer(b"".join(held), np.uint64)
+
+
+def ball_links(distinct: DataFrame, radius: int, unfold: int = 1 << 21) -> DataFrame:
     """Links ``a``, ``b`` that connect all fingerprints within ``radius`` bits of one another.
 
-    ``distinct`` has one long column ``fp`` without repeats. Each bucket returns
+    ``distinct`` has a long column ``fp`` without repeats. Each bucket returns
     the spanning stars of what it found, so at most as many rows as fingerprints
     that it was sent. Links are verified: no link spans more than ``radius`` bits.
-    ``radius`` must be even (half of it is the ball's).
+    ``radius`` must be even (half of it is the ball's). The number of buckets
+    follows the number of fingerprints, so a bucket fits in memory at any size.
     """
     if radius % 2 or radius < 0:
         raise ValueError("the radius must be even")
-    half = radius // 2
+    half, total = radius // 2, 8 * distinct.count()
+    prefix = prefix_for(total, 64, half, 8)
     near = masks(prefix, half).astype(np.int64)
-    width = max(parts_for(distinct), 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, max(64, (1 << 22) // len(near))):
             fps = np.asarray(batch.column(0)).view(np.uint64)
-            if not len(fps):
-                continue
-            home = (fps >> np.uint64(64 - prefix)).astype(np.int64)
-            to = (home[:, None] ^ near[None, :]).ravel()
-            order = np.argsort(to, kind="stable")
-            sent, at = np.repeat(fps, len(near))[order], to[order]
-            buckets, first = np.unique(at, return_index=True)
-            ends = [*first[1:].tolist(), len(at)]
-            yield pa.record_batch(
-                [pa.array(buckets), binary_column([sent[i:j].tobytes() for i, j in zip(first.tolist(), ends, strict=True)])],
-                ["bucket", "fps"])
+            if len(fps):
+                yield by_prefix((fps >> np.uint64(64 - prefix)).astype(np.int64), near, fps)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(blob)
-        for bucket, blobs in held.items():
-            fps = np.unique(np.frombuffer(b"".join(blobs), np.uint64))
+        for bucket, fps in each_bucket(batches):
+            fps = np.unique(fps)
             slack = half - np.bitwise_count((fps >> np.uint64(64 - prefix)).astype(np.int64) ^ bucket).astype(np.int64)
             found = list(collisions(fps, slack, 64 - prefix, unfold))
             if not found:
@@ -179,8 +209,8 @@ def ball_links(distinct: DataFrame, radius: int, prefix: int = 8, unfold: int =
                 yield pa.record_batch(
                     [pa.array(root[own].view(np.int64)), pa.array(vertex[own].view(np.int64))], ["a", "b"])
 
-    sent = columns(distinct, "fp").mapInArrow(send, "bucket long, fps binary")
-    return sent.repartition(max(width, 1 << max(0, prefix - 2)), "bucket").mapInArrow(meet, "a long, b long")
+    sent = columns(distinct, "fp").mapInArrow(send, "bucket long, rows binary")
+    return bucketed(sent, 1 << prefix, len(near) * total).mapInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, seed: int = SEED) -> DataFrame:
@@ -224,6 +254,13 @@ def estimated_bits(similarity: float) -> float:
     return 64 * LANES * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
 
 
+def bit_limits(similarity: float) -> tuple[int, int]:
+    """(tight, loose): the expected differing bits at ``similarity``, less 1.5 and plus 3 standard deviations."""
+    bits = estimated_bits(similarity)
+    deviation = float(np.sqrt(bits * (1 - bits / (64 * LANES))))
+    return int(bits - 1.5 * deviation), int(bits + 3 * deviation)
+
+
 class Groups:
     """Union-find over 0 to n - 1, a batch of edges at a time; the smallest member names its group."""
 
@@ -243,11 +280,64 @@ class Groups:
             self.parent[vertex] = root
 
 
-def compare(groups: Groups, prints: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, block: int = 1 << 19) -> None:
-    """Unite all members of ``a`` and ``b`` that differ in at most ``most`` bits, without pairs that are united already.
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the edges a-b make a spanning forest of least weight (Boruvka; the earlier of equal edges)."""
+    order = np.argsort(weight, kind="stable")
+    a, b, groups, chosen = a[order], b[order], Groups(n), []
+    left = np.arange(len(a))
+    while len(left):
+        u, v = groups.find(a[left]), groups.find(b[left])
+        apart = u != v
+        left, u, v = left[apart], u[apart], v[apart]
+        if not len(left):
+            break
+        best = np.full(n, len(a))
+        np.minimum.at(best, u, left)
+        np.minimum.at(best, v, left)
+        new = np.unique(best[best < len(a)])
+        chosen.append(new)
+        groups.union(a[new], b[new])
+    return order[np.concatenate(chosen)] if chosen else order[:0]
+
+
+class Forest:
+    """The pairs of a bucket within ``loose`` bits, kept as a spanning forest of fewest bits.
+
+    ``tight`` groups what is connected by pairs of at most the tight limit; a
+    pair inside such a group need not be looked at, as every other way between
+    its ends is shorter.
+    """
+
+    def __init__(self, n: int, tight: int, loose: int, pending: int = 1 << 21):
+        self.n, self.least, self.loose, self.pending = n, tight, loose, pending
+        self.tight = Groups(n)
+        self.held = [(np.zeros(0, np.int64),) * 3]
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> None:
+        own = (bits <= self.loose) & (a != b)
+        a, b, bits = a[own], b[own], bits[own].astype(np.int64)
+        if len(a):
+            near = bits <= self.least
+            self.tight.union(a[near], b[near])
+            self.held.append((a, b, bits))
+            self.size += len(a)
+            if self.size > self.pending:
+                self.edges()
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b, bits = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        stay = spanning(self.n, a, b, bits)
+        self.held, self.size = [(a[stay], b[stay], bits[stay])], 0
+        return a[stay], b[stay]
+
+
+def compare(forest: Forest, prints: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1 << 19) -> None:
+    """Add all pairs of members of ``a`` and ``b`` but those that are in one tight group.
 
     Of two members in different groups, one is outside the largest group; only these are rows.
     """
+    groups = forest.tight
     name, count = np.unique(groups.find(np.concatenate([a, b])), return_counts=True)
     largest = name[count.argmax()]
     for rows, others in ((a[groups.find(a) != largest], b), (b[groups.find(b) != largest], a[groups.find(a) == largest])):
@@ -258,37 +348,35 @@ def compare(groups: Groups, prints: np.ndarray, a: np.ndarray, b: np.ndarray, mo
                 bits = np.zeros((len(own), len(them)), np.uint16)
                 for lane in range(prints.shape[1]):
                     bits += np.bitwise_count(prints[own, lane][:, None] ^ prints[them, lane][None, :])
-                x, y = np.nonzero(bits <= most)
-                groups.union(own[x], them[y])
+                x, y = np.nonzero(bits <= forest.loose)
+                forest.add(own[x], them[y], bits[x, y])
 
 
-def company(keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int, prefix: int, most: int, unfold: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, smallest of its group) over the pairs of a bucket with keys within 4 bits and prints within ``most``.
+def company(keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int, prefix: int, limits: tuple[int, int], unfold: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest over the pairs of a bucket with keys within 4 bits and prints within the loose limit.
 
     Distinct keys meet, each for all members that share it. Pairs of keys in one
-    group are passed over; of the others, first members are compared, then all.
+    tight group are passed over; of the others, first members are compared, then all.
     A pair of keys meets in several buckets; the one of its middle does the
     last, and a key's own bucket compares the members that share the key.
-    Full comparison is quadratic in what stays unlinked at one key. An exact
-    split by the other words (one of seven differs in at most 6 bits: 5,489
-    variants each) is thought to pay only in far larger crowds; not measured.
+    Full comparison is quadratic in what stays apart at one key.
     """
     order = np.argsort(keys, kind="stable")
     distinct, first, size = np.unique(keys[order], return_index=True, return_counts=True)
     head = order[first]
-    groups = Groups(len(keys))
+    forest = Forest(len(keys), *limits)
+    groups = forest.tight
 
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= most
+    def near(a: np.ndarray, b: np.ndarray) -> None:
+        forest.add(a, b, np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1))
 
     star = np.repeat(head, size)
-    true = near(star, order)
-    groups.union(star[true], order[true])
+    near(star, order)
     shift = np.uint64(32 - prefix)
     pure = np.bitwise_and.reduceat(groups.find(star) == groups.find(order), first)
     for k in np.flatnonzero(~pure & (distinct >> shift == bucket)).tolist():
         own = order[first[k]: first[k] + size[k]]
-        compare(groups, prints, own, own, most)
+        compare(forest, prints, own, own)
     done: set[int] = set()
     for variant, member in meetings(distinct, np.arange(len(distinct)), slack[head], 32 - prefix, unfold):
         for ahead in range(1, len(member)):
@@ -308,8 +396,7 @@ def company(keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int
             a, b = pair // len(distinct), pair % len(distinct)
             apart = groups.find(head[a]) != groups.find(head[b])
             pair, a, b = (x[apart | ~pure[a] | ~pure[b]] for x in (pair, a, b))
-            true = near(head[a], head[b])
-            groups.union(head[a[true]], head[b[true]])
+            near(head[a], head[b])
             apart = groups.find(head[a]) != groups.find(head[b])
             bits = distinct[a] ^ distinct[b]
             rest = bits & (bits - np.uint64(1))
@@ -318,87 +405,112 @@ def company(keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int
             for k in np.flatnonzero((size[a] * size[b] > 1) & (apart | ~pure[a] | ~pure[b]) & (middle >> shift == bucket)).tolist():
                 if int(pair[k]) not in done:
                     done.add(int(pair[k]))
-                    compare(groups, prints, *(order[first[x]: first[x] + size[x]] for x in (int(a[k]), int(b[k]))), most)
-    everyone = np.arange(len(keys))
-    root = groups.find(everyone)
-    own = root != everyone
-    return everyone[own], root[own]
+                    compare(forest, prints, *(order[first[x]: first[x] + size[x]] for x in (int(a[k]), int(b[k]))))
+    return forest.edges()
 
 
-def similar_links(distinct: DataFrame, most: int, prefix: int = 4, unfold: int = 1 << 21) -> DataFrame:
-    """Links ``a``, ``b`` between ids of ``distinct(id, fp)`` whose 256-bit fingerprints differ in at most ``most`` bits.
+def similar_links(distinct: DataFrame, limits: tuple[int, int], unfold: int = 1 << 21) -> DataFrame:
+    """Pairs ``a``, ``b`` of ids of ``distinct(id, fp)`` whose 256-bit fingerprints differ in at most the loose limit's bits.
 
     Candidates come from six tables of 32 bits with radius 4, by the same balls
     of half the radius as :func:`ball_links`. Every pair that meets in a table
-    is linked by what was found before, or is compared. Buckets return spanning
-    stars of what holds.
+    is compared, unless pairs within the tight limit join it already. Buckets
+    return spanning forests of fewest bits, so at most an edge per row.
     """
+    total = 8 * (LANES + 1) * distinct.count()
+    prefix = prefix_for(total, 32, 2, 4)
     near = masks(prefix, 2).astype(np.int64)
-    width = max(parts_for(distinct), TABLES << prefix)
 
     def words(prints: np.ndarray, table: int) -> np.ndarray:
         return (prints[:, table // 2] >> np.uint64(32 * (1 - table % 2))) & np.uint64(0xFFFFFFFF)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, max(64, (1 << 20) // len(near))):
             if not batch.num_rows:
                 continue
             ids = np.asarray(batch.column(0), np.int64)
             prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, LANES)
             rows = np.concatenate([ids.view(np.uint64)[:, None], prints], axis=1)
             for table in range(TABLES):
-                home = (words(prints, table) >> np.uint64(32 - prefix)).astype(np.int64)
-                to = (home[:, None] ^ near[None, :]).ravel()
-                order = np.argsort(to, kind="stable")
-                sent, at = np.repeat(np.arange(len(rows)), len(near))[order], to[order]
-                buckets, first = np.unique(at, return_index=True)
-                ends = [*first[1:].tolist(), len(at)]
-                yield pa.record_batch([pa.array((table << prefix) + buckets), binary_column([rows[sent[i:j]].tobytes() for i, j in zip(first.tolist(), ends, strict=True)])],
-                                      ["bucket", "rows"])
+                yield by_prefix((words(prints, table) >> np.uint64(32 - prefix)).astype(np.int64), near, rows, table << prefix)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(blob)
-        for bucket in list(held):
-            rows = np.frombuffer(b"".join(held.pop(bucket)), np.uint64).reshape(-1, LANES + 1)
+        for bucket, rows in each_bucket(batches):
+            rows = rows.reshape(-1, LANES + 1)
+            rows = rows[np.lexsort(rows.T[::-1])]  # the order of arrival must not matter
             ids, prints = np.ascontiguousarray(rows[:, 0]).view(np.int64), rows[:, 1:]
             keys = words(prints, bucket >> prefix)
             slack = 2 - np.bitwise_count((keys >> np.uint64(32 - prefix)).astype(np.int64) ^ (bucket & (1 << prefix) - 1)).astype(np.int64)
-            vertex, root = company(keys, slack, prints, bucket & (1 << prefix) - 1, prefix, most, unfold)
-            if len(vertex):
-                yield pa.record_batch([pa.array(ids[root]), pa.array(ids[vertex])], ["a", "b"])
+            a, b = company(keys, slack, prints, bucket & (1 << prefix) - 1, prefix, limits, unfold)
+            if len(a):
+                yield pa.record_batch([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     sent = distinct.select("id", "fp").mapInArrow(send, "bucket long, rows binary")
-    return sent.repartition(width, "bucket").mapInArrow(meet, "a long, b long")
+    return bucketed(sent, TABLES << prefix, TABLES * len(near) * total).mapInArrow(meet, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The distinct ``pairs`` (a, b) of doc_ids whose sets of shingles have this Jaccard similarity or more.
+
+    Shingles are told apart by their 64-bit hashes. The sets are made for the
+    documents of the pairs only. A text without words is an empty set, and two
+    of them are alike; rows that share a doc_id are each compared.
+    """
+    pairs = cut(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            blobs = [np.unique(shingle_hashes(t, width).view(">u8").ravel()).astype(np.uint64).tobytes() for t in text_bytes(batch.column(1))]
+            yield pa.record_batch([batch.column(0), binary_column(blobs)], ["id", "shingles"])
+
+    held = cut(docs.join(asked, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "simhash-shingles")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            own = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (2, 3))
+                both = np.concatenate([x, y])
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                own.append(same >= similarity * (len(both) - same))
+            kept = pa.array(own, pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
+
+    left, right = held.toDF("a", "x"), held.toDF("b", "y")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, unchanged, whose doc_id is the smallest of its group of near-duplicates.
 
-    Texts are linked where the share of differing bits of their 256-bit
-    fingerprints on ``width``-word shingles says a Jaccard similarity of
-    ``similarity`` or more; one standard deviation of that estimate is allowed.
-    Groups are connected over links. Texts without words form one group. Null
-    texts count as empty. Rows without doc_id cannot be told apart and all
-    stay; so do all rows that share the smallest doc_id. Other columns are
-    kept; an empty table gives an empty result.
+    Documents that meet in a table and whose 256-bit fingerprints on
+    ``width``-word shingles are within three standard deviations of what
+    ``similarity`` makes expected are candidates. A candidate link holds if the
+    sets of shingles have that Jaccard similarity. Of candidates that connect
+    the same documents those of fewest differing bits are verified, so a link
+    is lost only if a pair of more alike fingerprints between the same two
+    groups fails. Equal fingerprints are links. Groups are connected over links.
+
+    Texts without words form one group. Null texts count as empty. Rows
+    without doc_id cannot be told apart and all stay; so do all rows that share
+    the smallest doc_id, and rows that share a doc_id are one document, alike to
+    what any of them is alike to. Other columns are kept; an empty table gives
+    an empty result. The result does not depend on the order of rows.
     """
-    bits = estimated_bits(similarity)
-    share = bits / (64 * LANES)
-    most = int(bits + np.sqrt(64 * LANES * share * (1 - share)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.record_batch([batch.column(0), binary_column([wide_simhash(t, width) for t in text_bytes(batch.column(1))])], ["doc_id", "fp"])
 
-    named = columns(docs, "doc_id", "text").filter("doc_id is not null")
+    docs = fixed(docs, "doc_id", "text")
+    named = docs.select("doc_id", "text").filter("doc_id is not null")
     prints = cut(named.mapInArrow(run, "doc_id long, fp binary"), "simhash-wide")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-wide-distinct")
-    links = cut(similar_links(distinct, most), "simhash-similar")
+    links = cut(verified(similar_links(distinct, bit_limits(similarity)), named, width, similarity), "simhash-similar")
     roots = connected_components(links)
     discard(links)
     labels = cut(distinct.join(roots, distinct["id"] == roots["v"], "left").select("fp", F.coalesce("root", "id").alias("root")), "simhash-groups")
-    gone = prints.join(labels, "fp").filter("root < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = prints.join(labels, "fp").groupBy("doc_id").agg(F.min("root").alias("root")).filter("root < doc_id").select("doc_id")
+    own = fresh(docs, "gone")
+    return docs.join(gone.toDF(own), F.col(own) == docs["doc_id"], "left_anti")

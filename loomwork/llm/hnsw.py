@@ -29,20 +29,54 @@ EF_BUILD = 80
 EF_SEARCH = 160
 STEP = 4  # nodes a search expands at a time
 BATCH = 512
+SEEN_BYTES = 64 << 20  # what a search marks as seen at a time
+FAR = 1e15
+LEAST_ROWS, SHARD_BYTES = 8192, 256 << 20
 
 
-def nearest(x: np.ndarray, norms: np.ndarray, q: np.ndarray, qn: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Squared distances from each query to its own list of nodes."""
-    return norms[ids] + qn[:, None] - 2 * np.matmul(x[ids], q[:, :, None])[:, :, 0]
+def placed(vectors: np.ndarray, sample: int = 4096) -> tuple[np.ndarray, float]:
+    """(centre, scale) by which a shard's vectors are moved and divided before they are halved to single precision.
 
+    The order of distances does not depend on them, but a common offset or a
+    magnitude far from 1 would take the digits that tell near vectors apart.
+    """
+    some = vectors[:: max(1, len(vectors) // sample)].astype(np.float64)
+    centre = np.median(some, axis=0)
+    size = np.abs(some - centre).max(axis=1)
+    size = size[size > 0]
+    return centre, float(np.median(size)) if len(size) else 1.0
+
+
+def single(vectors: np.ndarray, centre: np.ndarray, scale: float) -> np.ndarray:
+    """Vectors for the graph; those too far out for single precision keep their direction."""
+    moved = (vectors.astype(np.float64) - centre) / scale
+    return (moved / np.maximum(1, np.abs(moved).max(axis=1, keepdims=True) / FAR)).astype(np.float32)
+
+
+def gaps(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences from each query to its own list of nodes, and their squared lengths."""
+    gap = x[ids] - q[:, None, :]
+    return gap, np.einsum("bcd,bcd->bc", gap, gap)
 
-def search_layer(x: np.ndarray, norms: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+
+def nearest(x: np.ndarray, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Squared distances from each query to its own list of nodes; a few queries at a time, so that the differences stay in the cache."""
+    out = np.empty(ids.shape, np.float32)
+    step = max(1, (1 << 17) // max(1, ids.shape[1] * x.shape[1]))
+    for i in range(0, len(ids), step):
+        out[i: i + step] = gaps(x, q[i: i + step], ids[i: i + step])[1]
+    return out
+
+
+def search_layer(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """Best-first search of one layer for all queries: the ``ef`` nearest found (ids, or -1, and squared distances), ascending."""
+    most = max(1, SEEN_BYTES // (len(x) + 1))
+    if len(q) > most:
+        return tuple(np.concatenate(c) for c in zip(*(search_layer(x, links, q[i: i + most], entry[i: i + most], ef) for i in range(0, len(q), most)), strict=True))
     b, n = len(q), len(x)
-    qn = (q * q).sum(axis=1)
     ids, dist, open_ = np.full((b, ef), -1), np.full((b, ef), np.inf, np.float32), np.zeros((b, ef), bool)
     ids[:, 0], open_[:, 0] = entry, True
-    dist[:, 0] = nearest(x, norms, q, qn, entry[:, None])[:, 0]
+    dist[:, 0] = nearest(x, q, entry[:, None])[:, 0]
     seen = np.zeros((b, n + 1), bool)
     seen[:, n] = True
     seen[np.arange(b), entry] = True
@@ -65,7 +99,7 @@ def search_layer(x: np.ndarray, norms: np.ndarray, links: np.ndarray, q: np.ndar
         seen[live[:, None], new] = True
         real = new < n
         safe = np.where(real, new, 0)
-        far = np.where(real, nearest(x, norms, q[live], qn[live], safe), np.inf).astype(np.float32)
+        far = np.where(real, nearest(x, q[live], safe), np.inf).astype(np.float32)
         all_d = np.concatenate([dist[live], far], axis=1)
         order = np.argsort(all_d, axis=1)[:, :ef]
         dist[live] = np.take_along_axis(all_d, order, axis=1)
@@ -74,11 +108,10 @@ def search_layer(x: np.ndarray, norms: np.ndarray, links: np.ndarray, q: np.ndar
     return ids, dist
 
 
-def diverse(x: np.ndarray, ids: np.ndarray, dist: np.ndarray, keep: int) -> np.ndarray:
+def diverse(x: np.ndarray, nodes: np.ndarray, ids: np.ndarray, dist: np.ndarray, keep: int) -> np.ndarray:
     """From candidates in ascending distance, those nearer to the node than to any kept before; then the nearest others."""
     b, c = ids.shape
-    v = x[np.maximum(ids, 0)]
-    norms = (v * v).sum(axis=2)
+    v, norms = gaps(x, x[nodes], np.maximum(ids, 0))
     between = norms[:, :, None] + norms[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
     valid = np.isfinite(dist)
     chosen = np.zeros((b, c), bool)
@@ -96,7 +129,7 @@ def ascend(ids: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.take_along_axis(ids, order, axis=1), np.take_along_axis(dist, order, axis=1)
 
 
-def build_layer(x: np.ndarray, norms: np.ndarray, nodes: np.ndarray, entry: np.ndarray, width: int) -> np.ndarray:
+def build_layer(x: np.ndarray, nodes: np.ndarray, entry: np.ndarray, width: int) -> np.ndarray:
     """Links among ``nodes``; ``entry`` is where each node's search of this layer begins (-1: the first node)."""
     links = np.full((len(x), width), -1)
     done = 1
@@ -104,15 +137,18 @@ def build_layer(x: np.ndarray, norms: np.ndarray, nodes: np.ndarray, entry: np.n
         batch = nodes[done: done + min(BATCH, max(1, done))]
         q = x[batch]
         begin = np.where(entry[batch] < 0, nodes[0], entry[batch])
-        ids, dist = search_layer(x, norms, links, q, begin, EF_BUILD)
+        ids, dist = search_layer(x, links, q, begin, EF_BUILD)
         ids, dist = ids[:, : 3 * LINKS], dist[:, : 3 * LINKS]
-        among = norms[batch][None, :] + norms[batch][:, None] - 2 * q @ q.T
+        middle = q - q.mean(axis=0)
+        norms = (middle * middle).sum(axis=1)
+        among = norms[None, :] + norms[:, None] - 2 * middle @ middle.T
         np.fill_diagonal(among, np.inf)
         some = np.argsort(among, axis=1)[:, : LINKS // 2]
+        among = nearest(x, q, batch[some])
         ids = np.concatenate([ids, batch[some]], axis=1)
-        dist = np.where(ids == batch[:, None], np.inf, np.concatenate([dist, np.take_along_axis(among, some, axis=1)], axis=1))
+        dist = np.where(ids == batch[:, None], np.inf, np.concatenate([dist, among], axis=1))
         ids, dist = ascend(ids, dist.astype(np.float32))
-        chosen = diverse(x, ids, dist, LINKS)
+        chosen = diverse(x, batch, ids, dist, LINKS)
         links[batch, :LINKS] = chosen
         source, target = np.repeat(batch, LINKS), chosen.ravel()
         real = target >= 0
@@ -128,16 +164,14 @@ def build_layer(x: np.ndarray, norms: np.ndarray, nodes: np.ndarray, entry: np.n
             ids = np.concatenate([links[own], more], axis=1)
             ids.sort(axis=1)
             ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-            dist = np.where(ids >= 0, nearest(x, norms, x[own], norms[own], np.maximum(ids, 0)), np.inf)
-            links[own] = diverse(x, *ascend(ids, dist.astype(np.float32)), width)
+            dist = np.where(ids >= 0, nearest(x, x[own], np.maximum(ids, 0)), np.inf)
+            links[own] = diverse(x, own, *ascend(ids, dist.astype(np.float32)), width)
         done += len(batch)
     return links
 
 
 def build(x: np.ndarray, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Layers from the top: (nodes in order of entry, links)."""
-    x = x.astype(np.float32)
-    norms = (x * x).sum(axis=1)
+    """Layers from the top, for single-precision vectors: (nodes in order of entry, links)."""
     random = np.random.default_rng(seed)
     level = np.floor(random.exponential(1 / np.log(LINKS), len(x))).astype(np.int64)
     order = random.permutation(len(x))
@@ -147,18 +181,18 @@ def build(x: np.ndarray, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
         nodes = order[level[order] >= one]
         if layers:  # nodes of the layer above come first, so the others may start from them
             nodes = np.r_[layers[-1][0], nodes[level[nodes] == one]]
-            entry = descend(x, norms, layers, x)
-        layers.append((nodes, build_layer(x, norms, nodes, entry, WIDE if one == 0 else LINKS)))
+            entry = descend(x, layers, x)
+        layers.append((nodes, build_layer(x, nodes, entry, WIDE if one == 0 else LINKS)))
     return layers
 
 
-def descend(x: np.ndarray, norms: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray) -> np.ndarray:
+def descend(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray) -> np.ndarray:
     """The node of the lowest given layer where a search goes on below."""
     out = []
     for i in range(0, len(q), BATCH):
         at = np.full(len(q[i: i + BATCH]), layers[0][0][0])
         for _, links in layers:
-            at = search_layer(x, norms, links, q[i: i + BATCH], at, 4)[0][:, 0]
+            at = search_layer(x, links, q[i: i + BATCH], at, 4)[0][:, 0]
         out.append(at)
     return np.concatenate(out)
 
@@ -171,7 +205,7 @@ class Index:
         order = np.lexsort((ids, which.ravel()))
         self.rows = ids[order]
         self.first = np.searchsorted(which.ravel()[order], np.arange(len(self.vectors) + 1))
-        self.layers = build(self.vectors)
+        self.layers = build(single(self.vectors, *placed(self.vectors)))
 
     def dump(self) -> bytes:
         sink = io.BytesIO()
@@ -187,27 +221,55 @@ class Index:
         return self
 
     def search(self, own: np.ndarray, q: np.ndarray, k: int, ef: int = EF_SEARCH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query number, row id, distance) of the ``k`` nearest rows found that do not have the query's id ``own``."""
-        x = self.vectors.astype(np.float32)
-        norms = (x * x).sum(axis=1)
+        """(query number, row id, distance) of the ``k`` nearest rows found that do not have the query's id ``own``.
+
+        What the graph finds is ranked by distances in double precision. A query
+        for which it finds fewer than ``k`` rows is compared with all vectors.
+        """
+        place = placed(self.vectors)
+        x = single(self.vectors, *place)
         for i in range(0, len(q), BATCH):
-            part = q[i: i + BATCH].astype(np.float32)
-            at = descend(x, norms, self.layers[:-1], part) if len(self.layers) > 1 else np.full(len(part), self.layers[0][0][0])
-            ids, _ = search_layer(x, norms, self.layers[-1][1], part, at, ef)
-            query, place = np.nonzero(ids >= 0)
-            node = ids[query, place]
-            gap = self.vectors[node].astype(np.float64) - q[i + query].astype(np.float64)
-            dist = np.sqrt((gap * gap).sum(axis=1))
-            many = np.minimum(self.first[node + 1] - self.first[node], k + 1)  # ids ascend: later copies cannot be among the nearest
-            step = np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)
-            rows, query, dist = self.rows[np.repeat(self.first[node], many) + step], np.repeat(query, many), np.repeat(dist, many)
-            other = rows != own[i + query]
-            rows, query, dist = rows[other], query[other], dist[other]
-            order = np.lexsort((rows, dist, query))
-            rows, query, dist = rows[order], query[order], dist[order]
-            rank = np.arange(len(query)) - np.searchsorted(query, query)
-            top = rank < k
-            yield i + query[top], rows[top], dist[top]
+            part = single(q[i: i + BATCH], *place)
+            at = descend(x, self.layers[:-1], part) if len(self.layers) > 1 else np.full(len(part), self.layers[0][0][0])
+            ids, _ = search_layer(x, self.layers[-1][1], part, at, ef)
+            query, column = np.nonzero(ids >= 0)
+            query, rows, dist = self._ranked(own[i: i + BATCH], q[i: i + BATCH], query, ids[query, column], k)
+            few = np.flatnonzero(np.bincount(query, minlength=len(part)) < k)
+            if len(few):
+                stay = ~np.isin(query, few)
+                found = [(query[stay], rows[stay], dist[stay])]
+                found += [(np.full(len(r), one), r, d) for one in few.tolist() for r, d in [self._among_all(own[i + one], q[i + one], k)]]
+                query, rows, dist = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield i + query, rows, dist
+
+    def _among_all(self, own: int, q: np.ndarray, k: int, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+        """(row id, distance) of the ``k`` nearest rows of the shard, by comparison with every vector."""
+        rows, dist = np.zeros(0, np.int64), np.zeros(0)
+        for at in range(0, len(self.vectors), block):
+            nodes = np.arange(at, min(at + block, len(self.vectors)))
+            _, more, far = self._ranked(np.array([own]), q[None, :], np.zeros(len(nodes), np.int64), nodes, k)
+            rows, dist = np.r_[rows, more], np.r_[dist, far]
+            best = np.lexsort((rows, dist))[:k]
+            rows, dist = rows[best], dist[best]
+        return rows, dist
+
+    def _ranked(self, own: np.ndarray, q: np.ndarray, query: np.ndarray, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, row id, distance) of the ``k`` nearest rows among those of the given nodes."""
+        gap = self.vectors[node].astype(np.float64) - q[query].astype(np.float64)
+        most = np.maximum(np.abs(gap).max(axis=1), 1e-300)  # squares of very large or small components would not hold
+        usual = (most > 1e-140) & (most < 1e140)
+        scale = np.where(usual, 1.0, most)
+        gap = gap / scale[:, None]
+        dist = np.sqrt((gap * gap).sum(axis=1)) * scale
+        many = np.minimum(self.first[node + 1] - self.first[node], k + 1)  # ids ascend: later copies cannot be among the nearest
+        step = np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)
+        rows, query, dist = self.rows[np.repeat(self.first[node], many) + step], np.repeat(query, many), np.repeat(dist, many)
+        other = rows != own[query]
+        rows, query, dist = rows[other], query[other], dist[other]
+        order = np.lexsort((rows, dist, query))
+        rows, query, dist = rows[order], query[order], dist[order]
+        top = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return query[top], rows[top], dist[top]
 
 
 def usable(vector: str) -> Column:
@@ -227,12 +289,14 @@ def _split(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield dim, own, flat[offsets[own][:, None] + np.arange(dim)], ids[own]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 8192, ef: int = EF_SEARCH) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int | None = None, ef: int = EF_SEARCH) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` found for each of ``queries``, both (vec_id, embedding).
 
     Returns ``query_id``, ``rank`` from 1, ``vec_id``, ``score``: the Euclidean
     distance of the original vectors in double precision; ties go to the smaller
-    vec_id. Every usable row is indexed. Queries go to every shard in blocks.
+    vec_id. Every usable row is indexed. Queries go to every shard in blocks,
+    so shards are as few as the cluster's cores and their size allow: at least
+    ``LEAST_ROWS`` and at most ``SHARD_BYTES`` each, or ``shard_rows`` where given.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
     take no part, nor do rows without vec_id. Vectors are compared within their
@@ -242,7 +306,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
     """
     rows = columns(vectors, "vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable("embedding"))
     asked = columns(queries, "vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable("embedding")).distinct()
-    shards = max(1, -(-rows.count() // shard_rows))
+    total, widest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    if shard_rows is None:
+        cores = vectors.sparkSession.sparkContext.defaultParallelism
+        shard_rows = min(max(LEAST_ROWS, -(-total // cores)), max(1, SHARD_BYTES // (8 * (widest + WIDE + LINKS))))
+    shards = max(1, -(-total // shard_rows))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId()

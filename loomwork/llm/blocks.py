@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import binary_column, cut, mix64
+from .ranges import repeated_ids
+from .shared import binary_column, fresh, mix64
 
 
 def to_ipc(rows: pa.RecordBatch) -> bytes:
@@ -65,8 +66,8 @@ def by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> tuple[list[int], list[
     return names.tolist(), blobs
 
 
-def doc_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def doc_bucket(ids: np.ndarray, subs: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(ids.view(np.uint64) ^ mix64(subs.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
 
 
 def blob_rows(buckets: list[int], blobs: list[bytes], **more: int) -> pa.RecordBatch:
@@ -75,17 +76,18 @@ def blob_rows(buckets: list[int], blobs: list[bytes], **more: int) -> pa.RecordB
 
 
 def with_sub(docs: DataFrame) -> DataFrame:
-    """Add ``_sub``: 0, or a hash of the text on rows whose doc_id occurs more than once.
+    """``docs`` and one column more, the last: 0, or a hash of the text on rows whose doc_id occurs more than once.
 
     Rows with one doc_id and different texts can so be told apart, while unique
     doc_ids (the usual case, found with a scan of that column alone) cost nothing.
     """
-    again = cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-                .select(F.col("doc_id").alias("_again")), "repeated-ids")
+    sub = fresh(docs, "_sub")
+    again = repeated_ids(docs)
     if again.isEmpty():
-        return docs.withColumn("_sub", F.lit(0).cast("long"))
-    hashed = F.when(F.col("_again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
-    return docs.join(again, docs["doc_id"] == again["_again"], "left").withColumn("_sub", hashed).drop("_again")
+        return docs.withColumn(sub, F.lit(0).cast("long"))
+    own = fresh(docs, "_again")
+    hashed = F.when(F.col(own).isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    return docs.join(again.toDF(own), F.col("doc_id") == F.col(own), "left").withColumn(own, hashed).withColumnRenamed(own, sub)
 
 
 def apply_marks(
@@ -97,19 +99,24 @@ def apply_marks(
 ) -> DataFrame:
     """Bring each document its marks and edit it.
 
-    ``docs`` has ``doc_id`` and ``_sub`` (see :func:`with_sub`); ``marks`` has
-    ``bucket`` and ``blob``, the latter packing (doc_id, _sub, mark). Documents go
-    to the bucket of their doc_id as compressed Arrow batches; in each bucket the
+    ``docs`` has ``doc_id`` and what :func:`with_sub` adds; ``marks`` has
+    ``bucket`` and ``blob``, the latter packing (doc_id, sub, mark). Documents go
+    to the bucket of (doc_id, sub) as compressed Arrow batches; in each bucket the
     marks sort first, so they are held while its documents stream past. ``edit``
     gets a batch and for each row the ascending distinct marks, or None. Rows
-    without doc_id have no marks.
+    without doc_id have no marks, and are dealt over all buckets.
     """
+    place = docs.columns.index("doc_id")
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(0).to_numpy(zero_copy_only=False)
-            bucket = doc_bucket(np.ascontiguousarray(ids, np.int64), buckets)
+            ids, subs = batch.column(place), np.asarray(batch.column(batch.num_columns - 1), np.int64)
+            spread = np.arange(batch.num_rows) if ids.null_count else None
+            bucket = doc_bucket(np.array(ids.fill_null(0), np.int64), subs, buckets)
+            if spread is not None:
+                bucket = np.where(np.asarray(ids.is_valid().to_pylist(), bool), bucket, spread % buckets)
             order = np.argsort(bucket, kind="stable")
             names, first = np.unique(bucket[order], return_index=True)
             blobs = []
@@ -130,7 +137,7 @@ def apply_marks(
                     index, held = _index(held), []
                 with pa.ipc.open_stream(blob) as reader:
                     for rows in reader:
-                        yield edit(rows, _look_up(index, rows))
+                        yield edit(rows, _look_up(index, rows.column(place), rows.column(rows.num_columns - 1)))
 
     packed = docs.mapInArrow(send, "bucket long, blob binary, kind int")
     both = marks.select("bucket", "blob", F.lit(0).alias("kind")).unionByName(packed)
@@ -150,8 +157,7 @@ def _index(held: list[list[np.ndarray]]) -> tuple[dict[tuple[int, int], int], np
     return keys, np.r_[first, len(doc)], mark
 
 
-def _look_up(index: tuple[dict[tuple[int, int], int], np.ndarray, np.ndarray], rows: pa.RecordBatch) -> list[np.ndarray | None]:
+def _look_up(index: tuple[dict[tuple[int, int], int], np.ndarray, np.ndarray], ids: pa.Array, subs: pa.Array) -> list[np.ndarray | None]:
     keys, bounds, mark = index
-    pairs = zip(rows.column("doc_id").to_pylist(), rows.column("_sub").to_pylist(), strict=True)
-    places = [keys.get(pair) for pair in pairs]
+    places = [keys.get(pair) for pair in zip(ids.to_pylist(), subs.to_pylist(), strict=True)]
     return [None if p is None else mark[bounds[p]: bounds[p + 1]] for p in places]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .blocks import apply_marks, blob_rows, by_bucket, doc_bucket, pack, unpack, with_sub
-from .shared import columns, cut, mix64, pack_texts, parts_for, release, slices, unpack_texts
+from .shared import columns, cut, fixed, mix64, pack_texts, parts_for, release, slices, unpack_texts
 
 BLOCK_BYTES = 16 << 20
 STEP = 0x9E3779B97F4A7C15
@@ -82,11 +82,11 @@ def _keep_first(seen: dict[bytes, Place], chunk: bytes, place: Place, later: lis
 def _mark_rows(later: list[Place], buckets: int, **kind: int) -> pa.RecordBatch:
     doc, sub, chunk = np.array(later, np.int64).reshape(-1, 3).T
     doc = np.ascontiguousarray(doc)
-    return blob_rows(*by_bucket(doc_bucket(doc, buckets), doc, sub, chunk), **kind)
+    return blob_rows(*by_bucket(doc_bucket(doc, np.ascontiguousarray(sub), buckets), doc, sub, chunk), **kind)
 
 
 def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, pairs: bool = False) -> DataFrame:
-    """Marks (doc bucket, packed doc_id, _sub, unit) of all but the first of equal units.
+    """Marks (doc bucket, packed doc_id, sub, unit) of all but the first of equal units.
 
     A unit is twice the number of a chunk, or twice the first line of a pair, and one.
     """
@@ -140,7 +140,7 @@ def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, pairs
                     _keep_first(seen, chunk, place, later)
         yield _mark_rows(later, buckets)
 
-    sent = columns(docs, "doc_id", "_sub", "text").mapInArrow(send, "bucket long, blob binary, kind int")
+    sent = docs.select("doc_id", docs.columns[-1], "text").mapInArrow(send, "bucket long, blob binary, kind int")
     return sent.repartition(buckets, "bucket").mapInArrow(meet, "bucket long, blob binary")
 
 
@@ -151,14 +151,15 @@ def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3, pairs: bool = F
     go, at any place in a chunk; two blank lines alone are no run.
 
     All columns of ``docs`` come back; ``text`` keeps its other lines, joined by
-    ``\n``. Added: ``n_lines`` and ``n_removed_lines``.
+    ``\n``. Added: ``n_lines`` and ``n_removed_lines``; columns of these names
+    are replaced, and one that differs from doc_id or text in case alone is renamed.
 
     Null text stays null with no lines; an empty text is one empty line. Chunks
     of white space only are kept. Rows without doc_id neither remove nor lose
     lines; rows equal in doc_id and text count as one document and stay alike.
     Texts that lose all lines become empty. Empty tables give empty results.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in {"n_lines", "n_removed_lines", "_sub"}])
+    docs = fixed(docs.drop(*[c for c in docs.columns if c.lower() in {"n_lines", "n_removed_lines"}]), "doc_id", "text")
     keyed = with_sub(docs)
     buckets = parts_for(columns(docs, "doc_id", "text"))
     marks = cut(repeated_chunks(keyed, window, mean, buckets, pairs), "chunk-marks")
@@ -170,7 +171,7 @@ def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3, pairs: bool = F
 
     def edit(rows: pa.RecordBatch, marked: list[np.ndarray | None]) -> pa.RecordBatch:
         texts, n_lines, n_removed = [], [], []
-        for text, gone in zip(rows.column("text").cast(pa.binary()).to_pylist(), marked, strict=True):
+        for text, gone in zip(rows.column(place).cast(pa.binary()).to_pylist(), marked, strict=True):
             lines = [] if text is None else text.split(b"\n")
             n_lines.append(len(lines))
             if gone is None or text is None:
@@ -185,7 +186,7 @@ def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3, pairs: bool = F
             kept = [line for line, own in zip(lines, stay, strict=True) if own]
             n_removed.append(len(lines) - len(kept))
             texts.append(b"\n".join(kept))
-        fields = [rows.column(c) if c != "text" else pa.array(texts, pa.binary()).cast(pa.string()) for c in names]
+        fields = [rows.column(i) if i != place else pa.array(texts, pa.binary()).cast(pa.string()) for i in range(len(names))]
         return pa.record_batch([*fields, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "n_lines", "n_removed_lines"])
 
     return apply_marks(keyed, marks, buckets, edit, out)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .blocks import apply_marks, blob_rows, by_bucket, doc_bucket, unpack, with_sub
-from .shared import columns, cut, mix64, parts_for, release, slices, text_bytes, words_of
+from .shared import columns, cut, fixed, mix64, parts_for, release, slices, text_bytes, words_of
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 BLOCK_WORDS = 1 << 21
@@ -55,9 +55,9 @@ def intervals(starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Marks (doc bucket, packed doc_id, _sub, start) of windows that a smaller doc_id holds too.
+    """Marks (doc bucket, packed doc_id, sub, start) of windows that a smaller doc_id holds too.
 
-    ``docs`` has ``doc_id``, ``_sub``, ``text``.
+    ``docs`` has ``doc_id``, ``text`` and what ``with_sub`` adds.
     """
     def flush(held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda x: x[0])
@@ -75,7 +75,7 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         low = np.repeat(ids[owner[first]], np.diff(np.r_[first, len(hashes)]))
         later = ids[owner] > low
         doc, sub, at = ids[owner[later]], subs[owner[later]], start[later]
-        yield blob_rows(*by_bucket(doc_bucket(doc, buckets), doc, sub, at), kind=1)
+        yield blob_rows(*by_bucket(doc_bucket(doc, sub, buckets), doc, sub, at), kind=1)
         hashes, owner, start = hashes[~later], owner[~later], start[~later]
         bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         yield blob_rows(*by_bucket(bucket, hashes.view(np.int64), ids[owner], subs[owner], start), kind=0)
@@ -116,9 +116,9 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             owner = doc[order]
             low = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.r_[first, len(owner)]))
             later = order[owner > low]
-            yield blob_rows(*by_bucket(doc_bucket(doc[later], buckets), doc[later], sub[later], start[later]))
+            yield blob_rows(*by_bucket(doc_bucket(doc[later], sub[later], buckets), doc[later], sub[later], start[later]))
 
-    sent = columns(docs, "doc_id", "_sub", "text").mapInArrow(send, "bucket long, blob binary, kind int")
+    sent = docs.select("doc_id", docs.columns[-1], "text").mapInArrow(send, "bucket long, blob binary, kind int")
     return sent.repartition(buckets, "bucket").mapInArrow(meet, "bucket long, blob binary")
 
 
@@ -130,14 +130,14 @@ def dedup_substrings(docs: DataFrame, width: int = 13, keep_layout: bool = False
     ``docs`` come back; ``text`` holds the kept words, joined by one space, or
     with ``keep_layout`` the text without the removed words and the white space
     after each of them. Added: ``n_words``, ``n_removed`` and
-    ``spans``, the maximal removed word intervals [begin, end).
+    ``spans``, the maximal removed word intervals [begin, end); columns of these
+    names are replaced, and one that differs from doc_id or text in case alone is renamed.
 
     Null text: null stays, no words. Texts of fewer words than ``width`` are kept.
     Rows without doc_id neither remove nor lose words. Rows that share a doc_id
     do not remove each other's words. Empty tables give empty results.
     """
-    clash = {"n_words", "n_removed", "spans", "_sub"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in clash])
+    docs = fixed(docs.drop(*[c for c in docs.columns if c.lower() in {"n_words", "n_removed", "spans"}]), "doc_id", "text")
     keyed = with_sub(docs)
     buckets = parts_for(columns(docs, "doc_id", "text"), 6)
     marks = cut(repeated_windows(keyed, width, buckets), "window-marks")
@@ -150,7 +150,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, keep_layout: bool = False
 
     def edit(rows: pa.RecordBatch, marked: list[np.ndarray | None]) -> pa.RecordBatch:
         texts, n_words, n_removed, spans = [], [], [], []
-        for text, starts in zip(rows.column("text").cast(pa.binary()).to_pylist(), marked, strict=True):
+        for text, starts in zip(rows.column(place).cast(pa.binary()).to_pylist(), marked, strict=True):
             words = words_of(text or b"")
             cuts = [] if starts is None else intervals(starts, width).tolist()
             n_words.append(len(words))
@@ -162,7 +162,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, keep_layout: bool = False
             edges = [0, *chain.from_iterable(cuts), len(words)]
             kept = [(edges[i], edges[i + 1]) for i in range(0, len(edges), 2)]
             texts.append(_layout(text, words, kept) if keep_layout else b" ".join(chain.from_iterable(words[i:j] for i, j in kept)))
-        fields = [rows.column(c) if c != "text" else pa.array(texts, pa.binary()).cast(pa.string()) for c in names]
+        fields = [rows.column(i) if i != place else pa.array(texts, pa.binary()).cast(pa.string()) for i in range(len(names))]
         fields += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
         return pa.record_batch(fields, [*names, "n_words", "n_removed", "spans"])
 

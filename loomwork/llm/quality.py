@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import binary_column, columns, cut, slices, text_bytes
+from .shared import binary_column, columns, cut, fixed, slices, text_bytes
 
 FEATURES = 256
 BINS = 4096
@@ -166,14 +165,19 @@ def learnable() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
 
 
+def truths(labels: DataFrame) -> DataFrame:
+    """``doc_id`` and ``y``, the mean of its learnable labels."""
+    named = columns(labels, "doc_id", "quality").filter("doc_id is not null and quality is not null").filter(learnable())
+    return named.groupBy("doc_id").agg(F.avg("quality").alias("y"))
+
+
 def fit(rows: DataFrame, labels: DataFrame, ridge: float = 1e-3, width: float = 3.0, seed: int = 7) -> Model:
     """Fit on the rows of :func:`document_statistics` that have a learnable label.
 
     Null labels and labels without doc_id are ignored; several labels of one
     doc_id count as their mean. Without any training row the model scores 0.5.
     """
-    named = labels.filter("doc_id is not null and quality is not null").filter(learnable())
-    truth = named.groupBy("doc_id").agg(F.avg("quality").alias("y"))
+    truth = truths(labels)
     spare = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 6 == 5  # a quarter of the learnable rows
     train = cut(rows.join(truth, "doc_id").select("x", "y", spare.alias("spare")), "quality-train")
 
@@ -244,16 +248,25 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text scores 0.5 or more."""
-    rows = cut(document_statistics(docs), "quality-statistics")
-    model = fit(rows, labels)
+    """The rows of ``docs``, unchanged, whose text scores 0.5 or more.
+
+    Learns as :func:`fit` says. Each text is described once: the fit reads the
+    statistics of the rows that have a learnable label, and scoring is part of
+    the filter. Null and empty texts are scored from all-zero statistics; rows
+    without doc_id are scored too, and repeated rows each. Without labels all
+    rows stay. Other columns are kept, and one that differs from doc_id or text
+    in case alone is renamed; an empty table gives an empty result.
+    """
+    docs = fixed(docs, "doc_id", "text")
+    truth = truths(labels)
+    model = fit(document_statistics(docs.select("doc_id", "text").join(truth.select("doc_id"), "doc_id", "left_semi")), labels)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             if batch.num_rows:
                 x = np.stack([statistics(t) for t in text_bytes(batch.column(place))])
-                yield batch.append_column("_score", pa.array(model.score(x)))
+                stay = pa.array(model.score(x) >= 0.5)
+                yield batch.filter(stay)
 
-    out = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
-    return docs.mapInArrow(run, out).filter("_score >= 0.5").drop("_score")
+    return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import columns, new_path, parts_for, slices
+from .encoder import text_batches
+from .shared import columns, new_path, parts_for
 
 HEAD, COLON, END = b"### ", b": ", b"</turn>\n"
 IN_TEXT = re.compile(rb"\\|#(?=##)|<(?=/turn>)")
@@ -31,6 +32,7 @@ IN_ROLE = re.compile(rb"\\|#(?=##)|<(?=/turn>)|:")
 ESCAPED = re.compile(rb"\\(.)", re.DOTALL)
 TURN = re.compile(rb"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
 LEARNT = "assistant"
+FORMAT_BYTES = 4 << 20  # of text that is assembled at a time; its indices take sixteen times as much
 PARTS = "conv_id long, part long, n_turns long, formatted string, loss_spans array<array<long>>"
 
 
@@ -90,9 +92,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, 5000):
-            if not batch.num_rows:
-                continue
+        for batch in text_batches(batches, 3, FORMAT_BYTES):
             buffer, starts, spans = assemble(batch.column(2), batch.column(3))
             has = np.asarray(batch.column(0).is_valid().to_pylist(), bool)
             conv = np.asarray(batch.column(0).fill_null(0), np.int64)
@@ -121,13 +121,15 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 def read_back(parts: DataFrame) -> DataFrame:
     """Parse formatted parts again and digest each conversation: the columns of ``DIGESTS``.
 
-    A conversation's parts stream through in order, with a running digest as the only state.
+    A conversation's parts stream through in order, with a running digest as the
+    only state. SHA-256 is sequential, so one conversation's digest is one task's
+    work however long it is (rows without conv_id are one conversation).
     """
     ordered = parts.repartition(parts_for(parts), "conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state, done = None, None, []
-        for batch in slices(batches, 500):
+        for batch in text_batches(batches, 3, FORMAT_BYTES):
             for conv, n, text, spans in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "n_turns", "formatted", "loss_spans")), strict=True):
                 if state is None or conv != at:
                     if state is not None:

@@ -5,12 +5,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from loomwork.llm import chat, lines, lzprint, simhash, substrings
 from loomwork.llm.components import connected_components
+from loomwork.llm.encoder import text_batches
 from loomwork.llm.queries import op2_chat
 
 from ..conftest import SF
@@ -113,11 +115,71 @@ def test_similar_links_compare_all_that_meet_in_a_crowd(spark):
         label = np.array([label[near].min() for near in distance <= 44])
     assert len(set(label.tolist())) < len(prints) - 100
     for unfold in (1 << 21, 5000):
-        roots = {r.v: r.root for r in connected_components(simhash.similar_links(table, 44, unfold=unfold)).collect()}
+        roots = {r.v: r.root for r in connected_components(simhash.similar_links(table, (44, 44), unfold=unfold)).collect()}
         groups = lambda of: {frozenset(i for i in range(len(ids)) if of(i) == x) for x in {of(i) for i in range(len(ids))}}
         assert groups(lambda i, r=roots: r.get(int(ids[i]), int(ids[i]))) == groups(lambda i: int(label[i]))
 
 
+def test_links_do_not_depend_on_the_order_of_arrival(spark):
+    """Four rows that meet at one word; only b and d are near."""
+    rnd = np.random.default_rng(8)
+    four = rnd.integers(0, 1 << 63, (4, 4), dtype=np.uint64)
+    four[:, 0] = four[0, 0]
+    four[3] = four[1]
+    for word in range(2, 8):
+        four[3, word // 2] ^= np.uint64(0b1111110 << 32 * (1 - word % 2))
+    for order in ([0, 1, 2, 3], [1, 3, 0, 2], [3, 2, 1, 0]):
+        table = spark.createDataFrame([(int(i), four[i].astype(">u8").tobytes()) for i in order], "id long, fp binary").coalesce(1)
+        assert {frozenset((r.a, r.b)) for r in simhash.similar_links(table, (10, 44)).collect()} == {frozenset((1, 3))}
+
+
+def test_buckets_follow_the_number_of_rows():
+    assert simhash.prefix_for(1 << 20, 64, 2, 8) == 8 and simhash.prefix_for(1 << 20, 32, 2, 4) == 4
+    for total in (1 << 36, 1 << 40):
+        prefix = simhash.prefix_for(total, 64, 2, 8)
+        assert len(simhash.masks(prefix, 2)) * total >> prefix <= simhash.BUCKET_BYTES
+
+
+def test_spanning_forest_is_the_least():
+    rnd = np.random.default_rng(2)
+    for n, m in ((1, 0), (30, 60), (40, 30)):
+        a, b, w = rnd.integers(0, n, m), rnd.integers(0, n, m), rnd.integers(0, 9, m)
+        group, total = list(range(n)), 0
+        for i in sorted(range(m), key=lambda i: w[i]):
+            x, y = group[a[i]], group[b[i]]
+            if x != y:
+                total += w[i]
+                group = [x if g == y else g for g in group]
+        own = a != b
+        stay = simhash.spanning(n, a[own], b[own], w[own])
+        assert w[own][stay].sum() == total and len(stay) == n - len(set(group))
+
+
+def test_recall_at_the_threshold(spark):
+    """Lone pairs of a Jaccard similarity of just 0.8 or more are found nine times of ten; those below it never."""
+    rnd = random.Random(12)
+    alike, below = [], []
+
+    def jaccard(v, w):
+        p, q = ({tuple(x[i: i + 5]) for i in range(len(x) - 4)} for x in (v, w))
+        return len(p & q) / len(p | q)
+
+    for p in range(300):
+        words = [f"{p}w{i}" for i in range(300)]
+        other, best = list(words), list(words)
+        for spot in rnd.sample(range(300), 12):
+            other[spot] = f"{p}new{spot}"
+            if jaccard(words, other) < 0.8:
+                break
+            best = list(other)
+        alike += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(best))]
+        below += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(other))]
+    schema = "doc_id long, text string"
+    kept = [r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(alike, schema).repartition(4)).collect()]
+    assert sum(d % 2 for d in kept) <= 0.1 * 300 and sum(d % 2 == 0 for d in kept) == 300
+    assert simhash.keep_one_of_each(spark.createDataFrame(below, schema)).count() == 600
+
+
 def test_similar_texts_in_a_crowd_with_a_shared_template(spark):
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(4000)]
@@ -146,30 +208,68 @@ def test_long_chain_is_one_component(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def plain_chunks(text, window=2, mean=3):
+    """Chunks by the definition: a chunk ends after a line where the hash of the last ``window`` lines is divisible by ``mean``."""
+    parts = text.encode().split(b"\n")
+    chunks, own = [], []
+    for i, line in enumerate(parts):
+        own.append(line)
+        if i >= window - 1 and i < len(parts) - 1:
+            rolled = 0
+            for before in parts[i - window + 1: i + 1]:
+                rolled = (rolled * 0x9E3779B97F4A7C15 + xxhash.xxh3_64_intdigest(before)) % (1 << 64)
+            x = rolled  # SplitMix64's finaliser
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+            if (x ^ x >> 31) % mean == 0:
+                chunks.append(own)
+                own = []
+    return [*chunks, own]
+
+
 def test_lines(docs, texts):
-    seen, expected = {}, []
+    seen = set()
     rows = sorted([(d, t) for d, t in texts if d is not None and t is not None], key=lambda x: x[0])
-    for d, t in texts:
-        if t is None:
-            expected.append((d, None, 0, 0))
     found = {(r.doc_id, r.text): r for r in lines.dedup_lines(docs).collect()}
     assert len(lines.dedup_lines(docs).collect()) == len(texts)
     for d, t in rows:
         if [x for x, _ in rows].count(d) > 1:
             continue
-        parts = t.encode().split(b"\n")
-        edges = lines.chunk_edges(parts, 2, 3)
         kept = []
-        for i, j in zip(edges, edges[1:]):
-            chunk = b"\n".join(parts[i:j])
-            if j - i > 1 and chunk.strip() and chunk in seen:
+        for own in plain_chunks(t):
+            chunk = b"\n".join(own)
+            if len(own) > 1 and chunk.strip() and chunk in seen:
                 continue
-            seen[chunk] = d
-            kept += parts[i:j]
+            seen.add(chunk)
+            kept += own
         assert (d, b"\n".join(kept).decode()) in found
     assert any(r.n_removed_lines for r in found.values())
 
 
+def test_chunks_of_one_hash_are_told_apart_by_their_bytes(spark):
+    """In the meeting bucket only bytes decide: all chunks are sent there under one hash."""
+    rows = [(i, f"a {i % 4}\nb {i % 4}") for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_sub", F.lit(0).cast("long")).repartition(3)
+    one = lines.repeated_chunks(table.select("doc_id", "text", "_sub"), 2, 3, 1)
+    marked = [d for r in one.collect() for d in lines.unpack(r.blob, 3)[0].tolist()]
+    assert sorted(set(marked)) == list(range(4, 12))
+
+
+@pytest.mark.parametrize("kind", ["lines", "substrings", "simhash"])
+def test_clashing_names_and_hot_missing_ids(spark, kind):
+    rows = [(i, "\n".join(f"line {i % 7} {j} of some words" for j in range(6)), "T", 1, 2, "g") for i in range(60)]
+    rows += [(None, rows[0][1], "T", 1, 2, "g")] * 40 + [(5, "another text of this id", "T", 1, 2, "g")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, TEXT string, _again int, _sub int, gone string").repartition(5)
+    run = {"lines": lambda t: lines.dedup_lines(t, pairs=True), "substrings": substrings.dedup_substrings, "simhash": simhash.keep_one_of_each}[kind]
+    found = run(table)
+    assert found.columns[:6] == ["doc_id", "text", "TEXT_", "_again", "_sub", "gone"]
+    out = found.collect()
+    assert sum(r.doc_id is None and r.text.split() == rows[0][1].split() for r in out) == 40 and {(r["TEXT_"], r["_again"], r["_sub"], r["gone"]) for r in out} == {("T", 1, 2, "g")}
+    kept = {r.doc_id for r in out if r.text and r.doc_id is not None}
+    assert kept - {5} == set(range(7)) - {5}
+    assert (5, "another text of this id") in {(r.doc_id, r.text) for r in out}
+
+
 def test_line_boundaries_do_not_shift():
     body = [b"line %d" % i for i in range(200)]
     a, b = lines.chunk_edges(body, 2, 3), lines.chunk_edges([b"new"] * 7 + body, 2, 3)
@@ -266,6 +366,21 @@ def test_chat_awkward_rows(spark):
     assert chat.read_back(chat.write_formatted(table.limit(0))).count() == 0
 
 
+def test_batches_are_bound_by_bytes_and_a_row():
+    sizes = [3, 50, 7, 900, 2, 2, 2]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(range(7)), pa.array(["r"] * 7), pa.array(["x" * n for n in sizes])], ["a", "b", "c", "d"])
+    parts = list(text_batches([batch], 3, 100))
+    assert [p.num_rows for p in parts] == [4, 3] and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
+def test_chat_of_many_long_turns(spark):
+    """5,000 turns of 100 KB in one conversation, in a worker's usual memory."""
+    turns = spark.range(5000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                     F.concat(F.lit("</turn>"), F.repeat(F.lit("0123456789"), 10_000)).alias("text"))
+    found = chat.read_back(chat.write_formatted(turns)).first()
+    assert found.n_turns == 5000 and found.loss_chars == 2500 * 100_007
+
+
 def test_chat_query_round_trip(spark):
     data = spark.read.parquet(f"{SF}/conversations.parquet").toPandas().sort_values(["conv_id", "turn"])
     found = {r.conv_id: r for r in op2_chat(spark, SF).collect()}
@@ -290,10 +405,31 @@ def test_phrases_and_likeness(texts):
     for _, t in texts:
         data = (t or "").encode()
         assert set(lzprint.parse(data, 0, len(data), set())[1]) == plain_phrases(data)
+    for x in texts[:8]:
+        for y in texts[:8]:  # plain Jaccard estimate: of the smallest hashes of the union, those in both
+            p, q = ({int.from_bytes(xxhash.xxh3_64_digest(w)[:4], "big") for w in plain_phrases(z[1].encode())} for z in (x, y))
+            p, q = set(sorted(p)[:128]), set(sorted(q)[:128])
+            low = sorted(p | q)[:128]
+            assert lzprint.likeness(*(lzprint.fingerprint(z[1].encode()) for z in (x, y))) == sum(h in p and h in q for h in low) / len(low)
     a, b = (lzprint.fingerprint(x.encode()) for x in (texts[0][1], texts[1][1]))
     assert lzprint.likeness(a, a) == 1.0 > lzprint.likeness(a, b) >= 0.0 and lzprint.likeness(lzprint.fingerprint(b""), lzprint.fingerprint(b"")) == 1.0
 
 
+def test_edit_likeness_of_hot_missing_ids(spark):
+    rows = [(None, "same text of many")] * 3000 + [(None, None)] * 2 + [(7, "a b c d e f")] * 3 + [(7, "other words here"), (9, "last")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = lzprint.edit_likeness(table).collect()
+    low = -(1 << 63)
+    order = sorted(((low if d is None else d, (xxhash.xxh64_intdigest((t or "").encode(), 42) + (1 << 63)) % (1 << 64), t or "", d) for d, t in rows), reverse=True)
+    tie = lambda d: d != 9
+    order = sorted([(k, s if tie(d) else 0, t, d) for k, s, t, d in order], reverse=True)
+    expected = []
+    for (_, _, t, d), (_, _, nt, _) in zip(order, order[1:] + order[:1]):
+        third = len(t) // 3
+        expected.append((d, t[: len(t) - third] + nt[:third], lzprint.likeness(lzprint.fingerprint(t.encode()), lzprint.fingerprint(nt.encode()))))
+    assert sorted(((r.doc_id, r.edited, r.near_next) for r in out), key=str) == sorted(expected, key=str)
+
+
 def test_edit_likeness(docs, texts):
     low = -(1 << 63)
     rows = sorted([(low if d is None else d, t or "", d) for d, t in texts], reverse=True)

@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -118,6 +119,40 @@ def test_bpe_round_trip(spark, docs):
     assert bpe.encode_and_decode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_repeated_blocks_and_shuffled_rows(spark):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    huge = "some words, and more\nof them 12 " * 400_000  # two of these make blocks that are equal
+    rows = [(i, "the same text") for i in range(64)] + [(64, huge), (65, huge), (None, None), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(16).repartition(8, F.rand())
+    found = bpe.encode_and_decode(table, RANKS, public_tokenizers.PATTERN)
+    digests = found.select("doc_id", F.sha2("decoded", 256).alias("d"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("i"))
+    own = {t: (hashlib.sha256(t.encode()).hexdigest(), hashlib.sha256(",".join(map(str, plain.encode_ordinary(t))).encode()).hexdigest()) for t in {t or "" for _, t in rows}}
+    assert Counter(tuple(r) for r in digests.collect()) == Counter((d, *own[t or ""]) for d, t in rows)
+
+
+def test_token_file_of_hot_missing_ids(spark):
+    rows = [(None, "no id")] * 900 + [(None, f"{i}") for i in range(50)] + [(4, "four")] * 500 + [(4, "vier"), *((i, f"text {i}") for i in range(300))]
+    path, encode = new_path(spark, "t"), library(WORDS)
+    tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), path, WORDS, 1)
+    found = tokenfile.read_tokens(spark, path).orderBy("start").collect()
+    assert Counter((r.doc_id, tuple(r.tokens)) for r in found) == Counter((d, (*encode(t), 1)) for d, t in rows)
+    assert [r.start for r in found] == [0, *np.cumsum([r.n_tokens for r in found])[:-1]]
+    ids = [r.doc_id for r in found]
+    assert ids[:950] == [None] * 950 and ids[950:] == sorted(ids[950:])
+    assert len({r.shard for r in found if r.doc_id is None}) > 1
+
+
+def test_quality_stage_keeps_what_scores_half(spark, docs):
+    sf = SF.replace("0.001", "0.01")
+    labels, rows = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet").withColumn("_score", F.lit("x"))
+    good = {r.doc_id for r in quality.quality_scores(rows, labels).filter("predicted = 1").collect()}
+    kept = quality.keep_good(rows, labels)
+    assert kept.columns == rows.columns and {r.doc_id for r in kept.collect()} == good
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.keep_good(docs, none).count() == docs.count() and quality.keep_good(docs.limit(0), none).count() == 0
+
+
 def test_quality_on_held_out_labels(spark):
     sf = SF.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -160,6 +195,36 @@ def test_neighbours(spark):
     assert hnsw.search(table.limit(0), table, 10).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["offset", "far", "tiny", "huge", "clusters", "outlier", "double"])
+def test_neighbours_of_shifted_and_scaled_vectors(kind):
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(1500, 12))
+    x = {"offset": 100 + 0.05 * x, "far": 1000 + 0.01 * x, "tiny": 1e-25 * x, "huge": 1e20 * x, "clusters": np.repeat(x[:30] * 10, 50, axis=0) + 1e-3 * x,
+         "outlier": np.r_[x[1:], np.full((1, 12), 1e30)], "double": 1e200 * x}[kind]
+    x = x if kind == "double" else x.astype(np.float32)
+    own = np.arange(0, 1500, 25)
+    found = {}
+    for query, rows, dist in hnsw.Index(np.arange(1500), x).search(own, x[own], 10):
+        for q, r, d in zip(query.tolist(), rows.tolist(), dist.tolist()):
+            found.setdefault(q, []).append((d, r))
+    hits = 0
+    for i, o in enumerate(own.tolist()):
+        gap = x.astype(np.float64) - x[o].astype(np.float64)
+        scale = np.abs(gap).max()
+        dist = np.sqrt(((gap / scale) ** 2).sum(axis=1))
+        dist[o] = np.inf
+        hits += len(set(np.lexsort((np.arange(1500), dist))[:10].tolist()) & {r for _, r in found[i]})
+        assert len(found[i]) == 10 and found[i] == sorted(found[i]) and np.allclose([d / scale for d, _ in found[i]], dist[[r for _, r in found[i]]])
+    assert hits >= 0.9 * 10 * len(own)
+
+
+def test_neighbours_returns_all_candidates_where_they_are_few(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(7)] + [(i, [3.0, 1.0]) for i in range(100, 104)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = hnsw.search(table, table.filter("vec_id = 100"), 20, shard_rows=4).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r.rank)] == [3, 101, 102, 103, 2, 4, 1, 5, 0, 6]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.functions.columns import canonical_id, clipped, incident_key, latest, layer_of, safe, surrogate_key, test_kind
+from loomwork.functions.columns import canonical_id, clipped, idempotency_key, incident_key, latest, layer_of, safe, surrogate_key, test_kind
 from loomwork.operators import checks, events, inject, profile, schema
 from loomwork.session import table
 
@@ -51,13 +51,13 @@ def keys_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.when(F.col("p_size") % 5 == 0, F.array(F.lit("models"), F.lit("intermediate"))).otherwise(F.array(F.lit("models")))
     return p.select("p_partkey", surrogate_key("p_name", F.when(F.col("p_size") > 25, F.col("p_brand")), "p_size").alias("row_key"),
                     incident_key("p_name", F.lit("type_changed"), F.when(F.col("p_size") > 25, F.col("p_brand"))).alias("incident"),
-                    F.concat_ws(":", F.lit("k"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")), "yyyyMMdd"), "p_brand").alias("idempotency"),
+                    idempotency_key(F.lit("k"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size")), "p_brand").alias("idempotency"),
                     canonical_id(F.lit("model"), F.lit("p"), name).alias("node"), layer_of(folder, name).alias("layer"), test_kind(test).alias("test_type"),
                     clipped("p_name", 8).alias("short_name"))
 
 
 KEYS_SQL = """
-with p as (select *, case p_size % 3 when 0 then 'stg_' when 1 then 'fct_' else 'raw_' end || p_brand as nm from part where p_partkey <= 500)
+with p as (select *, case p_size % 3 when 0 then 'stg_' when 1 then 'fct_' else 'raw_' end || p_brand as nm from part)
 select p_partkey, md5(p_name || '-' || coalesce(case when p_size > 25 then p_brand end, '_dbt_utils_surrogate_key_null_') || '-' || p_size) as row_key,
        substr(sha256(p_name || '|type_changed|' || coalesce(case when p_size > 25 then p_brand end, '')), 1, 16) as incident,
        'k:' || strftime(date '2024-01-01' + p_size, '%Y%m%d') || ':' || p_brand as idempotency, 'model.p.' || nm as node,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import incident_key
@@ -31,6 +31,11 @@ def suppress(events: DataFrame, minutes: int = 60) -> DataFrame:
     return keyed.withColumn("duplicate", F.coalesce(gap < minutes * 60_000_000, F.lit(False)))
 
 
+def severity_of_risk(level: str) -> Column:
+    """Order of risk levels: what decides between two that were seen at one time."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), F.col(level)), F.lit(0))
+
+
 def memory(events: DataFrame) -> DataFrame:
     """One row per incident: how often, first and last seen, and the risk it had last."""
     keyed = events.withColumn("incident", incident_key("node_id", "event_type", "column_name"))
@@ -40,13 +45,21 @@ def memory(events: DataFrame) -> DataFrame:
 
 
 def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The memory after another batch: counts add up, the range widens, the newest risk stays."""
+    """The memory after another batch: counts add up, the range widens, the newest risk stays (of equally new ones the higher)."""
     both = stored.unionByName(fresh)
     return both.groupBy("incident").agg(
-        F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("last_risk", "last_seen").alias("last_risk"),
+        F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("last_risk", F.struct("last_seen", severity_of_risk("last_risk"))).alias("last_risk"),
         F.min("node_id").alias("node_id"), F.min("event_type").alias("event_type"), F.min("column_name").alias("column_name"))
 
 
+def attached(events: DataFrame, minutes: int = 15) -> DataFrame:
+    """One row per session: its primary event with all columns, and ``correlated``, the others (type, severity, column) by time and id."""
+    rows = correlate(events, minutes)
+    others = F.struct("detected_at", "event_id", "event_type", "severity", "column_name")
+    found = rows.groupBy("node_id", "session").agg(F.array_sort(F.collect_list(F.when(~F.col("is_primary"), others))).alias("correlated"))
+    return rows.filter("is_primary").drop("is_primary").join(found, ["node_id", "session"])
+
+
 def with_feedback(stored: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Outcomes(incident, outcome, at) of known incidents, in order of time; unknown keys are ignored."""
     lists = outcomes.groupBy("incident").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "outcome"))), lambda o: o["outcome"]).alias("outcomes"))
@@ -59,3 +72,10 @@ def calibration(stored: DataFrame, outcomes: DataFrame, warn_below: float = 0.5)
     rates = known.groupBy("last_risk").agg(F.avg((F.col("outcome") == "actionable").cast("int")).alias("actionable_rate"))
     counts = stored.groupBy("last_risk").agg(F.count("*").alias("n_incidents"), F.sum("n").alias("n_events"))
     return counts.join(rates, "last_risk", "left").withColumn("warn", F.coalesce(F.col("actionable_rate") < warn_below, F.lit(False)))
+
+
+def calibration_total(stored: DataFrame, outcomes: DataFrame, warn_below: float = 0.5) -> DataFrame:
+    """One row over all incidents: their number, their events, and the global share of actionable feedback (null without any)."""
+    rate = outcomes.join(stored.select("incident"), "incident").agg(F.avg((F.col("outcome") == "actionable").cast("int")).alias("actionable_rate"))
+    total = stored.agg(F.count("*").alias("n_incidents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_events"))
+    return total.join(F.broadcast(rate), how="cross").withColumn("warn", F.coalesce(F.col("actionable_rate") < warn_below, F.lit(False)))  # one row each

@@ -31,7 +31,8 @@ def base_score(coverage: Column, fan_out: Column, distance: Column, materialized
 
 
 def in_context(score: Column, severity: Column, confidence: Column, hops: Column, high_priority: Column, decay: float = DECAY) -> Column:
-    """The score under severity, path confidence, hops from the anomaly and a high-priority exposure, at most 1."""
+    """The score under severity, path confidence (held to 0 to 1), hops from the anomaly (at least 0) and a high-priority exposure, at most 1."""
+    confidence, hops = F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)), F.greatest(hops, F.lit(0))
     boost = F.when(high_priority, BOOST).otherwise(1.0)
     return F.least(score * looked_up(severity, SEVERITY, 1.0) * (0.7 + 0.3 * confidence) / (1.0 + decay * hops) * boost, F.lit(1.0))
 

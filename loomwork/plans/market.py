@@ -88,7 +88,7 @@ def stg_defi_llama__yields_pools(raw: DataFrame) -> DataFrame:
 @project.model("etherscan_eth_transactions", layer="staging")
 def stg_etherscan__transactions(raw: DataFrame) -> DataFrame:
     """Transactions, the newest row of each hash."""
-    newest = latest(raw.filter(col("hash").isNotNull()), ["hash"], safe("blockNumber", "bigint").desc(), *map(col, ("from", "to", "value", "gasUsed")))
+    newest = latest(raw.filter(col("hash").isNotNull()), ["hash"], safe("blockNumber", "bigint").desc(), *map(col, ("from", "to", "value", "gasUsed", "gasPrice", "timeStamp", "isError")))
     sender, receiver = F.lower(col("from")), F.lower(col("to"))
     return renamed(
         newest, "hash", tx_hash="hash", block_number=safe("blockNumber", "bigint"), tx_timestamp=F.timestamp_seconds(safe("timeStamp", "bigint")),
@@ -101,7 +101,7 @@ def stg_etherscan__transactions(raw: DataFrame) -> DataFrame:
 def stg_etherscan__token_transfers(raw: DataFrame) -> DataFrame:
     """Token transfers, the newest row of each (hash, from, to, contract, value)."""
     keyed = raw.filter(col("hash").isNotNull()).withColumn("transfer_id", surrogate_key("hash", "from", "to", "contractAddress", "value"))
-    newest = latest(keyed, ["transfer_id"], safe("blockNumber", "bigint").desc(), *map(col, ("timeStamp", "tokenSymbol", "tokenDecimal")))
+    newest = latest(keyed, ["transfer_id"], safe("blockNumber", "bigint").desc(), *map(col, ("timeStamp", "tokenSymbol", "tokenDecimal", "tokenName")))
     scaled = safe("value", "double") / F.pow(F.lit(10), safe("tokenDecimal", "int"))
     return renamed(
         newest, "hash", transfer_id="transfer_id", tx_hash="hash", block_number=safe("blockNumber", "bigint"),

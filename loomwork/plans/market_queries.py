@@ -80,14 +80,14 @@ MODEL_SQL: dict[str, str] = {
                try_cast("gasUsed" as bigint) as gas_used, round(try_cast("gasPrice" as double) / 1e9, 6) as gas_price_gwei, "isError" = '1' as is_error,
                case when lower("from") in ({_IN}) then lower("from") when lower("to") in ({_IN}) then lower("to") end as tracked_address
         from etherscan_eth_transactions where hash is not null
-        qualify row_number() over (partition by hash order by try_cast("blockNumber" as bigint) desc, "from", "to", value, "gasUsed") = 1""",
+        qualify row_number() over (partition by hash order by try_cast("blockNumber" as bigint) desc, "from", "to", value, "gasUsed", "gasPrice", "timeStamp", "isError") = 1""",
     "stg_etherscan__token_transfers": f"""
         select {_key('hash', '"from"', '"to"', '"contractAddress"', 'value')} as transfer_id, hash as tx_hash, try_cast("blockNumber" as bigint) as block_number,
                strftime(make_timestamp(1000000 * try_cast("timeStamp" as bigint)), '%Y-%m-%d %H:%M:%S') as tx_timestamp,
                lower("from") as from_address, lower("to") as to_address, round(try_cast(value as double) / pow(10, try_cast("tokenDecimal" as int)), 6) as token_amount,
                "tokenName" as token_name, "tokenSymbol" as token_symbol, lower("contractAddress") as contract_address
         from etherscan_token_transfers where hash is not null
-        qualify row_number() over (partition by transfer_id order by try_cast("blockNumber" as bigint) desc, "timeStamp", "tokenSymbol" nulls first, "tokenDecimal" nulls first) = 1""",
+        qualify row_number() over (partition by transfer_id order by try_cast("blockNumber" as bigint) desc, "timeStamp", "tokenSymbol" nulls first, "tokenDecimal" nulls first, "tokenName" nulls first) = 1""",
     "int_token_profiles": """
         with largest as (select upper(symbol) as u, protocol_id, protocol_name, tvl_usd, category from stg_defi_llama__protocols
                          where symbol is not null and symbol <> '' qualify row_number() over (partition by upper(symbol) order by tvl_usd desc nulls last, protocol_id) = 1),

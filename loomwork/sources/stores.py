@@ -13,6 +13,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.columns import quote
+
 
 def artifact(spark: SparkSession, path: str) -> DataFrame:
     """A JSON artifact (manifest, catalog, run results, source freshness) as a frame of one row."""
@@ -33,8 +35,8 @@ def latest_snapshot(spark: SparkSession, path: str, back: int = 0) -> DataFrame:
 
 
 def newest_rows(df: DataFrame, *keys: str) -> DataFrame:
-    """The newest captured row of each key."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("captured_at"))
+    """The newest captured row of each key; of equally new ones the first by its other columns."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("captured_at"), *[F.col(quote(c)).cast("string") for c in df.columns if c not in (*keys, "captured_at")])
     return df.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
 
 

@@ -25,11 +25,29 @@ def violations(df: DataFrame, test: DataTest, parent: DataFrame | None = None) -
 
 
 def run_tests(project: Project, frames: dict[str, DataFrame], tests: list[DataTest] | None = None) -> DataFrame:
-    """``test_id``, ``status`` (pass or fail) and ``failures`` of each test."""
-    rows = []
+    """``test_id``, ``status`` (pass or fail) and ``failures`` of each test.
+
+    All not-null and custom tests of a model are counted in one pass over it;
+    a unique or relationship test is one aggregation or anti join of its key.
+    """
+    rows, counted = [], {}
     for test in project.tests if tests is None else tests:
-        bad = violations(frames[test.model], test, frames.get(test.parent))
-        test_id = f"test.{project.name}.{test.name}"
-        rows.append(bad.agg(F.count("*").alias("failures")).select(
-            F.lit(test_id).alias("test_id"), F.when(F.col("failures") > 0, "fail").otherwise("pass").alias("status"), "failures"))
-    return reduce(DataFrame.unionByName, rows)
+        if test.kind in ("not_null", "custom"):
+            counted.setdefault(test.model, []).append(test)
+        else:
+            bad = violations(frames[test.model], test, frames.get(test.parent))
+            rows.append(bad.agg(F.count("*").alias("failures")).select(F.lit(test_id(project, test)).alias("test_id"), "failures"))
+    for model, own in counted.items():
+        broken = [F.count_if(col(t.column).isNull() if t.kind == "not_null" else F.expr(t.failing)) for t in own]
+        names = F.array(*[F.lit(test_id(project, t)) for t in own])
+        counts = frames[model].agg(F.array(*broken).alias("n"))
+        rows.append(counts.select(F.explode(F.arrays_zip(names.alias("test_id"), F.col("n").alias("failures"))).alias("t")).select("t.test_id", "t.failures"))
+    status = F.when(F.col("failures") > 0, "fail").otherwise("pass")
+    return reduce(DataFrame.unionByName, rows).select("test_id", status.alias("status"), "failures")
+
+
+def test_id(project: Project, test: DataTest) -> str:
+    return f"test.{project.name}.{test.name}"
+
+
+test_id.__test__ = False  # a name, not a test

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +49,15 @@ def clipped(text: str | Column, limit: int) -> Column:
 
 
 def short_number(value: str | Column) -> Column:
-    """Grouped digits with two decimals; a dash for null."""
-    return F.coalesce(F.format_number(col(value).cast("double"), 2), F.lit("-"))
+    """Four significant digits without closing zeros: grouped, or with an exponent below 0.0001 and from 10,000 on; None for null."""
+    number = col(value).cast("double")
+    digits = F.format_string("%.3e", number)
+    mantissa, power = F.substring_index(digits, "e", 1), F.substring_index(digits, "e", -1)
+    exponent = power.cast("int")
+    plain = F.regexp_replace(F.format_number(digits.cast("double"), 7), r"\.?0+$", "")  # rounded before: 7 decimals hold four digits from 0.0001 on
+    short = F.concat(F.regexp_replace(mantissa, r"\.?0+$", ""), F.lit("e"), power)
+    odd = F.when(number.isNull(), "None").when(F.isnan(number), "nan").when(F.abs(number) == float("inf"), F.when(number > 0, "inf").otherwise("-inf"))
+    return F.coalesce(odd, F.when(number == 0, "0").when(exponent.between(-4, 3), plain).otherwise(short))
 
 
 def canonical_id(*parts: str | Column) -> Column:
@@ -60,10 +65,10 @@ def canonical_id(*parts: str | Column) -> Column:
     return F.concat_ws(".", *[col(p) for p in parts])
 
 
-def source_name(raw: str | Column, prefixes: dict[str, str]) -> Column:
-    """The source that a raw table's prefix stands for; null where none fits."""
-    cases = [F.when(col(raw).startswith(p), F.lit(s)) for p, s in prefixes.items()]
-    return F.coalesce(*cases, F.lit(None))
+def source_name(raw: str | Column, groups: tuple[str, ...]) -> Column:
+    """The source group that a raw table's name begins with (``group_...``); else the name's first part."""
+    cases = [F.when(col(raw).startswith(f"{g}_"), F.lit(g)) for g in groups]
+    return F.coalesce(*cases, F.substring_index(col(raw), "_", 1))
 
 
 def layer_of(path: str | Column, name: str | Column) -> Column:
@@ -90,7 +95,3 @@ def latest(df, by: list[str | Column], *order: Column):
     """One row per key: the first in ``order``, which should end in a unique column."""
     rank = F.row_number().over(Window.partitionBy(*[col(b) for b in by]).orderBy(*order))
     return df.withColumn("_nth", rank).filter("_nth = 1").drop("_nth")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(Column.__and__, conditions, F.lit(True))

@@ -1,9 +1,11 @@
 """The property graph as tables, and its traversals as recursive queries.
 
-Nodes and edges are built from the registry. Traversals are ``WITH RECURSIVE``
-over edge tables, at most ``DEPTH`` hops, and carry the path so that no trail
-meets a node twice. Each traversal runs once and is written: two recursions in
-one plan have been seen to share results. Edges with an end that is no node are dropped.
+Nodes and edges are built from the registry, or from a project's artifacts.
+What is reachable is found by a frontier that leaves out what was seen. Where
+the paths themselves are asked for, traversals are ``WITH RECURSIVE`` over edge
+tables, at most ``DEPTH`` hops, and carry the path so that no trail meets a node
+twice; each runs once and is written, as two recursions in one plan have been
+seen to share results. Edges with an end that is no node are dropped.
 """
 
 from __future__ import annotations
@@ -59,9 +61,26 @@ def frames_of(spark: SparkSession, nodes: list[tuple], edges: list[tuple], tests
             "graph_columns": spark.createDataFrame(columns, COLUMNS).dropDuplicates(["column_id"])}
 
 
-def register(graph: dict[str, DataFrame]) -> None:
-    for name, df in graph.items():
-        df.createOrReplaceTempView(name)
+def write_graph(graph: dict[str, DataFrame], lineage: DataFrame, folder: str) -> dict[str, int]:
+    """Replace the stored graph under ``folder`` (nodes, edges, tests, columns, lineage), a row per id; the number of rows of each.
+
+    Column edges need both columns. The numbers come from the files written.
+    """
+    keys = {"graph_nodes": ["unique_id"], "graph_edges": ["source_id", "target_id", "edge_type"], "graph_tests": ["test_id"], "graph_columns": ["column_id"]}
+    ids = graph["graph_columns"].select("column_id")
+    ends = [F.concat_ws(".", f"{side}_node", f"{side}_column") for side in ("up", "down")]
+    known = lineage.join(ids.toDF("up_id"), ends[0] == F.col("up_id"), "left_semi").join(ids.toDF("down_id"), ends[1] == F.col("down_id"), "left_semi")
+    parts = {n: df.dropDuplicates(keys[n]) for n, df in graph.items()} | {"graph_lineage": known.distinct()}
+    spark, counts = lineage.sparkSession, {}
+    for name, df in parts.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        counts[name] = spark.read.parquet(f"{folder}/{name}").count()
+    return counts
+
+
+def read_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The graph tables that :func:`write_graph` stored."""
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in ("graph_nodes", "graph_edges", "graph_tests", "graph_columns", "graph_lineage")}
 
 
 def reach_sql(edges: str, start: str, goal: str, roots: str) -> str:
@@ -81,10 +100,30 @@ def traverse(spark: SparkSession, edges: DataFrame, roots: DataFrame, upstream:
     return materialized(spark.sql(f"with recursive {reach_sql('_trail_edges', *ends, '_trail_roots')} select * from reach"), "trails")
 
 
-def dependent_models(spark: SparkSession, graph: dict[str, DataFrame], roots: DataFrame, upstream: bool = False) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False) -> DataFrame:
+    """Every node within ``DEPTH`` hops of ``roots(id)``: origin, node, and the fewest hops.
+
+    A frontier moves hop by hop and leaves out what was seen, so the work is at
+    most the edges that each root reaches, however many trails lead there. A
+    root is not reached from itself.
+    """
+    start, goal = ("target_id", "source_id") if upstream else ("source_id", "target_id")
+    steps = materialized(edges.select(F.col(start).alias("node"), F.col(goal).alias("next")).distinct(), "steps")
+    frontier = roots.select(F.col("id").alias("origin"), F.col("id").alias("node")).distinct()
+    seen, depth = frontier.withColumn("depth", F.lit(0)), 0
+    while depth < DEPTH:
+        depth += 1
+        fresh = frontier.join(steps, "node").select("origin", F.col("next").alias("node")).distinct().join(seen, ["origin", "node"], "left_anti")
+        frontier = materialized(fresh, "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    return seen.filter("depth > 0")
+
+
+def dependent_models(graph: dict[str, DataFrame], roots: DataFrame, upstream: bool = False) -> DataFrame:
     """Distinct models and sources reached from each root, with the fewest hops."""
-    depends = graph["graph_edges"].filter("edge_type in ('ref', 'source')")
-    return traverse(spark, depends, roots, upstream).groupBy("origin", "node").agg(F.min("depth").alias("depth"))
+    return reachable(graph["graph_edges"].filter("edge_type in ('ref', 'source')"), roots, upstream)
 
 
 def paths_to_exposures(spark: SparkSession, graph: dict[str, DataFrame], roots: DataFrame) -> DataFrame:
@@ -94,9 +133,15 @@ def paths_to_exposures(spark: SparkSession, graph: dict[str, DataFrame], roots:
     return trails.join(found, trails["node"] == found["unique_id"]).drop("unique_id")
 
 
-def nearest_exposure(paths: DataFrame) -> DataFrame:
+def reached_exposures(graph: dict[str, DataFrame], roots: DataFrame) -> DataFrame:
+    """The exposures that each root reaches, with the fewest hops (``depth``) and their properties."""
+    found = graph["graph_nodes"].filter("label = 'Exposure'").select(F.col("unique_id").alias("node"), F.col("name").alias("exposure"), "priority", "maturity", "exposure_type")
+    return reachable(graph["graph_edges"], roots).join(found, "node")
+
+
+def nearest_exposure(reached: DataFrame) -> DataFrame:
     """Hops to the nearest exposure of each origin; origins without one have no row."""
-    return paths.groupBy("origin").agg(F.min("depth").alias("distance"))
+    return reached.groupBy("origin").agg(F.min("depth").alias("distance"))
 
 
 def fan_out(graph: dict[str, DataFrame]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.session import materialized
+
 from . import graph as g
 from . import risk
 from .events import SCHEMA_CHANGES
@@ -22,7 +24,7 @@ def affected(spark: SparkSession, graph: dict[str, DataFrame], lineage: DataFram
     started = events.join(tests, events["node_id"] == tests["test_id"], "left").withColumn("origin", F.coalesce("target_id", "node_id")).drop("test_id", "target_id")
     started = started.join(known, started["origin"] == known["known"], "left")
     fine = started.filter("known is not null")
-    models = g.dependent_models(spark, graph, fine.select(F.col("origin").alias("id")))
+    models = g.dependent_models(graph, fine.select(F.col("origin").alias("id")))
     down = fine.join(models, "origin").select("event_id", "origin", "column_name", "node")
     columns = fine.filter("column_name is not null").select("event_id", "origin", F.concat_ws(".", "origin", "column_name").alias("id"))
     trails = g.column_trails(spark, lineage, columns).withColumnRenamed("origin", "id").drop("node", "depth")
@@ -45,14 +47,21 @@ def unknown(graph: dict[str, DataFrame], events: DataFrame) -> DataFrame:
     return events.join(ids, "node_id", "left_anti").select("event_id", "node_id", F.lit("node not found").alias("error"), F.lit("low").alias("risk_level"))
 
 
+def reached_by(graph: dict[str, DataFrame], nodes: DataFrame) -> DataFrame:
+    """The exposures that the affected nodes and the origins of ``nodes`` reach, from one traversal."""
+    return g.reached_exposures(graph, nodes.select(F.col("node").alias("id")).union(nodes.select("origin")))
+
+
 def scored(spark: SparkSession, graph: dict[str, DataFrame], lineage: DataFrame, events: DataFrame) -> DataFrame:
     """Every affected node of every event with its base and final score, in one join."""
-    nodes = affected(spark, graph, lineage, events).filter("not pruned")
-    ids = nodes.select(F.col("node").alias("id"))
-    paths = g.paths_to_exposures(spark, graph, ids)
-    origin_paths = g.paths_to_exposures(spark, graph, nodes.select(F.col("origin").alias("id")))
-    urgent = origin_paths.groupBy("origin").agg(F.bool_or(F.col("priority") == "high").alias("high_priority"))
-    facts = (g.test_coverage(graph).select("node", "coverage").join(g.fan_out(graph), "node", "left").join(g.nearest_exposure(paths).withColumnRenamed("origin", "node"), "node", "left")
+    nodes = materialized(affected(spark, graph, lineage, events).filter("not pruned"), "affected")
+    return scores(graph, events, nodes, reached_by(graph, nodes))
+
+
+def scores(graph: dict[str, DataFrame], events: DataFrame, nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """Scores of the affected ``nodes``, given the exposures ``reached`` from them and their origins."""
+    urgent = reached.groupBy("origin").agg(F.bool_or(F.col("priority") == "high").alias("high_priority"))
+    facts = (g.test_coverage(graph).select("node", "coverage").join(g.fan_out(graph), "node", "left").join(g.nearest_exposure(reached).withColumnRenamed("origin", "node"), "node", "left")
              .join(graph["graph_nodes"].select(F.col("unique_id").alias("node"), "materialized"), "node", "left"))
     rows = nodes.join(facts, "node", "left").join(urgent, "origin", "left").join(events.select("event_id", "event_type", "severity"), "event_id")
     base = risk.base_score(F.coalesce("coverage", F.lit(0.0)), F.coalesce("fan_out", F.lit(0)), F.col("distance"), F.col("materialized"), F.col("event_type"))
@@ -62,19 +71,49 @@ def scored(spark: SparkSession, graph: dict[str, DataFrame], lineage: DataFrame,
 
 
 def report(spark: SparkSession, graph: dict[str, DataFrame], lineage: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per event: level, counts, coverage gaps (below a half), the five worst nodes, exposures and planned actions."""
-    rows = scored(spark, graph, lineage, events)
+    """One row per event: level, counts, coverage gaps (below a half), the five worst nodes, exposures and planned actions.
+
+    Each graph is walked once: what is affected, and what it reaches, is written and read for all parts of the report.
+    """
+    everything = materialized(affected(spark, graph, lineage, events), "affected")
+    nodes = everything.filter("not pruned")
+    reached = materialized(reached_by(graph, nodes), "reached")
+    rows = scores(graph, events, nodes, reached)
     worst = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), F.col("node"), F.col("score")))), 1, 5)
+    gaps = F.array_sort(F.collect_set(F.when(F.col("coverage") < 0.5, F.struct("node", F.round("coverage", 2).alias("coverage")))))
     per = rows.groupBy("event_id", "event_type", "origin").agg(
-        F.max("score").alias("max_score"), F.count("*").alias("n_affected"), F.count_if(F.col("coverage") < 0.5).alias("n_gaps"), F.transform(worst, lambda s: s["node"]).alias("top_nodes"))
-    exposures = (g.paths_to_exposures(spark, graph, rows.select(F.col("origin").alias("id"))).groupBy("origin").agg(F.array_sort(F.collect_set("exposure")).alias("exposures")))
-    cut = affected(spark, graph, lineage, events).filter("pruned").groupBy("event_id").agg(F.countDistinct("node").alias("n_pruned"))
+        F.max("score").alias("max_score"), F.count("*").alias("n_affected"), F.count_if(F.col("coverage") < 0.5).alias("n_gaps"), gaps.alias("gaps"),
+        F.transform(worst, lambda s: s["node"]).alias("top_nodes"), F.transform(worst, lambda s: F.struct(s["node"].alias("node"), F.round(s["score"], 3).alias("score"))).alias("top_scores"))
+    shown = F.struct("exposure", "priority", "maturity", "exposure_type", "depth")
+    exposures = reached.groupBy("origin").agg(F.array_sort(F.collect_set("exposure")).alias("exposures"), F.array_sort(F.collect_set(shown)).alias("exposure_details"))
+    cut = everything.filter("pruned").groupBy("event_id").agg(F.countDistinct("node").alias("n_pruned"))
     level = risk.level(F.col("max_score"))
-    return (per.join(exposures, "origin", "left").join(cut, "event_id", "left")
+    return (per.join(exposures, "origin", "left").join(cut, "event_id", "left").join(staging_to_fix(graph, rows), "event_id", "left")
             .withColumns({"risk_level": level, "n_pruned": F.coalesce("n_pruned", F.lit(0)), "actions": risk.actions(level, F.col("event_type"))})
             .withColumn("fix_eligible", F.exists("actions", lambda a: a["type"] == "github_pr") & F.col("event_type").isin(*SCHEMA_CHANGES)))
 
 
+def payload(reports: DataFrame, events: DataFrame) -> DataFrame:
+    """``event_id`` and ``payload``: a report's summary as JSON, with its event, for whoever writes the message."""
+    about = events.select("event_id", F.struct(*[c for c in ("event_type", "severity", "node_id", "column_name") if c in events.columns]).alias("event"))
+    body = F.struct("event", F.col("n_affected").alias("affected"), F.col("n_pruned").alias("pruned"), F.col("gaps").alias("coverage_gaps"), "risk_level",
+                    F.col("top_scores").alias("top_risk_nodes"), F.col("exposure_details").alias("exposures"), F.transform("actions", lambda a: a["type"]).alias("actions"))
+    return reports.join(about, "event_id").select("event_id", F.to_json(body).alias("payload"))
+
+
+def with_fixes(spark: SparkSession, reports: DataFrame, drafts: DataFrame) -> DataFrame:
+    """Reports with ``fix_sql`` from ``drafts(event_id, fix_sql)``; a pull request whose draft is missing or does not parse is taken from the actions.
+
+    Drafts exist for events that are fix-eligible only (one each, written by a
+    person or a model), so the distinct ones are few; they are parsed on the driver.
+    """
+    asked = reports.filter("fix_eligible").join(drafts, "event_id").select("event_id", "fix_sql")
+    good = [r.fix_sql for r in asked.select("fix_sql").distinct().collect() if valid_sql(spark, r.fix_sql)]
+    fine = asked.join(spark.createDataFrame([(g,) for g in good], "fix_sql string"), "fix_sql", "left_semi")
+    rows = reports.join(fine, "event_id", "left")
+    return rows.withColumn("actions", F.when(F.col("fix_sql").isNull(), F.filter("actions", lambda a: a["type"] != "github_pr")).otherwise(F.col("actions")))
+
+
 def lanes(graph: dict[str, DataFrame], broken: DataFrame) -> DataFrame:
     """Status of every node for one event's ``broken(node, is_root)``: root, broken or healthy."""
     nodes = graph["graph_nodes"].select(F.col("unique_id").alias("node"), "name", "label", "layer")

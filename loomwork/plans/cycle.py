@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomwork.operators import checks, events, impact, profile, schema
 from loomwork.operators import graph as g
@@ -15,6 +17,21 @@ from loomwork.sources.stores import PauseFlag
 
 from .registry import Project
 
+FRAMES = ("columns", "profiles", "events", "reports")
+TIMES_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+TIMES = TIMES_NTZ + "XXX"
+LOG = "cycle long, status string, notes array<string>, frames array<string>"
+
+
+def to_records(df: DataFrame) -> DataFrame:
+    """Each row as one JSON text (``value``); times keep their microseconds, nulls are left out."""
+    return df.select(F.to_json(F.struct("*"), {"timestampFormat": TIMES, "timestampNTZFormat": TIMES_NTZ}).alias("value"))
+
+
+def from_records(records: DataFrame, schema: StructType | str) -> DataFrame:
+    """The rows of :func:`to_records`; a field that is missing is null, one that the schema lacks is ignored."""
+    return records.select(F.from_json("value", schema, {"timestampFormat": TIMES, "timestampNTZFormat": TIMES_NTZ}).alias("r")).select("r.*")
+
 
 @dataclass
 class State:
@@ -27,6 +44,27 @@ class State:
     reports: DataFrame | None = None
     notes: list[str] = field(default_factory=list)
 
+    def save(self, folder: str, cycle: int) -> None:
+        """Store the state as cycle number ``cycle``. Its entry in the log comes last, so a broken save is as none."""
+        held = {n: getattr(self, n) for n in FRAMES if getattr(self, n) is not None}
+        for name, df in held.items():
+            df.write.mode("overwrite").parquet(f"{folder}/cycle-{cycle}/{name}")
+        spark = SparkSession.getActiveSession()
+        log = spark.createDataFrame([(cycle, self.status, self.notes, sorted(held))], LOG)
+        log.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> State:
+        """The state of the last cycle stored, or an empty one if the log has no entry."""
+        try:
+            last = spark.read.schema(LOG).parquet(f"{folder}/log").orderBy(F.desc("cycle")).first()
+        except AnalysisException:  # no log yet
+            last = None
+        if last is None:
+            return State()
+        frames = {n: spark.read.parquet(f"{folder}/cycle-{last.cycle}/{n}") for n in last.frames}
+        return State(**frames, status=last.status, notes=list(last.notes))
+
 
 def run_cycle(spark: SparkSession, project: Project, raw: dict[str, DataFrame], state: State, flag: PauseFlag | None = None) -> State:
     """Detect on the raw tables and tests, then score. Paused projects are left as they are.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,12 +46,12 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, _ = market_graph(spark, sf_dir)
-    return g.dependent_models(spark, graph, graph["graph_nodes"].filter("label = 'Source'").select(F.col("unique_id").alias("id")))
+    return g.dependent_models(graph, graph["graph_nodes"].filter("label = 'Source'").select(F.col("unique_id").alias("id")))
 
 
 def upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, _ = market_graph(spark, sf_dir)
-    return g.dependent_models(spark, graph, graph["graph_nodes"].filter("layer = 'marts'").select(F.col("unique_id").alias("id")), upstream=True)
+    return g.dependent_models(graph, graph["graph_nodes"].filter("layer = 'marts'").select(F.col("unique_id").alias("id")), upstream=True)
 
 
 def exposure_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +61,8 @@ def exposure_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exposure_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, _ = market_graph(spark, sf_dir)
-    paths = g.paths_to_exposures(spark, graph, graph["graph_nodes"].select(F.col("unique_id").alias("id")))
-    return g.nearest_exposure(paths).select(F.col("origin").alias("node"), "distance")
+    reached = g.reached_exposures(graph, graph["graph_nodes"].select(F.col("unique_id").alias("id")))
+    return g.nearest_exposure(reached).select(F.col("origin").alias("node"), "distance")
 
 
 def fan_outs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,18 +120,24 @@ def blast_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"base_score": F.round("base_score", 6), "score": F.round("score", 6)})
 
 
-def impact_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, frames = market_graph(spark, sf_dir)
     return impact.report(spark, graph, lineage.column_lineage(spark, project, frames), _events(spark))
 
 
+def impact_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports(spark, sf_dir)
+    return rows.select("event_id", "origin", "risk_level", "n_affected", "n_gaps", F.array_join("top_nodes", ",").alias("top_nodes"), "n_pruned", F.array_join("exposures", ",").alias("exposures"),
+                       F.array_join(F.transform("actions", lambda a: a["type"]), ",").alias("actions"), "model_id")
+
+
 def unknown_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.unknown(market_graph(spark, sf_dir)[0], _events(spark))
 
 
 def node_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, _ = market_graph(spark, sf_dir)
-    below = g.dependent_models(spark, graph, _roots(spark, START)).select("node", F.lit(False).alias("is_root"))
+    below = g.dependent_models(graph, _roots(spark, START)).select("node", F.lit(False).alias("is_root"))
     return impact.lanes(graph, below.unionByName(_roots(spark, START).select(F.col("id").alias("node"), F.lit(True).alias("is_root"))))
 
 
@@ -147,7 +151,7 @@ def _risk_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("p_partkey") % 6 > 0, F.col("p_partkey") % 6).alias("distance"),
                     F.element_at(F.array(*map(F.lit, ("view", "table", "incremental", "seed"))), (F.col("p_size") % 4 + 1).cast("int")).alias("materialized"),
                     kind.alias("event_type"), F.element_at(F.array(*map(F.lit, risk.SEVERITY)), (F.col("p_partkey") % 4 + 1).cast("int")).alias("severity"),
-                    (F.col("p_size") % 3 / 2.0).alias("confidence"), (F.col("p_partkey") % 7).alias("hops"), (F.col("p_partkey") % 2 == 0).alias("urgent"))
+                    (F.col("p_size") % 5 / 2.0 - 0.5).alias("confidence"), (F.col("p_partkey") % 9 - 2).alias("hops"), (F.col("p_partkey") % 2 == 0).alias("urgent"))
 
 
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,10 +176,10 @@ def _pick(values: tuple[str, ...], index: str) -> str:
 RISK_SQL = f"""
 with i as (select p_partkey, p_size % 5 / 4.0 as coverage, p_partkey % 14 as fan_out, case when p_partkey % 6 > 0 then p_partkey % 6 end as distance,
         {_pick(('view', 'table', 'incremental', 'seed'), 'p_size % 4')} as materialized, {_pick(_KINDS, f'p_partkey % {len(_KINDS)}')} as event_type,
-        {_pick(tuple(risk.SEVERITY), 'p_partkey % 4')} as severity, p_size % 3 / 2.0 as confidence, p_partkey % 7 as hops, p_partkey % 2 = 0 as urgent from part),
+        {_pick(tuple(risk.SEVERITY), 'p_partkey % 4')} as severity, p_size % 5 / 2.0 - 0.5 as confidence, p_partkey % 9 - 2 as hops, p_partkey % 2 = 0 as urgent from part),
 b as (select *, least(((1.0 - coverage)::double * 0.30 + least(fan_out / 10.0::double, 1.0) * 0.25 + coalesce(1.0::double / (distance + 1), 0) * 0.25
         + {_case('materialized', risk.MATERIALIZED, 0.5)}::double * 0.20) * {_case('event_type', risk.ANOMALY, 1.0)}::double, 1.0) as base from i),
-s as (select *, round(least(base * {_case('severity', risk.SEVERITY, 1.0)}::double * (0.7 + 0.3 * confidence::double) / (1.0::double + 0.05::double * hops)
+s as (select *, round(least(base * {_case('severity', risk.SEVERITY, 1.0)}::double * (0.7 + 0.3 * least(greatest(confidence::double, 0), 1)) / (1.0::double + 0.05::double * greatest(hops, 0))
         * case when urgent then 1.15::double else 1.0 end, 1.0), 9) as score from b),
 l as (select *, case when score >= 0.85 then 'critical' when score >= 0.60 then 'high' when score >= 0.30 then 'medium' else 'low' end as risk_level from s)
 select p_partkey, round(base, 9) as base, score, risk_level, 'log:planned' || case when risk_level <> 'low' then ',slack_alert:planned' else '' end
@@ -256,21 +260,143 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EXECUTIONS_SQL = f"""
-with a as (select p_partkey, p_size, {_pick(tuple(risk.PRIORITY), 'p_partkey % 4')} as action from part where p_partkey <= 400)
+with a as (select p_partkey, p_size, {_pick(tuple(risk.PRIORITY), 'p_partkey % 4')} as action from part)
 select p_partkey, action, case when action <> 'log' and p_size % 5 = 0 then 'suppressed_duplicate' when action <> 'log' and p_size % 3 = 0 then 'pending_approval'
        when action = 'github_pr' and p_size % 2 = 1 then 'no_fix_sql' else 'executed' end as outcome,
        case action when 'log' then 0 when 'github_pr' then 1 when 'slack_alert' then 2 else 3 end as step from a"""
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    text = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
-    return f"(select * from (values {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names}))"
-
-
-def _reach(edges: list[tuple], roots: str, upstream: bool = False) -> str:
+#: The warehouse's graph by hand: name, label, layer, how it is built, priority of an exposure, and its direct inputs.
+GRAPH = """
+coingecko_coins_markets Source - - - -
+coingecko_coins_detail Source - - - -
+coingecko_exchanges Source - - - -
+defi_llama_protocols Source - - - -
+defi_llama_yields_pools Source - - - -
+etherscan_eth_transactions Source - - - -
+etherscan_token_transfers Source - - - -
+stg_coingecko__coins_markets Model staging view - coingecko_coins_markets
+stg_coingecko__coins_detail Model staging view - coingecko_coins_detail
+stg_coingecko__exchanges Model staging view - coingecko_exchanges
+stg_defi_llama__protocols Model staging view - defi_llama_protocols
+stg_defi_llama__yields_pools Model staging view - defi_llama_yields_pools
+stg_etherscan__transactions Model staging view - etherscan_eth_transactions
+stg_etherscan__token_transfers Model staging view - etherscan_token_transfers
+int_token_profiles Model intermediate view - stg_coingecko__coins_markets,stg_coingecko__coins_detail,stg_defi_llama__protocols,stg_etherscan__token_transfers
+int_protocol_metrics Model intermediate view - stg_defi_llama__protocols,stg_defi_llama__yields_pools
+int_whale_activity Model intermediate view - stg_etherscan__transactions,stg_etherscan__token_transfers
+int_exchange_token_coverage Model intermediate view - stg_coingecko__exchanges,stg_coingecko__coins_markets
+fct_daily_token_metrics Model marts table - int_token_profiles,int_whale_activity
+fct_protocol_health Model marts table - int_protocol_metrics,int_token_profiles
+fct_whale_movements Model marts table - int_whale_activity,int_token_profiles
+dim_tokens Model marts table - stg_coingecko__coins_detail
+dim_protocols Model marts table - stg_defi_llama__protocols
+dim_exchanges Model marts table - stg_coingecko__exchanges
+defi_market_slack_bot Exposure - - high fct_daily_token_metrics,fct_protocol_health
+whale_alert_pipeline Exposure - - medium fct_whale_movements,dim_tokens
+"""
+#: How many columns of each model are tested, and by how many tests.
+TESTED = """
+stg_coingecko__coins_markets 2 3
+stg_coingecko__coins_detail 2 3
+stg_coingecko__exchanges 2 3
+stg_defi_llama__protocols 2 3
+stg_defi_llama__yields_pools 2 3
+stg_etherscan__transactions 2 3
+stg_etherscan__token_transfers 2 3
+int_token_profiles 1 3
+int_protocol_metrics 1 3
+int_whale_activity 1 2
+int_exchange_token_coverage 3 6
+fct_daily_token_metrics 1 2
+fct_protocol_health 1 3
+fct_whale_movements 1 3
+dim_tokens 1 3
+dim_protocols 1 2
+dim_exchanges 1 2
+"""
+#: What the graph queries are compared with: tables made of the two texts above, and recursions over sets of nodes, in the oracle's dialect.
+GRAPH_SQL = f"""lines as (select string_split(line, ' ') as f from (select unnest(string_split(trim('{GRAPH}', chr(10)), chr(10))) as line)),
+found as (select f[1] as name, f[2] as label, nullif(f[3], '-') as layer, nullif(f[4], '-') as materialized, nullif(f[5], '-') as priority, nullif(f[6], '-') as inputs,
+    case when f[2] = 'Source' then 'source.market.' || regexp_extract(f[1], '^(coingecko|defi_llama|etherscan)') || '.' || f[1] else lower(f[2]) || '.market.' || f[1] end as id from lines),
+steps as (select a.id as source_id, b.id as target_id, case when b.label = 'Exposure' then 'consumes' when a.label = 'Source' then 'source' else 'ref' end as edge_type
+    from (select id, label, unnest(string_split(inputs, ',')) as parent from found) b join found a on a.name = b.parent)"""
+
+
+def _within(kinds: str, upstream: bool = False) -> str:
+    """``hops(origin, node, depth)``: sets of nodes that are reached in as many hops, from every node."""
     start, goal = ("target_id", "source_id") if upstream else ("source_id", "target_id")
-    body = g.reach_sql("edges", start, goal, "roots").replace("array(", "list_value(").replace("array_contains", "list_contains").replace("concat(path", "list_concat(path")
-    return f"with recursive edges as {_values([e[:3] for e in edges], 'source_id, target_id, edge_type')}, roots as ({roots}), {body}"
+    return f"""{GRAPH_SQL}, hops(origin, node, depth) as (select {start}, {goal}, 1 from steps where edge_type in ({kinds})
+        union select origin, {goal}, depth + 1 from hops join steps on {start} = node where edge_type in ({kinds}) and depth < 15),
+        nearest as (select origin, node, min(depth) as depth from hops group by 1, 2)"""
+
+
+INNER, EVERY = "'ref', 'source'", "'ref', 'source', 'consumes'"
+#: For each event of ``blast_radius`` the nodes it touches: event, node, hops, confidence, whether pruned.
+BLAST = """
+1 coingecko_coins_markets 0 0.5 n
+1 stg_coingecko__coins_markets 1 0.5 n
+1 int_token_profiles 2 0.5 n
+1 fct_daily_token_metrics 3 0.5 n
+1 fct_protocol_health 3 0.5 n
+1 int_exchange_token_coverage - - y
+1 fct_whale_movements - - y
+2 defi_llama_yields_pools 0 1.0 n
+2 stg_defi_llama__yields_pools 1 1.0 n
+2 int_protocol_metrics 1 1.0 n
+2 fct_protocol_health 1 1.0 n
+3 int_whale_activity 0 1.0 n
+3 fct_daily_token_metrics 1 1.0 n
+3 fct_whale_movements 1 1.0 n
+5 coingecko_coins_markets 0 1.0 n
+5 stg_coingecko__coins_markets - 1.0 n
+5 int_token_profiles - 1.0 n
+5 int_exchange_token_coverage - 1.0 n
+5 fct_daily_token_metrics - 1.0 n
+5 fct_protocol_health - 1.0 n
+5 fct_whale_movements - 1.0 n
+5 stg_coingecko__coins_markets - - y
+5 int_token_profiles - - y
+5 int_exchange_token_coverage - - y
+5 fct_daily_token_metrics - - y
+5 fct_protocol_health - - y
+5 fct_whale_movements - - y
+"""
+#: Columns of each node that the events touch.
+WIDTHS = """
+coingecko_coins_markets 13
+stg_coingecko__coins_markets 10
+int_token_profiles 21
+fct_daily_token_metrics 15
+fct_protocol_health 13
+stg_defi_llama__yields_pools 9
+int_protocol_metrics 10
+int_whale_activity 4
+fct_whale_movements 7
+int_exchange_token_coverage 8
+"""
+BLAST_SQL = f"""blast as (select f[1]::int as event_id, f[2] as name, try_cast(nullif(f[3], '-') as int) as hops, try_cast(nullif(f[4], '-') as double) as confidence, f[5] = 'y' as pruned
+    from (select string_split(line, ' ') as f from (select unnest(string_split(trim('{BLAST}', chr(10)), chr(10))) as line))),
+wide as (select f[1] as name, f[2]::int as n_columns from (select string_split(line, ' ') as f from (select unnest(string_split(trim('{WIDTHS}', chr(10)), chr(10))) as line))),
+tested as (select f[1] as name, f[2]::int as n_tested from (select string_split(line, ' ') as f from (select unnest(string_split(trim('{TESTED}', chr(10)), chr(10))) as line))),
+happened as (select * from (values (1, 'coingecko_coins_markets', 'column_removed', 1.25, 1.3), (2, 'defi_llama_yields_pools', 'row_count_drop', 1.1, 0.9), (3, 'int_whale_activity', 'test_failure', 0.95, 1.0),
+    (5, 'coingecko_coins_markets', 'column_added', 0.85, 0.3)) t(event_id, root, event_type, severe, kind)),
+facts as (select b.*, h.event_type, h.severe, h.kind, r.id as origin, n.id as node, n.materialized, coalesce(coalesce(t.n_tested, 0) / w.n_columns, 0) as coverage,
+        (select count(distinct target_id) from steps where source_id = n.id and edge_type <> 'consumes') as fan_out,
+        (select min(depth) from nearest x join found e on e.id = x.node and e.label = 'Exposure' where x.origin = n.id) as distance,
+        exists (select 1 from nearest x join found e on e.id = x.node and e.priority = 'high' where x.origin = r.id) as urgent
+    from blast b join happened h using (event_id) join found r on r.name = h.root join found n on n.name = b.name left join tested t on t.name = b.name left join wide w on w.name = b.name),
+based as (select *, least(((1 - coverage) * 0.30 + least(fan_out / 10, 1) * 0.25 + coalesce(1 / (distance + 1), 0) * 0.25 + case materialized when 'view' then 1.0 when 'table' then 0.7 else 0.5 end * 0.20) * kind, 1.0) as base from facts where not pruned),
+final as (select *, least(base * severe * (0.7 + 0.3 * confidence) / (1 + 0.05 * coalesce(hops, 0)) * case when urgent then 1.15 else 1.0 end, 1.0) as final_score from based)"""
+REPORT_SQL = f"""with recursive {_within(EVERY)}, {BLAST_SQL},
+per as (select event_id, any_value(event_type) as event_type, any_value(origin) as origin, max(final_score) as top, count(*) as n_affected, count(*) filter (where coverage < 0.5) as n_gaps,
+    array_to_string((array_agg(node order by final_score desc, node))[1:5], ',') as top_nodes from final group by 1),
+leveled as (select *, case when top >= 0.85 then 'critical' when top >= 0.60 then 'high' when top >= 0.30 then 'medium' else 'low' end as risk_level from per)
+select event_id, origin, risk_level, n_affected, n_gaps, top_nodes, (select count(distinct name) from blast b where b.event_id = l.event_id and pruned) as n_pruned,
+    (select string_agg(e.name, ',' order by e.name) from nearest x join found e on e.id = x.node and e.label = 'Exposure' where x.origin = l.origin) as exposures,
+    'log' || case when risk_level <> 'low' then ',slack_alert' else '' end || case when risk_level in ('high', 'critical') and event_type in ('column_added', 'column_removed', 'type_changed', 'nullability_changed') then ',github_pr' else '' end as actions,
+    case event_id when 1 then 'model.market.stg_coingecko__coins_markets' when 2 then 'model.market.stg_defi_llama__yields_pools' when 5 then 'model.market.stg_coingecko__coins_markets' end as model_id
+from leveled l"""
 
 
 def queries() -> dict:
@@ -279,36 +405,33 @@ def queries() -> dict:
         price_origin, blast_radius, blast_scores, impact_reports, unknown_nodes, node_lanes, risk_scores, sessions, duplicates, incident_memory, risk_calibration, executions)}
 
 
-@functools.cache
 def oracle_sql() -> dict[str, str]:
-    nodes, edges, tests = g.node_rows(project), g.edge_rows(project), g.test_rows(project)
-    names = "unique_id, name, label, layer, materialized, description, row_count, priority, maturity, exposure_type"
-    inner = [e for e in edges if e[2] != "consumes"]
-    ids = lambda label, key=2: " union all ".join(f"select '{n[0]}' as id" for n in nodes if n[key] == label)
-    shown = _values([(n[0], n[1], n[7]) for n in nodes if n[2] == "Exposure"], "id, exposure, priority")
-    price = [(f"{a}.{b}", f"{c}.{d}", s) for a, b, c, d, s in _edges()]
-    trail = lambda start, goal: f"""with recursive edges as {_values(price, 'u, d, s')}, reach(node, depth, path, confidence) as (
-        select {goal}, 1, {start} || '>' || {goal}, s from edges where {start} = '{{root}}'
+    price = ", ".join(f"('{a}.{b}', '{c}.{d}', {s})" for a, b, c, d, s in _edges())
+    trail = lambda start, goal, root: f"""with recursive edges(u, d, s) as (values {price}), reach(node, depth, path, confidence) as (
+        select {goal}, 1, {start} || '>' || {goal}, s from edges where {start} = '{root}'
         union all select {goal}, depth + 1, path || '>' || {goal}, least(confidence, s) from reach join edges on {start} = node)"""
     goal = f"{project.node_id('fct_protocol_health')}.governance_token_price_usd"
-    whale = next(n for n in nodes if n[1] == "whale_alert_pipeline")
-    found = [(k.strip(), v) for k, v in zip(names.split(","), whale, strict=True) if v]
-    broken = _reach(inner, f"select '{START}' as id")
     return {
-        "graph_nodes": f"select unique_id, name, label, layer, materialized, priority from {_values(nodes, names)}",
-        "graph_edges": f"select distinct * from {_values(edges, 'source_id, target_id, edge_type')}",
-        "downstream": _reach(inner, ids("Source")) + " select origin, node, min(depth) as depth from reach group by 1, 2",
-        "upstream": _reach(inner, ids("marts", 3), upstream=True) + " select origin, node, min(depth) as depth from reach group by 1, 2",
-        "exposure_paths": _reach(edges, f"select '{START}' as id") + f" select exposure, priority, depth, array_to_string(path, '>') as path from reach join {shown} x on x.id = node",
-        "exposure_distance": _reach(edges, " union all ".join(f"select '{n[0]}' as id" for n in nodes)) + f" select origin as node, min(depth) as distance from reach join {shown} x on x.id = node group by 1",
-        "fan_outs": f"select source_id as node, count(distinct target_id) as fan_out from {_values(inner, 'source_id, target_id, edge_type')} group by 1",
-        "column_tests": f"select target_id as node, count(distinct c) as n_tested, count(*) as n_tests from {_values(tests, 'test_id, target_id, c, k')} where c is not null group by 1",
-        "node_properties": f"select '{whale[0]}' as unique_id, property, value from {_values(found, 'property, value')}",
-        "test_owner": f"select test_id, target_id as model_id from {_values(tests, 'test_id, target_id, c, k')} where test_id = 'test.market.unique_dim_tokens_coin_id'",
-        "price_lineage": trail("u", "d").replace("{root}", f"{START}.current_price") + " select node, depth, confidence::double as confidence, path from reach",
-        "price_origin": trail("d", "u").replace("{root}", goal) + " select node, depth, confidence::double as confidence from reach",
+        "graph_nodes": f"with {GRAPH_SQL} select id as unique_id, name, label, layer, materialized, priority from found",
+        "graph_edges": f"with {GRAPH_SQL} select * from steps",
+        "downstream": f"with recursive {_within(INNER)} select origin, node, depth from nearest join found on id = origin where label = 'Source'",
+        "upstream": f"with recursive {_within(INNER, True)} select origin, node, depth from nearest join found on id = origin where layer = 'marts'",
+        "exposure_paths": f"""with recursive {GRAPH_SQL}, trails(node, depth, path) as (select '{START}', 0, '{START}'
+            union all select target_id, depth + 1, path || '>' || target_id from trails join steps on source_id = node)
+            select name as exposure, priority, depth, path from trails join found on id = node where label = 'Exposure'""",
+        "exposure_distance": f"with recursive {_within(EVERY)} select origin as node, min(depth) as distance from nearest join found on id = node where label = 'Exposure' group by 1",
+        "fan_outs": f"with {GRAPH_SQL} select source_id as node, count(distinct target_id) as fan_out from steps where edge_type <> 'consumes' group by 1",
+        "column_tests": f"""with {GRAPH_SQL}, tested as (select string_split(line, ' ') as f from (select unnest(string_split(trim('{TESTED}', chr(10)), chr(10))) as line))
+            select id as node, f[2]::int as n_tested, f[3]::int as n_tests from tested join found on name = f[1]""",
+        "node_properties": """select 'exposure.market.whale_alert_pipeline' as unique_id, property, value from (values ('unique_id', 'exposure.market.whale_alert_pipeline'), ('name', 'whale_alert_pipeline'),
+            ('label', 'Exposure'), ('priority', 'medium'), ('maturity', 'medium'), ('exposure_type', 'ml')) t(property, value)""",
+        "test_owner": "select 'test.market.unique_dim_tokens_coin_id' as test_id, 'model.market.dim_tokens' as model_id",
+        "price_lineage": trail("u", "d", f"{START}.current_price") + " select node, depth, confidence::double as confidence, path from reach",
+        "price_origin": trail("d", "u", goal) + " select node, depth, confidence::double as confidence from reach",
         "unknown_nodes": "select 4 as event_id, 'model.market.nothing' as node_id, 'node not found' as error, 'low' as risk_level",
-        "node_lanes": f"""{broken} select unique_id as node, name, label, layer, case when unique_id = '{START}' then 'root' when unique_id in (select node from reach) then 'broken' else 'healthy' end as status
-            from {_values(nodes, names)}""",
+        "node_lanes": f"""with recursive {_within(INNER)} select id as node, name, label, layer, case when id = '{START}' then 'root' when id in (select node from nearest where origin = '{START}') then 'broken' else 'healthy' end as status from found""",
+        "blast_radius": f"""with recursive {_within(EVERY)}, {BLAST_SQL} select event_id, origin, node, hops, confidence, pruned from facts""",
+        "blast_scores": f"""with recursive {_within(EVERY)}, {BLAST_SQL} select event_id, event_type, origin, node, coverage, fan_out, distance, hops, confidence, round(base, 6) as base_score, round(final_score, 6) as score from final""",
+        "impact_reports": REPORT_SQL,
         "risk_scores": RISK_SQL, "sessions": SESSIONS_SQL, "duplicates": DUPLICATES_SQL, "incident_memory": MEMORY_SQL, "risk_calibration": CALIBRATION_SQL, "executions": EXECUTIONS_SQL,
     }

@@ -7,11 +7,14 @@ column lineage its boundaries; only models marked ``table`` are written.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.session import materialized
+
 
 @dataclass(frozen=True)
 class Source:
@@ -81,13 +84,19 @@ class Project:
             return f"source.{self.name}.{self.sources[name].group}.{name}"
         return f"{'exposure' if name in self.exposures else 'model'}.{self.name}.{name}"
 
-    def build(self, spark: SparkSession, raw: dict[str, DataFrame], only: set[str] | None = None) -> dict[str, DataFrame]:
-        """Frames of all sources and models (or of ``only`` and what they need), each a temporary view of its name."""
+    def build(self, spark: SparkSession, raw: dict[str, DataFrame], only: set[str] | None = None, share: bool = False) -> dict[str, DataFrame]:
+        """Frames of all sources and models (or of ``only`` and what they need), each a temporary view of its name.
+
+        With ``share``, an intermediate model that several others read is computed once and written to the shared folder.
+        """
         frames: dict[str, DataFrame] = {}
+        readers = Counter(i for m in self.models.values() for i in m.inputs)
 
         def frame(name: str) -> DataFrame:
             if name not in frames:
                 made = raw[name] if name in self.sources else self.models[name].build(*[frame(i) for i in self.models[name].inputs])
+                if share and name in self.models and self.models[name].layer == "intermediate" and readers[name] > 1:
+                    made = materialized(made, name)
                 made.createOrReplaceTempView(name)
                 frames[name] = spark.table(name)
             return frames[name]
@@ -96,8 +105,9 @@ class Project:
             frame(name)
         return frames
 
-    def write(self, frames: dict[str, DataFrame], folder: str) -> list[str]:
-        """Write every model marked ``table`` under ``folder``; the names written."""
+    def write(self, spark: SparkSession, raw: dict[str, DataFrame], folder: str) -> list[str]:
+        """Build, and write every model marked ``table`` under ``folder``; the names written. What several read is computed once."""
+        frames = self.build(spark, raw, share=True)
         done = [m.name for m in self.models.values() if m.materialized == "table" and m.name in frames]
         for name in done:
             frames[name].write.mode("overwrite").parquet(f"{folder}/{name}")

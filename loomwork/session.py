@@ -32,15 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialized(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the folder that spark.checkpoint.dir names (our own only where it is unset) and read it back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, which all executors see; in our own folder only where it is unset, in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="loomwork-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
         folder = Path(_OWN[0]).as_uri()
-    path = f"{folder.rstrip('/')}/loomwork/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/loomwork/{label}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it back."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ import json
 import time
 from collections.abc import Callable, Iterable
 from datetime import UTC, datetime
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,6 +131,18 @@ def seed(spark: SparkSession, fetchers: dict[str, Callable[[], list[Record]]], f
     return {"tables_synced": sorted(written), "rows": sum(written.values())}
 
 
+def save_samples(fetchers: dict[str, Callable[[], list[Record]]], folder: str, sizes: dict[str, int]) -> dict[str, int]:
+    """Fetch each source once and keep its first records as ``folder/<name>.json``, for tests without a network; how many of each.
+
+    All are fetched before any is written.
+    """
+    kept = {name: fetch()[: sizes.get(name, 5)] for name, fetch in fetchers.items()}
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for name, rows in kept.items():
+        Path(folder, f"{name}.json").write_text(json.dumps(rows, indent=2))
+    return {name: len(rows) for name, rows in kept.items()}
+
+
 def probe(frames: dict[str, DataFrame]) -> tuple[str, bool]:
     """A Markdown table of row counts and columns, and whether every table has rows."""
     lines, full = ["| table | rows | columns |", "|---|---|---|"], True

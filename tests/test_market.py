@@ -78,6 +78,6 @@ def test_plans_push_filters_and_prune_columns(spark):
     assert "ReadSchema: struct<p_partkey" in plan and "p_retailprice" not in plan
 
 
-def test_marts_are_written(spark, frames, tmp_path):
-    assert len(project.write(frames, str(tmp_path))) == 6
+def test_marts_are_written(spark, tmp_path):
+    assert len(project.write(spark, raw(spark), str(tmp_path))) == 6
     assert spark.read.parquet(f"{tmp_path}/dim_tokens").count() == 1

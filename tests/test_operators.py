@@ -1,5 +1,6 @@
 """Detectors, lineage, risk, impact, incidents and streaming on small inputs."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -86,7 +87,7 @@ def test_blast_radius_goldens(spark):
     rows = {r.node.split(".")[-1]: r for r in q.blast_scores(spark, SF).filter("event_id = 1").collect()}
     golden = {"coingecko_coins_markets": 0.754508, "stg_coingecko__coins_markets": 0.835821, "int_token_profiles": 0.930027, "fct_daily_token_metrics": 0.752781, "fct_protocol_health": 0.748531}
     assert {k: r.score for k, r in rows.items()} == pytest.approx(golden, abs=1e-6)
-    reports = {r.event_id: r for r in q.impact_reports(spark, SF).collect()}
+    reports = {r.event_id: r for r in q.reports(spark, SF).collect()}
     assert reports[1].risk_level == "critical" and reports[1].n_pruned == 2 and reports[1].exposures == ["defi_market_slack_bot", "whale_alert_pipeline"]
     assert 4 not in reports and reports[5].n_pruned == 6
 
@@ -141,3 +142,71 @@ def test_cycle_reports_each_change_once(spark, tmp_path):
     assert sorted(r.event_type for r in run_cycle(spark, project, tables, second, flag).events.collect()) == ["test_failure"]
     flag.pause("by hand")
     assert run_cycle(spark, project, tables, second, flag).status == "paused"
+
+
+def test_state_survives_a_restart(spark, tmp_path):
+    tables, folder = raw(spark), str(tmp_path / "state")
+    assert State.load(spark, folder).status == "never"
+    first = run_cycle(spark, project, tables, State.load(spark, folder))
+    first.save(folder, 1)
+    held = State.load(spark, folder)
+    assert (held.status, held.notes) == ("ok", []) and held.columns.count() == first.columns.count()
+    tables["coingecko_exchanges"] = tables["coingecko_exchanges"].withColumn("extra", F.lit("x"))
+    second = run_cycle(spark, project, tables, held)
+    assert sorted(r.event_type for r in second.events.collect()) == ["column_added", "test_failure"]
+    second.save(folder, 2)
+    again = State.load(spark, folder)
+    assert {tuple(r) for r in again.reports.select("event_id", "risk_level").collect()} == {tuple(r) for r in second.reports.select("event_id", "risk_level").collect()}
+
+
+def test_reachable_in_a_ladder_of_diamonds(spark):
+    """2 ** 7 trails lead to the last node; a frontier sees each node once."""
+    edges = [(f"{i}", f"{i}{s}", "ref") for i in range(7) for s in "ab"] + [(f"{i}{s}", f"{i + 1}", "ref") for i in range(7) for s in "ab"] + [("7", "0", "ref")]
+    df = spark.createDataFrame(edges, graph.EDGES)
+    found = {r.node: r.depth for r in graph.reachable(df, spark.createDataFrame([("0",)], "id string")).collect()}
+    assert found == {f"{i}{s}": 2 * i + 1 for i in range(7) for s in "ab"} | {str(i): 2 * i for i in range(1, 8)}
+    back = graph.reachable(df, spark.createDataFrame([("7",)], "id string"), upstream=True)
+    assert back.filter("node = '0'").first().depth == 14
+
+
+def test_payload_holds_the_summary(spark):
+    rows = q.reports(spark, SF)
+    texts = {r.event_id: json.loads(r.payload) for r in impact.payload(rows, q._events(spark)).collect()}
+    one = texts[1]
+    assert one["event"] == {"event_type": "column_removed", "severity": "critical", "node_id": q.START, "column_name": "current_price"}
+    assert (one["affected"], one["pruned"], one["risk_level"], one["actions"]) == (5, 2, "critical", ["log", "slack_alert", "github_pr"])
+    assert {e["exposure"]: (e["priority"], e["depth"]) for e in one["exposures"]} == {"defi_market_slack_bot": ("high", 4), "whale_alert_pipeline": ("medium", 4)}
+    assert len(one["top_risk_nodes"]) == 5 and all(g["coverage"] < 0.5 for g in one["coverage_gaps"]) and 4 not in texts
+
+
+def test_drafts_that_do_not_parse_drop_the_pull_request(spark):
+    rows = q.reports(spark, SF).filter("event_id = 1")
+    for sql, left in (("select 1", True), ("selekt from", False)):
+        out = impact.with_fixes(spark, rows, spark.createDataFrame([(1, sql)], "event_id int, fix_sql string")).first()
+        assert ("github_pr" in [a["type"] for a in out.actions]) is left and (out.fix_sql == sql) is left
+    none = impact.with_fixes(spark, rows, spark.createDataFrame([], "event_id int, fix_sql string")).first()
+    assert "github_pr" not in [a["type"] for a in none.actions] and none.model_id == "model.market.stg_coingecko__coins_markets"
+
+
+def test_newest_risk_of_equal_times_is_the_higher(spark):
+    row = lambda risk: ("k", 1, T0, T0, risk, "n", "t", None)
+    schema_ = "incident string, n long, first_seen timestamp, last_seen timestamp, last_risk string, node_id string, event_type string, column_name string"
+    for pair in (("low", "high"), ("high", "low")):
+        one, two = (spark.createDataFrame([row(r)], schema_) for r in pair)
+        assert incidents.merge(one, two).first().last_risk == "high"
+
+
+def test_session_stream_agrees_with_batch(spark, tmp_path):
+    batch = feed(spark, ("n", 0, "warning"), ("n", 2, "critical"), ("n", 16, "info"), ("n", 150, "info"), ("m", 1, "error"), ("m", 400, "info"))
+    batch.write.parquet(f"{tmp_path}/in")
+    late = feed(spark, ("z", 5000, "info"))
+    read = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 100).parquet(f"{tmp_path}/in")
+    run = streams.sessions(read).writeStream.format("memory").queryName("found").option("checkpointLocation", f"{tmp_path}/c").start()
+    run.processAllAvailable()
+    for i in range(2):  # later events move the watermark past the sessions
+        late.withColumn("detected_at", F.col("detected_at") + F.expr(f"interval {i} day")).write.mode("append").parquet(f"{tmp_path}/in")
+        run.processAllAvailable()
+    run.stop()
+    ours = sorted(r.n_events for r in spark.table("found").filter("node_id <> 'z'").collect())
+    theirs = sorted(r["count"] for r in incidents.correlate(batch).groupBy("node_id", "session").count().collect())
+    assert ours == theirs

@@ -1,9 +1,13 @@
 """Records, raw tables and state files."""
 
+import json
+
 import pytest
 
 from loomwork.functions.columns import quote
-from loomwork.sources import records, stores
+from loomwork.operators import graph
+from loomwork.plans import operation_queries
+from loomwork.sources import artifacts, records, stores
 
 
 def test_values_become_text():
@@ -72,3 +76,28 @@ def test_state_files(spark, tmp_path):
     assert stores.artifact(spark, str(path)).count() >= 1
     path.write_text("{damaged")
     assert stores.read_json(path, "default") == "default"
+
+
+def test_samples_are_kept_once_all_are_fetched(tmp_path):
+    rows = [{"id": i, "n": {"x": None}} for i in range(9)]
+    assert records.save_samples({"a": lambda: rows, "b": lambda: rows[:2]}, str(tmp_path / "s"), {"a": 3}) == {"a": 3, "b": 2}
+    assert json.loads((tmp_path / "s" / "a.json").read_text()) == rows[:3]
+
+    def broken():
+        raise records.NotAvailable
+
+    with pytest.raises(records.NotAvailable):
+        records.save_samples({"a": lambda: rows, "c": broken}, str(tmp_path / "t"), {})
+    assert not (tmp_path / "t").exists()
+
+
+def test_artifacts_are_read_from_files(spark, tmp_path):
+    (tmp_path / "m.json").write_text(operation_queries.MANIFEST)
+    (tmp_path / "c.json").write_text("{}")
+    tables = artifacts.graph_tables(artifacts.document(spark, f"{tmp_path}/m.json"), artifacts.document(spark, f"{tmp_path}/c.json"))
+    assert tables["graph_nodes"].count() == 7 and tables["graph_nodes"].filter("row_count is not null").isEmpty()
+    assert {r.data_type for r in tables["graph_columns"].filter("column_name = 'order_id'").collect()} == {"string"}
+    empty = spark.createDataFrame([("{}",)], "value string")
+    assert all(df.isEmpty() for df in artifacts.graph_tables(empty, empty).values())
+    models = graph.dependent_models(tables, spark.createDataFrame([("seed.shop.codes",)], "id string"))
+    assert {r.node: r.depth for r in models.collect()} == {"model.shop.stg_orders": 1, "model.shop.fct_sales": 2, "snapshot.shop.old_orders": 2}

@@ -1,7 +1,8 @@
 """Substring dedup with Rabin-Karp hashes of fixed-length word windows.
 
 Every window of ``width`` consecutive words gets a polynomial hash of its word
-hashes; a block of documents computes all of its windows with one running sum.
+hashes, and 16 bits of a second one by which windows of one hash are told apart;
+a block of documents computes all of its windows with running sums.
 A block keeps of each hash only its smallest document's windows (the others
 are marked at once), so a passage in very many documents travels at most once
 per block. Buckets of the hash space then find each hash's smallest document
@@ -24,6 +25,7 @@ from .blocks import apply_marks, blob_rows, by_bucket, doc_bucket, unpack, with_
 from .shared import columns, cut, fixed, mix64, parts_for, release, slices, text_bytes, words_of
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+CHECK = np.uint64(0xD6E8FEB86659FD93)
 BLOCK_WORDS = 1 << 21
 
 
@@ -48,6 +50,18 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix64((sums[width:] - sums[:-width]) * powers[: n - width + 1])
 
 
+def grouped(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, where a new window begins in it): equal windows have equal hashes and equal checks."""
+    order = np.argsort(hashes, kind="stable")
+    own, check = hashes[order], checks[order]
+    same = own[1:] == own[:-1]
+    if np.any(same & (check[1:] != check[:-1])):  # different windows of one hash: bring equal ones together
+        order = np.lexsort((checks, hashes))
+        own, check = hashes[order], checks[order]
+        same = (own[1:] == own[:-1]) & (check[1:] == check[:-1])
+    return order, np.r_[np.ones(min(1, len(order)), bool), ~same]
+
+
 def intervals(starts: np.ndarray, width: int) -> np.ndarray:
     """Maximal [begin, end) word intervals covered by windows at the ascending ``starts``."""
     gap = np.flatnonzero(np.diff(starts) > width)
@@ -63,22 +77,24 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         held.sort(key=lambda x: x[0])
         size = np.array([len(h) for *_, h in held], np.int64)
         ids, subs = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
-        hashes = window_hashes(np.concatenate([h for *_, h in held]), width)
+        words = np.concatenate([h for *_, h in held])
+        hashes = window_hashes(words, width)
+        checks = (window_hashes(mix64(words ^ CHECK), width) >> np.uint64(48)).astype(np.int64)
         owner = np.repeat(np.arange(len(held)), size)
         begin = size.cumsum() - size
         start = np.arange(len(owner)) - begin[owner]
         whole = (start <= size[owner] - width)[: len(hashes)]
-        hashes, owner, start = hashes[whole], owner[: len(whole)][whole], start[: len(whole)][whole]
-        order = np.argsort(hashes, kind="stable")  # documents ascend, so the smallest of a hash is first
-        hashes, owner, start = hashes[order], owner[order], start[order]
-        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
+        hashes, checks, owner, start = hashes[whole], checks[whole], owner[: len(whole)][whole], start[: len(whole)][whole]
+        order, fresh = grouped(hashes, checks)  # documents ascend, so the smallest of a window is first
+        hashes, checks, owner, start = hashes[order], checks[order], owner[order], start[order]
+        first = np.flatnonzero(fresh)
         low = np.repeat(ids[owner[first]], np.diff(np.r_[first, len(hashes)]))
         later = ids[owner] > low
         doc, sub, at = ids[owner[later]], subs[owner[later]], start[later]
         yield blob_rows(*by_bucket(doc_bucket(doc, sub, buckets), doc, sub, at), kind=1)
-        hashes, owner, start = hashes[~later], owner[~later], start[~later]
+        hashes, checks, owner, start = hashes[~later], checks[~later], owner[~later], start[~later]
         bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        yield blob_rows(*by_bucket(bucket, hashes.view(np.int64), ids[owner], subs[owner], start), kind=0)
+        yield blob_rows(*by_bucket(bucket, hashes.view(np.int64), checks, ids[owner], subs[owner], start), kind=0)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -102,17 +118,14 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 if kind == 1:
                     yield blob_rows([bucket], [blob])
                 else:
-                    held.setdefault(bucket, []).append(unpack(blob, 4))
+                    held.setdefault(bucket, []).append(unpack(blob, 5))
         for bucket in list(held):
-            hashes, doc, sub, start = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
-            order = np.argsort(hashes)
-            ordered = hashes[order]
-            same = ordered[1:] == ordered[:-1]
-            some = np.r_[same, False] | np.r_[False, same]
-            order, ordered = order[some], ordered[some]
+            hashes, checks, doc, sub, start = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
+            order, fresh = grouped(hashes, checks)
+            some = ~(fresh & np.r_[fresh[1:], True])  # windows that are not alone
+            order, first = order[some], np.flatnonzero(fresh[some])
             if not len(order):
                 continue
-            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
             owner = doc[order]
             low = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.r_[first, len(owner)]))
             later = order[owner > low]

@@ -342,6 +342,15 @@ def test_window_hashes_are_those_of_the_window_alone():
     assert len(set(whole[:50].tolist())) == 50 and (whole[:50] == whole[50:100]).all()
 
 
+def test_windows_of_one_hash_are_told_apart_by_the_second():
+    hashes, checks = np.array([5, 3, 5, 5, 3, 9, 5], np.uint64), np.array([1, 0, 2, 1, 0, 4, 2])
+    order, fresh = substrings.grouped(hashes, checks)
+    groups = [sorted(g.tolist()) for g in np.split(order, np.flatnonzero(fresh)[1:])]
+    assert groups == [[1, 4], [0, 3], [2, 6], [5]]
+    order, fresh = substrings.grouped(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    assert len(order) == len(fresh) == 0
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert simhash.near_duplicates(none).count() == lines.dedup_lines(none).count() == substrings.dedup_substrings(none).count() == lzprint.edit_likeness(none).count() == 0

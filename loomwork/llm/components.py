@@ -26,6 +26,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     state = cut(both.groupBy("a").agg(F.min("b").alias("m"))
                 .select(F.col("a").alias("v"), F.least("a", "m").alias("root")), "cc-state")
+    held = state
     for _ in range(rounds):
         parent = state.select(F.col("v").alias("p"), F.col("root").alias("grand"))
         grand = state.join(parent, state["root"] == parent["p"]).select("v", "root", "grand")
@@ -39,9 +40,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
                .join(state, "v").select("v", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")))
         new = cut(new, "cc-state")
         discard(grand)
-        discard(state)
+        discard(held)
         moved = new.filter("moved").limit(1).count()
-        state = new.select("v", "root")
+        state, held = new.select("v", "root"), new
         if not moved:
             return state
     raise RuntimeError(f"no fixed point after {rounds} rounds")

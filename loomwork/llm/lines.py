@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .blocks import apply_marks, blob_rows, by_bucket, doc_bucket, pack, unpack, with_sub
-from .shared import columns, cut, fixed, mix64, pack_texts, parts_for, release, slices, unpack_texts
+from .shared import cut, fixed, memory_scale, mix64, pack_texts, parts_for, release, slices, unpack_texts
 
 BLOCK_BYTES = 16 << 20
 STEP = 0x9E3779B97F4A7C15
@@ -91,6 +91,8 @@ def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, pairs
     A unit is twice the number of a chunk, or twice the first line of a pair, and one.
     """
 
+    most = BLOCK_BYTES * memory_scale(docs.sparkSession)
+
     def flush(seen: dict[bytes, Place], later: list[Place]) -> Iterator[pa.RecordBatch]:
         yield _mark_rows(later, buckets, kind=1)
         chunks = list(seen)
@@ -120,7 +122,7 @@ def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, pairs
                     for i, pair in line_pairs(text):
                         _keep_first(seen, pair, (doc, sub, 2 * i + 1), later)
                 total += len(text)
-                if total >= BLOCK_BYTES:
+                if total >= most:
                     yield from flush(seen, later)
                     seen, later, total = {}, [], 0
         if seen:
@@ -161,7 +163,7 @@ def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3, pairs: bool = F
     """
     docs = fixed(docs.drop(*[c for c in docs.columns if c.lower() in {"n_lines", "n_removed_lines"}]), "doc_id", "text")
     keyed = with_sub(docs)
-    buckets = parts_for(columns(docs, "doc_id", "text"))
+    buckets = parts_for(docs.select("doc_id", "text"))
     marks = cut(repeated_chunks(keyed, window, mean, buckets, pairs), "chunk-marks")
     release(docs.sparkSession)
     names = docs.columns

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/") + "/loomwork"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="loomwork-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -42,18 +47,22 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back (cuts lineage)."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[made] = path
+    return made
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`cut` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    root = shared_dir(spark)
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        if "/loomwork" in folder and root.rpartition("/")[2].split("-")[0] in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = _PATHS.pop(df, None)
+    if path:
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path made by :func:`new_path`, or what is below it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -76,10 +85,18 @@ def input_bytes(df: DataFrame) -> int:
     return sum(s for s in sizes if s < 1 << 55)
 
 
+def memory_scale(spark: SparkSession) -> int:
+    """How many times a GB an executor has for each of its cores (1 to 8): what tasks hold at a time grows with it."""
+    conf = spark.sparkContext.getConf()
+    size = conf.get("spark.executor.memory", "1g").lower()
+    gb = float(re.sub(r"[a-z]+$", "", size)) * {"k": 2.0**-20, "m": 2.0**-10, "g": 1.0, "t": 2.0**10}.get(size.rstrip("b")[-1:], 2.0**-30)
+    return int(min(8, max(1, gb // int(conf.get("spark.executor.cores", "1")))))
+
+
 def parts_for(df: DataFrame, mb: int = 10) -> int:
-    """Shuffle width: the session's, or more where ``df`` holds over ``mb`` MB per partition."""
+    """Shuffle width: the session's, or more where ``df`` holds over ``mb`` MB per partition (times :func:`memory_scale`)."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(width, -(-input_bytes(df) // (mb << 20)))
+    return max(width, -(-input_bytes(df) // (mb * memory_scale(df.sparkSession) << 20)))
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .blocks import apply_marks, blob_rows, by_bucket, doc_bucket, unpack, with_sub
-from .shared import columns, cut, fixed, mix64, parts_for, release, slices, text_bytes, words_of
+from .shared import cut, fixed, memory_scale, mix64, parts_for, release, slices, text_bytes, words_of
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 CHECK = np.uint64(0xD6E8FEB86659FD93)
@@ -73,6 +73,8 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
     ``docs`` has ``doc_id``, ``text`` and what ``with_sub`` adds.
     """
+    most = BLOCK_WORDS * memory_scale(docs.sparkSession)
+
     def flush(held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         held.sort(key=lambda x: x[0])
         size = np.array([len(h) for *_, h in held], np.int64)
@@ -105,7 +107,7 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     continue
                 held.append((doc, sub, word_hashes(words)))
                 total += len(words)
-                if total >= BLOCK_WORDS:
+                if total >= most:
                     yield from flush(held)
                     held, total = [], 0
         if held:
@@ -152,7 +154,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, keep_layout: bool = False
     """
     docs = fixed(docs.drop(*[c for c in docs.columns if c.lower() in {"n_words", "n_removed", "spans"}]), "doc_id", "text")
     keyed = with_sub(docs)
-    buckets = parts_for(columns(docs, "doc_id", "text"), 6)
+    buckets = parts_for(docs.select("doc_id", "text"), 6)
     marks = cut(repeated_windows(keyed, width, buckets), "window-marks")
     release(docs.sparkSession)
     names = docs.columns

@@ -29,6 +29,7 @@ FEATURES = 256
 BINS = 4096
 LOW, HIGH = -0.5, 1.5  # range of the raw scores in the histogram; outer ones count at its ends
 GROUPS = 64
+SENT_IDS = 2_000_000  # labelled ids that may go to every executor (16 MB and a hash table)
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "upper_share", "digit_share", "punctuation_share", "space_share", "other_share",
     "doubled_punctuation", "wordless_share", "shouted_share", "punctuated_share", "distinct_words", "adjacent_repeats",
@@ -258,8 +259,10 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     in case alone is renamed; an empty table gives an empty result.
     """
     docs = fixed(docs, "doc_id", "text")
-    truth = truths(labels)
-    model = fit(document_statistics(docs.select("doc_id", "text").join(truth.select("doc_id"), "doc_id", "left_semi")), labels)
+    ids = cut(truths(labels).select("doc_id"), "quality-ids")
+    if ids.count() <= SENT_IDS:  # else the texts are shuffled to their labels
+        ids = F.broadcast(ids)
+    model = fit(document_statistics(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")), labels)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""Rewrites that plant anomalies, always in the same rows. A rollback reads the source again."""
+"""Rewrites that plant anomalies, always in the same rows, and the way back."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import col, hash_sampled
+from loomwork.sources.records import write_raw
 
 
 def drop_column(df: DataFrame, column: str) -> DataFrame:
@@ -24,3 +25,8 @@ def drop_rows(df: DataFrame, share: float) -> DataFrame:
 def negate(df: DataFrame, column: str, share: float = 0.05) -> DataFrame:
     """A minus sign before the (string) values of a hash sample."""
     return df.withColumn(column, F.when(hash_sampled(df.columns[0], share), F.concat(F.lit("-"), col(column))).otherwise(col(column)))
+
+
+def rollback(source: DataFrame, path: str) -> bool:
+    """Replace the damaged raw table at ``path`` by the rows of its source; an empty source leaves it. Whether it wrote."""
+    return write_raw(source, path)

@@ -88,6 +88,11 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.column_lineage(spark, project, market_graph(spark, sf_dir)[1])
 
 
+def lineage_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many columns of each model have a source; counts of rows have none."""
+    return spark.createDataFrame(lineage.resolution(project, market_graph(spark, sf_dir)[1]), "model string, n_columns int, n_resolved int")
+
+
 def price_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The column edges below one raw price column, found in the plans."""
     edges = lineage_edges(spark, sf_dir)
@@ -362,18 +367,25 @@ BLAST = """
 5 fct_protocol_health - - y
 5 fct_whale_movements - - y
 """
-#: Columns of each node that the events touch.
+#: Columns of each model, and how many of them are counts of rows.
 WIDTHS = """
-coingecko_coins_markets 13
-stg_coingecko__coins_markets 10
-int_token_profiles 21
-fct_daily_token_metrics 15
-fct_protocol_health 13
-stg_defi_llama__yields_pools 9
-int_protocol_metrics 10
-int_whale_activity 4
-fct_whale_movements 7
-int_exchange_token_coverage 8
+stg_coingecko__coins_markets 10 0
+stg_coingecko__coins_detail 11 0
+stg_coingecko__exchanges 8 0
+stg_defi_llama__protocols 11 0
+stg_defi_llama__yields_pools 9 0
+stg_etherscan__transactions 10 0
+stg_etherscan__token_transfers 10 0
+int_token_profiles 21 0
+int_protocol_metrics 10 1
+int_whale_activity 4 1
+int_exchange_token_coverage 8 0
+fct_daily_token_metrics 15 0
+fct_protocol_health 13 0
+fct_whale_movements 7 0
+dim_tokens 10 0
+dim_protocols 11 0
+dim_exchanges 8 0
 """
 BLAST_SQL = f"""blast as (select f[1]::int as event_id, f[2] as name, try_cast(nullif(f[3], '-') as int) as hops, try_cast(nullif(f[4], '-') as double) as confidence, f[5] = 'y' as pruned
     from (select string_split(line, ' ') as f from (select unnest(string_split(trim('{BLAST}', chr(10)), chr(10))) as line))),
@@ -401,7 +413,7 @@ from leveled l"""
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        graph_nodes, graph_edges, downstream, upstream, exposure_paths, exposure_distance, fan_outs, column_tests, node_properties, test_owner, lineage_edges, price_lineage,
+        graph_nodes, graph_edges, downstream, upstream, exposure_paths, exposure_distance, fan_outs, column_tests, node_properties, test_owner, lineage_edges, lineage_resolution, price_lineage,
         price_origin, blast_radius, blast_scores, impact_reports, unknown_nodes, node_lanes, risk_scores, sessions, duplicates, incident_memory, risk_calibration, executions)}
 
 
@@ -426,6 +438,8 @@ def oracle_sql() -> dict[str, str]:
         "node_properties": """select 'exposure.market.whale_alert_pipeline' as unique_id, property, value from (values ('unique_id', 'exposure.market.whale_alert_pipeline'), ('name', 'whale_alert_pipeline'),
             ('label', 'Exposure'), ('priority', 'medium'), ('maturity', 'medium'), ('exposure_type', 'ml')) t(property, value)""",
         "test_owner": "select 'test.market.unique_dim_tokens_coin_id' as test_id, 'model.market.dim_tokens' as model_id",
+        "lineage_resolution": f"""select f[1] as model, f[2]::int as n_columns, f[2]::int - f[3]::int as n_resolved
+            from (select string_split(line, ' ') as f from (select unnest(string_split(trim('{WIDTHS}', chr(10)), chr(10))) as line))""",
         "price_lineage": trail("u", "d", f"{START}.current_price") + " select node, depth, confidence::double as confidence, path from reach",
         "price_origin": trail("d", "u", goal) + " select node, depth, confidence::double as confidence from reach",
         "unknown_nodes": "select 4 as event_id, 'model.market.nothing' as node_id, 'node not found' as error, 'low' as risk_level",

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from loomwork.functions.columns import quote
-from loomwork.operators import graph
+from loomwork.operators import graph, inject
 from loomwork.plans import operation_queries
 from loomwork.sources import artifacts, records, stores
 
@@ -101,3 +101,11 @@ def test_artifacts_are_read_from_files(spark, tmp_path):
     assert all(df.isEmpty() for df in artifacts.graph_tables(empty, empty).values())
     models = graph.dependent_models(tables, spark.createDataFrame([("seed.shop.codes",)], "id string"))
     assert {r.node: r.depth for r in models.collect()} == {"model.shop.stg_orders": 1, "model.shop.fct_sales": 2, "snapshot.shop.old_orders": 2}
+
+
+def test_rollback_restores_the_source(spark, tmp_path):
+    path, source = str(tmp_path / "raw"), spark.createDataFrame([(str(i), str(i * 2)) for i in range(40)], "id string, v string")
+    assert records.write_raw(inject.negate(inject.drop_rows(source, 0.4), "v", 0.5), path)
+    assert spark.read.parquet(path).count() < 40 and not inject.rollback(source.limit(0), path)
+    assert inject.rollback(source, path)
+    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {tuple(r) for r in source.collect()}

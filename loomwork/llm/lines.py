@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .blocks import apply_marks, blob_rows, by_bucket, doc_bucket, pack, unpack, with_sub
-from .shared import cut, fixed, memory_scale, mix64, pack_texts, parts_for, release, slices, unpack_texts
+from .shared import cut, fixed, memory_scale, mix64, pack_texts, parts_for, slices, unpack_texts
 
 BLOCK_BYTES = 16 << 20
 STEP = 0x9E3779B97F4A7C15
@@ -165,7 +165,6 @@ def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3, pairs: bool = F
     keyed = with_sub(docs)
     buckets = parts_for(docs.select("doc_id", "text"))
     marks = cut(repeated_chunks(keyed, window, mean, buckets, pairs), "chunk-marks")
-    release(docs.sparkSession)
     names = docs.columns
     place = names.index("text")
     out = StructType([*docs.schema.fields[:place], StructField("text", StringType()), *docs.schema.fields[place + 1:],

@@ -8,12 +8,12 @@ tasks that it ran, never an earlier stage.
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from weakref import WeakKeyDictionary
 
@@ -46,12 +46,25 @@ def new_path(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back (cuts lineage)."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[made] = path
     return made
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile has its shuffle files removed at its end: the table stands for them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`cut` that nothing reads any more."""
     path = _PATHS.pop(df, None)
@@ -65,12 +78,6 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of frames nobody holds any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; no job runs for it.
 

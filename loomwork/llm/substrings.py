@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .blocks import apply_marks, blob_rows, by_bucket, doc_bucket, unpack, with_sub
-from .shared import cut, fixed, memory_scale, mix64, parts_for, release, slices, text_bytes, words_of
+from .shared import cut, fixed, memory_scale, mix64, parts_for, slices, text_bytes, words_of
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 CHECK = np.uint64(0xD6E8FEB86659FD93)
@@ -156,7 +156,6 @@ def dedup_substrings(docs: DataFrame, width: int = 13, keep_layout: bool = False
     keyed = with_sub(docs)
     buckets = parts_for(docs.select("doc_id", "text"), 6)
     marks = cut(repeated_windows(keyed, width, buckets), "window-marks")
-    release(docs.sparkSession)
     names = docs.columns
     place = names.index("text")
     out = StructType([*docs.schema.fields[:place], StructField("text", StringType()), *docs.schema.fields[place + 1:],

@@ -7,14 +7,8 @@ tasks that it ran, never an earlier stage.
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
-from pathlib import Path
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -22,25 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
-_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
+from loomwork.session import shared_path, shuffles_removed
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/") + "/loomwork"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="loomwork-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return Path(_OWN[0]).as_uri()
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors see."""
+    return shared_path(spark, label)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -53,18 +36,6 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return made
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """What is written meanwhile has its shuffle files removed at its end: the table stands for them."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`cut` that nothing reads any more."""
     path = _PATHS.pop(df, None)

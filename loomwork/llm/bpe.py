@@ -9,8 +9,8 @@ the blocks that hold it. There they join the sequences, which reassembles every
 document by position; decoding joins the ids with the table of token bytes.
 
 The split runs once: its words and sequences are written to the shared folder,
-and both sides of the join read that table. So the numbers of a block are
-fixed, whatever is computed again after a loss.
+as are the ids of the words, and the join reads these tables. So the numbers of
+a block are fixed, whatever is computed again after a loss.
 
 A document is split at single spaces before a character that is not white
 space, where no pre-token crosses; each distinct piece of a block is matched
@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 
 from .blocks import pack, unpack
 from .encoder import LOOSE, regrouped, text_batches
-from .shared import binary_column, columns, new_path, pack_texts, parts_for, unpack_texts
+from .shared import binary_column, columns, cut, memory_scale, new_path, pack_texts, parts_for, remove, unpack_texts
 
 BLOCK_BYTES = 16 << 20
 GROUP_WORDS = 1 << 17
+RANKS = 6368 + (8 << 16)
 
 
 @functools.cache
@@ -59,13 +60,13 @@ def word_encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in blocks of about ``BLOCK_BYTES`` of text, at least a row each."""
+def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in blocks of about ``most`` bytes of text, at least a row each."""
     held, size = [], 0
-    for batch in text_batches(batches, 1, BLOCK_BYTES):
+    for batch in text_batches(batches, 1, most):
         held.append(batch)
         size += batch.column(1).nbytes
-        if size >= BLOCK_BYTES:
+        if size >= most:
             yield pa.concat_batches(held)
             held, size = [], 0
     if held:
@@ -110,6 +111,31 @@ def numbered(texts: pa.Array, pattern: str) -> tuple[list[str], np.ndarray, np.n
     return [spelt[i] for i in order.tolist()], place[numbers], np.diff(edges)
 
 
+def pack_ranks(numbers: np.ndarray) -> bytes:
+    """Word numbers by falling frequency, compressed: a byte for the first 224, two for the next 6,144, three for others.
+
+    The bytes of each place are compressed apart, as their frequencies differ.
+    """
+    if len(numbers) and int(numbers.max()) >= RANKS:
+        return b"\0" + pack(numbers)
+    over, far = numbers - 224, numbers - 6368
+    first = np.where(over < 0, numbers, np.where(far < 0, 224 + (over >> 8), 248 + (far >> 16))).astype(np.uint8)
+    rest = far[far >= 0]
+    streams = [zstandard.compress(x.astype(np.uint8).tobytes(), 1) for x in (first, over[(over >= 0) & (far < 0)] & 255, rest >> 8 & 255, rest & 255)]
+    return b"\1" + pack_texts(streams)
+
+
+def unpack_ranks(blob: bytes) -> np.ndarray:
+    """The numbers of :func:`pack_ranks`."""
+    if blob[0] == 0:
+        return unpack(blob[1:], 1)[0]
+    first, second, high, low = (np.frombuffer(zstandard.decompress(x), np.uint8).astype(np.int64) for x in unpack_texts(blob[1:]))
+    two, three = (first >= 224) & (first < 248), first >= 248
+    first[two] = 224 + (first[two] - 224 << 8) + second
+    first[three] = 6368 + (first[three] - 248 << 16) + (high << 8) + low
+    return first
+
+
 def _framed(head: bytes, body: bytes) -> bytes:
     return np.uint32(len(head)).tobytes() + head + body
 
@@ -119,12 +145,14 @@ def _parts(blob: bytes, columns_: int) -> tuple[list[np.ndarray], bytes]:
     return unpack(blob[4: 4 + size], columns_), blob[4 + size:]
 
 
-def split_documents(docs: DataFrame, pattern: str, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Words (bucket, block, blob) and sequences (block, blob) of ``docs(doc_id, text)``, written to the shared folder."""
+def split_documents(docs: DataFrame, pattern: str, buckets: int) -> tuple[DataFrame, DataFrame, str]:
+    """Words (bucket, block, blob) and sequences (block, blob) of ``docs(doc_id, text)``, written to the shared folder; where the words are."""
+
+    most = BLOCK_BYTES * memory_scale(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in blocks(batches):
+        for batch in blocks(batches, most):
             words, numbers, sizes = numbered(batch.column(1), pattern)
             found = [w.encode() for w in words]
             where = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), ">u8").astype(np.uint64)
@@ -134,13 +162,13 @@ def split_documents(docs: DataFrame, pattern: str, buckets: int) -> tuple[DataFr
             blobs = []
             for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
                 own = order[i:j]
-                blobs.append(_framed(pack(own), zstandard.compress(pack_texts([found[x] for x in own.tolist()]), 1)))
+                blobs.append(_framed(pack(own), zstandard.compress(pack_texts([found[x] for x in own.tolist()]), 9)))
             has = np.asarray(batch.column(0).is_valid().to_pylist(), np.int64)
             ids, ends = np.asarray(batch.column(0).fill_null(0), np.int64), sizes.cumsum()
             group = (ends - sizes) // GROUP_WORDS
             edges = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist(), len(ids)]
             for i, j in zip(edges, edges[1:], strict=False):
-                blobs.append(_framed(pack(has[i:j], ids[i:j], sizes[i:j]), pack(numbers[int(ends[i] - sizes[i]): int(ends[j - 1])])))
+                blobs.append(_framed(pack(has[i:j], ids[i:j], sizes[i:j]), pack_ranks(numbers[int(ends[i] - sizes[i]): int(ends[j - 1])])))
             many = len(edges) - 1
             yield pa.record_batch([pa.array([0] * len(names) + [1] * many, pa.int32()), pa.array([*names.tolist(), *[0] * many], pa.int32()),
                                    pa.array([block] * len(blobs), pa.int64()), binary_column(blobs)], ["kind", "bucket", "block", "blob"])
@@ -149,7 +177,7 @@ def split_documents(docs: DataFrame, pattern: str, buckets: int) -> tuple[DataFr
     form, path = "kind int, bucket int, block long, blob binary", new_path(docs.sparkSession, "words")
     docs.mapInArrow(run, form).write.partitionBy("kind").parquet(path)
     held = docs.sparkSession.read.schema("bucket int, block long, blob binary, kind int").parquet(path)
-    return held.filter("kind = 0").select("bucket", "block", "blob"), held.filter("kind = 1").select("block", "blob")
+    return held.filter("kind = 0").select("bucket", "block", "blob"), held.filter("kind = 1").select("block", "blob"), f"{path}/kind=0"
 
 
 def encode_and_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -162,7 +190,7 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """
     docs = columns(docs, "doc_id", "text")
     buckets = parts_for(docs, 8)
-    words, sequences = split_documents(docs, pattern, buckets)
+    words, sequences, place = split_documents(docs, pattern, buckets)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
@@ -194,7 +222,7 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                     joined, held = _dictionary(held, table), []
                 flat, begin, size, spelt = joined
                 (has, docs, count), rest = _parts(blob, 3)
-                numbers = unpack(rest, 1)[0]
+                numbers = unpack_ranks(rest)
                 long = size[numbers]
                 ends = long.cumsum()
                 ids = flat[np.repeat(begin[numbers] - (ends - long), long) + np.arange(int(long.sum()))]
@@ -202,7 +230,8 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 yield pa.record_batch([pa.array(docs, mask=has == 0), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids)), regrouped(spelt.take(pa.array(numbers)), count)],
                                       ["doc_id", "ids", "decoded"])
 
-    encoded = words.repartitionById(buckets, F.col("bucket")).mapInArrow(encode, "block long, kind int, blob binary")
+    encoded = cut(words.repartitionById(buckets, F.col("bucket")).mapInArrow(encode, "block long, kind int, blob binary"), "word-ids")
+    remove(docs.sparkSession, place)
     both = encoded.union(sequences.select("block", F.lit(1).alias("kind"), "blob"))
     return (both.repartition(2 * buckets, "block").sortWithinPartitions("block", "kind")
             .mapInArrow(assemble, "doc_id long, ids array<int>, decoded binary"))

@@ -14,7 +14,6 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomwork.session import shared_path, shuffles_removed
 

@@ -119,6 +119,14 @@ def test_bpe_round_trip(spark, docs):
     assert bpe.encode_and_decode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_ranks_round_trip():
+    rnd = np.random.default_rng(4)
+    for high in (1, 224, 225, 6368, 6369, bpe.RANKS - 1, bpe.RANKS, 1 << 33):
+        numbers = np.r_[rnd.integers(0, high, 500), [0, high - 1, high // 2]]
+        assert (bpe.unpack_ranks(bpe.pack_ranks(numbers)) == numbers).all()
+    assert len(bpe.unpack_ranks(bpe.pack_ranks(np.zeros(0, np.int64)))) == 0
+
+
 def test_bpe_of_repeated_blocks_and_shuffled_rows(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

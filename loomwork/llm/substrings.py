@@ -26,7 +26,7 @@ from .shared import cut, fixed, memory_scale, mix64, parts_for, slices, text_byt
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 CHECK = np.uint64(0xD6E8FEB86659FD93)
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -76,13 +76,16 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     most = BLOCK_WORDS * memory_scale(docs.sparkSession)
 
     def flush(held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Empties ``held``."""
         held.sort(key=lambda x: x[0])
         size = np.array([len(h) for *_, h in held], np.int64)
         ids, subs = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
         words = np.concatenate([h for *_, h in held])
         hashes = window_hashes(words, width)
         checks = (window_hashes(mix64(words ^ CHECK), width) >> np.uint64(48)).astype(np.int64)
+        del words
         owner = np.repeat(np.arange(len(held)), size)
+        held.clear()
         begin = size.cumsum() - size
         start = np.arange(len(owner)) - begin[owner]
         whole = (start <= size[owner] - width)[: len(hashes)]
@@ -109,7 +112,7 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 total += len(words)
                 if total >= most:
                     yield from flush(held)
-                    held, total = [], 0
+                    total = 0
         if held:
             yield from flush(held)
 
@@ -154,7 +157,7 @@ def dedup_substrings(docs: DataFrame, width: int = 13, keep_layout: bool = False
     """
     docs = fixed(docs.drop(*[c for c in docs.columns if c.lower() in {"n_words", "n_removed", "spans"}]), "doc_id", "text")
     keyed = with_sub(docs)
-    buckets = parts_for(docs.select("doc_id", "text"), 6)
+    buckets = parts_for(docs.select("doc_id", "text"), 5)
     marks = cut(repeated_windows(keyed, width, buckets), "window-marks")
     names = docs.columns
     place = names.index("text")

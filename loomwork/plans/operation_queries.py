@@ -231,6 +231,9 @@ def drafted_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "model_id", "fix_eligible", "fix_sql", F.array_join(F.transform("actions", lambda a: a["type"]), ",").alias("actions"))
 
 
+FIXES_SQL = f"""select event_id, model_id, actions like '%github_pr%' as fix_eligible, case event_id when 1 then 'select id as coin_id from coingecko_coins_markets' end as fix_sql, actions from ({q.REPORT_SQL})"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         artifact_nodes, artifact_edges, artifact_columns, artifact_tests, run_summary, graph_counts, stored_captures, market_tests, catalog_columns, correlated_batch, calibration_total,
@@ -241,5 +244,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "artifact_nodes": NODES_SQL, "artifact_edges": EDGES_SQL, "artifact_columns": COLUMNS_SQL, "artifact_tests": TESTS_SQL, "run_summary": RUN_SQL, "graph_counts": COUNTS_SQL,
         "stored_captures": CAPTURES_SQL, "market_tests": _market_tests_sql(), "catalog_columns": CATALOG_SQL, "correlated_batch": CORRELATED_SQL, "calibration_total": TOTAL_SQL,
-        "feedback": FEEDBACK_SQL, "event_records": RECORDS_SQL, "number_texts": NUMBERS_SQL,
+        "feedback": FEEDBACK_SQL, "event_records": RECORDS_SQL, "number_texts": NUMBERS_SQL, "drafted_fixes": FIXES_SQL,
     }

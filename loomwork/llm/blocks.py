@@ -141,7 +141,7 @@ def apply_marks(
 
     packed = docs.mapInArrow(send, "bucket long, blob binary, kind int")
     both = marks.select("bucket", "blob", F.lit(0).alias("kind")).unionByName(packed)
-    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(receive, schema)
+    return both.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind").mapInArrow(receive, schema)
 
 
 def _index(held: list[list[np.ndarray]]) -> tuple[dict[tuple[int, int], int], np.ndarray, np.ndarray]:

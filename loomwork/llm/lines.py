@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .blocks import apply_marks, blob_rows, by_bucket, doc_bucket, pack, unpack, with_sub
@@ -143,7 +144,7 @@ def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, pairs
         yield _mark_rows(later, buckets)
 
     sent = docs.select("doc_id", docs.columns[-1], "text").mapInArrow(send, "bucket long, blob binary, kind int")
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "bucket long, blob binary")
+    return sent.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(meet, "bucket long, blob binary")
 
 
 def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3, pairs: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .blocks import apply_marks, blob_rows, by_bucket, doc_bucket, unpack, with_sub
@@ -125,7 +126,13 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 else:
                     held.setdefault(bucket, []).append(unpack(blob, 5))
         for bucket in list(held):
-            hashes, checks, doc, sub, start = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
+            parts = [list(x) for x in zip(*held.pop(bucket), strict=True)]
+            columns = []
+            for part in parts:
+                columns.append(np.concatenate(part))
+                part.clear()
+            hashes, checks, doc, sub, start = columns
+            del columns
             order, fresh = grouped(hashes, checks)
             some = ~(fresh & np.r_[fresh[1:], True])  # windows that are not alone
             order, first = order[some], np.flatnonzero(fresh[some])
@@ -137,7 +144,7 @@ def repeated_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             yield blob_rows(*by_bucket(doc_bucket(doc[later], sub[later], buckets), doc[later], sub[later], start[later]))
 
     sent = docs.select("doc_id", docs.columns[-1], "text").mapInArrow(send, "bucket long, blob binary, kind int")
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "bucket long, blob binary")
+    return sent.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(meet, "bucket long, blob binary")
 
 
 def dedup_substrings(docs: DataFrame, width: int = 13, keep_layout: bool = False) -> DataFrame:

@@ -155,8 +155,12 @@ def by_prefix(home: np.ndarray, near: np.ndarray, rows: np.ndarray, first_bucket
 
 def bucketed(sent: DataFrame, buckets: int, total: int) -> DataFrame:
     """``sent(bucket, rows)`` with a bucket's rows one after the other; a task may have several buckets, one in memory at a time."""
+    return sent.repartition(bucket_tasks(sent, buckets, total), "bucket").sortWithinPartitions("bucket")
+
+
+def bucket_tasks(sent: DataFrame, buckets: int, total: int) -> int:
     width = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(min(buckets, max(width, buckets // 4 if buckets <= 1024 else 256, -(-total // BUCKET_BYTES))), "bucket").sortWithinPartitions("bucket")
+    return min(buckets, max(width, buckets // 4 if buckets <= 1024 else 256, -(-total // BUCKET_BYTES)))
 
 
 def each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -242,10 +246,14 @@ LANES = 4
 TABLES = 6  # 32-bit tables, the halves of the first three lanes
 
 
-def wide_simhash(text: bytes, width: int) -> bytes:
-    """256 majority bits: each shingle's hash is mixed anew for each 64-bit lane."""
-    one = shingle_hashes(text, width).view(">u8").ravel().astype(np.uint64)
-    lanes = [mix64(one + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) for k in range(LANES)]
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    return np.unique(shingle_hashes(text, width).view(">u8").ravel().astype(np.uint64))
+
+
+def wide_simhash(shingles: np.ndarray) -> bytes:
+    """256 majority bits over a set of shingles, each counted once: its hash is mixed anew for each 64-bit lane."""
+    lanes = [mix64(shingles + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) for k in range(LANES)]
     return b"".join(majority(lane.astype(">u8").view(np.uint8).reshape(-1, 8)) for lane in lanes)
 
 
@@ -332,7 +340,53 @@ class Forest:
         return a[stay], b[stay]
 
 
-def compare(forest: Forest, prints: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1 << 19) -> None:
+class Between:
+    """The pairs of a bucket within ``loose`` bits whose ends are in different groups and have not failed, the ``most`` of fewest bits for each end.
+
+    ``label`` names each row's group, ``name`` its document; ``failed`` are pairs of documents.
+    """
+
+    def __init__(self, label: np.ndarray, name: np.ndarray, failed: np.ndarray, loose: int, most: int, pending: int = 1 << 21):
+        self.n, self.loose, self.most, self.pending = len(label), loose, most, pending
+        _, first, group = np.unique(label, return_index=True, return_inverse=True)
+        self.tight = Groups(self.n)
+        self.tight.parent = first[group]
+        self.names, self.name = np.unique(name, return_inverse=True)
+        at = np.searchsorted(self.names, failed)
+        known = (at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == failed)
+        at = at[known.all(axis=1)]
+        self.failed = np.unique(self._codes(at[:, 0], at[:, 1]))
+        self.held = [(np.zeros(0, np.int64),) * 3]
+        self.size = 0
+
+    def _codes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum(x, y) * len(self.names) + np.maximum(x, y)
+
+    def add(self, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> None:
+        own = (bits <= self.loose) & (self.tight.parent[a] != self.tight.parent[b]) & (self.name[a] != self.name[b])
+        a, b, bits = a[own], b[own], bits[own].astype(np.int64)
+        own = ~np.isin(self._codes(self.name[a], self.name[b]), self.failed)
+        if own.any():
+            self.held.append((a[own], b[own], bits[own]))
+            self.size += int(own.sum())
+            if self.size > self.pending:
+                self.edges()
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b, bits = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        _, once = np.unique(a * self.n + b, return_index=True)
+        a, b, bits = a[once], b[once], bits[once]
+        end, other, edge = np.r_[a, b], np.r_[b, a], np.tile(np.arange(len(a)), 2)
+        order = np.lexsort((other, np.tile(bits, 2), end))
+        first = np.flatnonzero(np.r_[True, end[order][1:] != end[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+        stay = np.unique(edge[order[rank < self.most]])
+        self.held, self.size = [(a[stay], b[stay], bits[stay])], 0
+        return a[stay], b[stay]
+
+
+def compare(forest: Forest | Between, prints: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1 << 19) -> None:
     """Add all pairs of members of ``a`` and ``b`` but those that are in one tight group.
 
     Of two members in different groups, one is outside the largest group; only these are rows.
@@ -352,11 +406,11 @@ def compare(forest: Forest, prints: np.ndarray, a: np.ndarray, b: np.ndarray, bl
                 forest.add(own[x], them[y], bits[x, y])
 
 
-def company(keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int, prefix: int, limits: tuple[int, int], unfold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest over the pairs of a bucket with keys within 4 bits and prints within the loose limit.
+def company(forest: Forest | Between, keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int, prefix: int, unfold: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``forest`` keeps of the pairs of a bucket with keys within 4 bits and prints within the loose limit.
 
     Distinct keys meet, each for all members that share it. Pairs of keys in one
-    tight group are passed over; of the others, first members are compared, then all.
+    group of ``forest.tight`` are passed over; of the others, first members are compared, then all.
     A pair of keys meets in several buckets; the one of its middle does the
     last, and a key's own bucket compares the members that share the key.
     Full comparison is quadratic in what stays apart at one key.
@@ -364,7 +418,6 @@ def company(keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int
     order = np.argsort(keys, kind="stable")
     distinct, first, size = np.unique(keys[order], return_index=True, return_counts=True)
     head = order[first]
-    forest = Forest(len(keys), *limits)
     groups = forest.tight
 
     def near(a: np.ndarray, b: np.ndarray) -> None:
@@ -409,15 +462,18 @@ def company(keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int
     return forest.edges()
 
 
-def similar_links(distinct: DataFrame, limits: tuple[int, int], unfold: int = 1 << 21) -> DataFrame:
-    """Pairs ``a``, ``b`` of ids of ``distinct(id, fp)`` whose 256-bit fingerprints differ in at most the loose limit's bits.
+def similar_links(rows: DataFrame, limits: tuple[int, int], failed: DataFrame | None = None, most: int = 0, unfold: int = 1 << 21) -> DataFrame:
+    """``bucket``, ``a``, ``b``: pairs of ids of ``rows(id, label, fp)`` whose 256-bit fingerprints differ in at most the loose limit's bits.
 
     Candidates come from six tables of 32 bits with radius 4, by the same balls
     of half the radius as :func:`ball_links`. Every pair that meets in a table
     is compared, unless pairs within the tight limit join it already. Buckets
     return spanning forests of fewest bits, so at most an edge per row.
+
+    With ``failed`` (bucket, a, b) only pairs of different labels are compared,
+    all of them, and a bucket returns for each row the ``most`` of fewest bits that have not failed there.
     """
-    total = 8 * (LANES + 1) * distinct.count()
+    total, again = 8 * (LANES + 2) * rows.count(), failed is not None
     prefix = prefix_for(total, 32, 2, 4)
     near = masks(prefix, 2).astype(np.int64)
 
@@ -428,25 +484,45 @@ def similar_links(distinct: DataFrame, limits: tuple[int, int], unfold: int = 1
         for batch in slices(batches, max(64, (1 << 20) // len(near))):
             if not batch.num_rows:
                 continue
-            ids = np.asarray(batch.column(0), np.int64)
-            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, LANES)
-            rows = np.concatenate([ids.view(np.uint64)[:, None], prints], axis=1)
+            names = np.stack([np.asarray(batch.column(i), np.int64).view(np.uint64) for i in (0, 1)], axis=1)
+            prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(-1, LANES)
+            own = np.concatenate([names, prints], axis=1)
             for table in range(TABLES):
-                yield by_prefix((words(prints, table) >> np.uint64(32 - prefix)).astype(np.int64), near, rows, table << prefix)
+                yield by_prefix((words(prints, table) >> np.uint64(32 - prefix)).astype(np.int64), near, own, table << prefix)
+
+    def recall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, pairs = np.asarray(batch.column(0), np.int64), np.stack([np.asarray(batch.column(i), np.int64) for i in (1, 2)], axis=1)
+            order = np.argsort(bucket, kind="stable")
+            names, first = np.unique(bucket[order], return_index=True)
+            blobs = [pairs[order[i:j]].tobytes() for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
+            yield pa.record_batch([pa.array(names), binary_column(blobs)], ["bucket", "rows"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in each_bucket(batches):
-            rows = rows.reshape(-1, LANES + 1)
-            rows = rows[np.lexsort(rows.T[::-1])]  # the order of arrival must not matter
-            ids, prints = np.ascontiguousarray(rows[:, 0]).view(np.int64), rows[:, 1:]
+        gone: tuple[int, np.ndarray] = (-1, np.zeros((0, 2), np.int64))
+        for key, own in each_bucket(batches):
+            bucket = key // 2
+            if not key % 2:
+                gone = bucket, own.view(np.int64).reshape(-1, 2)
+                continue
+            own = own.reshape(-1, LANES + 2)
+            own = own[np.lexsort(own.T[::-1])]  # the order of arrival must not matter
+            ids, labels = (np.ascontiguousarray(own[:, i]).view(np.int64) for i in (0, 1))
+            prints = own[:, 2:]
+            past = gone[1] if gone[0] == bucket else np.zeros((0, 2), np.int64)
+            forest = Between(labels, ids, past, limits[1], most) if again else Forest(len(ids), *limits)
             keys = words(prints, bucket >> prefix)
             slack = 2 - np.bitwise_count((keys >> np.uint64(32 - prefix)).astype(np.int64) ^ (bucket & (1 << prefix) - 1)).astype(np.int64)
-            a, b = company(keys, slack, prints, bucket & (1 << prefix) - 1, prefix, limits, unfold)
-            if len(a):
-                yield pa.record_batch([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+            x, y = company(forest, keys, slack, prints, bucket & (1 << prefix) - 1, prefix, unfold)
+            if len(x):
+                a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+                yield pa.record_batch([pa.array(np.full(len(a), bucket, np.int64)), pa.array(a), pa.array(b)], ["bucket", "a", "b"])
 
-    sent = distinct.select("id", "fp").mapInArrow(send, "bucket long, rows binary")
-    return bucketed(sent, TABLES << prefix, TABLES * len(near) * total).mapInArrow(meet, "a long, b long")
+    sent = rows.select("id", "label", "fp").mapInArrow(send, "bucket long, rows binary").withColumn("key", F.col("bucket") * 2 + 1)
+    if failed is not None:
+        sent = sent.union(failed.select("bucket", "a", "b").mapInArrow(recall, "bucket long, rows binary").withColumn("key", F.col("bucket") * 2))
+    width = bucket_tasks(sent, TABLES << prefix, TABLES * len(near) * total)
+    return sent.repartition(width, "bucket").sortWithinPartitions("key").select("key", "rows").mapInArrow(meet, "bucket long, a long, b long").filter("a <> b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -461,7 +537,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
-            blobs = [np.unique(shingle_hashes(t, width).view(">u8").ravel()).astype(np.uint64).tobytes() for t in text_bytes(batch.column(1))]
+            blobs = [shingle_set(t, width).tobytes() for t in text_bytes(batch.column(1))]
             yield pa.record_batch([batch.column(0), binary_column(blobs)], ["id", "shingles"])
 
     held = cut(docs.join(asked, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "simhash-shingles")
@@ -482,16 +558,48 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def similar_pairs(distinct: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Verified links ``a``, ``b`` that connect what the candidates of ``distinct(id, fp)`` can.
+
+    First a spanning forest of the candidates of each bucket is verified. Where
+    all its links hold, no candidate is left between two groups. Where one fails,
+    its component is asked again: all candidates between groups that verified links do
+    not connect yet, those of fewest bits first, four times as many for each
+    document in every round. It ends when every candidate between two groups has been verified and has failed.
+    """
+    limits = bit_limits(similarity)
+    found = cut(similar_links(distinct.withColumn("label", F.col("id")), limits), "simhash-candidates")
+    links = cut(verified(found, named, width, similarity), "simhash-similar")
+    failed = cut(found.join(links, ["a", "b"], "left_anti").select("bucket", "a", "b"), "simhash-failed")
+    if failed.isEmpty():
+        return links
+    loose = connected_components(found)
+    torn = failed.join(loose, failed["a"] == loose["v"]).select("root").distinct()
+    open_ids = cut(loose.join(torn, "root", "left_semi").select(F.col("v").alias("id")), "simhash-open-ids")
+    rows = cut(distinct.join(open_ids, "id", "left_semi"), "simhash-open")
+    held = cut(links.join(open_ids, links["a"] == open_ids["id"], "left_semi"), "simhash-open-links")
+    most = 4
+    while True:
+        roots = connected_components(held)
+        labelled = rows.join(roots, rows["id"] == roots["v"], "left").select("id", F.coalesce("root", "id").alias("label"), "fp")
+        found = cut(similar_links(labelled, limits, failed, most), "simhash-candidates")
+        if found.isEmpty():
+            return links.union(held)
+        good = cut(verified(found, named, width, similarity), "simhash-similar")
+        failed = cut(failed.union(found.join(good, ["a", "b"], "left_anti").select("bucket", "a", "b")), "simhash-failed")
+        held = cut(held.union(good), "simhash-open-links")
+        most *= 4
+
+
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, unchanged, whose doc_id is the smallest of its group of near-duplicates.
 
-    Documents that meet in a table and whose 256-bit fingerprints on
+    Documents that meet in a table and whose 256-bit fingerprints on sets of
     ``width``-word shingles are within three standard deviations of what
     ``similarity`` makes expected are candidates. A candidate link holds if the
-    sets of shingles have that Jaccard similarity. Of candidates that connect
-    the same documents those of fewest differing bits are verified, so a link
-    is lost only if a pair of more alike fingerprints between the same two
-    groups fails. Equal fingerprints are links. Groups are connected over links.
+    sets of shingles have that Jaccard similarity, and groups are connected over
+    links; every candidate between two groups has failed (see :func:`similar_pairs`).
+    Only equal sets (by 128-bit hashes) are links without a comparison.
 
     Texts without words form one group. Null texts count as empty. Rows
     without doc_id cannot be told apart and all stay; so do all rows that share
@@ -501,16 +609,15 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.record_batch([batch.column(0), binary_column([wide_simhash(t, width) for t in text_bytes(batch.column(1))])], ["doc_id", "fp"])
+            sets = [shingle_set(t, width) for t in text_bytes(batch.column(1))]
+            yield pa.record_batch([batch.column(0), binary_column([wide_simhash(x) for x in sets]), binary_column([xxhash.xxh3_128_digest(x.tobytes()) for x in sets])], ["doc_id", "fp", "own"])
 
     docs = fixed(docs, "doc_id", "text")
     named = docs.select("doc_id", "text").filter("doc_id is not null")
-    prints = cut(named.mapInArrow(run, "doc_id long, fp binary"), "simhash-wide")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-wide-distinct")
-    links = cut(verified(similar_links(distinct, bit_limits(similarity)), named, width, similarity), "simhash-similar")
-    roots = connected_components(links)
-    discard(links)
-    labels = cut(distinct.join(roots, distinct["id"] == roots["v"], "left").select("fp", F.coalesce("root", "id").alias("root")), "simhash-groups")
-    gone = prints.join(labels, "fp").groupBy("doc_id").agg(F.min("root").alias("root")).filter("root < doc_id").select("doc_id")
+    prints = cut(named.mapInArrow(run, "doc_id long, fp binary, own binary"), "simhash-wide")
+    distinct = cut(prints.groupBy("fp", "own").agg(F.min("doc_id").alias("id")), "simhash-wide-distinct")
+    roots = connected_components(similar_pairs(distinct.select("id", "fp"), named, width, similarity))
+    labels = cut(distinct.join(roots, distinct["id"] == roots["v"], "left").select("own", F.coalesce("root", "id").alias("root")), "simhash-groups")
+    gone = prints.join(labels, "own").groupBy("doc_id").agg(F.min("root").alias("root")).filter("root < doc_id").select("doc_id")
     own = fresh(docs, "gone")
     return docs.join(gone.toDF(own), F.col(own) == docs["doc_id"], "left_anti")

@@ -1,18 +1,20 @@
 """Line dedup by content-defined chunks of lines.
 
 Lines are hashed, a rolling hash over ``window`` consecutive line hashes is
-taken, and a chunk ends wherever that hash is divisible by ``mean``. The
-boundaries depend on nearby lines only, so a passage that is moved, or that
-has other text before it, is cut at the same places. Chunks of several lines
+taken, and a chunk of two lines or more ends wherever that hash is divisible by
+``mean``. The boundaries depend on nearby lines only, so a passage that is moved, or that
+has other text before it, is soon cut at the same places. Chunks of several lines
 that occur more than once in the corpus keep their first occurrence.
 
 Chunks meet by hash but are told apart by their bytes: a block of documents
 keeps one copy of each distinct chunk, and its bytes travel to the bucket of
 the chunk's hash, where equal bytes (not equal hashes) decide.
 
-A repeat rarely begins and ends at boundaries, so with ``pairs`` each two
-consecutive lines are also a unit of their own: a repeat of two lines or more
-then goes whole, whatever surrounds it. Pairs travel as 128-bit hashes.
+A repeat rarely begins and ends at boundaries, so a repeated chunk grows: a line
+next to it goes too where the chunk with all lines between it and that line
+occurs earlier. These runs travel as 128-bit hashes, chained from the chunk's
+over its neighbours' lines. Beyond a neighbour that agrees wholly, the neighbour is
+a repeated chunk itself and grows on. Without a whole chunk in it, a repeat stays.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ from .blocks import apply_marks, blob_rows, by_bucket, doc_bucket, pack, unpack,
 from .shared import cut, fixed, memory_scale, mix64, pack_texts, parts_for, slices, unpack_texts
 
 BLOCK_BYTES = 16 << 20
+HELD = 200  # bytes that a unit takes beside its key
 STEP = 0x9E3779B97F4A7C15
 
 
 def chunk_edges(lines: list[bytes], window: int, mean: int) -> list[int]:
-    """Line numbers where chunks begin, with the number of lines at the end."""
+    """Line numbers where chunks begin, with the number of lines at the end; only the last chunk may have a single line."""
     n = len(lines)
     if n <= window:
         return [0, n]
@@ -44,28 +47,38 @@ def chunk_edges(lines: list[bytes], window: int, mean: int) -> list[int]:
     for j in range(window):
         rolled = rolled * np.uint64(STEP) + hashes[j: n - window + 1 + j]
     ends = np.flatnonzero(mix64(rolled) % np.uint64(mean) == 0) + window
-    return [0, *ends[ends < n].tolist(), n]
+    edges = [0]
+    for end in ends[ends < n].tolist():
+        if end - edges[-1] > 1:
+            edges.append(end)
+    return [*edges, n]
 
 
-def multi_line_chunks(text: bytes, window: int, mean: int) -> Iterator[tuple[int, bytes]]:
-    """(chunk number, bytes) of the chunks of two lines or more that are not blank."""
-    lines = text.split(b"\n")
-    edges = chunk_edges(lines, window, mean)
-    for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
-        if j - i > 1:
-            chunk = b"\n".join(lines[i:j])
-            if chunk.strip():
-                yield k, chunk
-
+def chunk_units(text: bytes, window: int, mean: int, grow: bool) -> Iterator[tuple[int, bytes]]:
+    """(unit, key) of each chunk of two lines or more that is not blank, and of the runs that it grows to.
 
-def line_pairs(text: bytes) -> Iterator[tuple[int, bytes]]:
-    """(first line, 128-bit hash) of each two consecutive lines that are not both blank."""
+    A unit is twice a chunk's first line, or twice the line that a run ends in, and one. The key is
+    the chunk's bytes, or a run's hash, chained from the chunk's line by line outwards.
+    """
     lines = text.split(b"\n")
+    edges = chunk_edges(lines, window, mean)
     digest = xxhash.xxh3_128_digest
-    blank = [not line.strip() for line in lines]
-    for i in range(len(lines) - 1):
-        if not (blank[i] and blank[i + 1]):
-            yield i, digest(lines[i] + b"\n" + lines[i + 1])
+    for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+        if j - i < 2:
+            continue
+        chunk = b"\n".join(lines[i:j])
+        if not chunk.strip():
+            continue
+        yield 2 * i, chunk
+        if grow:
+            own = digest(chunk)
+            before = after = own
+            for line in range(i - 1, edges[k - 1] - 1 if k else -1, -1):
+                before = digest(b"<" + before + lines[line])
+                yield 2 * line + 1, before
+            for line in range(j, edges[k + 2] if k + 2 < len(edges) else j):
+                after = digest(b">" + after + lines[line])
+                yield 2 * line + 1, after
 
 
 Place = tuple[int, int, int]
@@ -86,10 +99,10 @@ def _mark_rows(later: list[Place], buckets: int, **kind: int) -> pa.RecordBatch:
     return blob_rows(*by_bucket(doc_bucket(doc, np.ascontiguousarray(sub), buckets), doc, sub, chunk), **kind)
 
 
-def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, pairs: bool = False) -> DataFrame:
-    """Marks (doc bucket, packed doc_id, sub, unit) of all but the first of equal units.
+def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, grow: bool = True) -> DataFrame:
+    """Marks (doc bucket, packed doc_id, sub, unit) of all but the first of equal units (see :func:`chunk_units`).
 
-    A unit is twice the number of a chunk, or twice the first line of a pair, and one.
+    A block is flushed by the bytes that it holds, also inside a text.
     """
 
     most = BLOCK_BYTES * memory_scale(docs.sparkSession)
@@ -117,15 +130,12 @@ def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, pairs
             for doc, sub, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 if doc is None or not text:
                     continue
-                for k, chunk in multi_line_chunks(text, window, mean):
-                    _keep_first(seen, chunk, (doc, sub, 2 * k), later)
-                if pairs:
-                    for i, pair in line_pairs(text):
-                        _keep_first(seen, pair, (doc, sub, 2 * i + 1), later)
-                total += len(text)
-                if total >= most:
-                    yield from flush(seen, later)
-                    seen, later, total = {}, [], 0
+                for unit, key in chunk_units(text, window, mean, grow):
+                    _keep_first(seen, key, (doc, sub, unit), later)
+                    total += len(key) + HELD
+                    if total >= 4 * most:
+                        yield from flush(seen, later)
+                        seen, later, total = {}, [], 0
         if seen:
             yield from flush(seen, later)
 
@@ -147,11 +157,11 @@ def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, pairs
     return sent.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(meet, "bucket long, blob binary")
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3, pairs: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 2, grow: bool = True) -> DataFrame:
     r"""Remove multi-line chunks that occur earlier, in the order of (doc_id, place).
 
-    With ``pairs``, all lines of a run of two lines or more that occurs earlier
-    go, at any place in a chunk; two blank lines alone are no run.
+    With ``grow``, lines next to a chunk go as well, up to the ends of its neighbours, where the
+    run of that line, the chunk and what is between them occurs earlier.
 
     All columns of ``docs`` come back; ``text`` keeps its other lines, joined by
     ``\n``. Added: ``n_lines`` and ``n_removed_lines``; columns of these names
@@ -165,7 +175,7 @@ def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3, pairs: bool = F
     docs = fixed(docs.drop(*[c for c in docs.columns if c.lower() in {"n_lines", "n_removed_lines"}]), "doc_id", "text")
     keyed = with_sub(docs)
     buckets = parts_for(docs.select("doc_id", "text"))
-    marks = cut(repeated_chunks(keyed, window, mean, buckets, pairs), "chunk-marks")
+    marks = cut(repeated_chunks(keyed, window, mean, buckets, grow), "chunk-marks")
     names = docs.columns
     place = names.index("text")
     out = StructType([*docs.schema.fields[:place], StructField("text", StringType()), *docs.schema.fields[place + 1:],
@@ -181,9 +191,11 @@ def dedup_lines(docs: DataFrame, window: int = 2, mean: int = 3, pairs: bool = F
                 texts.append(text)
                 continue
             edges = chunk_edges(lines, window, mean)
+            end = dict(zip(edges, edges[1:], strict=False))
             stay = [True] * len(lines)
             for unit in gone.tolist():
-                i, j = (unit // 2, unit // 2 + 2) if unit % 2 else edges[unit // 2: unit // 2 + 2]
+                i = unit // 2
+                j = i + 1 if unit % 2 else end[i]
                 stay[i:j] = [False] * (j - i)
             kept = [line for line, own in zip(lines, stay, strict=True) if own]
             n_removed.append(len(lines) - len(kept))

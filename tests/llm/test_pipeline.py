@@ -13,7 +13,7 @@ import corpus_pipeline
 from loomwork.llm.quality import quality_scores
 
 from ..conftest import SF
-from .test_text_operators import WORD, plain_chunks, plain_windows
+from .test_text_operators import WORD, plain_line_dedup, plain_windows
 
 
 @pytest.fixture(scope="module")
@@ -37,19 +37,7 @@ def test_quality_stage(spark, stages):
 
 def test_line_stage(stages):
     before, after = stages[0][1], stages[0][2]
-    seen, gone = {}, {d: set() for d in before}
-    for d in sorted(before):
-        parts, at = before[d].split("\n"), 0
-        units = [((i, i + 2), ("pair", parts[i], parts[i + 1])) for i in range(len(parts) - 1) if parts[i].strip() or parts[i + 1].strip()]
-        for own in plain_chunks(before[d]):
-            if len(own) > 1 and b"".join(own).strip():
-                units.append(((at, at + len(own)), ("chunk", b"\n".join(own))))
-            at += len(own)
-        for (i, j), key in sorted(units, key=lambda u: u[0]):
-            if key in seen:
-                gone[d] |= set(range(i, j))
-            seen.setdefault(key, d)
-    assert after == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in before.items()}
+    assert after == {d: text for d, (text, _) in plain_line_dedup(list(before.items())).items()}
 
 
 def test_near_duplicate_stage(stages):

@@ -251,13 +251,13 @@ def test_long_chain_is_one_component(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
-def plain_chunks(text, window=2, mean=3):
-    """Chunks by the definition: a chunk ends after a line where the hash of the last ``window`` lines is divisible by ``mean``."""
+def plain_chunks(text, window=2, mean=2):
+    """Chunks by the definition: a chunk of two lines or more ends after a line where the hash of the last ``window`` lines is divisible by ``mean``."""
     parts = text.encode().split(b"\n")
     chunks, own = [], []
     for i, line in enumerate(parts):
         own.append(line)
-        if i >= window - 1 and i < len(parts) - 1:
+        if i >= window - 1 and i < len(parts) - 1 and len(own) > 1:
             rolled = 0
             for before in parts[i - window + 1: i + 1]:
                 rolled = (rolled * 0x9E3779B97F4A7C15 + xxhash.xxh3_64_intdigest(before)) % (1 << 64)
@@ -270,22 +270,39 @@ def plain_chunks(text, window=2, mean=3):
     return [*chunks, own]
 
 
+def plain_line_dedup(texts):
+    """What stays of (doc_id, text) rows: every run of a chunk and lines beside it, up to its neighbours' ends, is compared as bytes with all earlier ones."""
+    seen, out = {}, {}
+    for d, t in sorted(texts):
+        parts, at, runs = t.encode().split(b"\n"), 0, []
+        bounds = [0]
+        for own in plain_chunks(t):
+            bounds.append(bounds[-1] + len(own))
+        for k, (i, j) in enumerate(zip(bounds, bounds[1:])):
+            if j - i > 1 and b"".join(parts[i:j]).strip():
+                runs.append(((i, j), "chunk", b"\n".join(parts[i:j]), i))
+                runs += [((x, j), i - x, b"\n".join(parts[x:j]), x) for x in range(bounds[k - 1] if k else 0, i)]
+                runs += [((i, x + 1), j - 1 - x, b"\n".join(parts[i: x + 1]), x) for x in range(j, bounds[k + 2] if k + 2 < len(bounds) else j)]
+        gone = set()
+        for (i, j), kind, body, at in sorted(runs, key=lambda r: (r[3], str(r[1]))):
+            if (kind, body) in seen:
+                gone |= set(range(i, j))
+            seen.setdefault((kind, body), (d, at))
+        out[d] = (b"\n".join(x for i, x in enumerate(parts) if i not in gone).decode(), len(gone))
+    return out
+
+
 def test_lines(docs, texts):
-    seen = set()
-    rows = sorted([(d, t) for d, t in texts if d is not None and t is not None], key=lambda x: x[0])
+    rows = [(d, t) for d, t in texts if d is not None and t is not None]
+    single = [(d, t) for d, t in rows if [x for x, _ in rows].count(d) == 1]
     found = {(r.doc_id, r.text): r for r in lines.dedup_lines(docs).collect()}
     assert len(lines.dedup_lines(docs).collect()) == len(texts)
-    for d, t in rows:
-        if [x for x, _ in rows].count(d) > 1:
-            continue
-        kept = []
-        for own in plain_chunks(t):
-            chunk = b"\n".join(own)
-            if len(own) > 1 and chunk.strip() and chunk in seen:
-                continue
-            seen.add(chunk)
-            kept += own
-        assert (d, b"\n".join(kept).decode()) in found
+    expected = plain_line_dedup(single)
+    others = [t for d, t in rows if (d, t) not in single]
+    shared = {x for t in others for x in t.split("\n")}
+    for d, t in single:
+        if not shared & set(t.split("\n")):  # rows of one doc_id are ordered by a hash of their texts
+            assert (d, expected[d][0]) in found
     assert any(r.n_removed_lines for r in found.values())
 
 
@@ -293,7 +310,7 @@ def test_chunks_of_one_hash_are_told_apart_by_their_bytes(spark):
     """In the meeting bucket only bytes decide: all chunks are sent there under one hash."""
     rows = [(i, f"a {i % 4}\nb {i % 4}") for i in range(12)]
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_sub", F.lit(0).cast("long")).repartition(3)
-    one = lines.repeated_chunks(table.select("doc_id", "text", "_sub"), 2, 3, 1)
+    one = lines.repeated_chunks(table.select("doc_id", "text", "_sub"), 2, 2, 1)
     marked = [d for r in one.collect() for d in lines.unpack(r.blob, 3)[0].tolist()]
     assert sorted(set(marked)) == list(range(4, 12))
 
@@ -303,7 +320,7 @@ def test_clashing_names_and_hot_missing_ids(spark, kind):
     rows = [(i, "\n".join(f"line {i % 7} {j} of some words" for j in range(6)), "T", 1, 2, "g") for i in range(60)]
     rows += [(None, rows[0][1], "T", 1, 2, "g")] * 40 + [(5, "another text of this id", "T", 1, 2, "g")]
     table = spark.createDataFrame(rows, "doc_id long, text string, TEXT string, _again int, _sub int, gone string").repartition(5)
-    run = {"lines": lambda t: lines.dedup_lines(t, pairs=True), "substrings": substrings.dedup_substrings, "simhash": simhash.keep_one_of_each}[kind]
+    run = {"lines": lines.dedup_lines, "substrings": substrings.dedup_substrings, "simhash": simhash.keep_one_of_each}[kind]
     found = run(table)
     assert found.columns[:6] == ["doc_id", "text", "TEXT_", "_again", "_sub", "gone"]
     out = found.collect()
@@ -319,30 +336,40 @@ def test_line_boundaries_do_not_shift():
     assert len({x + 7 for x in a[1:]} & set(b)) >= len(a) - 2
 
 
-def test_line_runs_go_whole_in_any_surroundings(spark):
+def test_repeated_chunks_grow_to_whole_runs(spark, monkeypatch):
     rnd = random.Random(9)
-    runs = [[f"run {r} line {i}" for i in range(2 + r % 9)] for r in range(40)]
+    runs = [[f"run {r} line {i}" for i in range(2 + r % 14)] for r in range(60)]
     rows = []
-    for d in range(160):
+    for d in range(200):
         body = [f"own {d} before {i}" for i in range(rnd.randint(0, 4))]
-        for r in rnd.sample(range(40), 2):
+        for r in rnd.sample(range(60), 2):
             body += runs[r] + ["", f"own {d} after {r}"] * rnd.randint(0, 1)
         rows.append((d, "\n".join(body)))
-    rows += [(160, "a\na\na"), (161, "x\n\n\ny"), (162, "z\n\n\nw"), (163, ""), (164, None)]
-    seen, expected = {}, {}
-    for d, t in rows:
-        parts = [] if t is None else t.split("\n")
-        gone = set()
-        for size in range(2, len(parts) + 1):
-            for i in range(len(parts) - size + 1):
-                run = tuple(parts[i: i + size])
-                if any(x or y for x, y in zip(run, run[1:])) and all(x or y for x, y in zip(run, run[1:])) and seen.setdefault(run, (d, i)) < (d, i):
-                    gone |= set(range(i, i + size))
-        expected[d] = (None if t is None else "\n".join(x for i, x in enumerate(parts) if i not in gone), len(gone))
-    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = {r.doc_id: (r.text, r.n_removed_lines) for r in lines.dedup_lines(table, pairs=True).collect()}
-    assert found == expected
-    assert sum(n for _, n in found.values()) > sum(r.n_removed_lines for r in lines.dedup_lines(table).collect())
+    rows += [(260, "a\na\na"), (261, "x\n\n\ny"), (262, "z\n\n\nw"), (263, "")]
+    table = spark.createDataFrame([*rows, (264, None)], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.text, r.n_removed_lines) for r in lines.dedup_lines(table).collect()}
+    assert found.pop(264) == (None, 0) and found == plain_line_dedup(rows)
+    alone = {r.doc_id: (r.text, r.n_removed_lines) for r in lines.dedup_lines(table, grow=False).collect()}
+    assert 0 < sum(n for _, n in alone.values()) < sum(n for _, n in found.values())
+    text = [(d, t.split("\n")) for d, t in rows]
+    first, due = {}, 0  # lines that lie in repeats of two lines or more
+    for d, parts in text:
+        again = set()
+        for i, pair in enumerate(zip(parts, parts[1:])):
+            if pair in first and any(pair):
+                again |= {i, i + 1}
+            first.setdefault(pair, d)
+        due += len(again)
+    assert sum(n for _, n in found.values()) >= 0.8 * due
+    monkeypatch.setattr(lines, "chunk_edges", lambda own, window, mean: list(range(len(own) + 1)))  # no chunk of several lines
+    assert sum(1 for _ in lines.chunk_units("a\nb\nc".encode(), 2, 2, True)) == 0
+
+
+def test_a_text_of_many_short_lines_is_flushed_inside(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK_BYTES", 1 << 10)
+    body = "\n".join(f"{i % 5000}" for i in range(10_000))
+    found = {r.doc_id: r.n_removed_lines for r in lines.dedup_lines(spark.createDataFrame([(1, body), (2, body)], "doc_id long, text string")).collect()}
+    assert found[2] == 10_000 and 4900 < found[1] <= 5000
 
 
 def plain_windows(texts, width):

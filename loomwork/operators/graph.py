@@ -2,14 +2,14 @@
 
 Nodes and edges are built from the registry, or from a project's artifacts.
 What is reachable is found by a frontier that leaves out what was seen. Where
-the paths themselves are asked for, traversals are ``WITH RECURSIVE`` over edge
-tables, at most ``DEPTH`` hops, and carry the path so that no trail meets a node
-twice; each runs once and is written, as two recursions in one plan have been
-seen to share results. Edges with an end that is no node are dropped.
+the paths themselves are asked for, each hop is a join that carries the path, so that no trail meets a node
+twice, at most ``DEPTH`` of them. Every hop is written. Edges with an end that is no node are dropped.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,42 +83,87 @@ def read_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in ("graph_nodes", "graph_edges", "graph_tests", "graph_columns", "graph_lineage")}
 
 
-def reach_sql(edges: str, start: str, goal: str, roots: str) -> str:
-    """Recursive CTE ``reach(origin, node, depth, path)`` from ``roots(id)`` along ``edges``, in both dialects."""
-    return f"""reach(origin, node, depth, path) as (
-        select id, {goal}, 1, array(id, {goal}) from {roots} join {edges} on {start} = id
-        union all
-        select origin, {goal}, depth + 1, concat(path, array({goal})) from reach join {edges} on {start} = node
-        where depth < {DEPTH} and not array_contains(path, {goal}))"""
+def traverse(edges: DataFrame, roots: DataFrame, upstream: bool = False) -> DataFrame:
+    """All trails of 1 to ``DEPTH`` hops from ``roots(id)``: origin, node, depth, path. Every prefix of a trail is a trail."""
+    start, goal = ("target_id", "source_id") if upstream else ("source_id", "target_id")
+    return _trails(edges.select(F.col(start).alias("node"), F.col(goal).alias("next"), F.lit(1.0).alias("edge")), roots).drop("confidence")
 
 
-def traverse(spark: SparkSession, edges: DataFrame, roots: DataFrame, upstream: bool = False) -> DataFrame:
-    """All trails of 1 to ``DEPTH`` hops from ``roots(id)``: origin, node, depth, path. Every prefix of a trail is a trail."""
-    edges.createOrReplaceTempView("_trail_edges")
-    roots.select("id").distinct().createOrReplaceTempView("_trail_roots")
-    ends = ("target_id", "source_id") if upstream else ("source_id", "target_id")
-    return materialized(spark.sql(f"with recursive {reach_sql('_trail_edges', *ends, '_trail_roots')} select * from reach"), "trails")
+def _trails(steps: DataFrame, roots: DataFrame) -> DataFrame:
+    """The trails along ``steps(node, next, edge)``, a written table for each hop, with the least edge on the way as ``confidence``."""
+    steps = materialized(steps, "steps")
+    frontier = roots.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit(float("inf")).alias("confidence")).distinct()
+    parts = [frontier]
+    for _ in range(DEPTH):
+        longer = frontier.join(steps, "node").filter(~F.array_contains("path", F.col("next")))
+        frontier = materialized(longer.select("origin", F.col("next").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("next")).alias("path"), F.least("confidence", "edge").alias("confidence")), "trails")
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+    return reduce(DataFrame.unionByName, parts[1:] or parts).filter("depth > 0")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False) -> DataFrame:
     """Every node within ``DEPTH`` hops of ``roots(id)``: origin, node, and the fewest hops.
 
-    A frontier moves hop by hop and leaves out what was seen, so the work is at
+    With a column ``origin`` the roots that share one are walked from together. A frontier moves hop by hop and leaves out what was seen, so the work is at
     most the edges that each root reaches, however many trails lead there. A
     root is not reached from itself.
     """
     start, goal = ("target_id", "source_id") if upstream else ("source_id", "target_id")
     steps = materialized(edges.select(F.col(start).alias("node"), F.col(goal).alias("next")).distinct(), "steps")
-    frontier = roots.select(F.col("id").alias("origin"), F.col("id").alias("node")).distinct()
-    seen, depth = frontier.withColumn("depth", F.lit(0)), 0
-    while depth < DEPTH:
-        depth += 1
+    frontier = roots.select(F.col("origin" if "origin" in roots.columns else "id").alias("origin"), F.col("id").alias("node")).distinct()
+    parts = [frontier.withColumn("depth", F.lit(0))]
+    for depth in range(1, DEPTH + 1):
+        seen = reduce(DataFrame.unionByName, parts)
         fresh = frontier.join(steps, "node").select("origin", F.col("next").alias("node")).distinct().join(seen, ["origin", "node"], "left_anti")
         frontier = materialized(fresh, "frontier")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    return seen.filter("depth > 0")
+        parts.append(frontier.withColumn("depth", F.lit(depth)))
+        if len(parts) > 4:  # what was seen is one table again
+            parts = [materialized(reduce(DataFrame.unionByName, parts), "seen")]
+    return reduce(DataFrame.unionByName, parts).filter("depth > 0")
+
+
+def column_flow(lineage: DataFrame, roots: DataFrame, backward: bool = False) -> DataFrame:
+    """How each column that ``roots(id)`` reach over column edges is reached: origin, node (column id), confidence and hops.
+
+    ``confidence`` is the largest, over all ways of at most ``DEPTH`` hops, of the
+    least on the way, ``hops`` the fewest. No way is listed: a frontier holds the columns whose
+    confidence has risen in the last hop, so the work is at most ``DEPTH``
+    times the edges that each root reaches, however many ways lead there. A root does not reach itself.
+    """
+    up, down = (F.concat_ws(".", f"{side}_node", f"{side}_column") for side in ("up", "down"))
+    steps = lineage.select((down if backward else up).alias("node"), (up if backward else down).alias("next"), F.col("confidence").alias("edge"))
+    return widest(steps.groupBy("node", "next").agg(F.max("edge").alias("edge")), roots)
+
+
+def widest(steps: DataFrame, roots: DataFrame, compact: int = 4) -> DataFrame:
+    """:func:`column_flow` over ``steps(node, next, edge)``, an edge a row. What was seen is one table again every ``compact`` hops."""
+    steps = materialized(steps, "steps")
+    frontier = roots.select(F.col("id").alias("origin"), F.col("id").alias("node")).distinct().withColumn("confidence", F.lit(float("inf")))
+    parts: list[DataFrame] = []
+    for depth in range(1, DEPTH + 1):
+        found = frontier.join(steps, "node").filter(F.col("next") != F.col("origin"))
+        found = found.groupBy("origin", F.col("next").alias("node")).agg(F.max(F.least("confidence", "edge")).alias("confidence"))
+        if parts:
+            known = _merged(parts).select("origin", "node", F.col("confidence").alias("_known"))
+            found = found.join(known, ["origin", "node"], "left").filter("_known is null or confidence > _known").drop("_known")
+        frontier = materialized(found.withColumn("hops", F.lit(depth)), "frontier")
+        if frontier.isEmpty():
+            break
+        parts.append(frontier)
+        if len(parts) > compact:
+            parts = [materialized(_merged(parts), "flow")]
+    return _merged(parts) if parts else frontier
+
+
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    """The best confidence and the fewest hops of each (origin, node)."""
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionByName, parts).groupBy("origin", "node").agg(F.max("confidence").alias("confidence"), F.min("hops").alias("hops"))
 
 
 def dependent_models(graph: dict[str, DataFrame], roots: DataFrame, upstream: bool = False) -> DataFrame:
@@ -126,10 +171,10 @@ def dependent_models(graph: dict[str, DataFrame], roots: DataFrame, upstream: bo
     return reachable(graph["graph_edges"].filter("edge_type in ('ref', 'source')"), roots, upstream)
 
 
-def paths_to_exposures(spark: SparkSession, graph: dict[str, DataFrame], roots: DataFrame) -> DataFrame:
+def paths_to_exposures(graph: dict[str, DataFrame], roots: DataFrame) -> DataFrame:
     """All trails that end in an exposure, with its properties."""
     found = graph["graph_nodes"].filter("label = 'Exposure'").select("unique_id", F.col("name").alias("exposure"), "priority", "maturity", "exposure_type")
-    trails = traverse(spark, graph["graph_edges"], roots)
+    trails = traverse(graph["graph_edges"], roots)
     return trails.join(found, trails["node"] == found["unique_id"]).drop("unique_id")
 
 
@@ -144,6 +189,12 @@ def nearest_exposure(reached: DataFrame) -> DataFrame:
     return reached.groupBy("origin").agg(F.min("depth").alias("distance"))
 
 
+def exposure_distances(graph: dict[str, DataFrame]) -> DataFrame:
+    """Hops from every node to the nearest exposure, by one walk upstream from all exposures together; nodes that reach none have no row."""
+    exposures = graph["graph_nodes"].filter("label = 'Exposure'").select(F.col("unique_id").alias("id"), F.lit("exposure").alias("origin"))
+    return reachable(graph["graph_edges"], exposures, upstream=True).select("node", F.col("depth").alias("distance"))
+
+
 def fan_out(graph: dict[str, DataFrame]) -> DataFrame:
     """Distinct direct dependents of each node, exposures not counted."""
     return (graph["graph_edges"].filter("edge_type in ('ref', 'source')").groupBy(F.col("source_id").alias("node"))
@@ -174,16 +225,10 @@ def node_metadata(graph: dict[str, DataFrame], unique_id: str) -> DataFrame:
     return rows.select("unique_id", F.map_filter(entries, lambda _, v: v.isNotNull() & (v != "")).alias("properties"))
 
 
-def column_trails(spark: SparkSession, lineage: DataFrame, roots: DataFrame, backward: bool = False) -> DataFrame:
-    """Trails over column edges from ``roots(id)``, where ids are node.column: origin, node, depth, path, and the least confidence on the way."""
-    edges = lineage.select(F.concat_ws(".", "up_node", "up_column").alias("source_id"), F.concat_ws(".", "down_node", "down_column").alias("target_id"), "confidence")
-    edges.createOrReplaceTempView("_column_edges")
-    roots.select("id").distinct().createOrReplaceTempView("_column_roots")
-    start, goal = ("target_id", "source_id") if backward else ("source_id", "target_id")
-    trails = spark.sql(f"""with recursive reach(origin, node, depth, path, confidence) as (
-        select id, {goal}, 1, array(id, {goal}), confidence from _column_roots join _column_edges on {start} = id
-        union all
-        select origin, {goal}, depth + 1, concat(path, array({goal})), least(reach.confidence, _column_edges.confidence)
-        from reach join _column_edges on {start} = node where depth < {DEPTH} and not array_contains(path, {goal}))
-        select * from reach""")
-    return materialized(trails, "column-trails")
+def column_trails(lineage: DataFrame, roots: DataFrame, backward: bool = False) -> DataFrame:
+    """Trails over column edges from ``roots(id)``, where ids are node.column: origin, node, depth, path, and the least confidence on the way.
+
+    For whoever asks for the ways themselves; how a column is reached is :func:`column_flow`.
+    """
+    up, down = (F.concat_ws(".", f"{side}_node", f"{side}_column") for side in ("up", "down"))
+    return _trails(lineage.select((down if backward else up).alias("node"), (up if backward else down).alias("next"), F.col("confidence").alias("edge")), roots)

@@ -15,8 +15,8 @@ from .events import SCHEMA_CHANGES
 def affected(spark: SparkSession, graph: dict[str, DataFrame], lineage: DataFrame, events: DataFrame) -> DataFrame:
     """Nodes that each event (event_id, node_id, column_name, event_type) touches: origin, node, hops, confidence, and whether it was pruned.
 
-    A column event follows column lineage and prunes other downstream models; if
-    its column has no trail, all downstream models are affected and also
+    A column event follows column lineage (the best confidence and the fewest hops of
+    all ways, found without listing them) and prunes other downstream models; if its column leads nowhere, all downstream models are affected and also
     listed as pruned. Other events reach all downstream models, one hop away. A test's event starts at the tested model.
     """
     tests = graph["graph_tests"].select("test_id", "target_id")
@@ -27,10 +27,10 @@ def affected(spark: SparkSession, graph: dict[str, DataFrame], lineage: DataFram
     models = g.dependent_models(graph, fine.select(F.col("origin").alias("id")))
     down = fine.join(models, "origin").select("event_id", "origin", "column_name", "node")
     columns = fine.filter("column_name is not null").select("event_id", "origin", F.concat_ws(".", "origin", "column_name").alias("id"))
-    trails = g.column_trails(spark, lineage, columns).withColumnRenamed("origin", "id").drop("node", "depth")
-    hit = columns.join(trails, "id").select("event_id", "origin", F.posexplode("path").alias("hop", "column_id"), "confidence")
+    ways = materialized(g.column_flow(lineage, columns), "column-flow").select(F.col("origin").alias("id"), F.col("node").alias("column_id"), "confidence", "hops")
+    start = ways.groupBy("id").agg(F.max("confidence").alias("confidence")).select("id", F.col("id").alias("column_id"), "confidence", F.lit(0).alias("hops"))
     owner = graph["graph_columns"].select("column_id", F.col("node_id").alias("node"))
-    flow = hit.join(owner, "column_id").groupBy("event_id", "origin", "node").agg(F.max("confidence").alias("confidence"), F.min("hop").alias("hops"))
+    flow = columns.join(ways.unionByName(start), "id").join(owner, "column_id").groupBy("event_id", "origin", "node").agg(F.max("confidence").alias("confidence"), F.min("hops").alias("hops"))
     followed = flow.select("event_id").distinct().withColumn("followed", F.lit(True))
     rest = down.join(followed, "event_id", "left").join(flow.select("event_id", "node"), ["event_id", "node"], "left_anti")
     whole = rest.filter("followed is null")
@@ -104,12 +104,12 @@ def payload(reports: DataFrame, events: DataFrame) -> DataFrame:
 def with_fixes(spark: SparkSession, reports: DataFrame, drafts: DataFrame) -> DataFrame:
     """Reports with ``fix_sql`` from ``drafts(event_id, fix_sql)``; a pull request whose draft is missing or does not parse is taken from the actions.
 
-    Drafts exist for events that are fix-eligible only (one each, written by a
-    person or a model), so the distinct ones are few; they are parsed on the driver.
+    Spark's parser is the driver's, so distinct drafts stream through it one
+    partition at a time; it keeps the digests of those that do not parse.
     """
     asked = reports.filter("fix_eligible").join(drafts, "event_id").select("event_id", "fix_sql")
-    good = [r.fix_sql for r in asked.select("fix_sql").distinct().collect() if valid_sql(spark, r.fix_sql)]
-    fine = asked.join(spark.createDataFrame([(g,) for g in good], "fix_sql string"), "fix_sql", "left_semi")
+    bad = [(r.digest,) for r in asked.select("fix_sql", F.sha2("fix_sql", 256).alias("digest")).distinct().toLocalIterator() if not valid_sql(spark, r.fix_sql)]
+    fine = asked.filter("fix_sql is not null").join(spark.createDataFrame(bad, "digest string"), F.sha2("fix_sql", 256) == F.col("digest"), "left_anti")
     rows = reports.join(fine, "event_id", "left")
     return rows.withColumn("actions", F.when(F.col("fix_sql").isNull(), F.filter("actions", lambda a: a["type"] != "github_pr")).otherwise(F.col("actions")))
 
@@ -122,8 +122,12 @@ def lanes(graph: dict[str, DataFrame], broken: DataFrame) -> DataFrame:
 
 
 def staging_to_fix(graph: dict[str, DataFrame], scored_nodes: DataFrame) -> DataFrame:
-    """The first affected staging model of each event (fewest hops, then id)."""
-    staging = graph["graph_nodes"].filter("layer = 'staging'").select(F.col("unique_id").alias("node"))
+    """The first affected staging model of each event that has SQL to fix (fewest hops, then id).
+
+    Graph tables without a column ``sql`` are of models written in code, any of which can be fixed.
+    """
+    nodes = graph["graph_nodes"].filter("layer = 'staging'")
+    staging = (nodes.filter("sql <> ''") if "sql" in nodes.columns else nodes).select(F.col("unique_id").alias("node"))
     return scored_nodes.join(staging, "node").groupBy("event_id").agg(F.min_by("node", F.struct(F.coalesce("hops", F.lit(0)), F.col("node"))).alias("model_id"))
 
 

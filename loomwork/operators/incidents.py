@@ -2,33 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import incident_key
+from loomwork.session import materialized
 
 from .events import severity_rank
 
 
-def correlate(events: DataFrame, minutes: int = 15) -> DataFrame:
+def ranged(events: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
+    """The events in ranges of (key, detected_at, event_id), numbered by ``_part`` and written, so that a node of very many events is many ranges."""
+    count = ranges or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialized(events.repartitionByRange(count, key, "detected_at", "event_id").withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def _within(key: str) -> WindowSpec:
+    """A key's events of one range, in order: what one task has."""
+    return Window.partitionBy(key, "_part").orderBy("detected_at", "event_id")
+
+
+def _carried(rows: DataFrame, key: str, summary: Column, carry: Callable[[WindowSpec], Column], name: str) -> DataFrame:
+    """``rows`` with what the ranges before hold of their key: a ``summary`` of each range (a row a range), carried on by a window over these."""
+    parts = rows.groupBy(key, "_part").agg(summary.alias("_sum"))
+    found = parts.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), carry(Window.partitionBy(key).orderBy("_part")).alias(name))
+    return rows.join(found, rows[key].eqNullSafe(found["_k"]) & (rows["_part"] == found["_p"]), "left").drop("_k", "_p")
+
+
+def _micros() -> Column:
+    return F.unix_micros(F.col("detected_at").cast("timestamp"))
+
+
+def _gaps(rows: DataFrame, key: str) -> DataFrame:
+    """Adds ``_gap``, the microseconds since the key's event before, in this range or an earlier one."""
+    rows = _carried(rows, key, F.max(_micros()), lambda w: F.lag("_sum").over(w), "_before")
+    first = F.row_number().over(_within(key)) == 1
+    before = F.when(first, F.col("_before")).otherwise(F.lag(_micros()).over(_within(key)))
+    return rows.withColumn("_gap", _micros() - before).drop("_before")
+
+
+def correlate(events: DataFrame, minutes: int = 15, ranges: int | None = None) -> DataFrame:
     """Sessions per node: an event at most ``minutes`` after the one before belongs to its session.
 
     Adds ``session`` (from 1 per node) and ``is_primary``: the most severe event, then the newest, then the largest id.
+    Events are scanned in ranges of time; what reaches a range from those before
+    is the last time and the number of sessions, so no node has to fit in a task.
+    Null times come first and begin sessions; null nodes are one node; repeated rows are numbered in any order.
     """
-    order = Window.partitionBy("node_id").orderBy("detected_at", "event_id")
-    gap = F.unix_micros(F.col("detected_at").cast("timestamp")) - F.unix_micros(F.lag("detected_at").over(order).cast("timestamp"))
-    starts = F.when(gap.isNull() | (gap > minutes * 60_000_000), 1).otherwise(0)
-    rows = events.withColumn("_start", starts).withColumn("session", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    best = Window.partitionBy("node_id", "session").orderBy(severity_rank(F.col("severity")).desc(), F.desc("detected_at"), F.desc("event_id"))
-    return rows.withColumn("is_primary", F.row_number().over(best) == 1).drop("_start")
-
-
-def suppress(events: DataFrame, minutes: int = 60) -> DataFrame:
-    """Adds ``incident`` and ``duplicate``: strictly less than ``minutes`` after the incident's last event, suppressed ones included."""
+    rows = _gaps(ranged(events, "node_id", ranges), "node_id")
+    starts = F.when(F.col("_gap").isNull() | (F.col("_gap") > minutes * 60_000_000), 1).otherwise(0)
+    rows = rows.withColumn("_own", F.sum(starts).over(_within("node_id").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _carried(rows, "node_id", F.max("_own"), lambda w: F.coalesce(F.sum("_sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_past")
+    rows = rows.withColumn("session", F.col("_own") + F.col("_past")).drop("_gap", "_own", "_past")
+    worth = F.struct(severity_rank(F.col("severity")).alias("rank"), "detected_at", "event_id")
+    local = Window.partitionBy("node_id", "_part", "session")
+    rows = materialized(rows.withColumn("_worth", worth).withColumn("_nth", F.row_number().over(local.orderBy(F.desc("_worth")))), "sessions")
+    best = rows.filter("_nth = 1").withColumn("_best", F.row_number().over(Window.partitionBy("node_id", "session").orderBy(F.desc("_worth"), "_part")) == 1)  # a row a range
+    best = best.select(F.col("node_id").alias("_k"), F.col("_part").alias("_p"), F.col("session").alias("_s"), "_best")
+    same = rows["node_id"].eqNullSafe(best["_k"]) & (rows["_part"] == best["_p"]) & (rows["session"] == best["_s"])
+    return rows.join(best, same, "left").withColumn("is_primary", F.col("_best") & (F.col("_nth") == 1)).drop("_k", "_p", "_s", "_best", "_nth", "_worth", "_part")
+
+
+def suppress(events: DataFrame, minutes: int = 60, ranges: int | None = None) -> DataFrame:
+    """Adds ``incident`` and ``duplicate``: strictly less than ``minutes`` after the incident's last event, suppressed ones included. Scanned in ranges as in :func:`correlate`."""
     keyed = events.withColumn("incident", incident_key("node_id", "event_type", "column_name"))
-    order = Window.partitionBy("incident").orderBy("detected_at", "event_id")
-    gap = F.unix_micros(F.col("detected_at").cast("timestamp")) - F.unix_micros(F.lag("detected_at").over(order).cast("timestamp"))
-    return keyed.withColumn("duplicate", F.coalesce(gap < minutes * 60_000_000, F.lit(False)))
+    rows = _gaps(ranged(keyed, "incident", ranges), "incident")
+    return rows.withColumn("duplicate", F.coalesce(F.col("_gap") < minutes * 60_000_000, F.lit(False))).drop("_gap", "_part")
 
 
 def severity_of_risk(level: str) -> Column:

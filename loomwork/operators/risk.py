@@ -59,9 +59,15 @@ def _by_priority(a: Column, b: Column) -> Column:
 
 
 def execution(df: DataFrame) -> DataFrame:
-    """Decision table of the executor over rows (action, duplicate, held, fix_sql): adds ``outcome``; pull requests come before alerts."""
-    side = F.col("action") != "log"
-    outcome = (F.when(side & F.col("duplicate"), "suppressed_duplicate").when(side & F.col("held"), "pending_approval")
-               .when((F.col("action") == "github_pr") & F.col("fix_sql").isNull(), "no_fix_sql").otherwise("executed"))
-    order = F.when(F.col("action") == "log", 0).when(F.col("action") == "github_pr", 1).when(F.col("action") == "slack_alert", 2).otherwise(3)
+    """Decision table of the executor over rows (action, duplicate, held, fix_sql): adds ``outcome`` and ``step``, the order of execution.
+
+    A duplicate incident silences the pull request and the alert, never the log or
+    the pause. Approval holds back the pull request and the pause, never the alert. A pull
+    request needs a fix (an empty one is none). Null flags count as false.
+    """
+    action, fix = F.col("action"), F.coalesce(F.col("fix_sql"), F.lit("")) != ""
+    duplicate, held = (F.coalesce(F.col(c), F.lit(False)) for c in ("duplicate", "held"))
+    outcome = (F.when(action.isin("github_pr", "slack_alert") & duplicate, "skipped_duplicate").when(action.isin("github_pr", "pause_dbt_run") & held, "pending_approval")
+               .when((action == "github_pr") & ~fix, "no_fix_sql").when(action == "pause_dbt_run", "paused").otherwise("executed"))
+    order = F.when(action == "log", 0).when(action == "github_pr", 1).when(action == "slack_alert", 2).otherwise(3)
     return df.withColumn("outcome", outcome).withColumn("step", order)

@@ -237,12 +237,12 @@ FIXES_SQL = f"""select event_id, model_id, actions like '%github_pr%' as fix_eli
 def queries() -> dict:
     return {f.__name__: f for f in (
         artifact_nodes, artifact_edges, artifact_columns, artifact_tests, run_summary, graph_counts, stored_captures, market_tests, catalog_columns, correlated_batch, calibration_total,
-        feedback, event_records, number_texts, drafted_fixes)}
+        feedback, event_records, number_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "artifact_nodes": NODES_SQL, "artifact_edges": EDGES_SQL, "artifact_columns": COLUMNS_SQL, "artifact_tests": TESTS_SQL, "run_summary": RUN_SQL, "graph_counts": COUNTS_SQL,
         "stored_captures": CAPTURES_SQL, "market_tests": _market_tests_sql(), "catalog_columns": CATALOG_SQL, "correlated_batch": CORRELATED_SQL, "calibration_total": TOTAL_SQL,
-        "feedback": FEEDBACK_SQL, "event_records": RECORDS_SQL, "number_texts": NUMBERS_SQL, "drafted_fixes": FIXES_SQL,
+        "feedback": FEEDBACK_SQL, "event_records": RECORDS_SQL, "number_texts": NUMBERS_SQL,
     }

@@ -96,7 +96,7 @@ def test_trails_stop_at_cycles_and_dangling_edges_go(spark):
     node = lambda i: (i, i, "Model", None, None, None, None, None, None, None)
     g = graph.frames_of(spark, [node("a"), node("b")], [("a", "b", "ref"), ("b", "a", "ref"), ("b", "gone", "ref")], [("t", "a", "c", "unique")], [("a.c", "a", "c", "int")])
     assert g["graph_edges"].count() == 2
-    assert [(r.node, r.depth) for r in graph.traverse(spark, g["graph_edges"], spark.createDataFrame([("a",)], "id string")).collect()] == [("b", 1)]
+    assert [(r.node, r.depth) for r in graph.traverse(g["graph_edges"], spark.createDataFrame([("a",)], "id string")).collect()] == [("b", 1)]
     assert {r.node: r.coverage for r in graph.test_coverage(g).collect()} == {"a": 1.0, "b": 0.0}
 
 
@@ -120,15 +120,68 @@ def test_suppression_window_slides(spark):
     assert [r.duplicate for r in rows] == [False, True, True, False]
 
 
-def test_streams_agree_with_batch(spark, tmp_path):
-    batch = feed(spark, ("n", 0, "info"), ("n", 59, "info"), ("n", 118, "info"), ("n", 178, "info"), ("m", 5, "info"))
-    batch.write.parquet(f"{tmp_path}/in")
-    read = spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in")
-    run = streams.suppress(read).writeStream.format("memory").queryName("marks").option("checkpointLocation", f"{tmp_path}/c").start()
-    run.processAllAvailable()
+def one_node(spark, n=3000):
+    """Events of one node (and a few of others), some of equal time, with gaps of many lengths."""
+    rows = [(i, "hot" if i % 50 else "m", "type_changed", None, T0 + timedelta(seconds=(i * 7919 % n) ** 2 // 40), ("info", "error", "critical")[i % 3], "low") for i in range(n)]
+    rows += [(n, None, "type_changed", None, T0, "info", "low"), (n + 1, None, "type_changed", None, None, "info", "low"), (n + 2, "hot", "type_changed", None, None, "info", "low")]
+    return spark.createDataFrame(rows, "event_id long, node_id string, event_type string, column_name string, detected_at timestamp, severity string, risk_level string")
+
+
+def plain_scan(df, window):
+    """(session, gap within the window) of each event, one after the other."""
+    out, last, number = {}, {}, {}
+    rows = sorted(df.collect(), key=lambda r: (r.node_id or "", r.detected_at is not None, r.detected_at or T0, r.event_id))
+    for r in rows:
+        before = last.get(r.node_id)
+        gap = None if before is None or r.detected_at is None else r.detected_at - before
+        if gap is None or gap > window:
+            number[r.node_id] = number.get(r.node_id, 0) + 1
+        out[r.event_id] = (number[r.node_id], gap is not None and gap < window)
+        last[r.node_id] = r.detected_at
+    return out
+
+
+def test_a_hot_node_is_scanned_by_many_tasks(spark):
+    df = one_node(spark)
+    sizes = incidents.ranged(df, "node_id", 16).filter("node_id = 'hot'").groupBy("_part").count().collect()
+    assert len(sizes) >= 14 and max(r["count"] for r in sizes) < 600
+    expected = plain_scan(df, timedelta(minutes=15))
+    rows = incidents.correlate(df, ranges=16).collect()
+    assert len(rows) == df.count() and {r.event_id: r.session for r in rows} == {k: v[0] for k, v in expected.items()}
+    rank = {"info": 0, "error": 2, "critical": 3}
+    best = {}
+    for r in rows:
+        key, worth = (r.node_id, r.session), (rank[r.severity], r.detected_at is not None, r.detected_at or T0, r.event_id)
+        best[key] = max(best.get(key, worth), worth)
+    assert {(r.node_id, r.session): r.event_id for r in rows if r.is_primary} == {k: v[3] for k, v in best.items()}
+    marks = {r.event_id: r.duplicate for r in incidents.suppress(df, minutes=15, ranges=16).collect()}
+    assert marks == {k: v[1] for k, v in expected.items()} and df.columns == incidents.correlate(df).columns[: len(df.columns)]
+
+
+def test_repeated_rows_have_one_primary(spark):
+    df = feed(spark, ("n", 0, "error"), ("n", 1, "info"))
+    rows = incidents.correlate(df.union(df)).collect()
+    assert len(rows) == 4 and sum(r.is_primary for r in rows) == 1
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3, 4, 5), (1, 0, 3, 2, 5, 4), (2, 1, 0, 5, 4, 3)])
+def test_suppression_stream_equals_batch_in_any_order_of_arrival(spark, tmp_path, order):
+    minutes = [("n", 85, "info"), ("n", 100, "info"), ("n", 70, "info"), ("n", 161, "info"), ("m", 150, "info"), ("n", 165, "info")]
+    batch = feed(spark, *minutes)
+    end = feed(spark, ("z", 5000, "info"), ("z", 9000, "info")).withColumn("event_id", F.col("event_id") + 100)
+    (tmp_path / "in").mkdir()
+    read = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    name = f"marks{order[0]}"
+    run = streams.suppress(read, late="100 minutes").writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/c").start()
+    for i in order:
+        batch.filter(f"event_id = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run.processAllAvailable()
+    for i in range(2):
+        end.filter(f"event_id = {100 + i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run.processAllAvailable()
     run.stop()
-    ours = {r.event_id: r.duplicate for r in spark.table("marks").collect()}
-    assert ours == {r.event_id: r.duplicate for r in incidents.suppress(batch).collect()}
+    found = {r.event_id: r.duplicate for r in spark.table(name).collect() if r.event_id < 100}
+    assert found == {r.event_id: r.duplicate for r in incidents.suppress(batch).collect()} and len(found) == 6
 
 
 def test_cycle_reports_each_change_once(spark, tmp_path):
@@ -159,6 +212,30 @@ def test_state_survives_a_restart(spark, tmp_path):
     assert {tuple(r) for r in again.reports.select("event_id", "risk_level").collect()} == {tuple(r) for r in second.reports.select("event_id", "risk_level").collect()}
 
 
+def test_flow_in_a_ladder_of_diamonds(spark):
+    """2 ** 7 ways lead to the last column; the flow holds the best of each column, and a long wide way beats a short narrow one."""
+    edges = [(f"{i}", "c", f"{i}{s}", "c", 0.9 if s == "a" else 0.5) for i in range(7) for s in "ab"] + [(f"{i}{s}", "c", f"{i + 1}", "c", 0.8) for i in range(7) for s in "ab"]
+    edges += [("0", "c", "7", "c", 0.3), ("7", "c", "0", "c", 1.0)]
+    df = spark.createDataFrame(edges, lineage.EDGES)
+    found = {r.node: (r.confidence, r.hops) for r in graph.column_flow(df, spark.createDataFrame([("0.c",), ("none.c",)], "id string")).collect()}
+    assert found == {f"{i}a.c": (0.9 if i == 0 else 0.8, 2 * i + 1) for i in range(7)} | {f"{i}b.c": (0.5, 2 * i + 1) for i in range(7)} | {f"{i}.c": (0.8, 2 * i) for i in range(1, 7)} | {"7.c": (0.8, 1)}
+    back = graph.column_flow(df, spark.createDataFrame([("7.c",)], "id string"), backward=True)
+    assert tuple(back.filter("node = '0.c'").select("confidence", "hops").first()) == (0.8, 1)
+    assert graph.column_flow(df.limit(0), spark.createDataFrame([("0.c",)], "id string")).count() == 0
+
+
+def test_executor_policy(spark):
+    """Every action under every flag, by the reference's rules in words: duplicates silence alert and pull request, approval holds pull request and pause."""
+    rows = [(a, d, h, f) for a in risk.PRIORITY for d in (True, False) for h in (True, False) for f in ("select 1", "", None)]
+    out = risk.execution(spark.createDataFrame(rows, "action string, duplicate boolean, held boolean, fix_sql string")).collect()
+    assert {r.outcome for r in out if r.action == "log"} == {"executed"}
+    assert {(r.duplicate, r.outcome) for r in out if r.action == "slack_alert"} == {(True, "skipped_duplicate"), (False, "executed")}
+    assert {(r.held, r.outcome) for r in out if r.action == "pause_dbt_run"} == {(True, "pending_approval"), (False, "paused")}
+    pulls = {(r.duplicate, r.held, bool(r.fix_sql)): r.outcome for r in out if r.action == "github_pr"}
+    assert pulls == {(d, h, f): "skipped_duplicate" if d else "pending_approval" if h else "executed" if f else "no_fix_sql" for d in (True, False) for h in (True, False) for f in (True, False)}
+    assert len(out) == len(rows) and risk.execution(spark.createDataFrame([("slack_alert", None, None, None)], "action string, duplicate boolean, held boolean, fix_sql string")).first().outcome == "executed"
+
+
 def test_reachable_in_a_ladder_of_diamonds(spark):
     """2 ** 7 trails lead to the last node; a frontier sees each node once."""
     edges = [(f"{i}", f"{i}{s}", "ref") for i in range(7) for s in "ab"] + [(f"{i}{s}", f"{i + 1}", "ref") for i in range(7) for s in "ab"] + [("7", "0", "ref")]

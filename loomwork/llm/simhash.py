@@ -341,13 +341,13 @@ class Forest:
 
 
 class Between:
-    """The pairs of a bucket within ``loose`` bits whose ends are in different groups and have not failed, the ``most`` of fewest bits for each end.
+    """The pairs of a bucket within ``loose`` bits whose ends are in different groups and have not failed, the ``most`` of fewest bits for each end that asks.
 
-    ``label`` names each row's group, ``name`` its document; ``failed`` are pairs of documents.
+    ``label`` names each row's group, ``name`` its document, ``asks`` the rows that ask; ``failed`` are pairs of documents.
     """
 
-    def __init__(self, label: np.ndarray, name: np.ndarray, failed: np.ndarray, loose: int, most: int, pending: int = 1 << 21):
-        self.n, self.loose, self.most, self.pending = len(label), loose, most, pending
+    def __init__(self, label: np.ndarray, name: np.ndarray, asks: np.ndarray, failed: np.ndarray, loose: int, most: int, pending: int = 1 << 21):
+        self.n, self.loose, self.most, self.pending, self.asks = len(label), loose, most, pending, asks
         _, first, group = np.unique(label, return_index=True, return_inverse=True)
         self.tight = Groups(self.n)
         self.tight.parent = first[group]
@@ -363,7 +363,7 @@ class Between:
         return np.minimum(x, y) * len(self.names) + np.maximum(x, y)
 
     def add(self, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> None:
-        own = (bits <= self.loose) & (self.tight.parent[a] != self.tight.parent[b]) & (self.name[a] != self.name[b])
+        own = (bits <= self.loose) & (self.tight.parent[a] != self.tight.parent[b]) & (self.name[a] != self.name[b]) & (self.asks[a] | self.asks[b])
         a, b, bits = a[own], b[own], bits[own].astype(np.int64)
         own = ~np.isin(self._codes(self.name[a], self.name[b]), self.failed)
         if own.any():
@@ -381,7 +381,7 @@ class Between:
         order = np.lexsort((other, np.tile(bits, 2), end))
         first = np.flatnonzero(np.r_[True, end[order][1:] != end[order][:-1]]) if len(order) else np.zeros(0, np.int64)
         rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-        stay = np.unique(edge[order[rank < self.most]])
+        stay = np.unique(edge[order[(rank < self.most) & self.asks[end[order]]]])
         self.held, self.size = [(a[stay], b[stay], bits[stay])], 0
         return a[stay], b[stay]
 
@@ -462,18 +462,21 @@ def company(forest: Forest | Between, keys: np.ndarray, slack: np.ndarray, print
     return forest.edges()
 
 
-def similar_links(rows: DataFrame, limits: tuple[int, int], failed: DataFrame | None = None, most: int = 0, unfold: int = 1 << 21) -> DataFrame:
-    """``bucket``, ``a``, ``b``: pairs of ids of ``rows(id, label, fp)`` whose 256-bit fingerprints differ in at most the loose limit's bits.
+def similar_links(rows: DataFrame, limits: tuple[int, int], most: int | None = None, unfold: int = 1 << 21) -> DataFrame:
+    """Distinct ``a``, ``b``: pairs of ids of ``rows(id, fp)`` whose 256-bit fingerprints differ in at most the loose limit's bits.
 
     Candidates come from six tables of 32 bits with radius 4, by the same balls
     of half the radius as :func:`ball_links`. Every pair that meets in a table
     is compared, unless pairs within the tight limit join it already. Buckets
     return spanning forests of fewest bits, so at most an edge per row.
 
-    With ``failed`` (bucket, a, b) only pairs of different labels are compared,
-    all of them, and a bucket returns for each row the ``most`` of fewest bits that have not failed there.
+    With ``most``, rows also have ``label``, ``asks`` and ``past``: all pairs of different labels
+    are compared that are not in ``past`` (ids that failed with this one), and a bucket returns the ``most`` of fewest bits for each row that asks.
     """
-    total, again = 8 * (LANES + 2) * rows.count(), failed is not None
+    again = most is not None
+    if not again:
+        rows = rows.select("id", F.col("id").alias("label"), F.lit(1).cast("long").alias("asks"), "fp", F.array().cast("array<long>").alias("past"))
+    total, head = 8 * (LANES + 3) * rows.count(), 3
     prefix = prefix_for(total, 32, 2, 4)
     near = masks(prefix, 2).astype(np.int64)
 
@@ -481,22 +484,23 @@ def similar_links(rows: DataFrame, limits: tuple[int, int], failed: DataFrame |
         return (prints[:, table // 2] >> np.uint64(32 * (1 - table % 2))) & np.uint64(0xFFFFFFFF)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows go under the odd keys of their buckets, pairs that failed under the even ones before them."""
         for batch in slices(batches, max(64, (1 << 20) // len(near))):
             if not batch.num_rows:
                 continue
-            names = np.stack([np.asarray(batch.column(i), np.int64).view(np.uint64) for i in (0, 1)], axis=1)
-            prints = np.frombuffer(b"".join(batch.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(-1, LANES)
+            names = np.stack([np.asarray(batch.column(i), np.int64).view(np.uint64) for i in range(head)], axis=1)
+            prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u8").astype(np.uint64).reshape(-1, LANES)
             own = np.concatenate([names, prints], axis=1)
+            lists = batch.column(4)
+            many = np.diff(np.asarray(lists.offsets))
+            failed = np.stack([np.repeat(names[:, 0], many), np.asarray(lists.flatten(), np.int64).view(np.uint64)], axis=1)
             for table in range(TABLES):
-                yield by_prefix((words(prints, table) >> np.uint64(32 - prefix)).astype(np.int64), near, own, table << prefix)
-
-    def recall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket, pairs = np.asarray(batch.column(0), np.int64), np.stack([np.asarray(batch.column(i), np.int64) for i in (1, 2)], axis=1)
-            order = np.argsort(bucket, kind="stable")
-            names, first = np.unique(bucket[order], return_index=True)
-            blobs = [pairs[order[i:j]].tobytes() for i, j in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
-            yield pa.record_batch([pa.array(names), binary_column(blobs)], ["bucket", "rows"])
+                home = (words(prints, table) >> np.uint64(32 - prefix)).astype(np.int64)
+                for kind, at, held in ((1, home, own), (0, np.repeat(home, many), failed)):
+                    if len(held):
+                        sent = by_prefix(at, near, held, table << prefix)
+                        key = pa.array(2 * np.asarray(sent.column(0), np.int64) + kind)
+                        yield pa.record_batch([sent.column(0), key, sent.column(1)], ["bucket", "key", "rows"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone: tuple[int, np.ndarray] = (-1, np.zeros((0, 2), np.int64))
@@ -505,24 +509,21 @@ def similar_links(rows: DataFrame, limits: tuple[int, int], failed: DataFrame |
             if not key % 2:
                 gone = bucket, own.view(np.int64).reshape(-1, 2)
                 continue
-            own = own.reshape(-1, LANES + 2)
+            own = own.reshape(-1, LANES + head)
             own = own[np.lexsort(own.T[::-1])]  # the order of arrival must not matter
-            ids, labels = (np.ascontiguousarray(own[:, i]).view(np.int64) for i in (0, 1))
-            prints = own[:, 2:]
+            ids, labels, asks = (np.ascontiguousarray(own[:, i]).view(np.int64) for i in range(head))
+            prints = own[:, head:]
             past = gone[1] if gone[0] == bucket else np.zeros((0, 2), np.int64)
-            forest = Between(labels, ids, past, limits[1], most) if again else Forest(len(ids), *limits)
+            forest = Between(labels, ids, asks > 0, past, limits[1], most) if again else Forest(len(ids), *limits)
             keys = words(prints, bucket >> prefix)
             slack = 2 - np.bitwise_count((keys >> np.uint64(32 - prefix)).astype(np.int64) ^ (bucket & (1 << prefix) - 1)).astype(np.int64)
             x, y = company(forest, keys, slack, prints, bucket & (1 << prefix) - 1, prefix, unfold)
             if len(x):
-                a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-                yield pa.record_batch([pa.array(np.full(len(a), bucket, np.int64)), pa.array(a), pa.array(b)], ["bucket", "a", "b"])
+                yield pa.record_batch([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
 
-    sent = rows.select("id", "label", "fp").mapInArrow(send, "bucket long, rows binary").withColumn("key", F.col("bucket") * 2 + 1)
-    if failed is not None:
-        sent = sent.union(failed.select("bucket", "a", "b").mapInArrow(recall, "bucket long, rows binary").withColumn("key", F.col("bucket") * 2))
+    sent = rows.select("id", "label", "asks", "fp", "past").mapInArrow(send, "bucket long, key long, rows binary")
     width = bucket_tasks(sent, TABLES << prefix, TABLES * len(near) * total)
-    return sent.repartition(width, "bucket").sortWithinPartitions("key").select("key", "rows").mapInArrow(meet, "bucket long, a long, b long").filter("a <> b")
+    return sent.repartition(width, "bucket").sortWithinPartitions("key").select("key", "rows").mapInArrow(meet, "a long, b long").filter("a <> b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -558,37 +559,51 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def similar_pairs(distinct: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Verified links ``a``, ``b`` that connect what the candidates of ``distinct(id, fp)`` can.
+MOST = 8
+
 
-    First a spanning forest of the candidates of each bucket is verified. Where
-    all its links hold, no candidate is left between two groups. Where one fails,
-    its component is asked again: all candidates between groups that verified links do
-    not connect yet, those of fewest bits first, four times as many for each
-    document in every round. It ends when every candidate between two groups has been verified and has failed.
+def similar_groups(distinct: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``id``, ``label``: the group of every row of ``distinct(id, fp)``, named by its smallest id, over verified links.
+
+    First a spanning forest of the candidates of each bucket is verified. A group
+    that none of its links that failed leads out of has no candidate outside. The others
+    ask again: each of their rows for the ``MOST`` candidates of fewest bits in
+    other groups that have not failed, and these are verified. A group asks on as long as
+    a round has found it a link, so the work is linear in the rows; a link is lost
+    only where at both ends ``MOST`` others of fewer bits fail while their groups find none.
     """
     limits = bit_limits(similarity)
-    found = cut(similar_links(distinct.withColumn("label", F.col("id")), limits), "simhash-candidates")
+    found = cut(similar_links(distinct, limits), "simhash-candidates")
     links = cut(verified(found, named, width, similarity), "simhash-similar")
-    failed = cut(found.join(links, ["a", "b"], "left_anti").select("bucket", "a", "b"), "simhash-failed")
-    if failed.isEmpty():
-        return links
-    loose = connected_components(found)
-    torn = failed.join(loose, failed["a"] == loose["v"]).select("root").distinct()
-    open_ids = cut(loose.join(torn, "root", "left_semi").select(F.col("v").alias("id")), "simhash-open-ids")
-    rows = cut(distinct.join(open_ids, "id", "left_semi"), "simhash-open")
-    held = cut(links.join(open_ids, links["a"] == open_ids["id"], "left_semi"), "simhash-open-links")
-    most = 4
+    roots = connected_components(links)
+    labels = cut(distinct.join(roots, distinct["id"] == roots["v"], "left").select("id", F.coalesce("root", "id").alias("label")).distinct(), "simhash-labels")
+    past = cut(between(found.join(links, ["a", "b"], "left_anti"), labels), "simhash-failed")
+    if past.isEmpty():
+        return labels
+    asking = past.select(F.col("x").alias("label")).union(past.select("y")).distinct()
+    rows = cut(distinct.join(labels, "id").join(asking, "label", "left_semi").select("id", "label", F.lit(1).cast("long").alias("asks"), "fp"), "simhash-open")
+    moves: list[DataFrame] = []
     while True:
-        roots = connected_components(held)
-        labelled = rows.join(roots, rows["id"] == roots["v"], "left").select("id", F.coalesce("root", "id").alias("label"), "fp")
-        found = cut(similar_links(labelled, limits, failed, most), "simhash-candidates")
-        if found.isEmpty():
-            return links.union(held)
+        failed = past.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("past"))
+        sent = rows.join(failed, "id", "left").withColumn("past", F.coalesce("past", F.array().cast("array<long>")))
+        found = cut(similar_links(sent, limits, MOST), "simhash-candidates")
         good = cut(verified(found, named, width, similarity), "simhash-similar")
-        failed = cut(failed.union(found.join(good, ["a", "b"], "left_anti").select("bucket", "a", "b")), "simhash-failed")
-        held = cut(held.union(good), "simhash-open-links")
-        most *= 4
+        if good.isEmpty():
+            break
+        merged = connected_components(between(good, rows).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        moves.append(merged)
+        past = cut(past.select("a", "b").union(found.join(good, ["a", "b"], "left_anti")), "simhash-failed")
+        rows = cut(rows.join(merged, rows["label"] == merged["v"], "left").select("id", F.coalesce("root", "label").alias("label"), F.col("root").isNotNull().cast("long").alias("asks"), "fp"), "simhash-open")
+    for merged in moves:
+        labels = labels.join(merged, labels["label"] == merged["v"], "left").select("id", F.coalesce("root", "label").alias("label"))
+    return labels
+
+
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends have different labels, and these (x, y)."""
+    ends = labels.select("id", "label")
+    both = pairs.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b")
+    return both.filter("x <> y").select("a", "b", "x", "y")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -598,7 +613,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     ``width``-word shingles are within three standard deviations of what
     ``similarity`` makes expected are candidates. A candidate link holds if the
     sets of shingles have that Jaccard similarity, and groups are connected over
-    links; every candidate between two groups has failed (see :func:`similar_pairs`).
+    links (see :func:`similar_groups` for the candidates that are verified).
     Only equal sets (by 128-bit hashes) are links without a comparison.
 
     Texts without words form one group. Null texts count as empty. Rows
@@ -616,8 +631,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     named = docs.select("doc_id", "text").filter("doc_id is not null")
     prints = cut(named.mapInArrow(run, "doc_id long, fp binary, own binary"), "simhash-wide")
     distinct = cut(prints.groupBy("fp", "own").agg(F.min("doc_id").alias("id")), "simhash-wide-distinct")
-    roots = connected_components(similar_pairs(distinct.select("id", "fp"), named, width, similarity))
-    labels = cut(distinct.join(roots, distinct["id"] == roots["v"], "left").select("own", F.coalesce("root", "id").alias("root")), "simhash-groups")
+    groups = similar_groups(distinct.select("id", "fp"), named, width, similarity)
+    labels = cut(distinct.join(groups, "id").groupBy("own").agg(F.min("label").alias("root")), "simhash-groups")
     gone = prints.join(labels, "own").groupBy("doc_id").agg(F.min("root").alias("root")).filter("root < doc_id").select("doc_id")
     own = fresh(docs, "gone")
     return docs.join(gone.toDF(own), F.col(own) == docs["doc_id"], "left_anti")

@@ -40,7 +40,7 @@ def idempotency_key(key: str | Column, day: str | Column, action: str | Column)
 
 def hash_sampled(first: str | Column, share: float) -> Column:
     """True for about ``share`` of the rows, always the same ones: hash of the first column modulo 100."""
-    return F.pmod(F.abs(F.hash(col(first))), F.lit(100)) < round(share * 100)
+    return F.pmod(F.abs(F.hash(col(first)).cast("long")), F.lit(100)) < round(share * 100)  # the least int has no absolute value of its own kind
 
 
 def clipped(text: str | Column, limit: int) -> Column:

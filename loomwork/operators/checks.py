@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import col
@@ -27,16 +27,19 @@ def violations(df: DataFrame, test: DataTest, parent: DataFrame | None = None) -
 def run_tests(project: Project, frames: dict[str, DataFrame], tests: list[DataTest] | None = None) -> DataFrame:
     """``test_id``, ``status`` (pass or fail) and ``failures`` of each test.
 
-    All not-null and custom tests of a model are counted in one pass over it;
-    a unique or relationship test is one aggregation or anti join of its key.
+    All not-null and custom tests of a model are counted in one pass over it.
+    The keys of all unique and relationship tests of all models, children and parents, meet in
+    one exchange by (test, key), combined before it, so a hot key is a row a task.
     """
-    rows, counted = [], {}
-    for test in project.tests if tests is None else tests:
+    tests = project.tests if tests is None else tests
+    rows, counted, keyed = [], {}, []
+    for test in tests:
         if test.kind in ("not_null", "custom"):
             counted.setdefault(test.model, []).append(test)
         else:
-            bad = violations(frames[test.model], test, frames.get(test.parent))
-            rows.append(bad.agg(F.count("*").alias("failures")).select(F.lit(test_id(project, test)).alias("test_id"), "failures"))
+            keyed.append(test)
+    if keyed:
+        rows.append(key_failures(project, frames, keyed))
     for model, own in counted.items():
         broken = [F.count_if(col(t.column).isNull() if t.kind == "not_null" else F.expr(t.failing)) for t in own]
         names = F.array(*[F.lit(test_id(project, t)) for t in own])
@@ -46,6 +49,29 @@ def run_tests(project: Project, frames: dict[str, DataFrame], tests: list[DataTe
     return reduce(DataFrame.unionByName, rows).select("test_id", status.alias("status"), "failures")
 
 
+def key_failures(project: Project, frames: dict[str, DataFrame], tests: list[DataTest]) -> DataFrame:
+    """``test_id`` and ``failures`` of unique tests (keys with several rows) and relationship tests (rows whose key no parent has); null keys count for none.
+
+    Every model is read once for its keys as a child and once as a parent. A child's key is compared in its parent's type.
+    """
+    sides: dict[tuple[str, int], list[Column]] = {}
+    for number, test in enumerate(tests):
+        key = col(test.column)
+        if test.kind == "relationships":
+            kind = frames[test.parent].schema[test.parent_column].dataType
+            key = key.try_cast(kind) if kind != frames[test.model].schema[test.column].dataType else key
+            sides.setdefault((test.parent, 1), []).append(F.struct(F.lit(number).alias("test"), col(test.parent_column).cast("string").alias("key"), F.lit(False).alias("lost")))
+        lost = col(test.column).isNotNull() & key.isNull()  # no value of the parent's type: no parent has it
+        sides.setdefault((test.model, 0), []).append(F.struct(F.lit(number).alias("test"), key.cast("string").alias("key"), lost.alias("lost")))
+    parts = [frames[model].select(F.explode(F.array(*own)).alias("k")).select("k.*", F.lit(1 - parent).alias("child"), F.lit(parent).alias("parent")).filter("key is not null or lost") for (model, parent), own in sides.items()]
+    met = reduce(DataFrame.unionByName, parts).groupBy("test", "key").agg(F.sum("child").alias("children"), F.max("parent").alias("parents"))
+    unique = [n for n, t in enumerate(tests) if t.kind == "unique"]
+    bad = F.when(F.col("test").isin(*unique), (F.col("children") > 1).cast("int")).otherwise(F.when(F.col("parents") == 0, F.col("children")).otherwise(0)) if unique else F.when(F.col("parents") == 0, F.col("children")).otherwise(0)
+    found = met.groupBy("test").agg(F.sum(bad).alias("failures"))
+    names = met.sparkSession.createDataFrame([(n, test_id(project, t)) for n, t in enumerate(tests)], "test int, test_id string")
+    return names.join(found, "test", "left").select("test_id", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))
+
+
 def test_id(project: Project, test: DataTest) -> str:
     return f"test.{project.name}.{test.name}"
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomwork.plans.registry import Project
 from loomwork.session import materialized
+from loomwork.sources.versions import Versions
 
 DEPTH = 15
 NODES = "unique_id string, name string, label string, layer string, materialized string, description string, row_count long, priority string, maturity string, exposure_type string"
@@ -64,23 +65,23 @@ def frames_of(spark: SparkSession, nodes: list[tuple], edges: list[tuple], tests
 def write_graph(graph: dict[str, DataFrame], lineage: DataFrame, folder: str) -> dict[str, int]:
     """Replace the stored graph under ``folder`` (nodes, edges, tests, columns, lineage), a row per id; the number of rows of each.
 
-    Column edges need both columns. The numbers come from the files written.
+    All five are committed together as a version; a failure leaves the old one. Column edges need both columns. The numbers come from the files written.
     """
     keys = {"graph_nodes": ["unique_id"], "graph_edges": ["source_id", "target_id", "edge_type"], "graph_tests": ["test_id"], "graph_columns": ["column_id"]}
     ids = graph["graph_columns"].select("column_id")
     ends = [F.concat_ws(".", f"{side}_node", f"{side}_column") for side in ("up", "down")]
     known = lineage.join(ids.toDF("up_id"), ends[0] == F.col("up_id"), "left_semi").join(ids.toDF("down_id"), ends[1] == F.col("down_id"), "left_semi")
     parts = {n: df.dropDuplicates(keys[n]) for n, df in graph.items()} | {"graph_lineage": known.distinct()}
-    spark, counts = lineage.sparkSession, {}
-    for name, df in parts.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        counts[name] = spark.read.parquet(f"{folder}/{name}").count()
-    return counts
+    store = Versions(lineage.sparkSession, folder)
+    version = store.replace(parts)
+    return {name: store.read(name, version.number).count() for name in parts}
 
 
-def read_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The graph tables that :func:`write_graph` stored."""
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in ("graph_nodes", "graph_edges", "graph_tests", "graph_columns", "graph_lineage")}
+def read_graph(spark: SparkSession, folder: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The graph tables that :func:`write_graph` stored (in a version)."""
+    store = Versions(spark, folder)
+    number = store.latest().number if version is None else version
+    return {n: store.read(n, number) for n in ("graph_nodes", "graph_edges", "graph_tests", "graph_columns", "graph_lineage")}
 
 
 def traverse(edges: DataFrame, roots: DataFrame, upstream: bool = False) -> DataFrame:

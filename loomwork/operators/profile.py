@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import col
@@ -49,6 +49,56 @@ def _slice(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
         "r.min_value", "r.max_value", "r.mean", "r.stddev", "r.value_count")
 
 
+PARTIAL = "table_name string, column_name string, period string, row_count long, null_count long, value_count long, min_value double, max_value double, mean double, squares double"
+
+
+def partials(df: DataFrame, name: str, period: Column, columns: list[str]) -> DataFrame:
+    """Profiles by period (``PARTIAL``) that :func:`merged` puts together; ``squares`` are the squared distances from the period's mean.
+
+    One aggregation, a row per period and column. Rows without a period are the period null.
+    """
+    exprs = [F.count("*").alias("n")]
+    for i, c in enumerate(columns):
+        value = col(c).cast("string").try_cast("double")
+        value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+        exprs.append(F.struct(F.lit(c).alias("column_name"), F.count_if(col(c).isNull()).alias("null_count"), F.count(value).alias("value_count"), F.min(value).alias("min_value"), F.max(value).alias("max_value"),
+                              F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("squares")).alias(f"c{i}"))
+    wide = df.groupBy(period.cast("string").alias("period")).agg(*exprs)
+    rows = wide.select("period", "n", F.explode(F.array(*[f"c{i}" for i in range(len(columns))])).alias("r"))
+    return rows.select(F.lit(name).alias("table_name"), "r.column_name", "period", F.col("n").alias("row_count"), "r.null_count", "r.value_count", "r.min_value", "r.max_value", "r.mean", "r.squares")
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """The profile (``PROFILE``) of all periods of ``parts`` together.
+
+    Squares add up to those around the common mean: each period's own, and its count
+    times the squared distance of its mean, so nothing cancels out.
+    """
+    keys = ["table_name", "column_name"]
+    total = parts.groupBy(*keys).agg(
+        F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"), F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"),
+        (F.sum(F.col("mean") * F.col("value_count")) / F.nullif(F.sum("value_count"), F.lit(0))).alias("mean"), F.sum("value_count").alias("value_count"))
+    centre = total.select(*keys, F.col("mean").alias("_mean"))
+    apart = F.col("squares") + F.col("value_count") * F.pow(F.col("mean") - F.col("_mean"), F.lit(2))
+    spread = parts.join(centre, keys).groupBy(*keys).agg(F.sum(apart).alias("_squares"))
+    deviation = F.when(F.col("value_count") > 1, F.sqrt(F.col("_squares") / (F.col("value_count") - 1)))
+    ratio = F.when(F.col("row_count") > 0, F.col("null_count") / F.col("row_count")).otherwise(0.0)
+    return total.join(spread, keys).select("table_name", "column_name", "row_count", "null_count", ratio.alias("null_ratio"), "min_value", "max_value", "mean", deviation.alias("stddev"), "value_count")
+
+
+def extended(stored: DataFrame, df: DataFrame, name: str, period: Column, columns: list[str]) -> DataFrame:
+    """``stored`` partials and those of the periods of ``df`` that it lacks. Only rows of these are aggregated; where ``period`` is a partition column, only they are read.
+
+    Periods are taken to be closed: what is stored of one is not looked at again.
+    """
+    known = [r.period for r in stored.filter(F.col("table_name") == name).select("period").distinct().collect()]  # as many as there are periods
+    text = period.cast("string")
+    old = F.coalesce(text.isin([k for k in known if k is not None]), F.lit(False)) if known else F.lit(False)
+    if None in known:
+        old = old | text.isNull()
+    return stored.unionByName(partials(df.filter(~old), name, period, columns))
+
+
 def drift(previous: DataFrame, current: DataFrame, row_drop: float = ROW_DROP, null_spike: float = NULL_SPIKE,
           sigmas: float = SIGMAS, min_count: int = MIN_COUNT) -> DataFrame:
     """Events where the current profile departs from the previous one.

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomwork.operators import checks, events, impact, profile, schema
+from loomwork.functions.columns import idempotency_key
+from loomwork.operators import checks, events, impact, profile, risk, schema
 from loomwork.operators import graph as g
 from loomwork.operators.lineage import column_lineage
 from loomwork.session import materialized
+from loomwork.sources import artifacts
+from loomwork.sources.memory import IncidentMemory
 from loomwork.sources.stores import PauseFlag
 
 from .registry import Project
 
-FRAMES = ("columns", "profiles", "events", "reports")
+FRAMES = ("columns", "profiles", "events", "reports", "executions")
 TIMES_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 TIMES = TIMES_NTZ + "XXX"
 LOG = "cycle long, status string, notes array<string>, frames array<string>"
@@ -42,6 +46,7 @@ class State:
     status: str = "never"
     events: DataFrame | None = None
     reports: DataFrame | None = None
+    executions: DataFrame | None = None
     notes: list[str] = field(default_factory=list)
 
     def save(self, folder: str, cycle: int) -> None:
@@ -66,10 +71,16 @@ class State:
         return State(**frames, status=last.status, notes=list(last.notes))
 
 
-def run_cycle(spark: SparkSession, project: Project, raw: dict[str, DataFrame], state: State, flag: PauseFlag | None = None) -> State:
-    """Detect on the raw tables and tests, then score. Paused projects are left as they are.
+def run_cycle(
+    spark: SparkSession, project: Project, raw: dict[str, DataFrame], state: State, flag: PauseFlag | None = None, sources: DataFrame | None = None,
+    memory: IncidentMemory | None = None, number: int = 0, at: datetime | None = None, approval: bool = False,
+) -> State:
+    """Detect on the raw tables, tests and source freshness, then score and decide on actions. Paused projects are left as they are.
 
     The baseline is replaced every time, so what persists is reported once. Each table is profiled once.
+    ``sources`` is the text of a source-freshness document (none: no such events).
+    With ``memory`` the events of cycle ``number``, seen ``at`` a time, are looked up in it, counted
+    once however often the cycle is run again, and every planned action gets its outcome in ``executions``.
     """
     if flag and flag.paused:
         return State(state.columns, state.profiles, "paused", notes=["paused"])
@@ -77,6 +88,8 @@ def run_cycle(spark: SparkSession, project: Project, raw: dict[str, DataFrame],
     columns = schema.snapshot(spark, raw)
     profiles = materialized(_together([profile.profile(df, name) for name, df in raw.items()]), "profiles")
     found = [schema.test_events(checks.run_tests(project, frames))]
+    if sources is not None:
+        found.append(artifacts.freshness_events(sources))
     named = spark.createDataFrame([(s, project.node_id(s)) for s in project.sources], "node_id string, full_id string")
     if state.columns is not None and state.profiles is not None:
         seen = events.union(schema.schema_changes(state.columns, columns), profile.drift(state.profiles, profiles))
@@ -84,7 +97,28 @@ def run_cycle(spark: SparkSession, project: Project, raw: dict[str, DataFrame],
     together = materialized(events.union(*found).withColumn("event_id", F.monotonically_increasing_id()), "events")
     graph = g.frames_of(spark, g.node_rows(project), g.edge_rows(project), g.test_rows(project), g.column_rows(project, frames))
     reports = impact.report(spark, graph, column_lineage(spark, project, frames), together)
-    return State(columns, profiles, "ok", together, reports)
+    if memory is None:
+        return State(columns, profiles, "ok", together, reports)
+    reports = materialized(reports, "reports")
+    executions = materialized(decisions(together, reports, memory, at or datetime.now(UTC), approval), "executions")
+    risky = together.join(reports.select("event_id", "risk_level"), "event_id", "left").withColumns({"risk_level": F.coalesce("risk_level", F.lit("low")), "detected_at": F.lit(at or datetime.now(UTC)).cast("timestamp")})
+    fresh = memory.record(number, risky)
+    return State(columns, profiles, "ok", together, reports, executions, [] if fresh else [f"cycle {number} was recorded before"])
+
+
+def decisions(found: DataFrame, reports: DataFrame, memory: IncidentMemory, at: datetime, approval: bool = False, minutes: int = 60) -> DataFrame:
+    """A row per planned action of each report: its outcome, its order, the key that makes it happen once, and how often the incident was seen before.
+
+    An event is a duplicate if its incident was seen less than ``minutes`` ago, or earlier in this batch.
+    """
+    timed = memory.prior(found.withColumn("detected_at", F.lit(at).cast("timestamp")), minutes)
+    first = timed.groupBy("incident").agg(F.min("event_id").alias("_first"))
+    keyed = timed.join(first, "incident").withColumn("duplicate", F.col("duplicate") | (F.col("event_id") > F.col("_first"))).select("event_id", "incident", "duplicate", "occurrences", "detected_at")
+    held = F.lit(approval) & F.exists("actions", lambda a: a["type"].isin("github_pr", "pause_dbt_run"))
+    fix = F.col("fix_sql") if "fix_sql" in reports.columns else F.lit(None).cast("string")
+    rows = reports.join(keyed, "event_id").select("event_id", "incident", "duplicate", "occurrences", "detected_at", held.alias("held"), fix.alias("fix_sql"), F.explode("actions").alias("a"))
+    rows = rows.select("*", F.col("a.type").alias("action")).drop("a")
+    return risk.execution(rows).select("event_id", "incident", "occurrences", "action", "outcome", "step", idempotency_key("incident", F.to_date("detected_at"), "action").alias("idempotency_key"))
 
 
 def _together(parts: list[DataFrame]) -> DataFrame:

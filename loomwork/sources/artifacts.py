@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import test_kind
+from loomwork.operators.events import event
 
 _COLUMNS = "map<string, struct<description string, data_type string>>"
 _DEPENDS = "depends_on struct<nodes array<string>>"
@@ -25,6 +26,8 @@ _CATALOG_NODE = f"map<string, struct<columns map<string, struct<type string>>, s
 CATALOG = f"nodes {_CATALOG_NODE}, sources {_CATALOG_NODE}"
 RESULTS = "results array<struct<unique_id string, status string, failures long>>"
 
+SOURCES = "results array<struct<unique_id string, status string, max_loaded_at string, snapshotted_at string, criteria string>>"
+
 #: What counts as a model, and the directories that are layers.
 MODEL_KINDS, LAYERS = ("model", "seed", "snapshot"), ("staging", "intermediate", "marts")
 PREFIXES = {"stg_": "staging", "int_": "intermediate", "fct_": "marts", "dim_": "marts"}
@@ -111,3 +114,19 @@ def run_results(results: DataFrame) -> DataFrame:
     """``kind``, ``unique_id``, ``status``, ``failures`` of each entry of a run-results document."""
     rows = _parsed(results, RESULTS).select(F.inline("results"))
     return rows.select(F.split("unique_id", r"\.")[0].alias("kind"), "unique_id", "status", "failures")
+
+
+def source_results(sources: DataFrame) -> DataFrame:
+    """``unique_id``, ``status`` (lower case), ``max_loaded_at``, ``snapshotted_at`` and ``criteria`` (JSON) of each entry of a source-freshness document."""
+    rows = _parsed(sources, SOURCES).select(F.inline("results"))
+    return rows.withColumn("status", F.lower("status"))
+
+
+def freshness_events(sources: DataFrame) -> DataFrame:
+    """Events of the sources that a freshness document reports as late, failed or never loaded; entries of other statuses give none."""
+    status = F.col("status")
+    severity = F.when(status == "warn", "warning").when(status.isin("error", "runtime error"), "error")
+    rows = source_results(sources).withColumn("unique_id", F.coalesce("unique_id", F.lit("")))
+    message = F.concat(F.lit("Source "), F.col("unique_id"), F.lit(" freshness "), status, F.lit(": last loaded "), F.coalesce("max_loaded_at", F.lit("never")))
+    return event(rows.filter(severity.isNotNull()), "freshness_violation", severity, "unique_id", None, None, F.col("max_loaded_at"), message,
+                 snapshotted_at=F.col("snapshotted_at"), criteria=F.col("criteria"), status=status)

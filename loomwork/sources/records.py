@@ -19,6 +19,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from loomwork.functions.columns import quote
 
+from .versions import Versions
+
 Record = dict[str, Any]
 Opener = Callable[[str, dict[str, Any]], Any]
 
@@ -116,14 +118,25 @@ def united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+RAW = "rows"
+
+
 def write_raw(df: DataFrame, path: str) -> bool:
-    """Replace the raw table at ``path``; an empty input keeps the old one. Whether it wrote."""
+    """Replace the raw table at ``path`` in one step by a new version of it; an empty input keeps the old one. Whether it wrote.
+
+    ``df`` may read the table itself.
+    """
     if df.isEmpty():
         return False
-    df.write.mode("overwrite").parquet(path)
+    Versions(df.sparkSession, path).replace({RAW: df})
     return True
 
 
+def read_raw(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The raw table at ``path``, or a version of it."""
+    return Versions(spark, path).read(RAW, version)
+
+
 def seed(spark: SparkSession, fetchers: dict[str, Callable[[], list[Record]]], folder: str, at: datetime | None = None) -> dict[str, Any]:
     """Fetch everything, then write: a source that fails leaves all tables as they were."""
     fetched = {name: fetch() for name, fetch in fetchers.items()}

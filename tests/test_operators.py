@@ -1,15 +1,16 @@
 """Detectors, lineage, risk, impact, incidents and streaming on small inputs."""
 
 import json
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import events, graph, impact, incidents, lineage, profile, risk, schema
+from loomwork.operators import events, graph, impact, incidents, inject, lineage, profile, risk, schema
 from loomwork.plans import graph_queries as q
 from loomwork.plans.cycle import State, run_cycle
 from loomwork.plans.market import project
+from loomwork.sources.memory import IncidentMemory
 from loomwork.sources.stores import PauseFlag
 from loomwork.streaming import incidents as streams
 
@@ -197,6 +198,80 @@ def test_cycle_reports_each_change_once(spark, tmp_path):
     assert run_cycle(spark, project, tables, second, flag).status == "paused"
 
 
+def test_cycle_remembers_incidents(spark, tmp_path):
+    """The same failed test in four cycles: reported, silenced within the hour, and reported again; a cycle that is run again counts once."""
+    held, tables = IncidentMemory(spark, str(tmp_path / "memory")), raw(spark)
+    late = spark.createDataFrame([('{"results": [{"unique_id": "source.market.coingecko.coingecko_exchanges", "status": "error"}]}',)], "value string")
+    seen = []
+    for number, minutes in ((1, 0), (2, 30), (2, 30), (3, 200)):
+        state = run_cycle(spark, project, tables, State(), sources=late, memory=held, number=number, at=T0.replace(tzinfo=UTC) + timedelta(minutes=minutes), approval=True)
+        seen.append((sorted(r.event_type for r in state.events.collect()), {(r.action, r.outcome) for r in state.executions.collect() if r.action == "slack_alert"}, state.notes))
+    alert = lambda outcome: {("slack_alert", outcome)}
+    assert [s[0] for s in seen] == [["freshness_violation", "test_failure"]] * 4
+    assert [s[1] for s in seen] == [alert("executed"), alert("skipped_duplicate"), alert("skipped_duplicate"), alert("executed")]
+    assert [s[2] for s in seen] == [[], [], ["cycle 2 was recorded before"], []] and {r.n for r in held.read().collect()} == {3}
+    keys = [r.idempotency_key for r in state.executions.collect()]
+    assert len(set(keys)) == len(keys) and all(k.split(":")[1] == "20240101" for k in keys)
+
+
+def test_staging_choice_needs_sql(spark):
+    nodes = spark.createDataFrame([("a", "staging", None), ("b", "staging", "select 1"), ("c", "staging", ""), ("d", "marts", "select 2")], "unique_id string, layer string, sql string")
+    rows = spark.createDataFrame([(1, "a", 0), (1, "b", 2), (1, "d", 1), (2, "c", 1)], "event_id int, node string, hops int")
+    assert [tuple(r) for r in impact.staging_to_fix({"graph_nodes": nodes}, rows).collect()] == [(1, "b")]
+    assert {tuple(r) for r in impact.staging_to_fix({"graph_nodes": nodes.drop("sql")}, rows).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_profiles_merge(spark):
+    """Merged periods equal the profile of all rows, also where the mean is large against the spread."""
+    rows = [(f"2024-{1 + i % 5:02d}" if i % 17 else None, None if i % 11 == 0 else 1e9 + (i * 37 % 101), "x" if i % 3 else str(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "p string, v double, s string").repartition(3)
+    parts = profile.partials(df, "t", F.col("p"), ["v", "s"])
+    close = lambda rows: {r.column_name: [None if x is None else pytest.approx(x, rel=1e-9) if isinstance(x, float) else x for x in r] for r in rows.collect()}
+    ours, theirs = {r.column_name: list(r) for r in profile.merged(parts).collect()}, close(profile.profile(df.drop("p"), "t"))
+    assert ours == theirs
+    stored = parts.filter("period is null or period <= '2024-03'")
+    more = profile.extended(stored, df.withColumn("v", F.when(F.col("p") <= "2024-03", F.raise_error(F.lit("read again")).cast("double")).otherwise(F.col("v"))), "t", F.col("p"), ["v", "s"])
+    assert {r.column_name: list(r) for r in profile.merged(more).collect()} == theirs
+    empty = profile.merged(profile.partials(df.limit(0), "t", F.col("p"), ["v"]))
+    assert empty.count() == 0
+
+
+def test_key_tests_meet_in_one_exchange(spark):
+    from loomwork.operators import checks
+    from loomwork.plans.registry import DataTest, Project
+
+    child = spark.createDataFrame([(1, 5, "7"), (1, None, "x"), (None, 9, "8"), (2, 9, None)], "k int, f long, t string")
+    parent = spark.createDataFrame([(5,), (5,), (7,)], "id int")
+    tests = [DataTest("unique", "child", "k"), DataTest("unique", "parent", "id"), DataTest("relationships", "child", "f", "parent", "id"), DataTest("relationships", "child", "t", "parent", "id")]
+    found = checks.run_tests(Project("p"), {"child": child, "parent": parent}, tests)
+    assert {r.test_id: r.failures for r in found.collect()} == {"test.p.unique_child_k": 1, "test.p.unique_parent_id": 1, "test.p.relationships_child_f_parent": 2, "test.p.relationships_child_t_parent": 2}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("hashpartitioning(test#") <= 3  # keys, tests, names
+
+
+def mixed(h, k):
+    k = k * 0xCC9E2D51 & 0xFFFFFFFF
+    k = (k << 15 | k >> 17) & 0xFFFFFFFF
+    h ^= k * 0x1B873593 & 0xFFFFFFFF
+    h = (h << 13 | h >> 19) & 0xFFFFFFFF
+    return (h * 5 + 0xE6546B64) & 0xFFFFFFFF
+
+
+def murmur3_of_long(x):
+    h = mixed(mixed(42, x & 0xFFFFFFFF), x >> 32 & 0xFFFFFFFF) ^ 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_hash_sample_is_murmur3(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    keys = [r[0] for r in orders.select("o_orderkey").collect()]
+    left = {r[0] for r in inject.drop_rows(orders, 0.4).select("o_orderkey").collect()}
+    assert left == {k for k in keys if abs(murmur3_of_long(k)) % 100 >= 40} and 0 < len(left) < len(keys)
+
+
 def test_state_survives_a_restart(spark, tmp_path):
     tables, folder = raw(spark), str(tmp_path / "state")
     assert State.load(spark, folder).status == "never"

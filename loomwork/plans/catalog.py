@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, market_queries, operation_queries, quality_queries, trade_queries
+from . import graph_queries, market_queries, operation_queries, quality_queries, store_queries, trade_queries
 
-PARTS = (market_queries, quality_queries, graph_queries, operation_queries, trade_queries)
+PARTS = (market_queries, quality_queries, graph_queries, operation_queries, trade_queries, store_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -153,15 +153,6 @@ def _market_tests_sql() -> str:
     return oracle(" union all ".join(parts), *project.models)
 
 
-def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of five tables by name and place."""
-    names = ("region", "nation", "part", "events", "conversations")
-    return schema.snapshot(spark, {n: table(spark, sf_dir, n) for n in names}).select("table_name", "column_name", "ordinal")
-
-
-CATALOG_SQL = """select table_name, column_name, ordinal_position as ordinal from information_schema.columns where table_name in ('region', 'nation', 'part', 'events', 'conversations')"""
-
-
 def correlated_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each session's primary event with the others attached to it."""
     rows = incidents.attached(q._incident_events(spark, sf_dir))
@@ -234,15 +225,18 @@ def drafted_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIXES_SQL = f"""select event_id, model_id, actions like '%github_pr%' as fix_eligible, case event_id when 1 then 'select id as coin_id from coingecko_coins_markets' end as fix_sql, actions from ({q.REPORT_SQL})"""
 
 
+#: A small project by hand, held by tests; the registered queries of these names read documents derived from the given tables.
+SHOP = ((artifact_nodes, NODES_SQL), (artifact_edges, EDGES_SQL), (artifact_columns, COLUMNS_SQL), (artifact_tests, TESTS_SQL), (run_summary, RUN_SQL), (graph_counts, COUNTS_SQL), (drafted_fixes, FIXES_SQL))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        artifact_nodes, artifact_edges, artifact_columns, artifact_tests, run_summary, graph_counts, stored_captures, market_tests, catalog_columns, correlated_batch, calibration_total,
+        stored_captures, market_tests, correlated_batch, calibration_total,
         feedback, event_records, number_texts)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "artifact_nodes": NODES_SQL, "artifact_edges": EDGES_SQL, "artifact_columns": COLUMNS_SQL, "artifact_tests": TESTS_SQL, "run_summary": RUN_SQL, "graph_counts": COUNTS_SQL,
-        "stored_captures": CAPTURES_SQL, "market_tests": _market_tests_sql(), "catalog_columns": CATALOG_SQL, "correlated_batch": CORRELATED_SQL, "calibration_total": TOTAL_SQL,
+        "stored_captures": CAPTURES_SQL, "market_tests": _market_tests_sql(), "correlated_batch": CORRELATED_SQL, "calibration_total": TOTAL_SQL,
         "feedback": FEEDBACK_SQL, "event_records": RECORDS_SQL, "number_texts": NUMBERS_SQL,
     }

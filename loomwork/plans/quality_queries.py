@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import canonical_id, clipped, idempotency_key, incident_key, latest, layer_of, safe, surrogate_key, test_kind
-from loomwork.operators import checks, events, inject, profile, schema
+from loomwork.operators import checks, inject, profile, schema
 from loomwork.session import table
 
 from .registry import DataTest, Project
@@ -142,7 +142,7 @@ _SNAP_NEW = [("a", "id", "bigint", 1, True), ("a", "price", "double", 2, True),
 
 
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events between two schema snapshots."""
+    """Events between two schema snapshots that differ in every way (by hand, held by tests)."""
     old, new = (spark.createDataFrame(rows, schema.SNAPSHOT) for rows in (_SNAP_OLD, _SNAP_NEW))
     return schema.schema_changes(old, new).select("event_type", "severity", "node_id", "column_name", "old_value", "new_value")
 
@@ -184,12 +184,6 @@ def test_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_type", "severity", "node_id", F.col("metadata")["test_type"].alias("test_type"), F.col("metadata")["failures"].alias("failures"))
 
 
-def all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the events of all detectors together."""
-    parts = [f(spark, sf_dir).select("event_type", "severity") for f in (profile_drift, schema_diff, source_freshness, test_failures)]
-    return events.union(*parts).groupBy("event_type", "severity").agg(F.count("*").alias("n"))
-
-
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows left, nulls and negatives after each injection into orders."""
     orders = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("string"))
@@ -204,20 +198,24 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (typed_events, keys_and_names, latest_event, data_tests, table_profile, profile_drift, schema_diff, source_freshness,
-                                    test_failures, all_detectors, injected)}
+    return {f.__name__: f for f in (typed_events, keys_and_names, latest_event, data_tests, table_profile, profile_drift, source_freshness,
+                                    test_failures, injected)}
 
 
-def oracle_sql() -> dict[str, str]:
-    tests = " union all ".join(_test_sql(t) for t in STAR_TESTS)
-    failures = f"""select 'test_failure' as event_type, 'warning' as severity, test_id as node_id, failures::varchar as failures,
+def star_tests_sql() -> str:
+    return " union all ".join(_test_sql(t) for t in STAR_TESTS)
+
+
+def failures_sql() -> str:
+    return f"""select 'test_failure' as event_type, 'warning' as severity, test_id as node_id, failures::varchar as failures,
         case when split_part(test_id, '.', 3) like 'unique%' then 'unique' when split_part(test_id, '.', 3) like 'not_null%' then 'not_null'
-             when split_part(test_id, '.', 3) like 'relationships%' then 'relationships' else 'custom' end as test_type from ({tests}) where status = 'fail'"""
-    together = " union all ".join(f"select event_type, severity from ({sql})" for sql in (DRIFT_SQL, DIFF_SQL, FRESH_SQL, failures))
+             when split_part(test_id, '.', 3) like 'relationships%' then 'relationships' else 'custom' end as test_type from ({star_tests_sql()}) where status = 'fail'"""
+
+
+def oracle_sql() -> dict[str, str]:
     return {
         "typed_events": TYPED_SQL, "keys_and_names": KEYS_SQL,
         "latest_event": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
-        "data_tests": tests, "table_profile": _round_profile(_profile_sql("select * from lineitem", "lineitem", PROFILED)), "profile_drift": DRIFT_SQL,
-        "schema_diff": DIFF_SQL, "source_freshness": FRESH_SQL, "test_failures": failures,
-        "all_detectors": f"select event_type, severity, count(*) as n from ({together}) group by 1, 2",
+        "data_tests": star_tests_sql(), "table_profile": _round_profile(_profile_sql("select * from lineitem", "lineitem", PROFILED)), "profile_drift": DRIFT_SQL,
+        "source_freshness": FRESH_SQL, "test_failures": failures_sql(),
     }

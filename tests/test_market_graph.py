@@ -1,16 +1,17 @@
-"""The market project's own graph, lineage and reports against texts written by hand."""
+"""The market project's own graph, lineage and reports, and a small project's artifacts, against texts written by hand."""
 
 import duckdb
 import pytest
 
-from loomwork.plans import graph_queries, operation_queries
+from loomwork.plans import graph_queries, operation_queries, quality_queries
 
 from .conftest import SF
 from .test_queries import rows
 
-ORACLES = graph_queries.market_oracles() | {"drafted_fixes": operation_queries.FIXES_SQL}
+ORACLES = graph_queries.market_oracles()
+BY_HAND = [*[(q, ORACLES[q.__name__]) for q in graph_queries.MARKET], *operation_queries.SHOP, (quality_queries.schema_diff, quality_queries.DIFF_SQL)]
 
 
-@pytest.mark.parametrize("query", [*graph_queries.MARKET, operation_queries.drafted_fixes], ids=lambda q: q.__name__)
-def test_market_graph(query, spark):
-    assert rows(query(spark, SF).toPandas()) == rows(duckdb.sql(ORACLES[query.__name__]).df())
+@pytest.mark.parametrize("query, sql", BY_HAND, ids=lambda q: getattr(q, "__name__", ""))
+def test_by_hand(query, sql, spark):
+    assert rows(query(spark, SF).toPandas()) == rows(duckdb.sql(sql).df())

@@ -215,8 +215,9 @@ _READY: dict[str, UnitEncoder] = {}
 
 
 def forget() -> None:
-    """Drop the worker's encoder, where a stage needs the memory for other things."""
+    """Drop the worker's encoder, where a stage needs the memory for other things, and give back what Arrow keeps unused."""
     _READY.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def encoder(path: str) -> UnitEncoder:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .blocks import apply_marks, blob_rows, by_bucket, doc_bucket, pack, unpack, with_sub
+from .encoder import forget
 from .shared import cut, fixed, memory_scale, mix64, pack_texts, parts_for, slices, unpack_texts
 
 BLOCK_BYTES = 16 << 20
@@ -123,6 +124,7 @@ def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, grow:
         yield blob_rows(names.tolist(), blobs, kind=0)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: dict[bytes, Place] = {}
         later: list[Place] = []
         total = 0
@@ -133,7 +135,7 @@ def repeated_chunks(docs: DataFrame, window: int, mean: int, buckets: int, grow:
                 for unit, key in chunk_units(text, window, mean, grow):
                     _keep_first(seen, key, (doc, sub, unit), later)
                     total += len(key) + HELD
-                    if total >= 4 * most:
+                    if total >= 3 * most:
                         yield from flush(seen, later)
                         seen, later, total = {}, [], 0
         if seen:

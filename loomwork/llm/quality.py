@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .encoder import forget
 from .shared import binary_column, columns, cut, fixed, slices, text_bytes
 
 FEATURES = 256
@@ -266,6 +267,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             if batch.num_rows:
                 x = np.stack([statistics(t) for t in text_bytes(batch.column(place))])

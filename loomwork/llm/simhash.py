@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .encoder import forget
 from .shared import binary_column, columns, cut, discard, fixed, fresh, local_roots, mix64, slices, text_bytes, words_of
 
 SEED = 42
@@ -623,6 +624,7 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     an empty result. The result does not depend on the order of rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             sets = [shingle_set(t, width) for t in text_bytes(batch.column(1))]
             yield pa.record_batch([batch.column(0), binary_column([wide_simhash(x) for x in sets]), binary_column([xxhash.xxh3_128_digest(x.tobytes()) for x in sets])], ["doc_id", "fp", "own"])

@@ -205,7 +205,8 @@ class Index:
         order = np.lexsort((ids, which.ravel()))
         self.rows = ids[order]
         self.first = np.searchsorted(which.ravel()[order], np.arange(len(self.vectors) + 1))
-        self.layers = build(single(self.vectors, *placed(self.vectors)))
+        self.held = None
+        self.layers = build(self._compared()[1])
 
     def dump(self) -> bytes:
         sink = io.BytesIO()
@@ -216,6 +217,7 @@ class Index:
     @classmethod
     def load(cls, blob: bytes) -> Index:
         self, held = cls.__new__(cls), np.load(io.BytesIO(blob))
+        self.held = None
         self.vectors, self.rows, self.first = held["vectors"], held["rows"], held["first"]
         self.layers = [(held[f"n{i}"], held[f"l{i}"].astype(np.int64)) for i in range(sum(k[0] == "l" for k in held.files))]
         return self
@@ -226,8 +228,7 @@ class Index:
         What the graph finds is ranked by distances in double precision. A query
         for which it finds fewer than ``k`` rows is compared with all vectors.
         """
-        place = placed(self.vectors)
-        x = single(self.vectors, *place)
+        place, x = self._compared()
         for i in range(0, len(q), BATCH):
             part = single(q[i: i + BATCH], *place)
             at = descend(x, self.layers[:-1], part) if len(self.layers) > 1 else np.full(len(part), self.layers[0][0][0])
@@ -242,6 +243,13 @@ class Index:
                 query, rows, dist = (np.concatenate(c) for c in zip(*found, strict=True))
             yield i + query, rows, dist
 
+    def _compared(self) -> tuple[tuple, np.ndarray]:
+        """How vectors are placed for comparison, and the shard's so placed: made once for all blocks of queries."""
+        if self.held is None:
+            place = placed(self.vectors)
+            self.held = place, single(self.vectors, *place)
+        return self.held
+
     def _among_all(self, own: int, q: np.ndarray, k: int, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
         """(row id, distance) of the ``k`` nearest rows of the shard, by comparison with every vector."""
         rows, dist = np.zeros(0, np.int64), np.zeros(0)

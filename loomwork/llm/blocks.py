@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .ranges import repeated_ids
-from .shared import binary_column, fresh, mix64
+from .shared import binary_column, cut, fresh, mix64
 
 
 def to_ipc(rows: pa.RecordBatch) -> bytes:
@@ -80,14 +80,17 @@ def with_sub(docs: DataFrame) -> DataFrame:
 
     Rows with one doc_id and different texts can so be told apart, while unique
     doc_ids (the usual case, found with a scan of that column alone) cost nothing.
+    Where doc_ids repeat or are missing the rows are written once: a task that runs again then reads
+    them in the same order, and deals those without doc_id to the same buckets.
     """
     sub = fresh(docs, "_sub")
     again = repeated_ids(docs)
     if again.isEmpty():
-        return docs.withColumn(sub, F.lit(0).cast("long"))
+        plain = docs.withColumn(sub, F.lit(0).cast("long"))
+        return plain if docs.filter("doc_id is null").isEmpty() else cut(plain, "keyed")
     own = fresh(docs, "_again")
     hashed = F.when(F.col(own).isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
-    return docs.join(again.toDF(own), F.col("doc_id") == F.col(own), "left").withColumn(own, hashed).withColumnRenamed(own, sub)
+    return cut(docs.join(again.toDF(own), F.col("doc_id") == F.col(own), "left").withColumn(own, hashed).withColumnRenamed(own, sub), "keyed")
 
 
 def apply_marks(

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .encoder import encoder, forget, text_batches
 from .ranges import LOWEST, MOST, flagged, range_count, range_of, range_tops
-from .shared import binary_column, columns, new_path
+from .shared import binary_column, columns, cut, new_path
 
 FILE = "doc_id long, shard int, offset long, n_tokens long, tokens array<int>"
 
@@ -46,11 +46,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, *, en
     docs = columns(docs, "doc_id", "text")
     rows, several = flagged(docs)
     tie = F.lit(0).cast("long")
-    if several is not None:  # where a row goes within its key is free, so the low bits may differ between the two reads
+    if several is not None:  # where a row goes within its key is free
         mask = (1 << 24) - 1
         salted = F.xxhash64("text").bitwiseAND(F.lit(~mask)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(mask)))
         tie = F.when(several, salted).otherwise(tie)
     keyed = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(LOWEST)).alias("_k"), tie.alias("_s"))
+    if several is not None:  # numbers of rows after a join hold for one run of it only: written, they are the same for every reader and for tasks that run again
+        keyed = cut(keyed, "salted")
     tops = range_tops(keyed, range_count(docs))
     shards = max(1, len(tops))
 

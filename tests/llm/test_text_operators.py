@@ -6,11 +6,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat, lines, lzprint, simhash, substrings
+from loomwork.llm import chat, lines, lzprint, simhash, substrings, tokenfile
 from loomwork.llm.components import connected_components
 from loomwork.llm.encoder import text_batches
 from loomwork.llm.queries import op2_chat
@@ -521,3 +522,19 @@ def test_edit_likeness(docs, texts):
             p, e, n = (lzprint.fingerprint(x.encode()) for x in (t, edited, nt))
             r = found[own]
             assert (r.n_chars, r.edited, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) == (len(t), edited, lzprint.spell(p), lzprint.spell(e), lzprint.likeness(p, e), lzprint.likeness(p, n))
+
+
+@pytest.mark.parametrize("kind", ["lines", "substrings", "tokens"])
+def test_rows_without_id_are_dealt_alike_when_tasks_run_again(spark, kind):
+    """The rows that are dealt by their place have been written, so a task that runs again reads them in the same order."""
+    rows = [(None if i % 3 else i, f"text {i}\nof some lines\nand {i % 5}") for i in range(90)] + [(3, "again")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    if kind == "tokens":
+        path = tokenfile.new_path(spark, "again")
+        tokenfile.write_tokens(table, path, public_tokenizers.path("word_bpe_49k.json"), 1)
+        assert spark.read.parquet(path).count() == 91
+        return
+    keyed = lines.with_sub(table)
+    assert "Scan parquet" in keyed._jdf.queryExecution().executedPlan().toString() and keyed.count() == 91
+    out = (lines.dedup_lines if kind == "lines" else substrings.dedup_substrings)(table)
+    assert out.count() == 91

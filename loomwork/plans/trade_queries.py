@@ -91,7 +91,7 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blast_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = impact.scored(spark, trade.graph(spark, sf_dir), trade.lineage(spark, sf_dir), _events(spark, sf_dir))
-    return rows.select("event_id", "origin", "node", F.round("coverage", 6).alias("coverage"), "fan_out", "distance", "hops", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+    return rows.select("event_id", "origin", "node", F.round("coverage", 6).alias("coverage"), "fan_out", "distance", "hops", F.round("base_score", 10).alias("base_score"), F.round("score", 10).alias("score"))
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +268,7 @@ def oracle_sql() -> dict[str, str]:
             select origin, 'model.trade.o' || l_orderkey || '.total' as node, round(conf, 6) as confidence, 1 as hops from o1 union all select origin, 'model.trade.c' || o_custkey || '.balance', round(conf, 6), 2 from c1
             union all select origin, 'model.trade.n' || c_nationkey || '.balance', round(conf, 6), 3 from n1""",
         "blast_radius": f"with {BLAST_SQL} select event_id, f.origin, node, round(confidence, 6) as confidence, hops, pruned from touched join fine f using (event_id)",
-        "blast_scores": f"with {BLAST_SQL} select event_id, origin, node, round(coverage, 6) as coverage, fan_out, distance, hops, round(base, 6) as base_score, round(score, 6) as score from final",
+        "blast_scores": f"with {BLAST_SQL} select event_id, origin, node, round(coverage, 6) as coverage, fan_out, distance, hops, round(base, 10) as base_score, round(score, 10) as score from final",
         "impact_reports": f"""with {BLAST_SQL} select event_id, origin, risk_level, max_score, n_affected, n_gaps, n_pruned, exposures, planned || case when eligible then ',github_pr' else '' end as actions, model_id from reported""",
         "drafted_fixes": f"""with {BLAST_SQL} select event_id, model_id, eligible as fix_eligible, case when eligible and event_id % 4 > 1 then 'select ' || event_id || ' as fixed' end as fix_sql,
             planned || case when eligible and event_id % 4 > 1 then ',github_pr' else '' end as actions from reported""",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,13 +17,13 @@ from loomwork.session import materialized
 from loomwork.sources import artifacts
 from loomwork.sources.memory import IncidentMemory
 from loomwork.sources.stores import PauseFlag
+from loomwork.sources.versions import Versions
 
 from .registry import Project
 
 FRAMES = ("columns", "profiles", "events", "reports", "executions")
 TIMES_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 TIMES = TIMES_NTZ + "XXX"
-LOG = "cycle long, status string, notes array<string>, frames array<string>"
 
 
 def to_records(df: DataFrame) -> DataFrame:
@@ -50,25 +49,20 @@ class State:
     notes: list[str] = field(default_factory=list)
 
     def save(self, folder: str, cycle: int) -> None:
-        """Store the state as cycle number ``cycle``. Its entry in the log comes last, so a broken save is as none."""
+        """Store the state as cycle number ``cycle``, all of it in one step: a broken save is as none, and a repeated one replaces it."""
         held = {n: getattr(self, n) for n in FRAMES if getattr(self, n) is not None}
-        for name, df in held.items():
-            df.write.mode("overwrite").parquet(f"{folder}/cycle-{cycle}/{name}")
         spark = SparkSession.getActiveSession()
-        log = spark.createDataFrame([(cycle, self.status, self.notes, sorted(held))], LOG)
-        log.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        Versions(spark, folder).replace(held, cycle=cycle, status=self.status, notes=self.notes, frames=sorted(held))
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> State:
-        """The state of the last cycle stored, or an empty one if the log has no entry."""
-        try:
-            last = spark.read.schema(LOG).parquet(f"{folder}/log").orderBy(F.desc("cycle")).first()
-        except AnalysisException:  # no log yet
-            last = None
-        if last is None:
+        """The state that was stored last, or an empty one if none was."""
+        store = Versions(spark, folder)
+        last = store.latest()
+        if not last.number:
             return State()
-        frames = {n: spark.read.parquet(f"{folder}/cycle-{last.cycle}/{n}") for n in last.frames}
-        return State(**frames, status=last.status, notes=list(last.notes))
+        frames = {n: store.read(n, last.number) for n in last.facts["frames"]}
+        return State(**frames, status=last.facts["status"], notes=list(last.facts["notes"]))
 
 
 def run_cycle(

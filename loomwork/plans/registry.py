@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.session import materialized
+from loomwork.sources.versions import Versions
 
 
 @dataclass(frozen=True)
@@ -106,9 +107,8 @@ class Project:
         return frames
 
     def write(self, spark: SparkSession, raw: dict[str, DataFrame], folder: str) -> list[str]:
-        """Build, and write every model marked ``table`` under ``folder``; the names written. What several read is computed once."""
+        """Build, and store every model marked ``table`` under ``folder``, all in one step as a version of it; the names written. What several read is computed once."""
         frames = self.build(spark, raw, share=True)
         done = [m.name for m in self.models.values() if m.materialized == "table" and m.name in frames]
-        for name in done:
-            frames[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+        Versions(spark, folder).replace({name: frames[name] for name in done})
         return done

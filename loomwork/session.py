@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_SCRATCH: list[list[str]] = []
 
 
 def build_session(app: str = "loomwork", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,7 +45,25 @@ def shared_path(spark: SparkSession, label: str) -> str:
             _OWN.append(tempfile.mkdtemp(prefix="loomwork-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
         folder = Path(_OWN[0]).as_uri()
-    return f"{folder.rstrip('/')}/loomwork/{label}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/loomwork/{label}-{uuid.uuid4().hex}"
+    for made in _SCRATCH[-1:]:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write into the shared folder meanwhile are deleted at its end, so write or count results inside.
+
+    Outside of it they stay until whoever owns the folder deletes them: a result may still read them.
+    """
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @contextmanager

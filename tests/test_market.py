@@ -6,6 +6,7 @@ import pytest
 
 from loomwork.operators import checks
 from loomwork.plans.market import project
+from loomwork.sources.versions import Versions
 from loomwork.sources import records
 
 AT = datetime(2024, 2, 1, tzinfo=UTC)
@@ -80,4 +81,9 @@ def test_plans_push_filters_and_prune_columns(spark):
 
 def test_marts_are_written(spark, tmp_path):
     assert len(project.write(spark, raw(spark), str(tmp_path))) == 6
-    assert spark.read.parquet(f"{tmp_path}/dim_tokens").count() == 1
+    assert Versions(spark, str(tmp_path)).read("dim_tokens").count() == 1
+    again = raw(spark)
+    again["coingecko_coins_detail"] = again["coingecko_coins_detail"].limit(0)
+    project.write(spark, again, str(tmp_path))
+    store = Versions(spark, str(tmp_path))
+    assert (store.read("dim_tokens").count(), store.read("dim_tokens", 1).count()) == (0, 1)

@@ -178,3 +178,18 @@ def test_freshness_document(spark):
     assert {n: r.severity for n, r in rows.items()} == {"source.b": "warning", "source.c": "error", "source.d": "error"}
     assert rows["source.b"].new_value == "2023" and json.loads(rows["source.b"].metadata["criteria"]) == {"warn_after": {"count": 6}} and rows["source.c"].metadata["snapshotted_at"] == "now"
     assert artifacts.freshness_events(spark.createDataFrame([("{}",)], "value string")).isEmpty()
+
+
+def test_scratch_tables_go_at_the_end(spark):
+    from loomwork.session import materialized, scratch
+
+    kept = materialized(spark.range(3), "kept")
+    with scratch(spark):
+        df = materialized(spark.range(5), "gone")
+        path = df.inputFiles()[0].rsplit("/", 1)[0]
+        with scratch(spark):
+            materialized(spark.range(2), "inner")
+        assert df.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path).count()
+    assert kept.count() == 3

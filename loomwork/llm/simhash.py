@@ -513,6 +513,8 @@ def similar_links(rows: DataFrame, limits: tuple[int, int], most: int | None = N
             own = own.reshape(-1, LANES + head)
             own = own[np.lexsort(own.T[::-1])]  # the order of arrival must not matter
             ids, labels, asks = (np.ascontiguousarray(own[:, i]).view(np.int64) for i in range(head))
+            if not asks.any():
+                continue
             prints = own[:, head:]
             past = gone[1] if gone[0] == bucket else np.zeros((0, 2), np.int64)
             forest = Between(labels, ids, asks > 0, past, limits[1], most) if again else Forest(len(ids), *limits)
@@ -560,7 +562,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-MOST = 8
+ROUNDS = (8, 32)  # candidates that a row asks for in each round
 
 
 def similar_groups(distinct: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -568,10 +570,11 @@ def similar_groups(distinct: DataFrame, named: DataFrame, width: int, similarity
 
     First a spanning forest of the candidates of each bucket is verified. A group
     that none of its links that failed leads out of has no candidate outside. The others
-    ask again: each of their rows for the ``MOST`` candidates of fewest bits in
-    other groups that have not failed, and these are verified. A group asks on as long as
-    a round has found it a link, so the work is linear in the rows; a link is lost
-    only where at both ends ``MOST`` others of fewer bits fail while their groups find none.
+    ask again, in ``ROUNDS``: each of their rows for so many candidates of fewest bits in
+    other groups that have not failed, and these are verified. In a later round only rows of
+    groups ask that the round before has found a link. So the work is linear in the rows
+    (all candidates between two groups can be as many as the square of both); a link is lost
+    only where at both ends so many others of fewer bits fail.
     """
     limits = bit_limits(similarity)
     found = cut(similar_links(distinct, limits), "simhash-candidates")
@@ -584,10 +587,10 @@ def similar_groups(distinct: DataFrame, named: DataFrame, width: int, similarity
     asking = past.select(F.col("x").alias("label")).union(past.select("y")).distinct()
     rows = cut(distinct.join(labels, "id").join(asking, "label", "left_semi").select("id", "label", F.lit(1).cast("long").alias("asks"), "fp"), "simhash-open")
     moves: list[DataFrame] = []
-    while True:
+    for most in ROUNDS:
         failed = past.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("past"))
         sent = rows.join(failed, "id", "left").withColumn("past", F.coalesce("past", F.array().cast("array<long>")))
-        found = cut(similar_links(sent, limits, MOST), "simhash-candidates")
+        found = cut(similar_links(sent, limits, most), "simhash-candidates")
         good = cut(verified(found, named, width, similarity), "simhash-similar")
         if good.isEmpty():
             break

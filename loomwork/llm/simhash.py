@@ -317,6 +317,8 @@ class Forest:
     its ends is shorter.
     """
 
+    reach, full = 1 << 62, 1 << 62  # everything that meets is compared
+
     def __init__(self, n: int, tight: int, loose: int, pending: int = 1 << 21):
         self.n, self.least, self.loose, self.pending = n, tight, loose, pending
         self.tight = Groups(n)
@@ -345,8 +347,11 @@ class Between:
     """The pairs of a bucket within ``loose`` bits whose ends are in different groups and have not failed, the ``most`` of fewest bits for each end that asks.
 
     ``label`` names each row's group, ``name`` its document, ``asks`` the rows that ask; ``failed`` are pairs of documents.
+    Of more than ``reach`` keys that meet, and more than ``full`` pairs at one key, the neighbours in order are compared.
     """
 
+    reach, full = 64, 1 << 20
+
     def __init__(self, label: np.ndarray, name: np.ndarray, asks: np.ndarray, failed: np.ndarray, loose: int, most: int, pending: int = 1 << 21):
         self.n, self.loose, self.most, self.pending, self.asks = len(label), loose, most, pending, asks
         _, first, group = np.unique(label, return_index=True, return_inverse=True)
@@ -391,8 +396,19 @@ def compare(forest: Forest | Between, prints: np.ndarray, a: np.ndarray, b: np.n
     """Add all pairs of members of ``a`` and ``b`` but those that are in one tight group.
 
     Of two members in different groups, one is outside the largest group; only these are rows.
+    Beyond ``forest.full`` pairs neighbours in eight orders are compared.
     """
     groups = forest.tight
+    if len(a) * len(b) > forest.full:  # by each 32-bit word in turn, a row and those after it
+        members = np.unique(np.concatenate([a, b]))
+        for word in range(2 * prints.shape[1]):
+            order = members[np.argsort(prints[members, word // 2] << np.uint64(32 * (word % 2)) >> np.uint64(32), kind="stable")]
+            for ahead in range(1, min(len(order), 32)):
+                x, y = order[:-ahead], order[ahead:]
+                apart = groups.find(x) != groups.find(y)
+                x, y = x[apart], y[apart]
+                forest.add(x, y, np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1))
+        return
     name, count = np.unique(groups.find(np.concatenate([a, b])), return_counts=True)
     largest = name[count.argmax()]
     for rows, others in ((a[groups.find(a) != largest], b), (b[groups.find(b) != largest], a[groups.find(a) == largest])):
@@ -433,7 +449,7 @@ def company(forest: Forest | Between, keys: np.ndarray, slack: np.ndarray, print
         compare(forest, prints, own, own)
     done: set[int] = set()
     for variant, member in meetings(distinct, np.arange(len(distinct)), slack[head], 32 - prefix, unfold):
-        for ahead in range(1, len(member)):
+        for ahead in range(1, min(len(member), forest.reach)):
             at = np.flatnonzero(variant[ahead:] == variant[:-ahead])
             if not len(at):
                 break
@@ -574,7 +590,8 @@ def similar_groups(distinct: DataFrame, named: DataFrame, width: int, similarity
     other groups that have not failed, and these are verified. In a later round only rows of
     groups ask that the round before has found a link. So the work is linear in the rows
     (all candidates between two groups can be as many as the square of both); a link is lost
-    only where at both ends so many others of fewer bits fail.
+    where at both ends so many others of fewer bits fail, or in a crowd of over a million pairs
+    at one key, of which neighbours are compared alone.
     """
     limits = bit_limits(similarity)
     found = cut(similar_links(distinct, limits), "simhash-candidates")

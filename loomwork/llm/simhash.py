@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -317,8 +317,6 @@ class Forest:
     its ends is shorter.
     """
 
-    reach, full = 1 << 62, 1 << 62  # everything that meets is compared
-
     def __init__(self, n: int, tight: int, loose: int, pending: int = 1 << 21):
         self.n, self.least, self.loose, self.pending = n, tight, loose, pending
         self.tight = Groups(n)
@@ -343,72 +341,12 @@ class Forest:
         return a[stay], b[stay]
 
 
-class Between:
-    """The pairs of a bucket within ``loose`` bits whose ends are in different groups and have not failed, the ``most`` of fewest bits for each end that asks.
-
-    ``label`` names each row's group, ``name`` its document, ``asks`` the rows that ask; ``failed`` are pairs of documents.
-    Of more than ``reach`` keys that meet, and more than ``full`` pairs at one key, the neighbours in order are compared.
-    """
-
-    reach, full = 64, 1 << 20
-
-    def __init__(self, label: np.ndarray, name: np.ndarray, asks: np.ndarray, failed: np.ndarray, loose: int, most: int, pending: int = 1 << 21):
-        self.n, self.loose, self.most, self.pending, self.asks = len(label), loose, most, pending, asks
-        _, first, group = np.unique(label, return_index=True, return_inverse=True)
-        self.tight = Groups(self.n)
-        self.tight.parent = first[group]
-        self.names, self.name = np.unique(name, return_inverse=True)
-        at = np.searchsorted(self.names, failed)
-        known = (at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == failed)
-        at = at[known.all(axis=1)]
-        self.failed = np.unique(self._codes(at[:, 0], at[:, 1]))
-        self.held = [(np.zeros(0, np.int64),) * 3]
-        self.size = 0
-
-    def _codes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.minimum(x, y) * len(self.names) + np.maximum(x, y)
-
-    def add(self, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> None:
-        own = (bits <= self.loose) & (self.tight.parent[a] != self.tight.parent[b]) & (self.name[a] != self.name[b]) & (self.asks[a] | self.asks[b])
-        a, b, bits = a[own], b[own], bits[own].astype(np.int64)
-        own = ~np.isin(self._codes(self.name[a], self.name[b]), self.failed)
-        if own.any():
-            self.held.append((a[own], b[own], bits[own]))
-            self.size += int(own.sum())
-            if self.size > self.pending:
-                self.edges()
-
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        a, b, bits = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        _, once = np.unique(a * self.n + b, return_index=True)
-        a, b, bits = a[once], b[once], bits[once]
-        end, other, edge = np.r_[a, b], np.r_[b, a], np.tile(np.arange(len(a)), 2)
-        order = np.lexsort((other, np.tile(bits, 2), end))
-        first = np.flatnonzero(np.r_[True, end[order][1:] != end[order][:-1]]) if len(order) else np.zeros(0, np.int64)
-        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-        stay = np.unique(edge[order[(rank < self.most) & self.asks[end[order]]]])
-        self.held, self.size = [(a[stay], b[stay], bits[stay])], 0
-        return a[stay], b[stay]
-
-
-def compare(forest: Forest | Between, prints: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1 << 19) -> None:
+def compare(forest: Forest, prints: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 1 << 19) -> None:
     """Add all pairs of members of ``a`` and ``b`` but those that are in one tight group.
 
     Of two members in different groups, one is outside the largest group; only these are rows.
-    Beyond ``forest.full`` pairs neighbours in eight orders are compared.
     """
     groups = forest.tight
-    if len(a) * len(b) > forest.full:  # by each 32-bit word in turn, a row and those after it
-        members = np.unique(np.concatenate([a, b]))
-        for word in range(2 * prints.shape[1]):
-            order = members[np.argsort(prints[members, word // 2] << np.uint64(32 * (word % 2)) >> np.uint64(32), kind="stable")]
-            for ahead in range(1, min(len(order), 32)):
-                x, y = order[:-ahead], order[ahead:]
-                apart = groups.find(x) != groups.find(y)
-                x, y = x[apart], y[apart]
-                forest.add(x, y, np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1))
-        return
     name, count = np.unique(groups.find(np.concatenate([a, b])), return_counts=True)
     largest = name[count.argmax()]
     for rows, others in ((a[groups.find(a) != largest], b), (b[groups.find(b) != largest], a[groups.find(a) == largest])):
@@ -423,7 +361,7 @@ def compare(forest: Forest | Between, prints: np.ndarray, a: np.ndarray, b: np.n
                 forest.add(own[x], them[y], bits[x, y])
 
 
-def company(forest: Forest | Between, keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int, prefix: int, unfold: int) -> tuple[np.ndarray, np.ndarray]:
+def company(forest: Forest, keys: np.ndarray, slack: np.ndarray, prints: np.ndarray, bucket: int, prefix: int, unfold: int) -> tuple[np.ndarray, np.ndarray]:
     """What ``forest`` keeps of the pairs of a bucket with keys within 4 bits and prints within the loose limit.
 
     Distinct keys meet, each for all members that share it. Pairs of keys in one
@@ -449,7 +387,7 @@ def company(forest: Forest | Between, keys: np.ndarray, slack: np.ndarray, print
         compare(forest, prints, own, own)
     done: set[int] = set()
     for variant, member in meetings(distinct, np.arange(len(distinct)), slack[head], 32 - prefix, unfold):
-        for ahead in range(1, min(len(member), forest.reach)):
+        for ahead in range(1, len(member)):
             at = np.flatnonzero(variant[ahead:] == variant[:-ahead])
             if not len(at):
                 break
@@ -479,21 +417,15 @@ def company(forest: Forest | Between, keys: np.ndarray, slack: np.ndarray, print
     return forest.edges()
 
 
-def similar_links(rows: DataFrame, limits: tuple[int, int], most: int | None = None, unfold: int = 1 << 21) -> DataFrame:
+def similar_links(rows: DataFrame, limits: tuple[int, int], unfold: int = 1 << 21) -> DataFrame:
     """Distinct ``a``, ``b``: pairs of ids of ``rows(id, fp)`` whose 256-bit fingerprints differ in at most the loose limit's bits.
 
     Candidates come from six tables of 32 bits with radius 4, by the same balls
     of half the radius as :func:`ball_links`. Every pair that meets in a table
     is compared, unless pairs within the tight limit join it already. Buckets
     return spanning forests of fewest bits, so at most an edge per row.
-
-    With ``most``, rows also have ``label``, ``asks`` and ``past``: all pairs of different labels
-    are compared that are not in ``past`` (ids that failed with this one), and a bucket returns the ``most`` of fewest bits for each row that asks.
     """
-    again = most is not None
-    if not again:
-        rows = rows.select("id", F.col("id").alias("label"), F.lit(1).cast("long").alias("asks"), "fp", F.array().cast("array<long>").alias("past"))
-    total, head = 8 * (LANES + 3) * rows.count(), 3
+    total = 8 * (LANES + 1) * rows.count()
     prefix = prefix_for(total, 32, 2, 4)
     near = masks(prefix, 2).astype(np.int64)
 
@@ -501,58 +433,31 @@ def similar_links(rows: DataFrame, limits: tuple[int, int], most: int | None = N
         return (prints[:, table // 2] >> np.uint64(32 * (1 - table % 2))) & np.uint64(0xFFFFFFFF)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows go under the odd keys of their buckets, pairs that failed under the even ones before them."""
         for batch in slices(batches, max(64, (1 << 20) // len(near))):
             if not batch.num_rows:
                 continue
-            names = np.stack([np.asarray(batch.column(i), np.int64).view(np.uint64) for i in range(head)], axis=1)
-            prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u8").astype(np.uint64).reshape(-1, LANES)
-            own = np.concatenate([names, prints], axis=1)
-            lists = batch.column(4)
-            many = np.diff(np.asarray(lists.offsets))
-            failed = np.stack([np.repeat(names[:, 0], many), np.asarray(lists.flatten(), np.int64).view(np.uint64)], axis=1)
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, LANES)
+            own = np.concatenate([np.asarray(batch.column(0), np.int64).view(np.uint64)[:, None], prints], axis=1)
             for table in range(TABLES):
-                home = (words(prints, table) >> np.uint64(32 - prefix)).astype(np.int64)
-                for kind, at, held in ((1, home, own), (0, np.repeat(home, many), failed)):
-                    if len(held):
-                        sent = by_prefix(at, near, held, table << prefix)
-                        key = pa.array(2 * np.asarray(sent.column(0), np.int64) + kind)
-                        yield pa.record_batch([sent.column(0), key, sent.column(1)], ["bucket", "key", "rows"])
+                yield by_prefix((words(prints, table) >> np.uint64(32 - prefix)).astype(np.int64), near, own, table << prefix)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gone: tuple[int, np.ndarray] = (-1, np.zeros((0, 2), np.int64))
-        for key, own in each_bucket(batches):
-            bucket = key // 2
-            if not key % 2:
-                gone = bucket, own.view(np.int64).reshape(-1, 2)
-                continue
-            own = own.reshape(-1, LANES + head)
+        for bucket, own in each_bucket(batches):
+            own = own.reshape(-1, LANES + 1)
             own = own[np.lexsort(own.T[::-1])]  # the order of arrival must not matter
-            ids, labels, asks = (np.ascontiguousarray(own[:, i]).view(np.int64) for i in range(head))
-            if not asks.any():
-                continue
-            prints = own[:, head:]
-            past = gone[1] if gone[0] == bucket else np.zeros((0, 2), np.int64)
-            forest = Between(labels, ids, asks > 0, past, limits[1], most) if again else Forest(len(ids), *limits)
+            ids, prints = np.ascontiguousarray(own[:, 0]).view(np.int64), own[:, 1:]
             keys = words(prints, bucket >> prefix)
             slack = 2 - np.bitwise_count((keys >> np.uint64(32 - prefix)).astype(np.int64) ^ (bucket & (1 << prefix) - 1)).astype(np.int64)
-            x, y = company(forest, keys, slack, prints, bucket & (1 << prefix) - 1, prefix, unfold)
+            x, y = company(Forest(len(ids), *limits), keys, slack, prints, bucket & (1 << prefix) - 1, prefix, unfold)
             if len(x):
                 yield pa.record_batch([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
 
-    sent = rows.select("id", "label", "asks", "fp", "past").mapInArrow(send, "bucket long, key long, rows binary")
-    width = bucket_tasks(sent, TABLES << prefix, TABLES * len(near) * total)
-    return sent.repartition(width, "bucket").sortWithinPartitions("key").select("key", "rows").mapInArrow(meet, "a long, b long").filter("a <> b").distinct()
+    sent = columns(rows, "id", "fp").mapInArrow(send, "bucket long, rows binary")
+    return bucketed(sent, TABLES << prefix, TABLES * len(near) * total).mapInArrow(meet, "a long, b long").filter("a <> b").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The distinct ``pairs`` (a, b) of doc_ids whose sets of shingles have this Jaccard similarity or more.
-
-    Shingles are told apart by their 64-bit hashes. The sets are made for the
-    documents of the pairs only. A text without words is an empty set, and two
-    of them are alike; rows that share a doc_id are each compared.
-    """
-    pairs = cut(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+def sets_of(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``row``, ``id``, ``shingles`` (set of 64-bit hashes) of the documents in ``pairs(a, b)``; rows that share a doc_id are a row each."""
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -560,8 +465,16 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
             blobs = [shingle_set(t, width).tobytes() for t in text_bytes(batch.column(1))]
             yield pa.record_batch([batch.column(0), binary_column(blobs)], ["id", "shingles"])
 
-    held = cut(docs.join(asked, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "simhash-shingles")
+    made = docs.join(asked, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+    return cut(made.withColumn("row", F.monotonically_increasing_id()), "simhash-shingles")
+
 
+def verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """The distinct ``pairs`` (a, b) of ids whose sets in ``held(id, shingles)`` have this Jaccard similarity or more.
+
+    Shingles are told apart by their 64-bit hashes. A text without words is an empty set, and two
+    of them are alike; rows that share an id are each compared.
+    """
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
             own = []
@@ -574,47 +487,189 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -
             kept = pa.array(own, pa.bool_())
             yield pa.record_batch([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    left, right = held.toDF("a", "x"), held.toDF("b", "y")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    left, right = (held.select(F.col("id").alias(end), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+
 
+def prefixes(held: DataFrame, similarity: float) -> DataFrame:
+    """``token``, ``id``, ``n``, ``back``: the shingles that can be the rarest which a set of ``held`` shares with a similar one.
+
+    In an order of all shingles by how many sets have them, a set's ``back`` last
+    ones (of ``n``) begin with the token. What two sets share is no more than
+    what either has from their first common shingle on, so with a similarity s
+    that has ``back`` of s * n or more. Shingles of one set alone come first and are left out.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            sets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            if n.sum():
+                row, own = (np.repeat(np.asarray(batch.column(i), np.int64), n) for i in (0, 1))
+                yield pa.record_batch([pa.array(x) for x in (row, own, np.repeat(n, n), np.concatenate(sets))], ["row", "id", "n", "token"])
+
+    flat = held.select("row", "id", "shingles").mapInArrow(each, "row long, id long, n long, token long")
+    often = flat.groupBy("token").count().filter("count > 1")
+    last = Window.partitionBy("row").orderBy(F.desc("count"), F.desc("token"))
+    ordered = flat.join(often, "token").withColumn("back", F.row_number().over(last).cast("long"))
+    return ordered.filter(F.col("back") >= similarity * F.col("n") - 1e-6).select("token", "id", "n", "back")
 
-ROUNDS = (8, 32)  # candidates that a row asks for in each round
+
+def sharing(cell: np.ndarray, side: np.ndarray, split: np.ndarray, group: np.ndarray, n: np.ndarray, back: np.ndarray, similarity: float, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs x, y of rows of one cell and different groups that can have this similarity by size and ``back``, and ``large``: which rows are of their cell's largest group.
+
+    In a ``split`` cell these are pairs of rows of different sides. ``n`` of y is that of x or less.
+    """
+    share = similarity / (1 + similarity)
+    top = np.floor(back / share - n + 1e-6).astype(np.int64)  # the most that the other's n can be
+    order = np.lexsort((group, cell))
+    first = np.flatnonzero(np.r_[True, (cell[order][1:] != cell[order][:-1]) | (group[order][1:] != group[order][:-1])])
+    many = np.diff(np.r_[first, len(order)])
+    largest = np.zeros(int(cell.max()) + 1, np.int64)
+    ascending = np.argsort(many, kind="stable")
+    largest[cell[order[first]][ascending]] = group[order[first]][ascending]  # the last one written stays
+    large = group == largest[cell]
+    key = ((cell * 2 + side) * 2 + large << 32) + n
+    index = np.flatnonzero(top >= n)
+    index = index[np.argsort(key[index], kind="stable")]
+    for kind in (0, 1):
+        probe = np.flatnonzero(~large) if kind else np.arange(len(cell))
+        base = (cell[probe] * 2 + (side ^ split)[probe]) * 2 + kind << 32
+        low = np.searchsorted(key[index], base + np.ceil(similarity * n[probe] - 1e-6).astype(np.int64))
+        high = np.searchsorted(key[index], base + np.minimum(n, top)[probe], "right")
+        some = np.flatnonzero(high > low)
+        probe, low, count = probe[some], low[some], (high - low)[some]
+        ends = count.cumsum()
+        at = 0
+        while at < len(probe):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + block, "right")))
+            own = count[at: to]
+            x = np.repeat(probe[at: to], own)
+            y = index[np.repeat(low[at: to] - (own.cumsum() - own), own) + np.arange(len(x))]
+            apart = (group[x] != group[y]) & (top[y] >= n[x])
+            yield x[apart], y[apart], large
+            at = to
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``least`` rows that end between cells, and the number of each row's cell; a cell is rows with equal first three columns."""
+    def numbered(table: pa.Table) -> np.ndarray:
+        names = [np.asarray(table.column(i)) for i in range(3)]
+        return np.r_[0, np.logical_or.reduce([x[1:] != x[:-1] for x in names]).cumsum()]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.num_rows for x in held) >= least:
+            table = pa.Table.from_batches(held)
+            cell = numbered(table)
+            ends = int(np.searchsorted(cell, cell[-1]))
+            if ends:
+                yield table.slice(0, ends), cell[:ends]
+            held = table.slice(ends).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, numbered(table)
+
+
+CELL_ROWS = 4096
+
+
+def crowd_pairs(found: DataFrame, rows: DataFrame, past: DataFrame, most: int, similarity: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Pairs ``a``, ``b`` of ids of ``rows(id, label, fp)`` that meet at one of their prefixes ``found`` and have different labels, without those in ``past``.
+
+    A row asks for the ``most`` of fewest bits, unless its group is the largest that meets there.
+    There are none only if no two rows of different labels can have this similarity but those in ``past``.
+    A token of more than ``cell_rows`` rows is compared block by block, each pair of blocks a cell.
+    """
+    failed = past.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("past"))
+    sent = rows.join(failed, "id", "left").withColumn("past", F.coalesce("past", F.array().cast("array<long>")))
+    met = found.join(rows, "id").groupBy("token").agg(F.ceil(F.count("*") / cell_rows).alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
+    met = met.filter("low <> high").select("token", "blocks")
+    dealt = found.join(met, "token").withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.join(sent, "id").select(
+        "token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("long").alias("side"),
+        "id", "label", "n", "back", "fp", "past")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cell in whole_cells(batches):
+            side, ids, label, n, back = (np.asarray(table.column(i), np.int64) for i in range(3, 8))
+            split = (np.asarray(table.column(1)) != np.asarray(table.column(2))).astype(np.int64)
+            prints = np.frombuffer(b"".join(table.column(8).to_pylist()), ">u8").astype(np.uint64).reshape(-1, LANES)
+            names, first, doc = np.unique(ids, return_index=True, return_inverse=True)
+            lists = table.column(9).take(pa.array(first)).combine_chunks()
+            gone = np.asarray(lists.flatten(), np.int64)
+            at = np.searchsorted(names, gone)
+            known = names[np.minimum(at, len(names) - 1)] == gone
+            lost = np.unique((np.repeat(np.arange(len(names)), np.asarray(lists.value_lengths())) * len(names) + at)[known])
+            held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+
+            def best() -> tuple[np.ndarray, np.ndarray]:
+                pair, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+                pair, once = np.unique(pair, return_index=True)
+                order = np.lexsort((pair, bits[once], pair // len(names)))
+                asker = pair[order] // len(names)
+                begin = np.flatnonzero(np.r_[True, asker[1:] != asker[:-1]])[: len(asker)]
+                rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.r_[begin, len(order)]))
+                own = order[rank < most]
+                return pair[own], bits[once][own]
+
+            for x, y, large in sharing(cell, side, split, np.unique(label, return_inverse=True)[1], n, back, similarity):
+                a, b = np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])
+                open_ = (a != b) & ~np.isin(a * len(names) + b, lost)
+                x, y = x[open_], y[open_]
+                bits = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1).astype(np.int64)
+                for asker, other in ((x, y), (y, x)):
+                    asks = ~large[asker]
+                    held.append((doc[asker[asks]] * len(names) + doc[other[asks]], bits[asks]))
+                    size += int(asks.sum())
+                if size > 1 << 21:
+                    held, size = [best()], 0
+            pair, bits = best()
+            if len(pair):
+                yield pa.record_batch([pa.array(names[pair // len(names)]), pa.array(names[pair % len(names)]), pa.array(bits)], ["asker", "other", "bits"])
+
+    width = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), found.count() >> 19)
+    cells = cells.repartition(width, "token", "low", "high").sortWithinPartitions("token", "low", "high")
+    asked = cells.mapInArrow(meet, "asker long, other long, bits long").distinct()
+    rank = F.row_number().over(Window.partitionBy("asker").orderBy("bits", "other"))
+    return asked.withColumn("rank", rank).filter(F.col("rank") <= most).select(F.least("asker", "other").alias("a"), F.greatest("asker", "other").alias("b")).distinct()
 
 
 def similar_groups(distinct: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:
     """``id``, ``label``: the group of every row of ``distinct(id, fp)``, named by its smallest id, over verified links.
 
     First a spanning forest of the candidates of each bucket is verified. A group
-    that none of its links that failed leads out of has no candidate outside. The others
-    ask again, in ``ROUNDS``: each of their rows for so many candidates of fewest bits in
-    other groups that have not failed, and these are verified. In a later round only rows of
-    groups ask that the round before has found a link. So the work is linear in the rows
-    (all candidates between two groups can be as many as the square of both); a link is lost
-    where at both ends so many others of fewer bits fail, or in a crowd of over a million pairs
-    at one key, of which neighbours are compared alone.
+    that none of its links that failed leads out of has no candidate outside. Between
+    the others every pair that can have this similarity is compared: the rows whose shingle sets
+    share a token of their :func:`prefixes` meet there, and ask in rounds for ever more
+    of those in other groups that have not failed, of fewest bits first, until none is left.
+    So most rows of a crowd are joined after a few comparisons, and what is never
+    joined has failed with every row that it could be like.
     """
-    limits = bit_limits(similarity)
-    found = cut(similar_links(distinct, limits), "simhash-candidates")
-    links = cut(verified(found, named, width, similarity), "simhash-similar")
+    found = cut(similar_links(distinct, bit_limits(similarity)), "simhash-candidates")
+    held = sets_of(found, named, width)
+    links = cut(verified(found, held, similarity), "simhash-similar")
     roots = connected_components(links)
     labels = cut(distinct.join(roots, distinct["id"] == roots["v"], "left").select("id", F.coalesce("root", "id").alias("label")).distinct(), "simhash-labels")
     past = cut(between(found.join(links, ["a", "b"], "left_anti"), labels), "simhash-failed")
     if past.isEmpty():
         return labels
     asking = past.select(F.col("x").alias("label")).union(past.select("y")).distinct()
-    rows = cut(distinct.join(labels, "id").join(asking, "label", "left_semi").select("id", "label", F.lit(1).cast("long").alias("asks"), "fp"), "simhash-open")
+    rows = cut(distinct.groupBy("id").agg(F.min("fp").alias("fp")).join(labels, "id").join(asking, "label", "left_semi").select("id", "label", "fp"), "simhash-open")
+    held = cut(held.join(rows, "id", "left_semi"), "simhash-open-shingles")
+    tokens = cut(prefixes(held, similarity), "simhash-prefixes")
+    past = past.select("a", "b")
     moves: list[DataFrame] = []
-    for most in ROUNDS:
-        failed = past.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("past"))
-        sent = rows.join(failed, "id", "left").withColumn("past", F.coalesce("past", F.array().cast("array<long>")))
-        found = cut(similar_links(sent, limits, most), "simhash-candidates")
-        good = cut(verified(found, named, width, similarity), "simhash-similar")
-        if good.isEmpty():
-            break
-        merged = connected_components(between(good, rows).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        moves.append(merged)
-        past = cut(past.select("a", "b").union(found.join(good, ["a", "b"], "left_anti")), "simhash-failed")
-        rows = cut(rows.join(merged, rows["label"] == merged["v"], "left").select("id", F.coalesce("root", "label").alias("label"), F.col("root").isNotNull().cast("long").alias("asks"), "fp"), "simhash-open")
+    most = 8
+    while not (found := cut(crowd_pairs(tokens, rows, past, most, similarity), "simhash-candidates")).isEmpty():
+        good = cut(verified(found, held, similarity), "simhash-similar")
+        past = cut(past.union(found.join(good, ["a", "b"], "left_anti")), "simhash-failed")
+        if not good.isEmpty():
+            merged = connected_components(between(good, rows).select(F.col("x").alias("a"), F.col("y").alias("b")))
+            moves.append(merged)
+            rows = cut(rows.join(merged, rows["label"] == merged["v"], "left").select("id", F.coalesce("root", "label").alias("label"), "fp"), "simhash-open")
+        most *= 4
     for merged in moves:
         labels = labels.join(merged, labels["label"] == merged["v"], "left").select("id", F.coalesce("root", "label").alias("label"))
     return labels
@@ -634,7 +689,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     ``width``-word shingles are within three standard deviations of what
     ``similarity`` makes expected are candidates. A candidate link holds if the
     sets of shingles have that Jaccard similarity, and groups are connected over
-    links (see :func:`similar_groups` for the candidates that are verified).
+    links. Where links failed, every pair of the rows that these lead to is
+    compared, unless it is in one group already (see :func:`similar_groups`).
     Only equal sets (by 128-bit hashes) are links without a comparison.
 
     Texts without words form one group. Null texts count as empty. Rows

@@ -244,6 +244,27 @@ def test_similar_texts_in_a_crowd_with_a_shared_template(spark):
     assert sorted(r.doc_id for r in simhash.keep_one_of_each(table).collect()) == sorted(set(label))
 
 
+def test_no_link_is_lost_among_many_that_fail(spark):
+    """A link outside the 40 nearest by bits at both ends is found, and a token of more rows than a block is compared whole."""
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(100)]
+    texts = [base[:88] + [f"{n}own{i}" for i in range(12)] for n in range(60)]  # a similarity of 0.78 with one another
+    texts += [["x"] * (n % 2) + base[:91] + [f"{n}new{i}" for i in range(8)] + ["end"] for n in range(2)]
+    due = brute_groups(texts)
+    assert due == {61}
+    far = np.zeros((62, 4), np.uint64)
+    far[60, 1], far[61, 2] = np.uint64((1 << 20) - 1), np.uint64((1 << 20) - 1)  # the others are nearer to both
+    table = spark.createDataFrame([(i, p.astype(">u8").tobytes()) for i, p in enumerate(far)], "id long, fp binary").repartition(3)
+    named = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.id for r in simhash.similar_groups(table, named, 5, 0.8).filter("id <> label").collect()} == due
+    held = simhash.sets_of(spark.createDataFrame([(i, i) for i in range(62)], "a long, b long"), named, 5)
+    rows, none = table.withColumn("label", F.col("id")), spark.createDataFrame([], "a long, b long")
+    tokens = simhash.prefixes(held, 0.75).cache()
+    pairs = {frozenset((r.a, r.b)) for r in simhash.crowd_pairs(tokens, rows, none, 100, 0.75).collect()}
+    assert pairs == {frozenset((r.a, r.b)) for r in simhash.crowd_pairs(tokens, rows, none, 100, 0.75, cell_rows=7).collect()}
+    assert len(pairs) == 62 * 61 // 2  # all have 0.75
+
+
 def test_long_chain_is_one_component(spark):
     n = 300
     edges = spark.range(n).select(((F.col("id") * 7919) % n).alias("a"), (((F.col("id") + 1) * 7919) % n).alias("b")).filter("id < 299")

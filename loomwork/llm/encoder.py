@@ -19,6 +19,7 @@ an end mark must not end a training sequence.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -214,6 +215,14 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = BAT
 _READY: dict[str, UnitEncoder] = {}
 
 
+def give_back() -> None:
+    """Hand to the system what Arrow and the C library keep of freed memory; a worker's encoder stays."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def forget() -> None:
     """Drop the worker's encoder, where a stage needs the memory for other things, and give back what Arrow keeps unused."""
     _READY.clear()

@@ -22,9 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoder import encoder, text_batches
+from .encoder import encoder, give_back, text_batches
 from .shared import columns, cut
 
+BATCH_BYTES = 6 << 20  # of text encoded at a time: ids and marks of its words take many times as much
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -32,8 +33,10 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
     """One row per piece; ``nth`` counts pieces of one length within the task ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what an earlier stage's tasks left
         library, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in text_batches(batches, 1):
+
+        def rows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             ids, bounds = library.encode(batch.column(1), end_id)
             view = memoryview(ids).cast("B")
@@ -47,7 +50,11 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
                     start += size
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             names = [c.split()[0] for c in PIECES.split(", ")]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for batch in text_batches(batches, 1, BATCH_BYTES):
+            yield rows_of(batch)
+            give_back()
 
     return columns(docs, "doc_id", "text").mapInArrow(run, PIECES)
 

@@ -80,6 +80,33 @@ def test_plan_fills_sequences_without_gaps(seed):
     assert len(places) == len(rooms)
 
 
+def test_packing_gives_memory_back(monkeypatch):
+    """A worker that has encoded tens of MB of text for packing keeps its encoder, and little of what the batches took."""
+
+    class Table:
+        columns = ["doc_id", "text"]
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, schema: run  # noqa: E731, N815
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    def anonymous():
+        with open("/proc/self/status") as status:
+            return next(int(x.split()[1]) for x in status if x.startswith("RssAnon")) / 1024
+
+    rnd = np.random.default_rng(4)
+    words = np.array(["".join(w) for w in rnd.choice(list("etaoinshrdlu"), (40_000, 6))])
+    text = [" ".join(words[rnd.integers(0, len(words), 400)]) for _ in range(4000)]  # 11 MB
+    monkeypatch.setattr(packing.TaskContext, "get", staticmethod(Task))
+    run = packing.pieces(Table(), BYTE, 2, 1024)
+    batch = pa.record_batch([pa.array(range(len(text))), pa.array(text)], ["doc_id", "text"])
+    list(run(iter([batch.slice(0, 1)])))
+    before = anonymous()
+    done = sum(b.num_rows for b in run(iter([batch, batch, batch])))
+    assert done >= 3 * len(text) and anonymous() - before < 40
+
+
 def test_packing(spark, docs):
     encode, rows = library(BYTE), packing.pack_documents(docs, BYTE, capacity=256).toPandas()
     expected = []

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.plans.registry import Project
-from loomwork.session import materialized
+from loomwork.session import materialized, shuffled
 from loomwork.sources.versions import Versions
 
 DEPTH = 15
@@ -117,7 +117,7 @@ def reachable(edges: DataFrame, roots: DataFrame, upstream: bool = False) -> Dat
     parts = [frontier.withColumn("depth", F.lit(0))]
     for depth in range(1, DEPTH + 1):
         seen = reduce(DataFrame.unionByName, parts)
-        fresh = frontier.join(steps, "node").select("origin", F.col("next").alias("node")).distinct().join(seen, ["origin", "node"], "left_anti")
+        fresh = frontier.join(shuffled(steps), "node").select("origin", F.col("next").alias("node")).distinct().join(shuffled(seen), ["origin", "node"], "left_anti")
         frontier = materialized(fresh, "frontier")
         if frontier.isEmpty():
             break
@@ -146,11 +146,11 @@ def widest(steps: DataFrame, roots: DataFrame, compact: int = 4) -> DataFrame:
     frontier = roots.select(F.col("id").alias("origin"), F.col("id").alias("node")).distinct().withColumn("confidence", F.lit(float("inf")))
     parts: list[DataFrame] = []
     for depth in range(1, DEPTH + 1):
-        found = frontier.join(steps, "node").filter(F.col("next") != F.col("origin"))
+        found = frontier.join(shuffled(steps), "node").filter(F.col("next") != F.col("origin"))
         found = found.groupBy("origin", F.col("next").alias("node")).agg(F.max(F.least("confidence", "edge")).alias("confidence"))
         if parts:
             known = _merged(parts).select("origin", "node", F.col("confidence").alias("_known"))
-            found = found.join(known, ["origin", "node"], "left").filter("_known is null or confidence > _known").drop("_known")
+            found = found.join(shuffled(known), ["origin", "node"], "left").filter("_known is null or confidence > _known").drop("_known")
         frontier = materialized(found.withColumn("hops", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.session import materialized
+from loomwork.session import materialized, shuffled
 
 from . import graph as g
 from . import risk
@@ -20,25 +20,25 @@ def affected(spark: SparkSession, graph: dict[str, DataFrame], lineage: DataFram
     listed as pruned. Other events reach all downstream models, one hop away. A test's event starts at the tested model.
     """
     tests = graph["graph_tests"].select("test_id", "target_id")
-    known = graph["graph_nodes"].select(F.col("unique_id").alias("known"))
-    started = events.join(tests, events["node_id"] == tests["test_id"], "left").withColumn("origin", F.coalesce("target_id", "node_id")).drop("test_id", "target_id")
-    started = started.join(known, started["origin"] == known["known"], "left")
-    fine = started.filter("known is not null")
+    known = graph["graph_nodes"].select(F.col("unique_id").alias("origin"))
+    started = events.join(shuffled(tests), events["node_id"] == tests["test_id"], "left").withColumn("origin", F.coalesce("target_id", "node_id"))
+    fine = materialized(started.join(shuffled(known), "origin", "left_semi").select("event_id", "origin", "column_name"), "started")
     models = g.dependent_models(graph, fine.select(F.col("origin").alias("id")))
-    down = fine.join(models, "origin").select("event_id", "origin", "column_name", "node")
     columns = fine.filter("column_name is not null").select("event_id", "origin", F.concat_ws(".", "origin", "column_name").alias("id"))
     ways = materialized(g.column_flow(lineage, columns), "column-flow").select(F.col("origin").alias("id"), F.col("node").alias("column_id"), "confidence", "hops")
     start = ways.groupBy("id").agg(F.max("confidence").alias("confidence")).select("id", F.col("id").alias("column_id"), "confidence", F.lit(0).alias("hops"))
     owner = graph["graph_columns"].select("column_id", F.col("node_id").alias("node"))
-    flow = columns.join(ways.unionByName(start), "id").join(owner, "column_id").groupBy("event_id", "origin", "node").agg(F.max("confidence").alias("confidence"), F.min("hops").alias("hops"))
+    flow = columns.join(shuffled(ways.unionByName(start)), "id").join(shuffled(owner), "column_id")
+    flow = materialized(flow.groupBy("event_id", "origin", "node").agg(F.max("confidence").alias("confidence"), F.min("hops").alias("hops")), "flow")
     followed = flow.select("event_id").distinct().withColumn("followed", F.lit(True))
-    rest = down.join(followed, "event_id", "left").join(flow.select("event_id", "node"), ["event_id", "node"], "left_anti")
-    whole = rest.filter("followed is null")
-    wide = whole.select("event_id", "origin", "node", F.lit(1.0).alias("confidence"), F.when(F.col("column_name").isNull(), 1).alias("hops"))
-    own = fine.join(followed, "event_id", "left_anti").select("event_id", "origin", F.col("origin").alias("node"), F.lit(1.0).alias("confidence"), F.lit(0).alias("hops"))
-    reached = flow.unionByName(wide).unionByName(own).withColumn("pruned", F.lit(False))
-    cut = rest.filter("followed or column_name is not null").select("event_id", "origin", "node", F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("int").alias("hops"), F.lit(True).alias("pruned"))
-    return reached.unionByName(cut)
+    told = fine.join(shuffled(followed), "event_id", "left")
+    rest = told.join(shuffled(models), "origin").join(shuffled(flow.select("event_id", "node")), ["event_id", "node"], "left_anti")
+    yes, no = F.lit(True), F.lit(False)
+    listed = F.when(F.col("followed"), F.array(yes)).when(F.col("column_name").isNull(), F.array(no)).otherwise(F.array(no, yes))
+    wide = rest.select("event_id", "origin", "node", "column_name", F.explode(listed).alias("pruned")).select(
+        "event_id", "origin", "node", F.when(~F.col("pruned"), 1.0).alias("confidence"), F.when(~F.col("pruned") & F.col("column_name").isNull(), 1).alias("hops"), "pruned")
+    own = told.filter("followed is null").select("event_id", "origin", F.col("origin").alias("node"), F.lit(1.0).alias("confidence"), F.lit(0).alias("hops"), no.alias("pruned"))
+    return flow.withColumn("pruned", no).unionByName(own).unionByName(wide)
 
 
 def unknown(graph: dict[str, DataFrame], events: DataFrame) -> DataFrame:

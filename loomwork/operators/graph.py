@@ -180,9 +180,14 @@ def paths_to_exposures(graph: dict[str, DataFrame], roots: DataFrame) -> DataFra
 
 
 def reached_exposures(graph: dict[str, DataFrame], roots: DataFrame) -> DataFrame:
-    """The exposures that each root reaches, with the fewest hops (``depth``) and their properties."""
+    """The exposures that each root reaches, with the fewest hops (``depth``) and their properties. The walk begins at whichever are fewer, roots or exposures."""
     found = graph["graph_nodes"].filter("label = 'Exposure'").select(F.col("unique_id").alias("node"), F.col("name").alias("exposure"), "priority", "maturity", "exposure_type")
-    return reachable(graph["graph_edges"], roots).join(found, "node")
+    ids = materialized(roots.select("id").distinct(), "roots")
+    ends = found.select(F.col("node").alias("id"))
+    if ends.count() < ids.count():
+        back = reachable(graph["graph_edges"], ends, upstream=True).select(F.col("node").alias("origin"), F.col("origin").alias("node"), "depth")
+        return back.join(shuffled(ids.select(F.col("id").alias("origin"))), "origin", "left_semi").join(found, "node")
+    return reachable(graph["graph_edges"], ids).join(found, "node")
 
 
 def nearest_exposure(reached: DataFrame) -> DataFrame:
@@ -206,11 +211,11 @@ def test_coverage(graph: dict[str, DataFrame]) -> DataFrame:
     """Tested columns over columns, and the tests, for every node; 0 where it has no columns."""
     tests = graph["graph_tests"].groupBy("target_id", "column_name").agg(F.collect_set(F.struct("test_id", "test_type")).alias("own"))
     columns = graph["graph_columns"]
-    both = columns.join(tests, (columns["node_id"] == tests["target_id"]) & (columns["column_name"] == tests["column_name"]), "left")
+    both = columns.join(shuffled(tests), (columns["node_id"] == tests["target_id"]) & (columns["column_name"] == tests["column_name"]), "left")
     per = both.groupBy("node_id").agg(F.count("*").alias("n_columns"), F.count("own").alias("n_tested"), F.array_sort(F.flatten(F.collect_list("own"))).alias("tests"))
     nodes = graph["graph_nodes"].select(F.col("unique_id").alias("node"))
     share = F.when(F.col("n_columns") > 0, F.col("n_tested") / F.col("n_columns")).otherwise(0.0)
-    return nodes.join(per, nodes["node"] == per["node_id"], "left").select(
+    return nodes.join(shuffled(per), nodes["node"] == per["node_id"], "left").select(
         "node", F.coalesce("n_columns", F.lit(0)).alias("n_columns"), F.coalesce("n_tested", F.lit(0)).alias("n_tested"), F.coalesce(share, F.lit(0.0)).alias("coverage"), "tests")
 
 

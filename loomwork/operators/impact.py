@@ -52,18 +52,29 @@ def reached_by(graph: dict[str, DataFrame], nodes: DataFrame) -> DataFrame:
     return g.reached_exposures(graph, nodes.select(F.col("node").alias("id")).union(nodes.select("origin")))
 
 
+def _edges_written(graph: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The graph with its edges written once, for all that walk or count them."""
+    return graph | {"graph_edges": materialized(graph["graph_edges"], "edges")}
+
+
 def scored(spark: SparkSession, graph: dict[str, DataFrame], lineage: DataFrame, events: DataFrame) -> DataFrame:
     """Every affected node of every event with its base and final score, in one join."""
+    graph = _edges_written(graph)
     nodes = materialized(affected(spark, graph, lineage, events).filter("not pruned"), "affected")
     return scores(graph, events, nodes, reached_by(graph, nodes))
 
 
 def scores(graph: dict[str, DataFrame], events: DataFrame, nodes: DataFrame, reached: DataFrame) -> DataFrame:
-    """Scores of the affected ``nodes``, given the exposures ``reached`` from them and their origins."""
+    """Scores of the affected ``nodes``, given the exposures ``reached`` from them and their origins.
+
+    What a node has, and what an event and its origin have, is put together first, so the pairs are joined twice.
+    """
     urgent = reached.groupBy("origin").agg(F.bool_or(F.col("priority") == "high").alias("high_priority"))
-    facts = (g.test_coverage(graph).select("node", "coverage").join(g.fan_out(graph), "node", "left").join(g.nearest_exposure(reached).withColumnRenamed("origin", "node"), "node", "left")
-             .join(graph["graph_nodes"].select(F.col("unique_id").alias("node"), "materialized"), "node", "left"))
-    rows = nodes.join(facts, "node", "left").join(urgent, "origin", "left").join(events.select("event_id", "event_type", "severity"), "event_id")
+    facts = (g.test_coverage(graph).select("node", "coverage").join(shuffled(g.fan_out(graph)), "node", "left").join(shuffled(g.nearest_exposure(reached).withColumnRenamed("origin", "node")), "node", "left")
+             .join(shuffled(graph["graph_nodes"].select(F.col("unique_id").alias("node"), "materialized")), "node", "left"))
+    facts = materialized(facts, "facts")
+    about = nodes.select("event_id", "origin").distinct().join(shuffled(urgent), "origin", "left").join(shuffled(events.select("event_id", "event_type", "severity")), "event_id")
+    rows = nodes.join(shuffled(facts), "node", "left").join(shuffled(about), ["event_id", "origin"])
     base = risk.base_score(F.coalesce("coverage", F.lit(0.0)), F.coalesce("fan_out", F.lit(0)), F.col("distance"), F.col("materialized"), F.col("event_type"))
     final = risk.in_context(base, F.col("severity"), F.col("confidence"), F.coalesce("hops", F.lit(0)), F.coalesce("high_priority", F.lit(False)))
     return rows.select("event_id", "event_type", "origin", "node", "coverage", F.coalesce("fan_out", F.lit(0)).alias("fan_out"), "distance", "hops", "confidence",

@@ -84,22 +84,24 @@ def scores(graph: dict[str, DataFrame], events: DataFrame, nodes: DataFrame, rea
 def report(spark: SparkSession, graph: dict[str, DataFrame], lineage: DataFrame, events: DataFrame) -> DataFrame:
     """One row per event: level, counts, coverage gaps (below a half), the five worst nodes, exposures and planned actions.
 
-    Each graph is walked once: what is affected, and what it reaches, is written and read for all parts of the report.
+    Each graph is walked once: what is affected, what it reaches, and the scores are written and read for all parts of the report.
     """
+    graph = _edges_written(graph)
     everything = materialized(affected(spark, graph, lineage, events), "affected")
     nodes = everything.filter("not pruned")
     reached = materialized(reached_by(graph, nodes), "reached")
-    rows = scores(graph, events, nodes, reached)
+    rows = materialized(scores(graph, events, nodes, reached), "scores")
     worst = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), F.col("node"), F.col("score")))), 1, 5)
     gaps = F.array_sort(F.collect_set(F.when(F.col("coverage") < 0.5, F.struct("node", F.round("coverage", 2).alias("coverage")))))
     per = rows.groupBy("event_id", "event_type", "origin").agg(
         F.max("score").alias("max_score"), F.count("*").alias("n_affected"), F.count_if(F.col("coverage") < 0.5).alias("n_gaps"), gaps.alias("gaps"),
         F.transform(worst, lambda s: s["node"]).alias("top_nodes"), F.transform(worst, lambda s: F.struct(s["node"].alias("node"), F.round(s["score"], 3).alias("score"))).alias("top_scores"))
     shown = F.struct("exposure", "priority", "maturity", "exposure_type", "depth")
-    exposures = reached.groupBy("origin").agg(F.array_sort(F.collect_set("exposure")).alias("exposures"), F.array_sort(F.collect_set(shown)).alias("exposure_details"))
+    asked = reached.join(shuffled(nodes.select("origin").distinct()), "origin", "left_semi")
+    exposures = asked.groupBy("origin").agg(F.array_sort(F.collect_set("exposure")).alias("exposures"), F.array_sort(F.collect_set(shown)).alias("exposure_details"))
     cut = everything.filter("pruned").groupBy("event_id").agg(F.countDistinct("node").alias("n_pruned"))
     level = risk.level(F.col("max_score"))
-    return (per.join(exposures, "origin", "left").join(cut, "event_id", "left").join(staging_to_fix(graph, rows), "event_id", "left")
+    return (per.join(shuffled(exposures), "origin", "left").join(shuffled(cut), "event_id", "left").join(shuffled(staging_to_fix(graph, rows)), "event_id", "left")
             .withColumns({"risk_level": level, "n_pruned": F.coalesce("n_pruned", F.lit(0)), "actions": risk.actions(level, F.col("event_type"))})
             .withColumn("fix_eligible", F.exists("actions", lambda a: a["type"] == "github_pr") & F.col("event_type").isin(*SCHEMA_CHANGES)))
 
@@ -139,7 +141,7 @@ def staging_to_fix(graph: dict[str, DataFrame], scored_nodes: DataFrame) -> Data
     """
     nodes = graph["graph_nodes"].filter("layer = 'staging'")
     staging = (nodes.filter("sql <> ''") if "sql" in nodes.columns else nodes).select(F.col("unique_id").alias("node"))
-    return scored_nodes.join(staging, "node").groupBy("event_id").agg(F.min_by("node", F.struct(F.coalesce("hops", F.lit(0)), F.col("node"))).alias("model_id"))
+    return scored_nodes.join(shuffled(staging), "node").groupBy("event_id").agg(F.min_by("node", F.struct(F.coalesce("hops", F.lit(0)), F.col("node"))).alias("model_id"))
 
 
 def valid_sql(spark: SparkSession, sql: str | None) -> bool:

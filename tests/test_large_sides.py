@@ -40,3 +40,9 @@ def test_exposures_are_the_same_from_either_end(spark, n_roots):
     roots = spark.createDataFrame([("a",), ("b",), ("f",)][:n_roots], "id string")
     found = {(r.origin, r.node, r.depth) for r in graph.reached_exposures({"graph_nodes": nodes, "graph_edges": edges}, roots).collect()}
     assert found == {(o, n, d) for o, n, d in {("a", "e", 1), ("a", "f", 2), ("b", "e", 1), ("b", "f", 1), ("f", "e", 1)} if o in "abf"[:n_roots]}
+
+
+def test_impact_reports_score_once_and_broadcast_exposures_at_most(spark, plans):
+    plans.append(plan(t.impact_reports(spark, SF)))
+    assert max(p.count("BroadcastHashJoin") for p in plans) <= 1 and "BroadcastHashJoin" not in plans[-1]
+    assert sum(" AS score#" in p for p in plans) == 1

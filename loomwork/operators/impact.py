@@ -115,15 +115,16 @@ def payload(reports: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def with_fixes(spark: SparkSession, reports: DataFrame, drafts: DataFrame) -> DataFrame:
-    """Reports with ``fix_sql`` from ``drafts(event_id, fix_sql)``; a pull request whose draft is missing or does not parse is taken from the actions.
+    """Reports with ``fix_sql`` from ``drafts(event_id, fix_sql)``; a pull request whose draft is missing or does not parse is taken from the actions. The reports are written once.
 
     Spark's parser is the driver's, so distinct drafts stream through it one
     partition at a time; it keeps the digests of those that do not parse.
     """
-    asked = reports.filter("fix_eligible").join(drafts, "event_id").select("event_id", "fix_sql")
+    reports = materialized(reports, "reports")
+    asked = reports.filter("fix_eligible").join(shuffled(drafts), "event_id").select("event_id", "fix_sql")
     bad = [(r.digest,) for r in asked.select("fix_sql", F.sha2("fix_sql", 256).alias("digest")).distinct().toLocalIterator() if not valid_sql(spark, r.fix_sql)]
     fine = asked.filter("fix_sql is not null").join(spark.createDataFrame(bad, "digest string"), F.sha2("fix_sql", 256) == F.col("digest"), "left_anti")
-    rows = reports.join(fine, "event_id", "left")
+    rows = reports.join(shuffled(fine), "event_id", "left")
     return rows.withColumn("actions", F.when(F.col("fix_sql").isNull(), F.filter("actions", lambda a: a["type"] != "github_pr")).otherwise(F.col("actions")))
 
 

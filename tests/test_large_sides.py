@@ -46,3 +46,8 @@ def test_impact_reports_score_once_and_broadcast_exposures_at_most(spark, plans)
     plans.append(plan(t.impact_reports(spark, SF)))
     assert max(p.count("BroadcastHashJoin") for p in plans) <= 1 and "BroadcastHashJoin" not in plans[-1]
     assert sum(" AS score#" in p for p in plans) == 1
+
+
+def test_drafts_read_written_reports(spark, plans):
+    out = plan(t.drafted_fixes(spark, SF))
+    assert "BroadcastHashJoin [event_id" not in out and "Aggregate" not in out and any("max_score" in p for p in plans)

@@ -8,7 +8,7 @@ column lineage its boundaries; only models marked ``table`` are written.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,18 +85,18 @@ class Project:
             return f"source.{self.name}.{self.sources[name].group}.{name}"
         return f"{'exposure' if name in self.exposures else 'model'}.{self.name}.{name}"
 
-    def build(self, spark: SparkSession, raw: dict[str, DataFrame], only: set[str] | None = None, share: bool = False) -> dict[str, DataFrame]:
+    def build(self, spark: SparkSession, raw: dict[str, DataFrame], only: set[str] | None = None, share: bool = False, reads: Collection[str] = (), layers: tuple[str, ...] = ("intermediate",)) -> dict[str, DataFrame]:
         """Frames of all sources and models (or of ``only`` and what they need), each a temporary view of its name.
 
-        With ``share``, an intermediate model that several others read is computed once and written to the shared folder.
+        With ``share``, a model of ``layers`` that several of the built ones read is computed once and written to the shared folder; ``reads`` are read by the caller, too.
         """
         frames: dict[str, DataFrame] = {}
-        readers = Counter(i for m in self.models.values() for i in m.inputs)
+        readers = Counter(i for m in self._needed(only) for i in self.models[m].inputs) + Counter(reads)
 
         def frame(name: str) -> DataFrame:
             if name not in frames:
                 made = raw[name] if name in self.sources else self.models[name].build(*[frame(i) for i in self.models[name].inputs])
-                if share and name in self.models and self.models[name].layer == "intermediate" and readers[name] > 1:
+                if share and name in self.models and self.models[name].layer in layers and readers[name] > 1:
                     made = materialized(made, name)
                 made.createOrReplaceTempView(name)
                 frames[name] = spark.table(name)
@@ -106,6 +106,16 @@ class Project:
             frame(name)
         return frames
 
+    def _needed(self, only: set[str] | None) -> set[str]:
+        """The models of ``only`` and those that they stand on; all without it."""
+        found, left = set(), list(self.models if only is None else only)
+        while left:
+            name = left.pop()
+            if name in self.models and name not in found:
+                found.add(name)
+                left += self.models[name].inputs
+        return found
+
     def write(self, spark: SparkSession, raw: dict[str, DataFrame], folder: str) -> list[str]:
         """Build, and store every model marked ``table`` under ``folder``, all in one step as a version of it; the names written. What several read is computed once."""
         frames = self.build(spark, raw, share=True)

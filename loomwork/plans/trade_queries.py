@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions.columns import col
 from loomwork.operators import graph as g
 from loomwork.operators import impact, lineage, profile, risk
 from loomwork.session import shared_path, table
@@ -135,10 +136,15 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(counts.items()), "name string, n long")
 
 
-def _filled(frames: dict[str, DataFrame]) -> DataFrame:
-    """Filled values of every column of the built frames: node, column, n_filled."""
-    parts = [profile.profile(df, project.node_id(n)) for n, df in frames.items()]
-    return g.reduce(DataFrame.unionByName, parts).select(F.col("table_name").alias("node"), "column_name", (F.col("row_count") - F.col("null_count")).alias("n_filled"), "row_count")
+def _filled(frames: dict[str, DataFrame], wanted: dict[str, list[str]] | None = None) -> DataFrame:
+    """Filled values of every column of the built frames, or of those ``wanted`` of each: node, column_name, n_filled. Nothing but the values is counted."""
+    def counted(name: str, columns: list[str]) -> DataFrame:
+        counts = frames[name].agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)])
+        rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n_filled")) for i, c in enumerate(columns)]))
+        return counts.select(F.lit(project.node_id(name)).alias("node"), rows.alias("r")).select("node", "r.column_name", "r.n_filled")
+
+    kept = {n: [c for c in (df.columns if wanted is None else wanted.get(n, ())) if c not in profile.IGNORED] for n, df in frames.items()}
+    return g.reduce(DataFrame.unionByName, [counted(n, columns) for n, columns in kept.items() if columns])
 
 
 def _built(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -168,9 +174,14 @@ def lineage_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _price(spark: SparkSession, sf_dir: str, start: str, backward: bool) -> DataFrame:
-    plans, frames = _built(spark, sf_dir)
+    """The trails from one column, with the filled values of each column on them; only models on the trails are counted, each over all its rows."""
+    raw = raw_tables(spark, sf_dir)
+    plans = project.build(spark, raw)
     trails = g.column_trails(lineage.column_lineage(spark, project, plans), spark.createDataFrame([(start,)], "id string"), backward)
-    filled = _filled(frames).select(F.concat_ws(".", "node", "column_name").alias("node"), "n_filled")
+    met = {r.node for r in trails.select("node").distinct().collect()}  # as many as the warehouse has columns, at most
+    wanted = {n: found for n, df in plans.items() if (found := [c for c in df.columns if f"{project.node_id(n)}.{c}" in met])}
+    frames = project.build(spark, raw, only=set(wanted), share=True, reads=list(wanted))
+    filled = _filled(frames, wanted).select(F.concat_ws(".", "node", "column_name").alias("node"), "n_filled")
     return trails.join(filled, "node").select("node", "depth", "confidence", F.array_join("path", ">").alias("path"), "n_filled")
 
 

@@ -156,9 +156,10 @@ def _built(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict
 
 
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The column edges that the analyzed plans of the 17 models give, with how many values each end holds."""
-    plans, frames = _built(spark, sf_dir)
-    edges, filled = lineage.column_lineage(spark, project, plans), _filled(frames)
+    """The column edges that the analyzed plans of the 17 models give, with how many values each end holds. Staging and intermediate models that others read are computed once."""
+    raw = raw_tables(spark, sf_dir)
+    edges = lineage.column_lineage(spark, project, project.build(spark, raw))
+    filled = _filled(project.build(spark, raw, share=True, reads=list(project.models), layers=("staging", "intermediate")))
     for side in ("up", "down"):
         own = filled.select(F.col("node").alias(f"{side}_node"), F.col("column_name").alias(f"{side}_column"), F.col("n_filled").alias(f"{side}_filled"))
         edges = edges.join(own, [f"{side}_node", f"{side}_column"], "left")

@@ -27,3 +27,8 @@ def built(spark, monkeypatch, query):
 def test_price_lineage_counts_models_on_the_trails(spark, monkeypatch):
     written, plan = built(spark, monkeypatch, t.price_lineage)
     assert written == ["int_token_profiles"] and "apyBase" not in plan
+
+
+def test_lineage_edges_computes_the_newest_rows_once(spark, monkeypatch):
+    written, plan = built(spark, monkeypatch, t.lineage_edges)
+    assert {"stg_etherscan__transactions", "stg_etherscan__token_transfers", "int_token_profiles", "int_whale_activity"} <= set(written) and "stddev" not in plan

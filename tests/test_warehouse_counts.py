@@ -29,6 +29,11 @@ def test_price_lineage_counts_models_on_the_trails(spark, monkeypatch):
     assert written == ["int_token_profiles"] and "apyBase" not in plan
 
 
+def test_price_origin_writes_no_model(spark, monkeypatch):
+    written, plan = built(spark, monkeypatch, t.price_origin)
+    assert not written and "gasUsed" not in plan and "o_orderkey" not in plan
+
+
 def test_lineage_edges_computes_the_newest_rows_once(spark, monkeypatch):
     written, plan = built(spark, monkeypatch, t.lineage_edges)
     assert {"stg_etherscan__transactions", "stg_etherscan__token_transfers", "int_token_profiles", "int_whale_activity"} <= set(written) and "stddev" not in plan
